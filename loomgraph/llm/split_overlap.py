@@ -25,7 +25,7 @@ from loomgraph.session import cut
 #: Cases differ in a few names and values while three quarters of the code is alike; one changed token
 #: breaks SHINGLE shingles, so the threshold on shingles lies below that share.
 SHINGLE, THRESHOLD = 3, 0.6
-SKETCH_BITS = 20  # 2**20 counters of 4 bytes: the broadcast has this size whatever the corpus
+SKETCH_BITS = 18  # 2**18 counters of 4 bytes: the broadcast has this size whatever the corpus
 
 
 def body(text: str) -> tuple[str, str]:
@@ -75,9 +75,11 @@ def rarity(classes: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"slot": at, "n": total[at]})
 
     rows = classes.select("sh").mapInPandas(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = rows.toPandas()  # at most 2**SKETCH_BITS rows
+    # 2**SKETCH_BITS counters at most reach the driver, packed into one array for 4096 slots
+    packed = rows.groupBy(F.shiftright("slot", 12).alias("page")).agg(F.collect_list(F.struct("slot", F.least("n", F.lit(2**31 - 1)).alias("n"))).alias("c"))
     table = np.zeros(1 << SKETCH_BITS, np.int32)
-    table[got["slot"].to_numpy(np.int64)] = np.minimum(got["n"].to_numpy(np.int64), 2**31 - 1)
+    for page in packed.select(F.col("c.slot").alias("slot"), F.col("c.n").alias("n")).toLocalIterator():
+        table[page.slot] = page.n
     return table
 
 
