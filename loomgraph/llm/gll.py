@@ -29,13 +29,8 @@ class Grammar:
             alts, at = self._alts(toks, at + 2)
             self.rules.setdefault(name, []).extend(alts)
             at += 1  # ;
-        for name, alts in self.rules.items():
-            for alt in alts:
-                for s in alt:
-                    if s[0] == "\0" or s in self.rules:
-                        continue
-        self._firsts()
         self._known: dict[str, frozenset[str]] = {}
+        self._firsts()
 
     def _alts(self, toks, at):
         alts, cur = [], []
@@ -75,7 +70,7 @@ class Grammar:
 
     def _loop(self, sym) -> str:
         name = self._new([])
-        self.rules[name] = [(sym, name), ()]
+        self.rules[name] = [(name, sym), ()]  # left recursion: one stack node for all rounds
         return name
 
     def _firsts(self) -> None:
@@ -93,8 +88,22 @@ class Grammar:
                     if null and name not in self.nullable:
                         self.nullable.add(name)
                         grew = True
-        # per nonterminal: (alternative, first set, nullable)
-        self.table = {n: [(a, *map(frozenset, (self._first_of(a)[0],)), self._first_of(a)[1]) for a in alts] for n, alts in self.rules.items()}
+        # grammar slots as numbers: slot k is a dot before symbol[k]; the slot after it is k + 1
+        self.number = {n: i for i, n in enumerate(self.rules)}
+        self.symbol: list = []  # nonterminal number, terminal, or None at the end of an alternative
+        self.first_of_slot: list[frozenset] = []
+        self.null_slot: list[bool] = []
+        self.starts: list[list[int]] = [[] for _ in self.rules]
+        for name, alts in self.rules.items():
+            for alt in alts:
+                self.starts[self.number[name]].append(len(self.symbol))
+                for dot in range(len(alt) + 1):
+                    f, null = self._first_of(alt[dot:])
+                    self.first_of_slot.append(frozenset(f))
+                    self.null_slot.append(null)
+                    self.symbol.append(None if dot == len(alt) else self.number.get(alt[dot], alt[dot]))
+        self._can: dict[tuple[int, str], bool] = {}
+        self._begin: dict[tuple[int, str], list[int]] = {}
 
     def _first_of(self, alt):
         out: set[str] = set()
@@ -119,59 +128,79 @@ class Grammar:
                 self._known[token] = k
         return k
 
+    def _able(self, slot: int, token: str) -> bool:
+        """Whether what follows a slot can begin with the token (or be empty)."""
+        key = (slot, token)
+        got = self._can.get(key)
+        if got is None:
+            got = self._can[key] = self.null_slot[slot] or not self.first_of_slot[slot].isdisjoint(self.terminals(token))
+        return got
+
     def accepts(self, start: str, tokens) -> bool:
         """Whether start derives the whole token sequence (descriptors worked off from a graph-structured stack)."""
-        terms = [self.terminals(t) for t in tokens]
-        terms.append(frozenset((END,)))
+        toks = [*tokens, END]
+        terms = [self.terminals(t) for t in toks]
         n = len(tokens)
-        rules, table = self.rules, self.table
-        # a stack node is (nonterminal, position); its edges are (alternative, dot, parent node)
-        edges: dict[tuple[str, int], set] = {}
-        popped: dict[tuple[str, int], set[int]] = {}
+        wide = n + 1
+        symbol, able, can = self.symbol, self._able, self._can
+        # a stack node is nonterminal * wide + position; an edge is (slot to go on from, parent node)
+        edges: dict[int, set] = {}
+        popped: dict[int, set[int]] = {}
         todo: list = []
         seen: set = set()
-        root = (start, 0)
-
-        def call(name, i, back):
-            node = (name, i)
-            if node not in edges:
-                edges[node] = {back} if back else set()
-                popped[node] = set()
-                here = terms[i]
-                for alt, first, null in table[name]:
-                    if null or not first.isdisjoint(here):
-                        add(alt, 0, node, i)
-            elif back and back not in edges[node]:
-                edges[node].add(back)
-                for j in popped[node]:
-                    add(back[0], back[1], back[2], j)
-
-        def add(alt, dot, node, i):
-            d = (alt, dot, node, i)
-            if d not in seen:
+        root = self.number[start] * wide
+        begin = self._begin
+
+        def add(slot, node, i):
+            ok = can.get((slot, toks[i]))
+            if ok is None:
+                ok = able(slot, toks[i])
+            if ok:
+                d = (slot, node, i)
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+
+        def enter(nt, node, i):
+            key = (nt, toks[i])
+            slots = begin.get(key)
+            if slots is None:
+                slots = begin[key] = [k for k in self.starts[nt] if able(k, toks[i])]
+            for k in slots:
+                d = (k, node, i)
                 seen.add(d)
                 todo.append(d)
 
-        call(start, 0, None)
+        edges[root], popped[root] = set(), set()
+        enter(self.number[start], root, 0)
         while todo:
-            alt, dot, node, i = todo.pop()
-            size = len(alt)
-            while dot < size:
-                s = alt[dot]
-                if s in rules:
-                    call(s, i, (alt, dot + 1, node))
+            slot, node, i = todo.pop()
+            while True:
+                s = symbol[slot]
+                if s is None:
+                    if node == root and i == n:
+                        return True
+                    done = popped[node]
+                    if i not in done:
+                        done.add(i)
+                        for back, parent in edges[node]:
+                            add(back, parent, i)
+                    break
+                if s.__class__ is int:
+                    child = s * wide + i
+                    back = (slot + 1, node)
+                    known = edges.get(child)
+                    if known is None:
+                        edges[child], popped[child] = {back}, set()
+                        enter(s, child, i)
+                    elif back not in known:
+                        known.add(back)
+                        for j in popped[child]:
+                            add(slot + 1, node, j)
                     break
                 if s not in terms[i]:
                     break
-                dot += 1
+                slot += 1
                 if s != END:
                     i += 1
-            else:
-                if node == root and i == n:
-                    return True
-                done = popped[node]
-                if i not in done:
-                    done.add(i)
-                    for back in edges[node]:
-                        add(back[0], back[1], back[2], i)
         return False

@@ -55,13 +55,15 @@ PY_SOFT = frozenset("match case type".split())
 class Braces:
     """A brace language: its lexer, the kinds its regions can be, and the grammar that decides them."""
 
-    def __init__(self, text: str, words, soft, prim, ops: str, extra: str, kinds: dict[str, tuple[str, ...]], chunked, top: str, lines: str = "", ts: bool = False, readings=None):
+    def __init__(self, text: str, words, soft, prim, ops: str, extra: str, kinds: dict[str, tuple[str, ...]], chunked, top: str, lines: str = "", before: str = "", readings=None):
         read = {w: ("kw",) for w in words} | {w: ("id",) for w in soft} | (readings or {})
         self.grammar = Grammar(text, read)
         self.words, self.soft, self.prim = words, soft, prim
         self.kinds, self.chunked, self.top, self.lines = kinds, frozenset(chunked), top, lines
         self.lex = re.compile(
-            rf"(?P<ws>[^\S\n]+|{_COMMENT}|\\\n)|(?P<nl>\n)|{extra}|(?P<num>{_NUM}[nNfFdDlLuUi]*)(?![\w$])|(?P<id>(?:[^\W\d]|\$)[\w$]*)|(?P<op>{_ops(ops)})", re.S
+            # blanks belong to the token they stand before: half as many matches
+            rf"{before}[^\S\n]*(?:(?P<id>(?:[^\W\d]|\$)[\w$]*+)(?![\"'])|(?P<nl>\n)|(?P<ws>{_COMMENT}|\\\n|\Z)|{extra}|(?P<num>{_NUM}[nNfFdDlLuUi]*)(?![\w$])|(?P<op>{_ops(ops)})|(?P<id2>(?:[^\W\d]|\$)[\w$]*))",
+            re.S,
         )
         self.known: dict[tuple, bool] = {}
         self.region: dict[tuple, str] = {}
@@ -74,10 +76,11 @@ class Braces:
     def tokens(self, code: str) -> list[str] | None:
         out: list[str] = []
         words, soft, prim, lines = self.words, self.soft, self.prim, self.lines
-        match, at, size, line = self.lex.match, 0, len(code), False
+        lex, at, size, line = self.lex, 0, len(code), False
+        step = lex.scanner(code).match
         last = ""
         while at < size:
-            m = match(code, at)
+            m = step()
             if m is None:
                 return None
             kind = m.lastgroup
@@ -87,21 +90,22 @@ class Braces:
             if kind == "nl":
                 line = True
                 continue
-            if kind == "id":
-                t = m.group()
+            if kind == "id" or kind == "id2":
+                t = m[kind]
                 if t in prim:
                     t = "prim"
                 elif t not in words and t not in soft:
                     t = "id"
             elif kind == "op":
-                t = m.group()
+                t = m["op"]
                 if "|" in t and t != "||" and t != "||=":
                     t = t.replace("|", "bar")
                 elif t in ("/", "/=") and lines == "js" and not (last in self._ENDS or last == "}" or last in soft):
-                    r = _REGEX.match(code, m.start())
+                    r = _REGEX.match(code, m.start("op"))
                     if r is None:
                         return None
                     at, t = r.end(), "rx"
+                    step = lex.scanner(code, at).match
             else:
                 t = kind
             if line and out:
@@ -235,92 +239,101 @@ def _go() -> Braces:
 
 def _cpp() -> Braces:
     ops = "... -> ->* .* :: <=> && || == != <= >= += -= *= /= %= &= |= ^= <<= << ++ -- + - * / % = < > ! ~ & | ^ ? : ; , . ( ) [ ] { }"
-    extra = rf'(?P<pp>(?:(?<=\n)|(?<![\s\S]))\#(?:[^\n\\]|\\.|\\\n)*)|(?P<str>(?:u8|[uUL])?(?:R"(?P<d>[^()\s\\]{{0,16}})\((?:.*?)\)(?P=d)"|{_DQ}))|(?P<chr>(?:u8|[uUL])?\'(?:[^\'\\\n]|\\.[\da-fA-F]*)+\')'
+    before = r"(?:(?:(?<=\n)|(?<![\s\S]))[^\S\n]*(?P<pp>\#(?:[^\n\\]|\\.|\\\n)*))|"
+    extra = rf'(?P<str>(?:u8|[uUL])?(?:R"(?P<d>[^()\s\\]{{0,16}})\((?:.*?)\)(?P=d)"|{_DQ}))|(?P<chr>(?:u8|[uUL])?\'(?:[^\'\\\n]|\\.[\da-fA-F]*)+\')'
     kinds = {"BLOCK": ("Stmts",), "CBODY": ("Members",), "ENUM": ("Enum",), "INIT": ("Initl",)}
-    return Braces(dialects.CPP, CPP_WORDS, CPP_SOFT, CPP_PRIM, ops, extra, kinds, ("Stmts", "Members", "Unit"), "Unit", readings={"pp": ()})
+    return Braces(dialects.CPP, CPP_WORDS, CPP_SOFT, CPP_PRIM, ops, extra, kinds, ("Stmts", "Members", "Unit"), "Unit", before=before, readings={"pp": ()})
 
 
 class Python:
-    """Logical lines decided one by one, their blocks by a stack of indents."""
+    """Logical lines decided one by one, their blocks by a stack of indents.
+
+    Strings, names and numbers are masked for the whole text at once, so a line is a short string of token
+    classes; what the grammar says of it is remembered.
+    """
 
     _FOLLOWS = {"elif": {"if", "elif"}, "else": {"if", "elif", "for", "while", "except"}, "except": {"try", "except"}, "finally": {"try", "except", "else"}}
+    _COMPOUND = frozenset("if elif else while for try except finally with def class".split())
+    _STRING, _NAME, _NUMBER = "\x01", "\x02", "\x03"
 
     def __init__(self):
         self.grammar = Grammar(dialects.PYTHON, {w: ("id",) for w in PY_SOFT} | {"_": ("id",)})
-        pre = r"(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?"
-        self.lex = re.compile(
-            rf"(?P<ws>[ \t\f]+|\\\n|\#[^\n]*)|(?P<nl>\n)|(?P<str>{pre}(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?!\"\")(?:[^\"\\\n]|\\(?:.|\n))*\"|'(?!'')(?:[^'\\\n]|\\(?:.|\n))*'|\"\"(?!\")|''(?!')))"
-            rf"|(?P<num>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?!0[\d_]*[1-9][\d_]*(?![\d_.eEjJ]))(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?))(?![\w])|(?P<id>[^\W\d]\w*)"
-            rf"|(?P<op>{_ops('... -> := **= //= <<= >>= == != <= >= += -= *= /= %= @= &= |= ^= ** // << >> + - * / % @ = < > ~ & | ^ : ; , . ( ) [ ] { }')})",
+        pre = r"(?<![\w])(?:[rRbBuUfF]|[rR][bBfF]|[bBfF][rR])?"
+        self.quoted = re.compile(
+            rf"(\#[^\n]*)|(\\\n)|(?:{pre})(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?!\"\")(?:[^\"\\\n]|\\(?:.|\n))*\"|'(?!'')(?:[^'\\\n]|\\(?:.|\n))*'|\"\"(?!\")|''(?!'))",
             re.S,
         )
-        self.known: dict[tuple, bool] = {}
-
-    def ok(self, seq: tuple) -> bool:
-        got = self.known.get(seq)
+        self.names = re.compile(rf"\b(?!(?:{'|'.join(sorted(PY_WORDS | PY_SOFT))})\b)[^\W\d]\w*+")
+        self.numbers = re.compile(r"(?<![\w])(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?!0[\d_]*[1-9][\d_]*(?![\d_.eEjJ]))(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)(?![\w])")
+        self.wrong = re.compile(r"[^\x00-\x7f]|[\d$?`\"'\\]|!(?!=)")
+        self.token = re.compile(rf"[\x01\x02\x03]|[a-zA-Z]+|{_ops('... -> := **= //= <<= >>= == != <= >= += -= *= /= %= @= &= |= ^= ** // << >> + - * / % @ = < > ~ & | ^ : ; , . ( ) [ ] { }')}|\S")
+        self.known: dict[str, tuple[bool, str, str, bool, bool]] = {}
+        self.net: dict[str, int] = {}
+
+    def line(self, body: str) -> tuple[bool, str, str, bool, bool]:
+        """(accepted, first token, leading word, opens a block, may follow a decorator) of a masked logical line."""
+        got = self.known.get(body)
         if got is None:
             if len(self.known) >= MEMORY:
                 self.known.clear()
-            got = self.known[seq] = self.grammar.accepts("Line", seq)
+            classes = {self._STRING: "str", self._NAME: "id", self._NUMBER: "num"}
+            seq = tuple(classes.get(t) or (t.replace("|", "bar") if "|" in t else t) for t in self.token.findall(body))
+            if not seq:
+                return False, "", "", False, False
+            word = seq[1] if seq[0] == "async" and len(seq) > 1 else seq[0]
+            compound = word in self._COMPOUND or (word in PY_SOFT and seq[-1] == ":")
+            decorated = seq[0] in ("def", "class", "@") or seq[:2] == ("async", "def")
+            got = self.known[body] = (self.grammar.accepts("Line", seq), seq[0], word if compound else "", compound and seq[-1] == ":", decorated)
         return got
 
-    def lines(self, code: str) -> Iterator[tuple[int, tuple] | None]:
-        match, at, size = self.lex.match, 0, len(code)
-        cur: list[str] = []
-        opened: list[str] = []
-        begin = 0
-        while at <= size:
-            m = match(code, at) if at < size else None
-            if m is None and at < size:
-                yield None
-                return
-            kind = m.lastgroup if m else "nl"
-            if kind == "ws":
-                at = m.end()
+    def _mask(self, m: re.Match) -> str:
+        return "" if m.group(1) is not None else " " if m.group(2) is not None else self._STRING
+
+    def lines(self, code: str) -> Iterator[tuple[int, str] | None]:
+        """(indent, masked body) of the logical lines; None where brackets or characters are wrong."""
+        text = self.numbers.sub(self._NUMBER, self.names.sub(self._NAME, self.quoted.sub(self._mask, code)))
+        if self.wrong.search(text):
+            yield None
+            return
+        net, cur, depth, width = self.net, "", 0, 0
+        for raw in text.split("\n"):
+            body = raw.strip(" \t\f")
+            if not body:
                 continue
-            if kind == "nl":
-                if cur and not opened:
-                    head = code[code.rfind("\n", 0, begin) + 1 : begin]
+            n = net.get(body)
+            if n is None:
+                if len(net) >= MEMORY:
+                    net.clear()
+                n = net[body] = sum(map(body.count, "([{")) - sum(map(body.count, ")]}"))
+            if not depth:
+                width = len(raw) - len(raw.lstrip(" "))
+                if raw[width] in "\t\f":
                     width = 0
-                    for ch in head:
+                    for ch in raw[: len(raw) - len(raw.lstrip(" \t\f"))]:
                         width = (width // 8 + 1) * 8 if ch == "\t" else 0 if ch == "\f" else width + 1
-                    yield width, tuple(cur)
-                    cur = []
-                if m is None:
-                    break
-                at = m.end()
-                continue
-            if not cur:
-                begin = m.start()
-            at = m.end()
-            t = m.group() if kind in ("op", "id") else kind
-            if kind == "id" and t not in PY_WORDS and t not in PY_SOFT:
-                t = "id"
-            elif kind == "op":
-                if t in "([{":
-                    opened.append(")]}"["([{".index(t)])
-                elif t in ")]}":
-                    if not opened or opened.pop() != t:
-                        yield None
-                        return
-                elif "|" in t:
-                    t = t.replace("|", "bar")
-            cur.append(t)
-        if opened:
+                cur = body
+            else:
+                cur += " " + body
+            depth += n
+            if depth < 0:
+                yield None
+                return
+            if not depth:
+                yield width, cur
+        if depth:
             yield None
 
     def valid(self, code: str) -> bool:
         indents, last, want, deco = [0], [""], False, False
-        for item in self.lines(code.lstrip("﻿")):
+        for item in self.lines(code.lstrip("\ufeff")):
             if item is None:
                 return False
-            width, seq = item
+            width, body = item
             if want:
                 if width <= indents[-1]:
                     return False
                 indents.append(width)
                 last.append("")
-                want = False
             elif width > indents[-1]:
                 return False
             else:
@@ -331,21 +344,16 @@ class Python:
                     last.pop()
                 if indents[-1] != width:
                     return False
-            first = seq[0]
+            ok, first, word, want, decorated = self.line(body)
+            if not ok or (deco and not decorated):
+                return False
             if first in self._FOLLOWS:
                 if last[-1] not in self._FOLLOWS[first]:
                     return False
             elif last[-1] == "try":
                 return False
-            if not self.ok(seq):
-                return False
-            if deco and not (first in ("def", "class", "@") or seq[:2] == ("async", "def")):
-                return False
             deco = first == "@"
-            word = seq[1] if first == "async" else first
-            compound = word in ("if", "elif", "else", "while", "for", "try", "except", "finally", "with", "def", "class") or (word in PY_SOFT and seq[-1] == ":")
-            last[-1] = word if compound else ""
-            want = seq[-1] == ":" and compound
+            last[-1] = word
         return not want and not deco and "try" not in last
 
 
