@@ -111,7 +111,7 @@ class Braces:
             if line and out:
                 line = False
                 if lines == "js":
-                    if (last in self._ENDS or last == "}" or last in soft) and t not in self._GOES_ON:
+                    if (last in self._ENDS or last == "}" or last in soft) and (t not in self._GOES_ON or (t == "else" and last != "}")):
                         out.append("NL")
                 elif lines == "go" and last in _GO_ENDS:
                     out.append(";")
@@ -131,6 +131,16 @@ class Braces:
             got = self.known[key] = self.grammar.accepts(start, seq)
         return got
 
+    @staticmethod
+    def _in_header(cur: list[str]) -> bool:
+        """Whether a Go if, for or switch has begun whose block is still to come."""
+        for t in reversed(cur):
+            if t[0] == "{":
+                return False
+            if t in ("if", "for", "switch"):
+                return True
+        return False
+
     def pieces(self, seq: list[str]) -> list[tuple]:
         """Statements: cut after ';' and line ends outside parentheses, and after a region that ends one."""
         out, cur, depth = [], [], 0
@@ -143,6 +153,11 @@ class Braces:
                 depth -= 1
             elif depth == 0:
                 if t == ";" or t == "NL":
+                    follow = seq[k + 1] if k + 1 < n else ""
+                    if follow == "else" or (follow == "while" and "do" in cur):
+                        continue  # the statement goes on
+                    if self.lines == "go" and self._in_header(cur):
+                        continue
                     out.append(tuple(cur))
                     cur = []
                 elif t[0] == "{" and not self.lines and k + 1 < n and seq[k + 1] not in _AFTER and "=" not in cur and cur[0] not in _HELD:
