@@ -47,7 +47,7 @@ MIN_RUN = 2  # whole sentences that make a passage
 MARGIN = 0.1
 OVERRULE = 0.8  # confidence at which a label counts as wrong
 
-_MARKUP = re.compile(r"<[^<>\n]{0,80}>|https?://\S+|&[a-z]+;")
+_MARKUP = re.compile(r"<[^<>\n]{0,80}>|https?://\S+|&[a-z]+;|[A-Za-z0-9+/=_-]{25,}")  # packed data is no language either
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _END = re.compile(r"(?:[.!?…]+[\"')\]»”]*(?=\s|$)|[。！？]+|\n+)")
