@@ -143,7 +143,7 @@ def shortest_path_measures(edges: DataFrame, exact: int = EXACT_NODES, sources:
 
     tasks = spark.createDataFrame(pd.DataFrame({"s": chosen})).repartition(min(len(chosen) or 1, 4 * spark.sparkContext.defaultParallelism))
     part = tasks.mapInPandas(brandes, "i bigint, b double, d double, r bigint").groupBy("i").agg(F.sum("b").alias("b"), F.sum("d").alias("d"), F.sum("r").alias("r"))
-    dense = nodes.select("id", (F.row_number().over(Window.orderBy("id")) - 1).cast("bigint").alias("i"))
+    dense = dense_index(nodes).withColumnRenamed("idx", "i")  # in key order, as the driver's numbering
     norm = scale / ((n - 1) * (n - 2)) if n > 2 else 0.0
     close = F.when(F.col("d") > 0, F.col("r") / F.col("d") * F.col("r") * scale / max(1, n - 1)).otherwise(0.0)
     return dense.join(part, "i", "left").select("id", F.coalesce(F.col("b") * norm, F.lit(0.0)).alias("betweenness"), F.coalesce(close, F.lit(0.0)).alias("closeness"))
