@@ -829,7 +829,8 @@ class Yaml:
 _MAKERS: dict[str, tuple[Callable, ...]] = {
     "py": (Python,), "pyi": (Python,),
     "js": (lambda: _js(False),), "mjs": (lambda: _js(False),), "cjs": (lambda: _js(False),),
-    "ts": (lambda: _js(True),), "mts": (lambda: _js(True),), "cts": (lambda: _js(True),),
+    # a TypeScript file may also be plain JavaScript: both grammars get their say
+    "ts": (lambda: _js(True), lambda: _js(False)), "mts": (lambda: _js(True), lambda: _js(False)), "cts": (lambda: _js(True), lambda: _js(False)),
     "java": (_java,), "go": (_go,),
     "cpp": (_cpp,), "cc": (_cpp,), "cxx": (_cpp,), "hpp": (_cpp,), "h": (_cpp,),
     "sh": (Shell,), "json": (Json,), "yml": (Yaml,), "yaml": (Yaml,),
