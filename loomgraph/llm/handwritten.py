@@ -2,10 +2,11 @@
 
 A file is told by its path, by its own code (markers in its leading comments, minified lines, literals that
 make up the file), or by its cluster. Clusters come from MinHash bands over shingles of identifier-masked
-tokens: every file of a bucket is verified against the bucket's smallest member, so a bucket costs its size,
-never its square. A family of different files of one repository that repeat one masked pattern is generated;
-a file that equals a vendored one of another repository is a copy of it; that a hand-written file occurs
-elsewhere tells nothing. Clusters of literals only are blobs.
+tokens, in buckets of one repository and band: heads are compared with the whole bucket until every member was a
+head or is linked, so no link within a bucket is lost. Different files of one repository that repeat one masked
+pattern, or follow one masked template under other names, are generated; a file that equals a vendored one of
+another repository is a copy of it; that a hand-written file occurs elsewhere tells nothing. Clusters of
+literals only are blobs.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.codetext import HASH, SLASH, TOKEN, extension, without_comments
-from loomgraph.session import cut
+from loomgraph.session import cut, parallelism
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 3
@@ -31,7 +33,12 @@ PACKED, BLOB_CHARS = 40, 0.6  # characters of a packed string (no blanks), and t
 _PACKED_LINE = re.compile(r"(?m)^[A-Za-z0-9+/=]{40,}$")
 _PACKED = re.compile(r"[\"'][A-Za-z0-9+/=_\\x-]+[\"']")
 #: Distinct shingles over tokens: a family repeats itself; a lone file must do so even more.
-FAMILY_VARIETY, LONE_VARIETY, FAMILY_FILES, LONE_TOKENS = 0.3, 0.16, 2, 80
+FAMILY_VARIETY, LONE_VARIETY, LONE_TOKENS = 0.3, 0.16, 80
+#: One template: so many windows of SHINGLE tokens in a row, their similarity at least, and the names in common at most
+#: (a hand-edited copy keeps its names); for files of LONE_TOKENS tokens and more.
+WINDOWS, TEMPLATE, SAME_NAMES = 4, 0.6, 0.5
+WORDS, TEMPLATE_WORDS = 4, 8  # 64-bit words of the bitmaps of a shingle set and of a template
+ALL_PAIRS = 64  # members of a bucket up to which all its pairs are compared
 
 #: Paths (fixed values), Java and Python regex alike, on the lower-case path.
 VENDOR_PATH = r"(?:^|/)(?:node_modules|bower_components|jspm_packages|_vendor|third[_-]party|pods|carthage|site-packages)/|(?:^|/)(?:vendor|external|deps)/[^/]+/"
@@ -98,13 +105,42 @@ def _token_id(t: str) -> int:
     return got
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64)
 
 
-def features(path: str, code: str) -> tuple[bool, bool, bool, bool, float, int, int, np.ndarray, np.ndarray]:
-    """(generated, vendored, minified, blob, variety, tokens, content hash, shingle set, band keys) of a file."""
+class Features(NamedTuple):
+    generated: bool
+    vendored: bool
+    minified: bool
+    blob: bool
+    variety: float
+    n_tokens: int
+    content: int
+    calls: bool
+    sh: np.ndarray | None = None
+    template: np.ndarray | None = None
+    names: np.ndarray | None = None
+    bits: np.ndarray | None = None
+    bands: np.ndarray | None = None
+
+
+def _ids32(h: np.ndarray) -> np.ndarray:
+    """32-bit ids of sorted hashes, each once."""
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    return x[np.r_[True, x[1:] != x[:-1]]].view(np.int32) if len(x) else x.view(np.int32)
+
+
+def _bitmap(h: np.ndarray, words: int) -> np.ndarray:
+    on = np.zeros(64 * words, bool)
+    on[h & np.uint64(64 * words - 1)] = True
+    return np.packbits(on).view(np.int64)
+
+
+def features(path: str, code: str) -> Features:
+    """What tells a file's kind; shingles, template, names, bitmap and band keys only where it can be of a family."""
     code = code.replace("\r\n", "\n")
     ext = extension(path)
     program = ext in HASH | SLASH and ext not in ("yml", "yaml", "ini", "cfg", "toml", "conf")
@@ -116,7 +152,6 @@ def features(path: str, code: str) -> tuple[bool, bool, bool, bool, float, int,
     toks = TOKEN.findall(without_comments(code, ext))
     ids = np.array([_token_id(t) for t in toks], np.uint64)
     n = len(ids)
-    none = np.empty(0, np.int64)
     content = zlib.crc32("\x1f".join(toks).encode("utf-8", "replace")) << 20 | (n & 0xFFFFF)
     # in a blob literals and the marks between them are nearly all there is, by tokens or by characters
     literals = sum(t[0] in "\"'" or t[0].isdigit() for t in toks)
@@ -125,61 +160,173 @@ def features(path: str, code: str) -> tuple[bool, bool, bool, bool, float, int,
     rest = sum(t[0].isalpha() or t[0] in "_$" for t in toks)
     table = n >= BLOB_TOKENS and literals >= BLOB_LITERALS * n and rest <= max(8, 0.05 * n)
     blob = program and (table or packed >= BLOB_CHARS * len(code))
-    # prose and markup repeat one pattern too: only code that calls or declares can make a family
-    if n < SHINGLE or toks.count("(") < CALLS * n:
-        return gen, ven, small, blob, 1.0, n, content, none, none
+    calls = toks.count("(") >= CALLS * n
+    # settings, prose and markup repeat one pattern by nature: only code makes a family
+    if n < SHINGLE or small or blob or not (program or calls):
+        return Features(gen, ven, small, blob, 1.0, n, content, calls)
     with np.errstate(over="ignore"):
         h = np.zeros(n - SHINGLE + 1, np.uint64)
         for i in range(SHINGLE):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + len(h)]
+            h = h * _STEP + ids[i : i + len(h)]
+        t = np.zeros(max(0, len(h) - SHINGLE * (WINDOWS - 1)), np.uint64)
+        for i in range(WINDOWS):
+            t = t * _STEP + h[i * SHINGLE : i * SHINGLE + len(t)]
         h ^= h >> np.uint64(31)
         h = np.unique(h)
-        sig = np.empty(BANDS * ROWS, np.uint64)
-        for k in range(BANDS * ROWS):
-            sig[k] = (h * _A[k] + _B[k]).min()
+        t ^= t >> np.uint64(31)
+        t = np.unique(t)
+        sig = np.concatenate([(h * _A[k : k + ROWS, None] + _B[k : k + ROWS, None]).min(axis=1) for k in range(0, BANDS * ROWS, ROWS)])
         band = np.zeros(BANDS, np.uint64)
         for r in range(ROWS):
-            band = band * np.uint64(0x9E3779B97F4A7C15) + sig.reshape(BANDS, ROWS)[:, r]
+            band = band * _STEP + sig.reshape(BANDS, ROWS)[:, r]
         band += np.arange(BANDS, dtype=np.uint64)
-    return gen, ven, small, blob, len(h) / n, n, content, (h >> np.uint64(32)).astype(np.uint32).astype(np.int64), band.view(np.int64)
+    names = {x for x in toks if (x[0].isalpha() or x[0] in "_$") and x not in _KEEP}
+    named = np.unique(np.array([zlib.crc32(x.encode("utf-8", "replace")) for x in names], np.uint32)).view(np.int32)
+    return Features(gen, ven, small, blob, len(h) / n, n, content, calls, _ids32(h), _ids32(t), named, np.concatenate([_bitmap(h, WORDS), _bitmap(t, TEMPLATE_WORDS)]), band.view(np.int64))
 
 
-_SCHEMA = "id bigint, repo string, filepath string, path_bad boolean, generated boolean, vendored boolean, minified boolean, blob boolean, variety double, n_tokens int, content bigint, family boolean, sh array<int>, bands array<bigint>"
+_SCHEMA = "id bigint, repo string, filepath string, path_bad boolean, generated boolean, vendored boolean, minified boolean, blob boolean, variety double, n_tokens int, content bigint, calls boolean, sh array<int>, template array<int>, names array<int>, bits array<bigint>, bands array<bigint>"
 
 
 def described(sources: DataFrame) -> DataFrame:
     """The features of every file with code; null and blank code gives no row. The code itself goes no further.
 
-    Only files that nothing settles yet and that repeat themselves can make a family: they carry shingles
-    and bands, any number of them.
+    Every code file carries shingles and bands, marked ones too: a family is told by its links, not before.
     """
     slim = sources.select(F.xxhash64("repo_url", "filepath").alias("id"), repo_key(F.col("repo_url")).alias("repo"), "filepath", F.lower("filepath").rlike(PATHS).alias("path_bad"), "code")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for i, r, p, bad, c in b.itertuples(index=False):
-                g, v, m, x, variety, n, content, sh, bands = features(p, c)
-                open_ = bool(len(bands)) and not (g or m or x or bad) and variety <= FAMILY_VARIETY
-                rows.append((i, r, p, bad, g, v, m, x, variety, n, content, open_, sh.astype(np.int32) if open_ else None, bands if open_ else None))
+            rows = [(i, r, p, bad, *features(p, c)) for i, r, p, bad, c in b.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     return slim.where("code IS NOT NULL AND trim(code) <> '' AND filepath IS NOT NULL AND repo IS NOT NULL").mapInPandas(run, _SCHEMA)
 
 
-def families(described_files: DataFrame) -> DataFrame:
-    """(id) of files in a within-repository family: different contents, one masked pattern."""
-    f = described_files.where("family")
-    buckets = f.select("id", F.explode("bands").alias("band"))
-    lead = buckets.groupBy("band").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = buckets.join(lead, "band").select("id", "lead").distinct()
-    sets = f.select("id", "repo", "content", "sh")
-    heads = f.select(F.col("id").alias("lead"), F.col("sh").alias("hs"))
-    both = F.size(F.array_intersect("sh", "hs"))
-    near = pairs.join(sets, "id").join(heads, "lead").where(both >= SIMILAR * (F.size("sh") + F.size("hs") - both)).select("id", "lead", "repo", "content")
-    # distinct contents a family has in a repository; combined map-side, at most FAMILY_FILES matter
-    size = near.groupBy("lead", "repo").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo <> hi")
-    return near.join(size, ["lead", "repo"], "left_semi").select("id").distinct()
+_WORDS = [f"w{k}" for k in range(WORDS + TEMPLATE_WORDS)]
+
+
+class Traits(NamedTuple):
+    """What a bucket knows of its members: sizes of both sets, whether a file repeats itself, is long, and both bitmaps."""
+
+    n: np.ndarray
+    nt: np.ndarray
+    repeats: np.ndarray
+    long: np.ndarray
+    bits: np.ndarray
+
+
+def _can_be(n: np.ndarray, m: np.ndarray, differ: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n and m elements can be alike by `least`: they differ in at least as many elements as their bitmaps in bits."""
+    return (np.minimum(n, m) >= least * np.maximum(n, m)) & (differ * (1 + least) <= (1 - least) * (n + m) + 1e-6)
+
+
+def _may_link(t: Traits, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
+    """Never false for a link; what is cheap to tell goes first."""
+    one = np.ndim(a) == 0
+
+    def differ(k: np.ndarray, words: slice) -> np.ndarray:
+        return np.bitwise_count(t.bits[a if one else a[k], words] ^ t.bits[b[k], words]).sum(axis=1, dtype=np.int64)
+
+    repeat, least, most = t.repeats[a] & t.repeats[b], np.minimum(t.n[a], t.n[b]), np.maximum(t.n[a], t.n[b])
+    k = np.flatnonzero((least >= SIMILAR * most) & (repeat | (t.long[a] & t.long[b])))
+    x = k if not one else slice(None)
+    k = k[_can_be(np.atleast_1d(t.n[a])[x], t.n[b[k]], differ(k, slice(0, WORDS)), SIMILAR)]
+    x = k if not one else slice(None)
+    k = k[repeat[k] | _can_be(np.atleast_1d(t.nt[a])[x], t.nt[b[k]], differ(k, slice(WORDS, None)), TEMPLATE)]
+    out = np.zeros(len(b), bool)
+    out[k] = True
+    return out
+
+
+def compared(bucket: np.ndarray, traits: Traits, most: int = ALL_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, big): index pairs of whole buckets, sorted by bucket, that may be links: all of them in a bucket of at most
+    `most` members; else those of heads, the next head being the first member that no head reached."""
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    ends = np.r_[starts[1:], len(bucket)]
+    end = np.repeat(ends, ends - starts)
+    left = np.flatnonzero(np.repeat(ends - starts <= most, ends - starts))
+    xs, ys, bigs = [], [], []
+
+    def keep(x: np.ndarray, y: np.ndarray, big: bool) -> None:
+        xs.append(x), ys.append(y), bigs.append(np.full(len(x), big))
+
+    for step in range(1, most):
+        left = left[left + step < end[left]]
+        if not len(left):
+            break
+        ok = _may_link(traits, left, left + step)
+        keep(left[ok], left[ok] + step, False)
+    for lo, hi in zip(starts[ends - starts > most], ends[ends - starts > most], strict=True):
+        open_, every = np.ones(hi - lo, bool), np.arange(lo, hi)
+        while open_.any():
+            head = int(open_.argmax())
+            ok = _may_link(traits, lo + head, every)
+            ok[head] = True
+            open_[ok] = False
+            ok[head] = False
+            keep(np.full(int(ok.sum()), lo + head), every[ok], True)
+    if not xs:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    return np.concatenate(xs), np.concatenate(ys), np.concatenate(bigs)
+
+
+def _stars(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """Pairs to verify of the buckets of one sorted partition; a bucket is kept until it is whole."""
+
+    def pairs(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        b = pd.concat(parts, ignore_index=True).drop_duplicates(["bucket", "member"])
+        m = b["member"].to_numpy()
+        traits = Traits(b["n"].to_numpy(np.int64), b["nt"].to_numpy(np.int64), b["repeats"].to_numpy(bool), b["long"].to_numpy(bool), b[_WORDS].to_numpy(np.int64).view(np.uint64))
+        x, y, big = compared(b["bucket"].to_numpy(), traits, most)
+        return pd.DataFrame({"a": np.minimum(m[x], m[y]), "b": np.maximum(m[x], m[y]), "big": big})
+
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        if not len(b):
+            continue
+        last = int(np.searchsorted(b["bucket"].to_numpy(), b["bucket"].iloc[-1]))
+        if held and (last or held[-1]["bucket"].iloc[-1] != b["bucket"].iloc[0]):
+            yield pairs([*held, b.iloc[:last]])
+            held = []
+        elif last:
+            yield pairs([b.iloc[:last]])
+        held.append(b.iloc[last:])
+    if held:
+        yield pairs(held)
+
+
+def _alike(x: str, y: str, least: float) -> Column:
+    both = F.size(F.array_intersect(x, y))
+    return both >= least * (F.size(x) + F.size(y) - both)
+
+
+def families(described_files: DataFrame, most: int = ALL_PAIRS) -> DataFrame:
+    """(id) of files in a within-repository family: linked to a file of other content in the repository.
+
+    Exact within the buckets: a member of a large bucket whose head's pair does not verify is compared with all of it.
+    """
+    member = F.xxhash64("repo", "content").alias("member")
+    f = described_files.where("bands IS NOT NULL")
+    f = f.withColumn("repeats", F.col("calls") & (F.col("variety") <= FAMILY_VARIETY)).withColumn("long", F.col("n_tokens") >= LONE_TOKENS)
+    words = [F.col("bits")[k].alias(w) for k, w in enumerate(_WORDS)]
+    traits = ["n", "nt", "repeats", "long", *_WORDS]
+    buckets = f.select(member, "repo", F.size("sh").alias("n"), F.size("template").alias("nt"), "repeats", "long", *words, F.explode("bands").alias("band")).select(F.xxhash64("repo", "band").alias("bucket"), "member", *traits)
+    dealt = buckets.repartition(parallelism(f.sparkSession), "bucket").sortWithinPartitions("bucket", "member")
+    sets = f.select(member, "sh", "template", "names", "repeats", "long")
+    fields = ("sh", "template", "names", "repeats", "long")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+        own = sets.join(ends, "member", "left_semi").dropDuplicates(["member"])
+        x, y = (own.select(F.col("member").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in fields]) for k in "ab")
+        template = F.col("a_long") & F.col("b_long") & _alike("a_template", "b_template", TEMPLATE) & ~_alike("a_names", "b_names", SAME_NAMES)
+        near = pairs.join(x, "a").join(y, "b").where(_alike("a_sh", "b_sh", SIMILAR) & ((F.col("a_repeats") & F.col("b_repeats")) | template))
+        return near.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+
+    pairs = cut(dealt.mapInPandas(lambda batches: _stars(batches, most), "a bigint, b bigint, big boolean").groupBy("a", "b").agg(F.max("big").alias("big")))
+    found = cut(linked(pairs))
+    return f.select("id", member).join(found, "member", "left_semi").select("id").distinct()
 
 
 def machine_made(sources: DataFrame) -> DataFrame:
@@ -189,8 +336,8 @@ def machine_made(sources: DataFrame) -> DataFrame:
     # a copy of a file that bears a vendor's mark or path is a copy, marked or not
     is_vendor = F.col("vendored") | F.lower("filepath").rlike(VENDOR_PATH)
     origin = d.where(is_vendor & (F.col("n_tokens") >= BLOB_TOKENS)).select("content").distinct().withColumn("copied", F.lit(True))
-    told = d.drop("sh", "bands").join(fam, "id", "left").join(origin, "content", "left")
-    lone = (F.col("variety") <= LONE_VARIETY) & (F.col("n_tokens") >= LONE_TOKENS) & F.col("family")
+    told = d.drop("sh", "template", "names", "bits", "bands").join(fam, "id", "left").join(origin, "content", "left")
+    lone = (F.col("variety") <= LONE_VARIETY) & (F.col("n_tokens") >= LONE_TOKENS) & F.col("calls")
     kind = (
         F.when(F.col("vendored"), "vendored")
         .when(F.col("generated"), "generated")

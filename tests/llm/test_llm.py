@@ -193,6 +193,34 @@ def test_kinds_of_files(spark):
     assert handwritten.marked(spark.createDataFrame([], PRED), sources.limit(0)).count() == 0
 
 
+def _code_files(n, seed, lines=16):
+    """n instances of one template that does not repeat itself: the same shape of code under names of their own."""
+    rnd = random.Random(seed)
+    shape = [rnd.choice(["{} = {}({}, {})", "if {} > {}:\n        return {}", "{}.{}({})", "for {} in {}:\n        {}({})", "{} = [{}, {}]", "del {}[{}]", "{} = {}.{} + {}", "assert {} != {}, {}"]) for _ in range(lines)]
+    out = []
+    for k in range(n):
+        body = "\n    ".join(x.format(*(f"n{k}_{rnd.randrange(10**6)}" for _ in range(x.count("{}")))) for x in shape)
+        out.append(f"def f{k}(a{k}):\n    {body}\n")
+    return out
+
+
+def _marked(spark, src):
+    sources = spark.createDataFrame(src, "repo_url string, filepath string, code string")
+    rows = [(i, p, u, "x", 0.5) for i, (u, p, _) in enumerate(src)]
+    return {r.ord for r in handwritten.marked(spark.createDataFrame(rows, PRED), sources).collect()}
+
+
+def test_family_of_a_template_that_does_not_repeat_itself(spark):
+    x, y = _code_files(2, 5)
+    alone = _code_files(1, 6)[0]
+    assert handwritten.features("a.py", x).variety > 0.5
+    src = [("https://h/o/n", "a.py", x), ("https://h/o/n", "b.py", y), ("https://h/o/n", "c.py", alone), ("https://h/o/n", "d.py", alone + "\nprint(alone)\n"), ("https://h/p/q", "e.py", _code_files(3, 6)[2])]
+    # an edited copy keeps its names; one instance in another repository is no family
+    assert _marked(spark, src) == {0, 1}
+    # a marked member tells its siblings
+    assert _marked(spark, [("https://h/o/n", "a.py", "# Code generated by t. DO NOT EDIT.\n" + x), ("https://h/o/n", "b.py", y)]) == {0, 1}
+
+
 # ---- 7 -------------------------------------------------------------------------------------------
 def test_components_against_union_find(spark):
     rnd = random.Random(9)
