@@ -326,6 +326,18 @@ def families(described_files: DataFrame, most: int = ALL_PAIRS) -> DataFrame:
 
     pairs = cut(dealt.mapInPandas(lambda batches: _stars(batches, most), "a bigint, b bigint, big boolean").groupBy("a", "b").agg(F.max("big").alias("big")))
     found = cut(linked(pairs))
+    missed = cut(pairs.where("big").select(F.explode(F.array("a", "b")).alias("member")).distinct().join(found, "member", "left_anti"))
+    if not missed.isEmpty():
+        heads = buckets.join(missed, "member", "left_semi").select("bucket", F.col("member").alias("head"), *[F.col(c).alias(f"h_{c}") for c in traits])
+
+        def can_be(size: str, words: list[str], least: float) -> Column:
+            n, m, differ = F.col(size), F.col(f"h_{size}"), sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"h_{w}"))) for w in words), F.lit(0))
+            return (F.least(n, m) >= least * F.greatest(n, m)) & (differ * (1 + least) <= (1 - least) * (n + m) + 1e-6)
+
+        template = F.col("long") & F.col("h_long") & can_be("nt", _WORDS[WORDS:], TEMPLATE)
+        near = can_be("n", _WORDS[:WORDS], SIMILAR) & (template | (F.col("repeats") & F.col("h_repeats")))
+        more = heads.join(buckets, "bucket").where((F.col("head") != F.col("member")) & near).select(F.least("head", "member").alias("a"), F.greatest("head", "member").alias("b")).distinct()
+        found = found.unionByName(linked(cut(more.join(pairs, ["a", "b"], "left_anti")))).distinct()
     return f.select("id", member).join(found, "member", "left_semi").select("id").distinct()
 
 

@@ -221,6 +221,43 @@ def test_family_of_a_template_that_does_not_repeat_itself(spark):
     assert _marked(spark, [("https://h/o/n", "a.py", "# Code generated by t. DO NOT EDIT.\n" + x), ("https://h/o/n", "b.py", y)]) == {0, 1}
 
 
+def test_no_link_of_a_bucket_is_lost():
+    rnd = random.Random(3)
+    base = set(range(100))
+    sets = []
+    for _ in range(40):
+        keep = set(rnd.sample(sorted(base), rnd.choice([55, 95])))
+        sets.append(sorted(keep | {1000 * len(sets) + i for i in range(100 - len(keep))}))
+    sets += [sorted(set(s[:96]) | {-i for i in range(1, 5)}) for s in sets[5:9]]  # alike each other, not the head
+    words = handwritten.np.zeros((len(sets), handwritten.WORDS), handwritten.np.uint64)
+    for i, s in enumerate(sets):
+        for v in s:
+            h = random.Random(v).getrandbits(8)
+            words[i, h // 64] |= handwritten.np.uint64(1 << (h % 64))
+    size = handwritten.np.array([len(s) for s in sets])
+    alike = {(i, j) for i in range(len(sets)) for j in range(i) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    yes = handwritten.np.ones(len(sets), bool)
+    traits = handwritten.Traits(size, size, yes, ~yes, handwritten.np.hstack([words, handwritten.np.zeros((len(sets), handwritten.TEMPLATE_WORDS), words.dtype)]))
+    bucket = handwritten.np.zeros(len(sets), int)
+    for most in (64, 2):
+        a, b, _ = handwritten.compared(bucket, traits, most)
+        got = {(max(x, y), min(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+        assert alike <= got if most == 64 else {i for p in alike for i in p} <= {i for p in got for i in p}
+
+
+def test_families_next_to_a_foreign_head(spark):
+    """Links among members that are not like their bucket's first member, in small and in large buckets."""
+    src = []
+    for seed in range(6):
+        src += [("https://h/o/n", f"s{seed}_{k}.py", c) for k, c in enumerate(_code_files(2, 20, 16))] if seed == 0 else []
+        other = _code_files(2, 20, 16 + 6 * seed)  # shares its beginning with the first family
+        src += [("https://h/o/n", f"t{seed}_{k}.py", c) for k, c in enumerate(other)] if seed else []
+    src += [("https://h/z/z", f"u{k}.py", c) for k, c in enumerate(_code_files(1, 20, 22))]
+    f = handwritten.described(spark.createDataFrame(src, "repo_url string, filepath string, code string"))
+    for most in (64, 2):
+        assert handwritten.families(f, most).join(f, "id").select("filepath").distinct().count() == 12
+
+
 # ---- 7 -------------------------------------------------------------------------------------------
 def test_components_against_union_find(spark):
     rnd = random.Random(9)
