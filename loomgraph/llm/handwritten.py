@@ -67,16 +67,25 @@ def repo_key(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"^(?:[a-z+]+://)?(?:[^@/]+@)?", ""), r"^([^/:]+)(?::\d+/|:)", "$1/")
 
 
-def leading_comments(code: str, most: int = 12) -> list[str]:
-    """Texts of the comment lines before the first line of code (a shebang and blank lines may stand between)."""
-    out = []
-    for line in code.split("\n", most)[:most]:
-        if not line.strip():
+def leading_comments(code: str) -> list[str]:
+    """Texts of all comment lines before the first line of code (a shebang and blank lines may stand between), however many."""
+    out: list[str] = []
+    close = None  # what ends the block comment that is open
+    for line in code.split("\n"):
+        text = line.strip()
+        if not text:
             continue
-        m = _COMMENT_HEAD.match(line)
-        if not m:
-            break
-        out.append(m.group(1))
+        if close is None:
+            m = _COMMENT_HEAD.match(line)
+            if not m:
+                break
+            out.append(m.group(1))
+            if text.startswith(("/*", "<!--")):
+                close = "*/" if text[0] == "/" else "-->"
+        else:
+            out.append(text.split(close)[0].lstrip("*").strip())
+        if close and close in text:
+            close = None
     return out
 
 

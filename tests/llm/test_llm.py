@@ -258,6 +258,16 @@ def test_families_next_to_a_foreign_head(spark):
         assert handwritten.families(f, most).join(f, "id").select("filepath").distinct().count() == 12
 
 
+@pytest.mark.parametrize(
+    "header",
+    ["".join(f"# licence line {i}\n" for i in range(40)) + "# Bundled copy of abc.\n", "/*\n" + "".join(f"Licence line {i}\n" for i in range(40)) + "upstream: https://h/abc\n*/\n", "// a\n\n" * 20 + "// abc v1.2.3\n"],
+)
+def test_vendor_mark_below_a_long_licence(header):
+    name = "a.js" if header[0] == "/" else "a.py"
+    assert handwritten.features(name, header + "x = f(1)\n").vendored
+    assert not handwritten.features(name, header.replace("Bundled", "A").replace("upstream", "see").replace("1.2.3", "1") + "x = f(1)\n# Bundled copy of abc.\n").vendored
+
+
 # ---- 7 -------------------------------------------------------------------------------------------
 def test_components_against_union_find(spark):
     rnd = random.Random(9)
