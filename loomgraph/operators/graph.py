@@ -79,15 +79,17 @@ def clustering(edges: DataFrame) -> DataFrame:
     return deg.join(t, "id", "left").na.fill(0, ["triangles"]).withColumn("clustering", F.round(F.when(pairs > 0, F.col("triangles") / pairs).otherwise(0.0), 6))
 
 
-#: Exact distances up to so many nodes; beyond, so many sampled sources. The adjacency is broadcast only below MAX_LINKS.
+#: Exact betweenness up to so many nodes; beyond, so many sampled sources. The adjacency is broadcast only below MAX_LINKS.
 EXACT_NODES, SOURCES, MAX_LINKS = 5_000, 500, 20_000_000
+#: Sources of one breadth-first search for closeness are bits of words: so many words at most, and so many words of links.
+SOURCE_WORDS, LINK_WORDS = 16, 8_000_000
 
 
 def shortest_path_measures(edges: DataFrame, exact: int = EXACT_NODES, sources: int = SOURCES) -> DataFrame:
     """(id, betweenness, closeness): Brandes' accumulation from each source, sources spread over the tasks.
 
-    Normalised by (n-1)(n-2); with sampled sources scaled by n / sources. Closeness uses incoming distances with
-    the size correction. Raises ValueError beyond MAX_LINKS links, where the graph has to be cut first.
+    Betweenness is normalised by (n-1)(n-2); with sampled sources scaled by n / sources. Closeness uses the incoming
+    distances from every node, whatever the size, with the size correction. Raises ValueError beyond MAX_LINKS links, where the graph has to be cut first.
     """
     s = cut(simple(edges).where("src <> dst"))
     links = s.count()
@@ -109,7 +111,7 @@ def shortest_path_measures(edges: DataFrame, exact: int = EXACT_NODES, sources:
 
     def brandes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, to, size = shared.value
-        between, dist_in, seen_from = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
+        between = np.zeros(size)
         for b in batches:
             for src in b["s"]:
                 dist, sigma = np.full(size, -1, np.int64), np.zeros(size)
@@ -135,18 +137,48 @@ def shortest_path_measures(edges: DataFrame, exact: int = EXACT_NODES, sources:
                     np.add.at(delta, u[good], sigma[u[good]] / sigma[w[good]] * (1 + delta[w[good]]))
                 delta[src] = 0
                 between += delta
-                reached = dist > 0
-                dist_in[reached] += dist[reached]
-                seen_from[reached] += 1
-        keep = np.flatnonzero((between > 0) | (seen_from > 0))
-        yield pd.DataFrame({"i": keep, "b": between[keep], "d": dist_in[keep], "r": seen_from[keep]})
+        keep = np.flatnonzero(between > 0)
+        yield pd.DataFrame({"i": keep, "b": between[keep]})
+
+    words = max(1, min(SOURCE_WORDS, LINK_WORDS // max(1, links)))
+    searches = -(-n // (64 * words))
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, to, size = shared.value
+        dist_in, seen_from = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for b in batches:
+            for first in b["k"] * 64 * words:
+                src = np.arange(first, min(size, first + 64 * words))
+                seen = np.zeros((size, words), np.uint64)
+                seen[src, (src - first) // 64] = np.uint64(1) << ((src - first) % 64).astype(np.uint64)
+                reached, bits, level = src, seen[src], 0
+                while len(reached):
+                    level += 1
+                    count = at[reached + 1] - at[reached]
+                    w = to[np.repeat(at[reached], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+                    if not len(w):
+                        break
+                    order = np.argsort(w, kind="stable")
+                    w = w[order]
+                    lo = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+                    reached = w[lo]
+                    bits = np.bitwise_or.reduceat(bits[np.repeat(np.arange(len(count)), count)[order]], lo, axis=0) & ~seen[reached]
+                    new = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+                    reached, bits, new = reached[new > 0], bits[new > 0], new[new > 0]
+                    seen[reached] |= bits
+                    dist_in[reached] += level * new
+                    seen_from[reached] += new
+        keep = np.flatnonzero(seen_from)
+        yield pd.DataFrame({"i": keep, "d": dist_in[keep], "r": seen_from[keep]})
 
     tasks = spark.createDataFrame(pd.DataFrame({"s": chosen})).repartition(min(len(chosen) or 1, 4 * spark.sparkContext.defaultParallelism))
-    part = tasks.mapInPandas(brandes, "i bigint, b double, d double, r bigint").groupBy("i").agg(F.sum("b").alias("b"), F.sum("d").alias("d"), F.sum("r").alias("r"))
+    part = tasks.mapInPandas(brandes, "i bigint, b double").groupBy("i").agg(F.sum("b").alias("b"))
+    every = spark.range(searches).withColumnRenamed("id", "k").repartition(min(searches or 1, 4 * spark.sparkContext.defaultParallelism))
+    far = every.mapInPandas(distances, "i bigint, d bigint, r bigint").groupBy("i").agg(F.sum("d").alias("d"), F.sum("r").alias("r"))
     dense = dense_index(nodes).withColumnRenamed("idx", "i")  # in key order, as the driver's numbering
     norm = scale / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    close = F.when(F.col("d") > 0, F.col("r") / F.col("d") * F.col("r") * scale / max(1, n - 1)).otherwise(0.0)
-    return dense.join(part, "i", "left").select("id", F.coalesce(F.col("b") * norm, F.lit(0.0)).alias("betweenness"), F.coalesce(close, F.lit(0.0)).alias("closeness"))
+    close = F.when(F.col("d") > 0, F.col("r") / F.col("d") * F.col("r") / max(1, n - 1)).otherwise(0.0)
+    return dense.join(part, "i", "left").join(far, "i", "left").select("id", F.coalesce(F.col("b") * norm, F.lit(0.0)).alias("betweenness"), F.coalesce(close, F.lit(0.0)).alias("closeness"))
 
 
 def dense_index(nodes: DataFrame, key: str = "id") -> DataFrame:

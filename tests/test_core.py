@@ -104,6 +104,26 @@ def test_path_betweenness(spark):
     assert math.isclose(got["b"], 2 / 6) and math.isclose(got["c"], 2 / 6) and got["a"] == got["d"] == 0
 
 
+def test_closeness_is_exact_when_betweenness_is_sampled(spark):
+    rnd = random.Random(4)
+    links = {(f"n{rnd.randrange(150)}", f"n{rnd.randrange(150)}") for _ in range(260)} | {(f"p{i}", f"p{i + 1}") for i in range(70)}
+    into, ids = {}, {x for e in links for x in e}
+    for a, b in links:
+        into.setdefault(b, set()).add(a)
+    want = {}
+    for v in ids:
+        dist, layer, k = {v: 0}, [v], 0
+        while layer:
+            k += 1
+            layer = list({a for x in layer for a in into.get(x, ()) if a not in dist})
+            dist.update(dict.fromkeys(layer, k))
+        total, r = sum(dist.values()), len(dist) - 1
+        want[v] = r / total * r / (len(ids) - 1) if total else 0.0
+    e = spark.createDataFrame([(a, b, "x", 1.0) for a, b in links], EDGES)
+    got = {r.id: r.closeness for r in graph.shortest_path_measures(e, exact=10, sources=5).collect()}
+    assert set(got) == ids and all(math.isclose(got[v], want[v], abs_tol=1e-12) for v in ids)
+
+
 def test_empty_graph(spark):
     e = spark.createDataFrame([], EDGES)
     assert graph.pagerank(e).count() == graph.clustering(e).count() == graph.degrees(e).count() == graph.negatives(e, 5).count() == 0
