@@ -235,6 +235,18 @@ def topological_sequence(edges: DataFrame) -> DataFrame:
     return rest if done is None else done.unionByName(rest)
 
 
+def sequence_numbers(edges: DataFrame) -> DataFrame:
+    """(id, seq_layer, seq): seq from 1 by layer and id; in a graph with a cycle by in-degree and id, for every node."""
+    layers = cut(topological_sequence(edges))
+    if layers.where("seq_layer < 0").isEmpty():
+        keyed = layers.withColumn("k", F.struct("seq_layer", "id"))
+    else:
+        got = simple(edges).groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+        keyed = layers.join(got, "id", "left").select("id", "seq_layer", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "id").alias("k"))
+    numbered = dense_index(keyed, "k").select(F.col("k.id").alias("id"), (F.col("idx") + 1).alias("seq"))
+    return layers.join(numbered, "id").select("id", "seq_layer", "seq")
+
+
 def mean_neighbours(edges: DataFrame, features: DataFrame, width: int) -> DataFrame:
     """One aggregation layer: (id, x, neigh) with the mean of the incoming neighbours' vectors (bag of edges), zeros if none."""
     sent = edges.join(features.select(F.col("id").alias("src"), "x"), "src").select(F.col("dst").alias("id"), F.posexplode("x").alias("k", "v"))

@@ -81,8 +81,7 @@ def distance_measures(spark, d):
 
 @query()
 def topological_layers(spark, d):
-    e = views.edges(spark, d).where("src < dst")
-    return graph.topological_sequence(e)
+    return graph.sequence_numbers(views.edges(spark, d))
 
 
 @query(

@@ -12,7 +12,7 @@ from loomgraph.functions import roles
 from loomgraph.functions import scalars as S
 from loomgraph.operators import extract, graph, resolve, rollups, skew, splits
 from loomgraph.plans import core_queries, skew_queries
-from loomgraph.sources import files
+from loomgraph.sources import files, views
 from loomgraph.streaming import ingest
 
 SMALL = "/root/testdata/sf0.001"
@@ -134,6 +134,24 @@ def test_topological_layers(spark):
     assert {r.id: r.seq_layer for r in graph.topological_sequence(e).collect()} == {"a": 0, "b": 1, "c": 2, "d": -1, "e": -1}
 
 
+def test_sequence_numbers_with_and_without_a_cycle(spark):
+    def seq(pairs):
+        return {r.id: r.seq for r in graph.sequence_numbers(spark.createDataFrame([(a, b, "x", 1.0) for a, b in pairs], EDGES)).collect()}
+
+    assert seq(["ca", "ab", "cb", "cb"]) == {"c": 1, "a": 2, "b": 3}
+    # one cycle: all nodes by in-degree, then id; a repeated edge counts once
+    assert seq(["ab", "bc", "cb", "zc", "zc", "bd"]) == {"a": 1, "z": 2, "d": 3, "b": 4, "c": 5}
+    assert seq(["aa", "ba"]) == {"b": 1, "a": 2}
+    assert seq([]) == {}
+
+
+def test_layers_query_keeps_every_edge(spark):
+    d = "/root/testdata/sf0.001"
+    got = entry.queries()["topological_layers"](spark, d).collect()
+    assert len(got) == graph.node_ids(views.edges(spark, d)).count()
+    assert sorted(r.seq for r in got) == list(range(1, len(got) + 1)) and any(r.seq_layer < 0 for r in got)
+
+
 def test_negatives_are_no_edges(spark):
     e = spark.createDataFrame([(str(i), str((i * 7 + 1) % 20), "x", 1.0) for i in range(20)], EDGES)
     n = {(r.src, r.dst) for r in graph.negatives(e, 15).collect()}
