@@ -87,8 +87,8 @@ class Index:
         spoilt = sum(sorted(size)[-EDITS:]) + EDITS * Q
         return max(4, least - Q + 1 - spoilt)
 
-    def bands(self, text: np.ndarray) -> list[tuple[int, int]]:
-        """(item number, lower diagonal) of the bands that keep the bound; one band per run, the fullest."""
+    def bands(self, text: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(item number, positions of the hits in the text, and in the item) of the bands that keep the bound, the fullest first."""
         h = grams(text)
         pos = np.flatnonzero(self.bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
         if not len(pos):
@@ -115,12 +115,30 @@ class Index:
             count = count[keys]
         else:
             keys, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        by = np.argsort(key, kind="stable")
+        key, src, at = key[by], src[by], at[by]
         best: dict[int, list[tuple[int, int]]] = {}
         for k, c in zip(keys.tolist(), count.tolist(), strict=True):
-            i, at_band = divmod(k, span)
+            i = k // span
             if i < len(self.bound) and c >= self.bound[i]:
-                best.setdefault(i, []).append((c, (at_band + low) * STEP))
-        return [(i, d) for i, found in best.items() for _, d in sorted(found, reverse=True)]
+                best.setdefault(i, []).append((c, k))
+        out = []
+        for i, found in best.items():
+            for _, k in sorted(found, reverse=True):
+                x, y = np.searchsorted(key, [k, k + 2])
+                out.append((i, src[x:y], at[x:y]))
+        return out
+
+
+def centres(diagonals: np.ndarray) -> list[int]:
+    """Diagonals in words such that every given one, EDITS words more or less, is within WORD_BAND of one of them."""
+    out: list[int] = []
+    reach = WORD_BAND - EDITS
+    for v in np.unique(diagonals).tolist():
+        if not out or v > out[-1] + reach:
+            out.append(v + reach)
+    # the one with the most hits first
+    return sorted(out, key=lambda c: -int((np.abs(diagonals - c) <= reach).sum()))
 
 
 def aligned(doc: list[str], item: list[str], centre: int, need: int, band: int = WORD_BAND) -> int:
@@ -175,19 +193,18 @@ def leaked(index: Index, text: str | None) -> list[tuple[int, float]]:
     out = {}
     line = codes(" ".join(w))
     word_at = np.concatenate([[0], np.cumsum(line == 32)])
-    for i, diag in index.bands(line):
+    for i, src, at in index.bands(line):
         if i in out:
             continue
         item = index.words[i]
         need = -(-len(item) * PART // 1)
-        # the band's middle as a diagonal in words, measured where the band enters the document
-        mid = diag + STEP
+        # the band's diagonals in words, measured where its hits are: words of other lengths before them do not count
         starts = np.cumsum([0, *[len(x) + 1 for x in item]])
-        at = int(np.searchsorted(starts, max(0, -mid), "right")) - 1
-        there = int(word_at[min(max(0, mid + int(starts[at])), len(line))])
-        got = aligned(w, item, there - at, len(item) + 1)
-        if got >= need:
-            out[i] = got / len(item)
+        for centre in centres(word_at[src] - (np.searchsorted(starts, at, "right") - 1)):
+            got = aligned(w, item, centre, len(item) + 1)
+            if got >= need:
+                out[i] = max(out.get(i, 0.0), got / len(item))
+                break
     return [(index.ids[i], s) for i, s in out.items()]
 
 

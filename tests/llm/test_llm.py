@@ -369,6 +369,15 @@ def test_leaks(spark):
     assert leakage.find(d.limit(0), i).count() == leakage.find(d, i.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before", ["a b c d e f g h " * 40, "extraordinarily incomprehensible " * 20, ""])
+def test_leak_of_a_later_part_behind_words_of_other_lengths(before):
+    rnd = random.Random(1)
+    item = ["".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(60)] + [f"{rnd.choice('xyz')}{i}" for i in range(150)]
+    index = leakage.Index([(7, " ".join(item))])
+    assert [i for i, _ in leakage.leaked(index, before + " ".join(item[80:]) + " end of it")] == [7]
+    assert [i for i, _ in leakage.leaked(index, before + " ".join(item[150:]))] == []
+
+
 # ---- 10 ------------------------------------------------------------------------------------------
 def test_language_names(spark):
     pairs = [("en", "en"), (" EN", "en"), ("en-QZ", "en"), ("German", "de"), ("und", None), ("", None), (None, None), ("unknown", None), ("pt_BR", "pt"), ("x1", None)]
