@@ -115,7 +115,7 @@ def path_features(path: Column) -> list[Column]:
         depth.alias("depth"),
         (depth == 0).cast("double").alias("is_root"),
         F.round(md5_mod(parent_dir(path), 997) / 997.0, 6).alias("parent_hash"),
-        F.round(md5_mod(file_ext(path), 101) / 101.0, 6).alias("ext_hash"),
+        F.round(md5_mod(F.ltrim(file_ext(path), F.lit(".")), 101) / 101.0, 6).alias("ext_hash"),
     ]
 
 

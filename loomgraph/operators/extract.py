@@ -13,82 +13,97 @@ SCHEMA = "kind string, repo_url string, source_file string, name string, a strin
 
 
 def dotted(node: ast.AST) -> str | None:
-    """Name of an expression made of names and attributes, else None."""
-    parts = []
+    """Name of an expression made of names and attributes only, else None."""
+    parts: list[str] = []
     while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
+        parts.insert(0, node.attr)
         node = node.value
-    if isinstance(node, ast.Name):
-        return ".".join([node.id, *reversed(parts)])
-    return ".".join(reversed(parts)) if parts and isinstance(node, ast.Call) else None
+    return ".".join([node.id, *parts]) if isinstance(node, ast.Name) else None
+
+
+_FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
+_FAILURES = (SyntaxError, ValueError, RecursionError, MemoryError)
+
+
+def _targets(node: ast.AST) -> list[ast.AST]:
+    return node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, ast.AnnAssign) else []
+
+
+def _class_record(node: ast.ClassDef) -> dict[str, list[str]]:
+    """Bases (last segment), attributes of the body and of self in its methods, signatures of its methods."""
+    methods = [m for m in node.body if isinstance(m, _FUNCTION)]
+    own = {t.id for n in node.body for t in _targets(n) if isinstance(t, ast.Name)}
+    own |= {t.attr for m in methods for n in ast.walk(m) for t in _targets(n) if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self"}
+    bases = [b.id if isinstance(b, ast.Name) else b.attr for b in node.bases if isinstance(b, (ast.Name, ast.Attribute))]
+    return {"class_bases": bases, "class_attributes": sorted(own), "class_methods": [f"{m.name}({', '.join(a.arg for a in m.args.args)})" for m in methods]}
+
+
+class _Reader:
+    """One pass over a module: what happens where belongs to the innermost function, names to every function around."""
+
+    def __init__(self) -> None:
+        self.calls: dict[str, dict[str, None]] = {}
+        self.flows: list[tuple[str, str, str, int]] = []
+        self.variables: dict[str, list[str]] = {}
+        self.classes: dict[str, dict[str, list[str]]] = {}
+        self.functions: list[tuple[str, set[str]]] = []
+        self.modules: dict[str, tuple[int, str]] = {}  # local name: depth of the import that counts, module
+
+    def imported(self, name: str, module: str, depth: int) -> None:
+        # of several imports of a name the deepest counts, of equally deep ones the last
+        if depth >= self.modules.get(name, (0, ""))[0]:
+            self.modules[name] = depth, module
+
+    def read(self, node: ast.AST, fn: str | None, cls: str | None, around: tuple[set[str], ...], depth: int = 0) -> None:
+        for x in ast.iter_child_nodes(node):
+            inner_fn, inner_cls, inner = fn, cls, around
+            if isinstance(x, _FUNCTION):
+                inner_fn = f"{cls}.{x.name}" if cls else x.name
+                names: set[str] = set()
+                self.functions.append((inner_fn, names))
+                inner = (*around, names)
+                self.variables.setdefault(inner_fn, []).extend(f"param:{a.arg}" for a in x.args.args if a.arg != "self")
+            elif isinstance(x, ast.ClassDef):
+                inner_cls = x.name
+                self.classes[x.name] = _class_record(x)
+            elif isinstance(x, ast.Name):
+                for names in around:
+                    names.add(x.id)
+            elif isinstance(x, ast.Import):
+                for a in x.names:
+                    self.imported(a.asname or a.name.partition(".")[0], a.name, depth)
+            elif isinstance(x, ast.ImportFrom):
+                for a in x.names:
+                    self.imported(a.asname or a.name, x.module or "", depth)
+            elif fn and isinstance(x, ast.Assign):
+                self.variables[fn] += [t.id for t in x.targets if isinstance(t, ast.Name)]
+            elif fn and isinstance(x, ast.Call):
+                callee = dotted(x.func)
+                if callee:
+                    self.calls.setdefault(fn, {})[callee] = None
+                self.flows += [(fn, a.id, callee or "<unknown>", i) for i, a in enumerate(x.args) if isinstance(a, ast.Name)]
+            self.read(x, inner_fn, inner_cls, inner, depth + 1)
 
 
 def python_records(code: str) -> list[tuple]:
-    """(kind, name, a, b, pos, items) of a Python text: call_flow, data_flow, variables, class, imports; or error."""
-    try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-        return [("error", type(e).__name__, str(e), None, None, None)]
-    alias: dict[str, str] = {}
-    for n in ast.walk(tree):
-        if isinstance(n, ast.Import):
-            for a in n.names:
-                alias[a.asname or a.name.split(".")[0]] = a.name
-        elif isinstance(n, ast.ImportFrom):
-            for a in n.names:
-                alias[a.asname or a.name] = n.module or ""
-    out: list[tuple] = []
+    """(kind, name, a, b, pos, items) of a Python text: call_flow, data_flow, variables, class_*, imports; or error.
 
-    def body(fn: ast.AST) -> Iterator[ast.AST]:
-        """Nodes of a function in source order, nested functions left to themselves."""
-        for child in ast.iter_child_nodes(fn):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                continue
-            yield child
-            yield from body(child)
-
-    def function(fn, owner: str | None) -> None:
-        name = f"{owner}.{fn.name}" if owner else fn.name
-        args = fn.args
-        params = [a.arg for a in [*args.posonlyargs, *args.args, *args.kwonlyargs, *filter(None, [args.vararg, args.kwarg])] if a.arg != "self"]
-        calls, assigns, used, flows = [], [], set(), []
-        for n in body(fn):
-            if isinstance(n, ast.Call):
-                callee = dotted(n.func)
-                if callee and callee not in calls:
-                    calls.append(callee)
-                for i, arg in enumerate(n.args):
-                    if isinstance(arg, ast.Name):
-                        flows.append((arg.id, callee or "<unknown>", i))
-            elif isinstance(n, ast.Assign):
-                assigns += [t.id for t in n.targets if isinstance(t, ast.Name)]
-            if isinstance(n, ast.Name) and n.id in alias:
-                used.add(alias[n.id])
-        if calls:
-            out.append(("call_flow", name, None, None, None, calls))
-        out.extend(("data_flow", name, v, c, i, None) for v, c, i in flows)
-        out.append(("variables", name, None, None, None, [f"param:{p}" for p in params] + assigns))
+    A call on a call's result has no name: it is no call and flows to <unknown>. Functions without calls give no
+    call_flow. Functions of one qualified name share a record; of classes of one name the last counts.
+    """
+    r = _Reader()
+    try:
+        r.read(ast.parse(code), None, None, ())
+    except _FAILURES as e:
+        return [("error", type(e).__name__, f"{type(e).__name__}: {e}", None, None, None)]
+    out: list[tuple] = [("call_flow", f, None, None, None, list(c)) for f, c in r.calls.items()]
+    out += [("data_flow", f, v, c, i, None) for f, v, c, i in r.flows]
+    out += [("variables", f, None, None, None, v) for f, v in r.variables.items()]
+    out += [(k, c, None, None, None, v) for c, d in r.classes.items() for k, v in d.items()]
+    for f, names in r.functions:
+        used = sorted({r.modules[n][1] for n in names if n in r.modules})
         if used:
-            out.append(("imports", name, None, None, None, sorted(used)))
-
-    def walk(node: ast.AST, owner: str | None) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                function(child, owner)
-                walk(child, owner)
-            elif isinstance(child, ast.ClassDef):
-                bases = [d for b in child.bases if (d := dotted(b))]
-                methods = [f"{m.name}({', '.join(a.arg for a in m.args.args)})" for m in child.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]
-                attrs = {t.attr for n in ast.walk(child) if isinstance(n, (ast.Assign, ast.AnnAssign)) for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self"}
-                attrs |= {t.id for n in child.body if isinstance(n, (ast.Assign, ast.AnnAssign)) for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) if isinstance(t, ast.Name)}
-                out.append(("class_bases", child.name, None, None, None, bases))
-                out.append(("class_attributes", child.name, None, None, None, sorted(attrs)))
-                out.append(("class_methods", child.name, None, None, None, methods))
-                walk(child, child.name)
-            else:
-                walk(child, owner)
-
-    walk(tree, None)
+            out.append(("imports", f, None, None, None, used))
     return out
 
 

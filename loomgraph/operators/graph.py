@@ -37,29 +37,26 @@ def type_counts(edges: DataFrame, vocab: list[str] = S.EDGE_TYPES) -> DataFrame:
     return keyed.groupBy("id").pivot("k", [f"{d}{t}" for d in ("in_", "out_") for t in vocab]).count().na.fill(0)
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float | None = 1e-6, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 200, tolerance: float | None = 1e-6) -> DataFrame:
     """(id, rank) by power iteration with dangling mass, on the simple digraph; stops at an L1 change of n * tolerance.
 
-    The lineage is cut every few rounds; out-degrees are joined once.
+    Every round is written out, so plans do not grow; of a round the driver sees two sums, the moved and the
+    dangling mass. Empty edges give no rows.
     """
     s = simple(edges)
     out = s.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
     links = cut(s.join(out, "src").select("src", "dst", "deg"))
-    nodes = cut(node_ids(edges).join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("deg").isNull().alias("dangling")))
-    n = nodes.count()
-    if not n:
-        return nodes.select("id", F.lit(0.0).alias("rank"))
-    ranks = nodes.select("id", "dangling", F.lit(1.0 / n).alias("rank"))
-    for k in range(rounds):
-        lost = ranks.where("dangling").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+    n = node_ids(edges).count()
+    ranks = cut(node_ids(edges).join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("deg").isNull().alias("dangling"), F.lit(1.0 / max(1, n)).alias("rank")))
+    lost = ranks.where("dangling").count() / max(1, n)
+    for _ in range(rounds if n else 0):
         sent = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("deg")).alias("got"))
-        new = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        step = ranks.join(sent, "id", "left").join(F.broadcast(lost)).select("id", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved"))  # lost is one row
-        if (k + 1) % every == 0 or k + 1 == rounds:
-            step = cut(step)
-            if tolerance is not None and step.agg(F.sum("moved")).first()[0] < n * tolerance:
-                return step.select("id", "rank")
+        new = (1 - alpha) / n + alpha * (F.coalesce("got", F.lit(0.0)) + lost / n)
+        step = cut(ranks.join(sent, "id", "left").select("id", "dangling", new.alias("rank"), F.abs(new - F.col("rank")).alias("moved")))
+        moved, lost = step.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0))).first()
         ranks = step.select("id", "dangling", "rank")
+        if tolerance is not None and moved < n * tolerance:
+            break
     return ranks.select("id", "rank")
 
 

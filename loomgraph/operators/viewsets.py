@@ -74,7 +74,7 @@ def import_edges(sources: DataFrame) -> DataFrame:
     names = F.array(F.col("raw"), *[F.concat("raw", F.lit(e)) for e in IMPORT_EXTENSIONS], *[F.concat("raw", F.lit("/index" + e)) for e in IMPORT_EXTENSIONS])
     tried = base.select("repo_url", F.col("filepath").alias("source"), "imp", F.posexplode(names).alias("pos", "target"))
     there = sources.select("repo_url", F.col("filepath").alias("target")).distinct()
-    return tried.join(there, ["repo_url", "target"]).groupBy("repo_url", "source", "imp").agg(F.min_by("target", "pos").alias("target")).select("repo_url", "source", "target").distinct()
+    return tried.join(there, ["repo_url", "target"]).groupBy("repo_url", "source", "imp").agg(F.min_by("target", "pos").alias("target")).where("target <> source").select("repo_url", "source", "target").distinct()
 
 
 def role_flows(edges: DataFrame) -> DataFrame:

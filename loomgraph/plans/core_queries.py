@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import roles
 from loomgraph.functions import scalars as S
-from loomgraph.operators import extract, graph, resolve, rollups, splits
+from loomgraph.operators import extract, graph, resolve, rollups, skew, splits
 from loomgraph.session import table
 from loomgraph.sources import views
 from loomgraph.streaming import ingest
@@ -62,7 +62,7 @@ def _mod(expr: str, m: int) -> str:
 
 @query(
     rf"""SELECT ord, (len(string_split(filepath, '/')) - 1)::INT AS depth, CASE WHEN filepath LIKE '%/%' THEN 0.0 ELSE 1.0 END::DOUBLE AS is_root,
-  round({_mod("regexp_replace(regexp_extract(filepath, '^(.*/)[^/]*$', 1), '/$', '')", 997)} / 997.0::DOUBLE, 6) AS parent_hash, round({_mod(_EXT, 101)} / 101.0::DOUBLE, 6) AS ext_hash FROM sources"""
+  round({_mod("regexp_replace(regexp_extract(filepath, '^(.*/)[^/]*$', 1), '/$', '')", 997)} / 997.0::DOUBLE, 6) AS parent_hash, round({_mod(f"ltrim({_EXT}, '.')", 101)} / 101.0::DOUBLE, 6) AS ext_hash FROM sources"""
 )
 def path_features(spark, d):
     return table(spark, d, "sources").select("ord", *S.path_features(F.col("filepath")))
@@ -179,9 +179,10 @@ def top_repos(spark, d):
     return table(spark, d, "predictions").where("repo_url IS NOT NULL").groupBy("repo_url").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "repo_url").limit(10)
 
 
-@query("SELECT repo_url, filepath, ord, predicted_label, confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo_url, filepath ORDER BY ord) AS r FROM predictions) WHERE r = 1")
+@query(f"SELECT repo_url, filepath, ord, predicted_label, {_OK} AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo_url, filepath ORDER BY ord) AS r FROM predictions) WHERE r = 1")
 def dedup_keep_first(spark, d):
-    return rollups.keep_first(table(spark, d, "predictions")).select("repo_url", "filepath", "ord", "predicted_label", "confidence")
+    """The first row of each file; a confidence outside 0..1, NaN among them, is null."""
+    return rollups.keep_first(table(spark, d, "predictions")).select("repo_url", "filepath", "ord", "predicted_label", skew.usable(F.col("confidence")).alias("confidence"))
 
 
 @query("SELECT repo_url, (count(*) FILTER (confidence >= 0.3 AND confidence <= 1))::BIGINT AS kept, (count(*) FILTER (confidence >= 0.3 AND confidence <= 1 AND is_confident))::BIGINT AS kept_confident, (count(*) FILTER (confidence IS NULL OR NOT (confidence >= 0.3 AND confidence <= 1)))::BIGINT AS unknown FROM predictions GROUP BY 1")

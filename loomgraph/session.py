@@ -13,6 +13,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -31,13 +32,19 @@ def local_session(cores: int | str = 8, memory: str = "12g", shuffle_partitions:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for reliable checkpoints: what the session names in spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder for reliable checkpoints: what the session names in spark.checkpoint.dir, else one of our own.
+
+    Our own is on this machine's disk, so it is made for local masters only; on a cluster the setting is required.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    named = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    folder = named or tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
+    folder = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="loomgraph-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +19,43 @@ EDGE_SCHEMA = "source_id string, target_id string, source_filepath string, targe
 RECORD_TABLES = ("function_call_flow", "data_flow", "variables_per_function", "class_diagram", "import_flow", "file_index")
 
 
-def read_repos(spark: SparkSession, folder: str, repo_url: str | None = None, keep: tuple[str, ...] = tuple(S.LANGUAGE_OF)) -> DataFrame:
-    """sources of one repository, or (repo_url=None) of a folder of repositories; bytes that are no UTF-8 are replaced."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    root = re.sub(r"^file:", "", folder).rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(os.path.abspath(root)) + "/", "")
-    files = raw.select(rel.alias("rel"), "content")
-    skipped = "|".join(re.escape(d) for d in SKIP_DIRS)
-    files = files.where(~F.col("rel").rlike(rf"(^|/)({skipped})/") & S.file_ext(F.col("rel")).isin(*[k.lower() for k in keep]))
+def kept_paths(folder: str, keep: Iterable[str] = tuple(S.LANGUAGE_OF), skip: Iterable[str] = SKIP_DIRS) -> list[str]:
+    """Paths below a local folder, sorted; skipped folders are never entered."""
+    skipped, wanted, out = set(skip), tuple({k.lower() for k in keep}), []
+    for at, dirs, names in os.walk(folder):
+        dirs[:] = sorted(d for d in dirs if d not in skipped)
+        out += [os.path.relpath(os.path.join(at, n), folder) for n in names if os.path.splitext(n)[1].lower() in wanted]
+    return sorted(out)
+
+
+def read_repos(spark: SparkSession, folder: str, repo_url: str | None = None, keep: tuple[str, ...] = tuple(S.LANGUAGE_OF), skip: tuple[str, ...] = SKIP_DIRS, slices: int | None = None) -> DataFrame:
+    """sources of one repository, or (repo_url=None) of a folder of repositories; bytes that are no UTF-8 are replaced.
+
+    The folder must be mounted on all workers. The driver lists folders, pruning skipped ones as it walks; each
+    worker opens the files of its slice of the list. Files that cannot be read are left out.
+    """
+    root = os.path.abspath(re.sub(r"^file:/*", "/", folder))
+    listed = pd.DataFrame({"rel": kept_paths(root, keep, skip)}, dtype=object)
+    if not len(listed):
+        listed = spark.createDataFrame([], "rel string")
+    else:
+        listed = spark.createDataFrame(listed).repartition(slices or spark.sparkContext.defaultParallelism)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for rel in b["rel"]:
+                try:
+                    with open(os.path.join(root, rel), encoding="utf-8", errors="replace", newline="") as f:
+                        rows.append((rel, f.read()))
+                except OSError:
+                    continue
+            yield pd.DataFrame(rows, columns=["rel", "code"])
+
+    files = listed.mapInPandas(read, "rel string, code string")
     repo = F.lit(repo_url) if repo_url else F.element_at(F.split("rel", "/"), 1)
     path = F.col("rel") if repo_url else F.regexp_replace("rel", "^[^/]+/", "")
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select(repo.alias("repo_url"), path.alias("filepath"), F.element_at(F.split(path, "/"), -1).alias("filename"), S.detect_language(path).alias("language"), F.coalesce(text, F.make_valid_utf8(F.col("content").cast("string"))).alias("code"))
+    return files.select(repo.alias("repo_url"), path.alias("filepath"), F.element_at(F.split(path, "/"), -1).alias("filename"), S.detect_language(path).alias("language"), "code")
 
 
 def read_repo_list(spark: SparkSession, path: str) -> DataFrame:

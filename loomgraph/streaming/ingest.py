@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 KEYS = ("repo_url", "source_file")
 
@@ -16,22 +17,29 @@ def latest_files(batch: DataFrame, order: str = "ord", keys: tuple[str, ...] = K
 
 
 def replace_stream(stream: DataFrame, target: str, checkpoint: str, order: str = "ord", keys: tuple[str, ...] = KEYS) -> StreamingQuery:
-    """Keep `target` (parquet, two alternating folders) at the latest records of each file, batch by batch."""
-    spark = stream.sparkSession
+    """Append each batch's records to `target` under its batch number; `current` reads the latest records of each file.
+
+    A batch costs what it holds, however large the table is. A batch that is tried again replaces its own folder.
+    """
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        fresh = latest_files(batch, order, keys)
-        old_path, new_path = f"{target}/v{(epoch + 1) % 2}", f"{target}/v{epoch % 2}"
-        try:
-            old = spark.read.schema(batch.schema).parquet(old_path) if epoch else None
-        except Exception:  # noqa: BLE001 - nothing written yet
-            old = None
-        merged = fresh if old is None else old.join(fresh.select(*keys).distinct(), list(keys), "left_anti").unionByName(fresh)
-        merged.write.mode("overwrite").parquet(new_path)
+        latest_files(batch, order, keys).write.mode("overwrite").parquet(f"{target}/batch={epoch}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, target: str, schema: StructType, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The records of a replace_stream target: of each file those of the last batch that brought it."""
+    all_ = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).option("basePath", target).parquet(target)
+    last = all_.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return all_.join(last, [*keys, "batch"], "left_semi").drop("batch")
+
+
+def compact(spark: SparkSession, target: str, into: str, schema: StructType, keys: tuple[str, ...] = KEYS) -> None:
+    """Write the current records as batch 0 of a new target, when many batches have gathered."""
+    current(spark, target, schema, keys).write.mode("overwrite").parquet(f"{into}/batch=0")
+
+
 def event_windows(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """Events and their value by type and window; works on a batch and, with the watermark, on a stream."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))

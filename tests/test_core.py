@@ -12,6 +12,7 @@ from loomgraph.functions import roles
 from loomgraph.functions import scalars as S
 from loomgraph.operators import extract, graph, resolve, rollups, skew, splits
 from loomgraph.plans import core_queries, skew_queries
+from loomgraph.session import ensure_checkpoint_dir
 from loomgraph.sources import files, views
 from loomgraph.streaming import ingest
 
@@ -62,6 +63,26 @@ def test_python_extraction():
     assert records("g()") == {}
 
 
+def test_python_extraction_of_nested_and_nameless_things():
+    def flows(code):
+        return [x[1:5] for x in extract.python_records(code) if x[0] == "data_flow"]
+
+    r = records("def f(a):\n  g().h(a)\n  x[0].k(a)\n  m.n.o(a)")
+    assert r[("call_flow", "f")] == ["g", "m.n.o"]
+    assert flows("def f(a):\n  g().h(a)\n  x[0].k(a)") == [("f", "a", "<unknown>", 0)] * 2
+    r = records("def f(a, /, b, self, *args, c=1, **kw):\n  d = e = 1\n  i: int = 2\n  (g, h) = 1, 2")
+    assert r[("variables", "f")] == ["param:b", "d", "e"]
+    r = records("import q\nclass A(m.B, c, d[0], metaclass=z):\n  x = 1\n  y: int\n  def f(self, v):\n    self.w = v\n    def g():\n      self.u = q.t()\n")
+    assert r[("class_bases", "A")] == ["B", "c"] and r[("class_attributes", "A")] == ["u", "w", "x", "y"] and r[("class_methods", "A")] == ["f(self, v)"]
+    # names used inside a nested function count for the outer one too, its calls only for itself
+    assert r[("imports", "A.f")] == r[("imports", "A.g")] == ["q"] and ("call_flow", "A.f") not in r and r[("call_flow", "A.g")] == ["q.t"]
+    # what a class inside a function does belongs to the function
+    r = records("def f():\n  class C:\n    x = g()\n    def m(self):\n      h()\n")
+    assert r[("call_flow", "f")] == ["g"] and r[("call_flow", "C.m")] == ["h"]
+    r = records("class A:\n  def f(self):\n    a()\nclass A(B):\n  def f(self):\n    b()")
+    assert r[("class_bases", "A")] == ["B"] and r[("call_flow", "A.f")] == ["a", "b"]
+
+
 def test_brace_extraction():
     got = extract.brace_records("function f(a) {\n  g(a); // h(x)\n  if (a) { k.l(a); }\n}\nconst q = (x) => {\n  return m(x);\n};", "js")
     assert [(n, i) for k, n, *_, i in got if k == "call_flow"] == [("f", ["g", "k.l"]), ("q", ["m"])]
@@ -204,6 +225,18 @@ def test_per_key_against_brute_force(spark):
     got = {(r.key_field, r.key_value): (r.n_rows, r.n_files, r.n_usable, r.mean_confidence) for r in skew.per_key(df).collect()}
     assert got == brute([(a, b, c, None if d != d else d) for a, b, c, d in rows])
     assert {r.key_value for r in skew.heavy_keys(df, 40).collect()} >= {"hot"}
+    # more partitions than a key or an entity has rows: every state is stitched
+    many = {(r.key_field, r.key_value): (r.n_rows, r.n_files, r.n_usable, r.mean_confidence) for r in skew.per_key(df, partitions=60).collect()}
+    assert many == got
+
+
+def test_a_repeated_entity_is_split(spark):
+    df = spark.range(20_000).select(F.lit("hot").alias("repo_url"), F.lit("x").alias("predicted_label"), F.when(F.col("id") % 2 == 0, "same").alias("filepath"), F.lit(0.5).alias("confidence"))
+    k = skew.keyed(df, ["repo_url"], ["repo_url", "filepath"], "confidence")
+    sizes = [r["count"] for r in k.repartitionByRange(8, "key_field", "key_value", "has", "e1", "e2", "o").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+    got = skew.per_key(df, partitions=8).collect()
+    assert {(r.key_value, r.n_rows, r.n_files) for r in got} == {("hot", 20_000, 1), ("x", 20_000, 1)}
 
 
 def test_per_key_of_nothing(spark):
@@ -222,6 +255,20 @@ def test_repo_reading_and_lists(spark, tmp_path):
     assert [(r.url, r.branch) for r in files.read_repo_list(spark, str(tmp_path / "list.txt")).collect()] == [("https://h/a", "main"), ("https://h/b", None)]
 
 
+def test_checkpoint_folder_is_ours_on_local_masters_only(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isDefined": lambda self: False})()})()})()
+
+        def getConf(self):
+            return {}
+
+    fake = type("Session", (), {"sparkContext": Context(), "conf": {}})()
+    with pytest.raises(ValueError, match="checkpoint"):
+        ensure_checkpoint_dir(fake)
+    assert ensure_checkpoint_dir(spark)
+
+
 def test_json_and_split_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", "t", "l", "o", "m", "train"), ("b", "t", "l", "o", "m", "val")], "filepath string, text string, label string, original_label string, remap_method string, split string")
     files.write_split_jsonl(rows, str(tmp_path / "x"))
@@ -239,7 +286,10 @@ def test_stream_keeps_the_latest_records(spark, tmp_path):
     spark.createDataFrame([("r", "f", "new", 2)], schema).coalesce(1).write.mode("append").parquet(src)
     q = ingest.replace_stream(spark.readStream.schema(schema).parquet(src), str(tmp_path / "t"), str(tmp_path / "c"))
     q.awaitTermination(60)
-    assert sorted(r.function for r in spark.read.parquet(str(tmp_path / "t" / "v1")).collect()) == ["keep", "new"]
+    typed = spark.createDataFrame([], schema).schema
+    assert sorted(r.function for r in ingest.current(spark, str(tmp_path / "t"), typed).collect()) == ["keep", "new"]
+    ingest.compact(spark, str(tmp_path / "t"), str(tmp_path / "u"), typed)
+    assert sorted(r.function for r in ingest.current(spark, str(tmp_path / "u"), typed).collect()) == ["keep", "new"]
 
 
 def norm(rows):
