@@ -97,16 +97,24 @@ def grouped(examples: DataFrame, owners: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def torn(examples: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Owners whose examples lie in more than one split: owner and rows per split (null splits don't count)."""
+    """Owners whose examples lie in more than one split: owner and rows per split (null splits don't count).
+
+    A component that one owner holds is judged whole. Where a repository's name joins several owners, each is
+    judged by the rows of its own names.
+    """
     owners = cut(ownership(predictions))
     rows, nodes = grouped(examples, owners)
-    per_name = rows.where("name IS NOT NULL AND split IS NOT NULL").groupBy("grp", "name", "split").agg(F.count(F.lit(1)).alias("n"))
-    roots = per_name.groupBy("grp").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select("grp")
-    suspects = per_name.join(roots, "grp", "left_semi").join(owners, "name")
+    per_name = cut(rows.where("name IS NOT NULL AND split IS NOT NULL").groupBy("grp", "name", "split").agg(F.count(F.lit(1)).alias("n")))
     counts = [F.sum(F.when(F.col("split") == s, F.col("n")).otherwise(0)).alias(f"n_{s}") for s, _ in SPLITS]
-    # a component may hold several owners: each is checked by its own rows
-    out = suspects.groupBy("owner").agg(*counts, F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi")
-    return out.drop("lo", "hi")
+    spread = [*counts, F.min("split").alias("lo"), F.max("split").alias("hi")]
+    parts = per_name.groupBy("grp").agg(*spread).where("lo <> hi")
+    # an owner's node begins with "o:"
+    heads = nodes.where("node LIKE 'o:%'").groupBy(F.col("root").alias("grp")).agg(F.count(F.lit(1)).alias("owners"), F.min(F.substring("node", 3, 1 << 30)).alias("owner"))
+    known = parts.join(heads, "grp")
+    alone = known.where("owners = 1").select("owner", *[f"n_{s}" for s, _ in SPLITS])
+    mixed = known.where("owners > 1").select("grp")
+    own = per_name.join(mixed, "grp", "left_semi").join(owners, "name").groupBy("owner").agg(*spread).where("lo <> hi").drop("lo", "hi")
+    return alone.unionByName(own)
 
 
 def assign(examples: DataFrame, predictions: DataFrame, shares=SPLITS, seed: str = "deal") -> DataFrame:

@@ -9,7 +9,7 @@ def _in(spark, d):
 
 
 def p1_found(spark, d):
-    return sampling.plan(*_in(spark, d)).where("short").select("profile", "label")
+    return sampling.report(*_in(spark, d)).where("short").select("profile", "label")
 
 
 def p1_plan(spark, d):

@@ -5,7 +5,8 @@ Records that fill a minimum come first, then the globally smallest priorities fi
 category that runs out hands its seats to the others. Which rows those are follows from the categories'
 counts alone: the cut-off of the priorities is found on the small count table, and a row is kept if its
 rank is within its category's seats. No global sort, and no category in one task: ranks are made in two
-levels, a row_number inside (category, hash bucket) plus the bucket's offset.
+levels, a row_number inside (category, hash bucket) plus the bucket's offset. Buckets follow the order of the
+keys, so those that begin beyond the last rank wanted of a category are never shuffled or sorted.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import cut
+
 SEED = "seat"
 BUCKETS = 256  # hash buckets per category; a bucket of the largest category holds 1/256 of its rows
 #: The target table is broadcast; it has profiles x labels rows. Above this many it is joined by shuffle.
@@ -85,14 +88,25 @@ def seats_of(counts: pd.DataFrame, size: int) -> pd.DataFrame:
     return c.assign(seats=seats)
 
 
-def plan(predictions: DataFrame, targets: DataFrame, divisor: int = 5, usable: DataFrame | None = None, **cols) -> DataFrame:
+def keyed_rows(rows: DataFrame, seed: str = SEED) -> DataFrame:
+    """rows with their random key k and its bucket b, in the order of the keys."""
+    keyed = rows.withColumn("k", F.md5(F.concat(F.lit(seed + ":"), F.col("id").cast("string"))))
+    return keyed.withColumn("b", F.conv(F.substring("k", 1, 2), 16, 10).cast("int") % BUCKETS)
+
+
+def cells_of(keyed: DataFrame) -> DataFrame:
+    """Rows of each (label, b): at most BUCKETS rows a label. One pass; counts, sizes and offsets all come from here."""
+    return cut(keyed.groupBy("label", "b").agg(F.count(F.lit(1)).alias("n")))
+
+
+def plan(predictions: DataFrame, targets: DataFrame, divisor: int = 5, cells: DataFrame | None = None, **cols) -> DataFrame:
     """One row per target row: usable rows, sample size, rows wanted, seats, and whether the target can be met.
 
     Empty predictions: size 0, nothing drawn, every positive minimum short. Null labels or confidences,
     NaN and values outside 0..1 are not usable. Ties of equal rank keys fall by id.
     """
-    rows = usable_rows(predictions, targets, **cols) if usable is None else usable
-    per_label = rows.groupBy("label").agg(F.count(F.lit(1)).alias("usable"))
+    cells = cells_of(keyed_rows(usable_rows(predictions, targets, **cols))) if cells is None else cells
+    per_label = cells.groupBy("label").agg(F.sum("n").alias("usable"))
     size = per_label.agg((F.coalesce(F.sum("usable"), F.lit(0)) / divisor).cast("bigint").alias("size"))
     small = targets.select("profile", "label", F.col("target_pct").cast("bigint").alias("target_pct"), F.col("min_rows").cast("bigint").alias("min_rows"))
     joined = small.join(per_label, "label", "left").withColumn("usable", F.coalesce("usable", F.lit(0).cast("bigint"))).join(F.broadcast(size))  # size is one row by construction
@@ -106,22 +120,46 @@ def plan(predictions: DataFrame, targets: DataFrame, divisor: int = 5, usable: D
     return done.withColumn("wanted", need).withColumn("short", F.col("usable") < F.col("wanted"))
 
 
-def ranked(rows: DataFrame, seed: str = SEED) -> DataFrame:
-    """(label, id, rank): a random rank within the label, ties of the key by id, in two levels."""
-    keyed = rows.withColumn("k", F.md5(F.concat(F.lit(seed + ":"), F.col("id").cast("string"))))
-    keyed = keyed.withColumn("b", F.conv(F.substring("k", 1, 2), 16, 10).cast("int") % BUCKETS)
-    sizes = keyed.groupBy("label", "b").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("label").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS rows a label
-    offsets = sizes.select("label", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+def ranked(keyed: DataFrame, cells: DataFrame, most: DataFrame) -> DataFrame:
+    """(label, id, rank): random ranks within the labels of most(label, most), from 1 up to `most` and a little beyond.
+
+    Ties of the key fall by id. The offsets have at most BUCKETS rows a label.
+    """
+    before = Window.partitionBy("label").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("label", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    wanted = offsets.join(most, "label").where("off < most").select("label", "b", "off")
     inside = F.row_number().over(Window.partitionBy("label", "b").orderBy("k", "id"))
-    return keyed.withColumn("r", inside).join(offsets, ["label", "b"]).select("label", "id", (F.col("r") + F.col("off")).alias("rank"))
+    return keyed.join(wanted, ["label", "b"]).select("label", "id", (inside + F.col("off")).alias("rank"))
+
+
+def _drawing(predictions: DataFrame, targets: DataFrame, divisor: int, seed: str, **cols) -> tuple[DataFrame, DataFrame]:
+    """(plan, rows with profile, label, id, rank, seats and wanted that lie within the seats or the rows wanted)."""
+    keyed = keyed_rows(usable_rows(predictions, targets, **cols), seed)
+    cells = cells_of(keyed)
+    quota = cut(plan(predictions, targets, divisor, cells=cells))
+    reach = F.greatest("seats", "wanted")
+    most = quota.groupBy("label").agg(F.max(reach).alias("most"))
+    rows = ranked(keyed, cells, most)
+    limits = quota.select("profile", "label", "seats", "wanted")
+    # profiles x labels rows; beyond the bound the join is by label and shuffled
+    if targets.limit(MAX_BROADCAST_TARGETS + 1).count() <= MAX_BROADCAST_TARGETS:
+        limits = F.broadcast(limits)
+    return quota, rows.join(limits, "label").where(F.col("rank") <= reach)
 
 
 def draw(predictions: DataFrame, targets: DataFrame, divisor: int = 5, seed: str = SEED, **cols) -> DataFrame:
     """The sample: (profile, label, id, rank), each row at most once a profile."""
-    rows = usable_rows(predictions, targets, **cols)
-    quota = plan(predictions, targets, divisor, usable=rows).where("seats > 0").select("profile", "label", "seats")
-    # profiles x labels rows; the join is on the label, a hot label is split by the ranks' own partitioning
-    if targets.limit(MAX_BROADCAST_TARGETS + 1).count() <= MAX_BROADCAST_TARGETS:
-        quota = F.broadcast(quota)
-    return ranked(rows, seed).join(quota, "label").where("rank <= seats").select("profile", "label", F.col("id"), "rank")
+    _, rows = _drawing(predictions, targets, divisor, seed, **cols)
+    return rows.where("rank <= seats").select("profile", "label", "id", "rank")
+
+
+def report(predictions: DataFrame, targets: DataFrame, divisor: int = 5, seed: str = SEED, **cols) -> DataFrame:
+    """(profile, label, wanted, seats, drawn, reached, short) of every target row, read off the ranked rows themselves.
+
+    drawn: the sample's rows; reached: the last of the wanted ranks that a row holds. The target cannot be met
+    (short) if the rows end before the rank wanted.
+    """
+    quota, rows = _drawing(predictions, targets, divisor, seed, **cols)
+    got = rows.groupBy("profile", "label").agg(F.count_if(F.col("rank") <= F.col("seats")).alias("drawn"), F.max(F.least("rank", "wanted")).alias("reached"))
+    out = quota.select("profile", "label", "wanted", "seats").join(got, ["profile", "label"], "left").na.fill(0, ["drawn", "reached"])
+    return out.withColumn("short", F.col("reached") < F.col("wanted"))

@@ -49,6 +49,18 @@ def test_sampling_edges(spark):
     assert {(r.label, r.usable, r.short) for r in sampling.plan(p, t).collect()} == {("a", 1, True), ("b", 0, True)}
     assert sampling.draw(p, t).count() == 0
     assert sampling.plan(p.limit(0), t).where("short").count() == 2 and sampling.plan(p, t.limit(0)).count() == 0
+    assert {(r.label, r.drawn, r.reached, r.short) for r in sampling.report(p, t).collect()} == {("a", 0, 1, True), ("b", 0, 0, True)}
+    assert sampling.report(p.limit(0), t).where("short").count() == 2 and sampling.report(p, t.limit(0)).count() == 0
+
+
+def test_ranks_and_shortage_of_a_hot_label(spark):
+    p = spark.range(5000).select(F.col("id").alias("ord"), F.lit("x").alias("filepath"), F.lit("r").alias("repo_url"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("predicted_label"), F.lit(0.5).alias("confidence"))
+    t = spark.createDataFrame([("p", "a", 50, 0), ("p", "b", 50, 0), ("q", "a", 90, 0), ("q", "b", 10, 600)], "profile string, label string, target_pct int, min_rows int")
+    plan = {(r.profile, r.label): r for r in sampling.plan(p, t).collect()}
+    drawn = sampling.draw(p, t).groupBy("profile", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d"), F.max("rank").alias("m")).collect()
+    assert {(r.profile, r.label): (r.n, r.d, r.m) for r in drawn} == {k: (r.seats, r.seats, r.seats) for k, r in plan.items()}
+    got = {(r.profile, r.label): (r.drawn, r.short) for r in sampling.report(p, t).collect()}
+    assert got == {k: (r.seats, r.short) for k, r in plan.items()} and got["q", "b"][1] and not got["p", "b"][1]
 
 
 # ---- 2 -------------------------------------------------------------------------------------------
@@ -328,6 +340,10 @@ def test_group_assignment(spark):
     ex += [(90, None, "t", None, None, None, "train"), (91, "a/q.py", None, None, None, None, None)]
     e, p = spark.createDataFrame(ex, EX).withColumn("grp", F.lit(1)), spark.createDataFrame(pred, PRED)
     assert [r.owner for r in group_split.torn(e, p).collect()] == ["o1"]
+    # a name of two owners joins them into one component, yet each is judged by its own rows
+    both = spark.createDataFrame([(1, "p", "https://h/o1/a", "x", 0.5), (2, "p", "https://h/o2/a", "x", 0.5), (3, "p", "https://h/o2/b", "x", 0.5), (4, "p", "https://h/o3/d", "x", 0.5)], PRED)
+    rows = spark.createDataFrame([(1, "a/f", "t", None, None, None, "train"), (2, "b/f", "t", None, None, None, "val"), (3, "d/f", "t", None, None, None, "val"), (4, "d/g", "t", None, None, None, "val")], EX)
+    assert {(r.owner, r.n_train, r.n_val, r.n_test) for r in group_split.torn(rows, both).collect()} == {("o2", 1, 1, 0)}
     a = {r.ord: r for r in group_split.assign(e, p).collect()}
     assert set(a) == {r[0] for r in ex} and a[0].split == a[1].split == a[91].split and a[4].split == a[5].split
     assert group_split.torn(e.limit(0), p).count() == group_split.assign(e.limit(0), p.limit(0)).count() == 0
@@ -418,8 +434,9 @@ def test_language_names(spark):
 
 def test_language_held_out_accuracy_and_passages(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    w = language.train(d, sample=40)
-    got = language.assign(spark.read.parquet("/root/testdata/check_s/documents.parquet").where("doc_id % 11 = 0"), w).where("label IS NOT NULL AND size(langs) = 1").select("label", "main").collect()
+    # fitted on ten elevenths of the ids, tested on the others
+    w = language.train(d.where("doc_id % 11 <> 0"), sample=40)
+    got = language.assign(d.where("doc_id % 11 = 0"), w).where("label IS NOT NULL AND size(langs) = 1").select("label", "main").collect()
     assert sum(r.label == r.main for r in got) / len(got) > 0.93  # a share of the labels is wrong on purpose
     m = language.Model(w)
     text = "Der Motor an diesem Mixer ist sehr leise. Ich würde den Mixer wieder kaufen. El mango de este exprimidor es resistente. Hay muchas opciones y yo solo necesito dos."
