@@ -3,14 +3,16 @@
 A text is the multiset of its code-token shingles (comments and layout gone), each occurrence numbered, so
 that multisets become sets. Jaccard >= THRESHOLD is found exactly by prefix filtering: all shingles have one
 global order, rare first; two sets that similar share a shingle within their prefixes. Evaluation prefixes
-are the index, training prefixes probe it; length and position filters cut candidates; the full sets decide.
-The rarity comes from a counter table of fixed size summed over all texts: any total order keeps the result
-exact, so collisions cost only time. Texts with equal token sequences are one class and are joined once.
+are the index, training prefixes probe it; length, position and prefix-overlap filters cut candidates; the
+full sets decide. The rarity comes from a counter table of fixed size summed over all texts: any total order
+keeps the result exact, so collisions cost only time. Bitmaps of fixed size tell which shingles may occur on
+the other side at all; they let through too much when full, never too little. Texts with equal token
+sequences are one class and are joined once. No join is a broadcast: the planner would size these tables by
+their compressed files.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,8 @@ from loomgraph.session import cut
 #: breaks SHINGLE shingles, so the threshold on shingles lies below that share.
 SHINGLE, THRESHOLD = 3, 0.6
 SKETCH_BITS = 18  # 2**18 counters of 4 bytes: the broadcast has this size whatever the corpus
+SEEN_BITS = 23  # bits of each bitmap: 1 MB
+_STEP, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def body(text: str) -> tuple[str, str]:
@@ -33,54 +37,129 @@ def body(text: str) -> tuple[str, str]:
     return code, extension(path)
 
 
-def shingles(text: str, k: int = SHINGLE) -> tuple[str, np.ndarray]:
+_IDS: dict[str, int] = {}
+
+
+def _token_ids(toks: list[str]) -> np.ndarray:
+    if len(_IDS) > 500_000:
+        _IDS.clear()
+    for t in toks:
+        if t not in _IDS:
+            _IDS[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+    return np.fromiter((_IDS[t] for t in toks), np.uint64, len(toks))
+
+
+def shingles(text: str, k: int = SHINGLE) -> tuple[bytes, np.ndarray]:
     """(class id, shingle ids) of a text: path line first, code below. Code without tokens has no shingles."""
     t = tokens(*body(text))
     if not t:
-        return "", np.empty(0, np.int64)
+        return b"", np.empty(0, np.uint64)
     k = min(k, len(t))
-    seen: Counter = Counter()
-    out = []
-    for gram in zip(*[t[i:] for i in range(k)], strict=False):
-        seen[gram] += 1
-        out.append(xxhash.xxh64_intdigest("\x1f".join(gram), seen[gram]))
-    return xxhash.xxh128_hexdigest("\x1f".join(t)), np.array(out, np.uint64).view(np.int64)
+    ids = _token_ids(t)
+    with np.errstate(over="ignore"):
+        h = np.zeros(len(ids) - k + 1, np.uint64)
+        for i in range(k):
+            h = (h + ids[i : i + len(h)]) * _STEP
+            h ^= h >> np.uint64(29)
+        # the n-th occurrence of a shingle is an element of its own
+        by = np.argsort(h, kind="stable")
+        first = np.r_[True, h[by][1:] != h[by][:-1]]
+        nth = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+        h[by] = (h[by] + nth.astype(np.uint64) * _NEXT) * _STEP
+        h ^= h >> np.uint64(32)
+    return xxhash.xxh128_digest(ids.tobytes()), h
+
 
+_ROWS = "ord bigint, split string, repo string, cls binary, n int, sh binary"
 
-def shingled(examples: DataFrame, text_col: str = "text") -> DataFrame:
-    """(ord, split, repo, cls, sh): rows of a split with code. Null texts and texts without code are left out."""
+
+def shingled(examples: DataFrame, text_col: str = "text", train: str = "train") -> DataFrame:
+    """(ord, split, repo, cls, n, sh): rows of a split with code. Null texts and texts without code are left out.
+
+    A task gives the shingles of a class and side once, however often it meets the class.
+    """
     slim = examples.select("ord", "split", F.col(text_col).alias("text")).where("text IS NOT NULL AND split IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given: set[tuple[bytes, bool]] = set()
         for b in batches:
-            made = [shingles(t) for t in b["text"]]
-            yield pd.DataFrame({"ord": b["ord"], "split": b["split"], "repo": [t.partition("/")[0].lower() for t in b["text"]], "cls": [c for c, _ in made], "sh": [s for _, s in made]})
+            rows = []
+            for o, s, t in b.itertuples(index=False):
+                cls, h = shingles(t)
+                if not cls:
+                    continue
+                sh = None
+                if (cls, s == train) not in given:
+                    if len(given) < 1_000_000:
+                        given.add((cls, s == train))
+                    sh = h.tobytes()
+                rows.append((o, s, t.partition("/")[0].lower(), cls, len(h), sh))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROWS.split(", ")])
+
+    return slim.mapInPandas(run, _ROWS)
 
-    return slim.mapInPandas(run, "ord bigint, split string, repo string, cls string, sh array<bigint>").where("cls <> ''")
 
+def _ids(sh: bytes) -> np.ndarray:
+    return np.frombuffer(sh, np.uint64)
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
+def _slot(h: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
-def rarity(classes: DataFrame) -> np.ndarray:
-    """Occurrences by slot of the counter table, over all classes."""
+
+def bitmap(words: DataFrame, bits: int = SEEN_BITS) -> np.ndarray:
+    """The bitmap of rows (page, word, bits) of one kind: 2**bits bits, whatever the number of rows."""
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    packed = words.groupBy(F.shiftright("word", 12).alias("page")).agg(F.collect_list(F.struct("word", "bits")).alias("c"))
+    for page in packed.select(F.col("c.word").alias("word"), F.col("c.bits").alias("bits")).toLocalIterator():
+        table[page.word] = np.array(page.bits, np.int64).view(np.uint64)
+    return table
+
+
+def _on(table: np.ndarray, h: np.ndarray, bits: int = SEEN_BITS) -> np.ndarray:
+    at = _slot(h, bits)
+    return (table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def _words(h: np.ndarray, bits: int = SEEN_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(word, bits) of the words of a bitmap that the hashes set."""
+    at = np.unique(_slot(h, bits))
+    word = at >> 6
+    lo = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(at) else np.empty(0, np.int64)
+    if not len(at):
+        return lo, lo
+    return word[lo], np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), lo).view(np.int64)
+
+
+def statistics(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrences by slot over all sets, bitmap of evaluation shingles, bitmap of training shingles)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
+        seen = {k: np.zeros(1 << (SEEN_BITS - 6), np.uint64) for k in (1, 2)}
         for b in batches:
-            if len(b):
-                total += np.bincount(_slot(np.concatenate(b["sh"].to_numpy()).astype(np.int64)), minlength=1 << SKETCH_BITS)
+            for kind, part in ((1, b[~b["is_train"]]), (2, b[b["is_train"]])):
+                if len(part):
+                    h = np.concatenate([_ids(x) for x in part["sh"]])
+                    total += np.bincount(_slot(h), minlength=1 << SKETCH_BITS)
+                    w, x = _words(h)
+                    seen[kind][w] |= x.view(np.uint64)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": at, "n": total[at]})
-
-    rows = classes.select("sh").mapInPandas(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    # 2**SKETCH_BITS counters at most reach the driver, packed into one array for 4096 slots
-    packed = rows.groupBy(F.shiftright("slot", 12).alias("page")).agg(F.collect_list(F.struct("slot", F.least("n", F.lit(2**31 - 1)).alias("n"))).alias("c"))
-    table = np.zeros(1 << SKETCH_BITS, np.int32)
-    for page in packed.select(F.col("c.slot").alias("slot"), F.col("c.n").alias("n")).toLocalIterator():
-        table[page.slot] = page.n
-    return table
+        yield pd.DataFrame({"kind": 0, "word": at, "bits": total[at]})
+        for kind, table in seen.items():
+            at = np.flatnonzero(table)
+            yield pd.DataFrame({"kind": kind, "word": at, "bits": table[at].view(np.int64)})
+
+    rows = sets.select("is_train", "sh").mapInPandas(count, "kind int, word bigint, bits bigint")
+    # at most 2**SKETCH_BITS counters and 2 * 2**(SEEN_BITS - 6) words, whatever the corpus
+    both = rows.groupBy("kind", "word").agg(F.sum(F.when(F.col("kind") == 0, F.col("bits"))).alias("n"), F.bit_or(F.when(F.col("kind") > 0, F.col("bits"))).alias("on"))
+    rows = cut(both.select("kind", "word", F.when(F.col("kind") == 0, F.least("n", F.lit(2**31 - 1))).otherwise(F.col("on")).alias("bits")))
+    counts = bitmap(rows.where("kind = 0"), SKETCH_BITS + 6).astype(np.int64).astype(np.int32)
+    return counts, bitmap(rows.where("kind = 1")), bitmap(rows.where("kind = 2"))
+
+
+def _prefix(n: int, threshold: float) -> int:
+    return n - int(np.ceil(threshold * n - 1e-9)) + 1
 
 
 def overlaps(examples: DataFrame, threshold: float = THRESHOLD, train: str = "train") -> tuple[DataFrame, DataFrame]:
@@ -90,45 +169,87 @@ def overlaps(examples: DataFrame, threshold: float = THRESHOLD, train: str = "tr
     members: ord, split, repo, cls, is_train. Copies are members of one class. Ties in the shingle order
     fall by shingle id. Empty tables give no rows; extra columns are never read.
     """
-    rows = cut(shingled(examples))
+    spark = examples.sparkSession
+    rows = cut(shingled(examples, train=train))
     members = rows.select("ord", "split", "repo", "cls", (F.col("split") == train).alias("is_train"))
-    classes = rows.groupBy("cls", (F.col("split") == train).alias("is_train")).agg(F.first("sh").alias("sh"))  # equal within a class
-    classes = cut(classes)
-    order = examples.sparkSession.sparkContext.broadcast(rarity(classes))
+    sets = rows.where("sh IS NOT NULL").select("cls", (F.col("split") == train).alias("is_train"), "sh")
+    shared = spark.sparkContext.broadcast(statistics(sets))
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = order.value
+        counts, ev, tr = shared.value
+        for b in batches:
+            grams, places, size = [], [], []
+            for side, sh in zip(b["is_train"], b["sh"], strict=True):
+                h = _ids(sh)
+                first = h[np.lexsort((h, counts[_slot(h)]))[: _prefix(len(h), threshold)]]
+                # what cannot be on the other side is left out, the places stay
+                at = np.flatnonzero(_on(ev if side else tr, first))
+                grams.append(first[at].tobytes())
+                places.append(at.astype(np.int32).tobytes())
+                size.append(len(h))
+            yield pd.DataFrame({"cls": b["cls"], "is_train": b["is_train"], "n": size, "grams": grams, "places": places})
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cls, side, gram, pos, size = [], [], [], [], []
-            for c, s, sh in zip(b["cls"], b["is_train"], b["sh"], strict=True):
-                h = np.asarray(sh, np.int64)
-                n = len(h)
-                p = n - int(np.ceil(threshold * n - 1e-9)) + 1
-                first = np.lexsort((h, table[_slot(h)]))[:p]
-                cls += [c] * len(first)
-                side += [s] * len(first)
-                gram.append(h[first])
-                pos.append(np.arange(len(first)))
-                size += [n] * len(first)
-            if cls:
-                yield pd.DataFrame({"cls": cls, "is_train": side, "gram": np.concatenate(gram), "pos": np.concatenate(pos), "n": size})
-
-    heads = classes.mapInPandas(prefixes, "cls string, is_train boolean, gram bigint, pos int, n int")
+            count = [len(g) // 8 for g in b["grams"]]
+            yield pd.DataFrame({"cls": np.repeat(b["cls"].to_numpy(object), count), "is_train": np.repeat(b["is_train"].to_numpy(bool), count), "n": np.repeat(b["n"].to_numpy(np.int32), count), "gram": np.frombuffer(b"".join(b["grams"]), np.int64), "pos": np.frombuffer(b"".join(b["places"]), np.int32)})
+
+    # a class may come from many tasks: one prefix of it goes on
+    one = sets.mapInPandas(prefixes, "cls binary, is_train boolean, n int, grams binary, places binary").where(F.length("grams") > 0)
+    one = one.groupBy("cls", "is_train").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("places").alias("places"))
+    heads = one.mapInPandas(opened, "cls binary, is_train boolean, n int, gram bigint, pos int")
     index = heads.where("NOT is_train").select("gram", F.col("cls").alias("cls_e"), F.col("pos").alias("pe"), F.col("n").alias("ne"))
     probe = heads.where("is_train").select("gram", F.col("cls").alias("cls_t"), F.col("pos").alias("pt"), F.col("n").alias("nt"))
     need = F.ceil((F.col("ne") + F.col("nt")) * (threshold / (1 + threshold)) - 1e-9)
+    # k shingles are common to both prefixes. What else is common lies behind the last of them on both sides, and
+    # behind the prefix that ends first in the global order
+    behind = F.least(F.col("ne") - F.col("pe"), F.col("nt") - F.col("pt")) - 1
+    suffix = F.ceil(F.greatest("ne", "nt") * threshold - 1e-9) - 1
     cand = (
-        probe.join(index, "gram")
-        .where((F.col("ne") >= F.col("nt") * threshold) & (F.col("nt") >= F.col("ne") * threshold))
-        .where(F.least(F.col("ne") - F.col("pe"), F.col("nt") - F.col("pt")) >= need)
+        probe.join(index.hint("merge"), "gram")
+        .where((F.col("ne") >= F.col("nt") * threshold) & (F.col("nt") >= F.col("ne") * threshold) & (behind + 1 >= need - F.least("pe", "pt")))
         .groupBy("cls_e", "cls_t")
-        .agg(F.max(F.col("pe")).alias("pe"))
+        .agg(F.count(F.lit(1)).alias("k"), F.max("pe").alias("pe"), F.max("pt").alias("pt"), F.first("ne").alias("ne"), F.first("nt").alias("nt"))
+        .where((F.col("k") + behind >= need) & (F.col("k") + suffix >= need))
+        .select("cls_e", "cls_t")
     )
-    sets_e = classes.where("NOT is_train").select(F.col("cls").alias("cls_e"), F.col("sh").alias("she"))
-    sets_t = classes.where("is_train").select(F.col("cls").alias("cls_t"), F.col("sh").alias("sht"))
-    both = F.size(F.array_intersect("she", "sht"))
-    pairs = cand.select("cls_e", "cls_t").join(sets_e, "cls_e").join(sets_t, "cls_t").select("cls_e", "cls_t", (both / (F.size("she") + F.size("sht") - both)).alias("sim"))
-    return pairs.where(F.col("sim") >= threshold), members
+    cand = cut(cand)
+    ends = cand.select(F.explode(F.array("cls_e", "cls_t")).alias("cls")).distinct()
+    chosen = spark.sparkContext.broadcast(_bitmap_of(ends, "cls"))
+
+    def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h = np.array([xxhash.xxh64_intdigest(c) for c in b["cls"]], np.uint64)
+            yield b[_on(chosen.value, h)]
+
+    # the sets of the candidates only, without a shuffle of all sets
+    kept = sets.mapInPandas(wanted, sets.schema).join(ends.hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.first("sh").alias("sh"))
+    kept = cut(kept)
+    she, sht = kept.select(F.col("cls").alias("cls_e"), F.col("sh").alias("she")), kept.select(F.col("cls").alias("cls_t"), F.col("sh").alias("sht"))
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sim = []
+            for x, y in zip(b["she"], b["sht"], strict=True):
+                x, y = _ids(x), _ids(y)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                sim.append(both / (len(x) + len(y) - both))
+            out = b[["cls_e", "cls_t"]].assign(sim=np.array(sim, float))
+            yield out[out["sim"] >= threshold]
+
+    pairs = cand.join(she.hint("merge"), "cls_e").join(sht.hint("merge"), "cls_t").mapInPandas(verify, "cls_e binary, cls_t binary, sim double")
+    return pairs, members
+
+
+def _bitmap_of(rows: DataFrame, col: str) -> np.ndarray:
+    """The bitmap of a binary column's hashes."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w, x = _words(np.array([xxhash.xxh64_intdigest(c) for c in b[col]], np.uint64))
+            yield pd.DataFrame({"word": w, "bits": x})
+
+    return bitmap(rows.select(col).mapInPandas(mark, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")))
 
 
 def row_pairs(examples: DataFrame) -> DataFrame:
@@ -136,12 +257,12 @@ def row_pairs(examples: DataFrame) -> DataFrame:
     pairs, members = overlaps(examples)
     ev = members.where("NOT is_train").select(F.col("cls").alias("cls_e"), F.col("ord").alias("ord_e"), "split", "repo")
     tr = members.where("is_train").select(F.col("cls").alias("cls_t"), F.col("ord").alias("ord_t"))
-    return pairs.join(ev, "cls_e").join(tr, "cls_t").select("ord_e", "split", "repo", "ord_t", "sim")
+    return pairs.join(ev.hint("merge"), "cls_e").join(tr.hint("merge"), "cls_t").select("ord_e", "split", "repo", "ord_t", "sim")
 
 
 def report(examples: DataFrame) -> DataFrame:
     """Per evaluation split and repository: rows with code, and rows that also occur in training."""
     pairs, members = overlaps(examples)
     hit = pairs.select(F.col("cls_e").alias("cls")).distinct().withColumn("hit", F.lit(1))
-    ev = members.where("NOT is_train").join(hit, "cls", "left")
+    ev = members.where("NOT is_train").join(hit.hint("merge"), "cls", "left")
     return ev.groupBy("split", "repo").agg(F.count(F.lit(1)).alias("n_rows"), F.count("hit").alias("n_leaked"))
