@@ -3,8 +3,8 @@
 A text is the multiset of its code-token shingles (comments and layout gone), each occurrence numbered, so
 that multisets become sets. Jaccard >= THRESHOLD is found exactly by prefix filtering: all shingles have one
 global order, rare first; two sets that similar share a shingle within their prefixes. Evaluation prefixes
-are the index, training prefixes probe it; length, position and prefix-overlap filters cut candidates; the
-full sets decide. The rarity comes from a counter table of fixed size summed over all texts: any total order
+are the index, training prefixes probe it; length and position filters cut candidates, which must share
+COMMON shingles within prefixes that much longer; the full sets decide. The rarity comes from a counter table of fixed size summed over all texts: any total order
 keeps the result exact, so collisions cost only time. Bitmaps of fixed size tell which shingles may occur on
 the other side at all; they let through too much when full, never too little. Texts with equal token
 sequences are one class and are joined once. No join is a broadcast: the planner would size these tables by
@@ -29,6 +29,7 @@ from loomgraph.session import cut
 SHINGLE, THRESHOLD = 3, 0.6
 SKETCH_BITS = 18  # 2**18 counters of 4 bytes: the broadcast has this size whatever the corpus
 SEEN_BITS = 23  # bits of each bitmap: 1 MB
+COMMON = 4  # shingles that two sets must share within prefixes longer by as many, less one
 _STEP, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -92,15 +93,22 @@ def shingled(examples: DataFrame, text_col: str = "text", train: str = "train")
                 if (cls, s == train) not in given:
                     if len(given) < 1_000_000:
                         given.add((cls, s == train))
-                    sh = h.tobytes()
+                    sh = _packed(h)
                 rows.append((o, s, t.partition("/")[0].lower(), cls, len(h), sh))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROWS.split(", ")])
 
     return slim.mapInPandas(run, _ROWS)
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """The upper 48 bits of each id."""
+    return h.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
 def _ids(sh: bytes) -> np.ndarray:
-    return np.frombuffer(sh, np.uint64)
+    out = np.zeros((len(sh) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(sh, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def _slot(h: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -159,7 +167,7 @@ def statistics(sets: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _prefix(n: int, threshold: float) -> int:
-    return n - int(np.ceil(threshold * n - 1e-9)) + 1
+    return n - int(np.ceil(threshold * n - 1e-9)) + COMMON
 
 
 def overlaps(examples: DataFrame, threshold: float = THRESHOLD, train: str = "train") -> tuple[DataFrame, DataFrame]:
@@ -192,40 +200,43 @@ def overlaps(examples: DataFrame, threshold: float = THRESHOLD, train: str = "tr
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             count = [len(g) // 8 for g in b["grams"]]
-            yield pd.DataFrame({"cls": np.repeat(b["cls"].to_numpy(object), count), "is_train": np.repeat(b["is_train"].to_numpy(bool), count), "n": np.repeat(b["n"].to_numpy(np.int32), count), "gram": np.frombuffer(b"".join(b["grams"]), np.int64), "pos": np.frombuffer(b"".join(b["places"]), np.int32)})
+            key = np.frombuffer(b"".join(c[:8] for c in b["cls"]), np.int64)
+            yield pd.DataFrame({"key": np.repeat(key, count), "is_train": np.repeat(b["is_train"].to_numpy(bool), count), "n": np.repeat(b["n"].to_numpy(np.int32), count), "gram": np.frombuffer(b"".join(b["grams"]), np.int64), "pos": np.frombuffer(b"".join(b["places"]), np.int32)})
 
     # a class may come from many tasks: one prefix of it goes on
     one = sets.mapInPandas(prefixes, "cls binary, is_train boolean, n int, grams binary, places binary").where(F.length("grams") > 0)
     one = one.groupBy("cls", "is_train").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("places").alias("places"))
-    heads = one.mapInPandas(opened, "cls binary, is_train boolean, n int, gram bigint, pos int")
-    index = heads.where("NOT is_train").select("gram", F.col("cls").alias("cls_e"), F.col("pos").alias("pe"), F.col("n").alias("ne"))
-    probe = heads.where("is_train").select("gram", F.col("cls").alias("cls_t"), F.col("pos").alias("pt"), F.col("n").alias("nt"))
+    # half of a class's id is its key among the candidates: two classes of one key are candidates together
+    heads = cut(one.mapInPandas(opened, "key bigint, is_train boolean, n int, gram bigint, pos int"))
+    index = heads.where("NOT is_train").select("gram", F.col("key").alias("e"), F.col("pos").alias("pe"), F.col("n").alias("ne"))
+    probe = heads.where("is_train").select("gram", F.col("key").alias("t"), F.col("pos").alias("pt"), F.col("n").alias("nt"))
     need = F.ceil((F.col("ne") + F.col("nt")) * (threshold / (1 + threshold)) - 1e-9)
-    # k shingles are common to both prefixes. What else is common lies behind the last of them on both sides, and
-    # behind the prefix that ends first in the global order
-    behind = F.least(F.col("ne") - F.col("pe"), F.col("nt") - F.col("pt")) - 1
-    suffix = F.ceil(F.greatest("ne", "nt") * threshold - 1e-9) - 1
+    few = F.least(F.lit(COMMON), need)
+    # the first `few` common shingles of a pair have need - few others behind them on both sides
+    early = (F.col("pe") < F.col("ne") - need + few) & (F.col("pt") < F.col("nt") - need + few)
     cand = (
         probe.join(index.hint("merge"), "gram")
-        .where((F.col("ne") >= F.col("nt") * threshold) & (F.col("nt") >= F.col("ne") * threshold) & (behind + 1 >= need - F.least("pe", "pt")))
-        .groupBy("cls_e", "cls_t")
-        .agg(F.count(F.lit(1)).alias("k"), F.max("pe").alias("pe"), F.max("pt").alias("pt"), F.first("ne").alias("ne"), F.first("nt").alias("nt"))
-        .where((F.col("k") + behind >= need) & (F.col("k") + suffix >= need))
-        .select("cls_e", "cls_t")
+        .where((F.col("ne") >= F.col("nt") * threshold) & (F.col("nt") >= F.col("ne") * threshold) & early)
+        .select("e", "t", few.cast("int").alias("few"))
+        .groupBy("e", "t")
+        .agg(F.count(F.lit(1)).alias("k"), F.min("few").alias("few"))
+        .where("k >= few")
+        .select("e", "t")
     )
     cand = cut(cand)
-    ends = cand.select(F.explode(F.array("cls_e", "cls_t")).alias("cls")).distinct()
-    chosen = spark.sparkContext.broadcast(_bitmap_of(ends, "cls"))
+    ends = cand.select(F.explode(F.array("e", "t")).alias("key")).distinct()
+    chosen = spark.sparkContext.broadcast(_bitmap_of(ends, "key"))
 
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h = np.array([xxhash.xxh64_intdigest(c) for c in b["cls"]], np.uint64)
-            yield b[_on(chosen.value, h)]
+            b = b.assign(key=np.frombuffer(b"".join(c[:8] for c in b["cls"]), np.int64))
+            yield b[_on(chosen.value, _mixed(b["key"].to_numpy()))]
 
     # the sets of the candidates only, without a shuffle of all sets
-    kept = sets.mapInPandas(wanted, sets.schema).join(ends.hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.first("sh").alias("sh"))
+    kept = sets.select("cls", "sh").mapInPandas(wanted, "cls binary, sh binary, key bigint").join(ends.hint("merge"), "key", "left_semi").groupBy("cls").agg(F.first("key").alias("key"), F.first("sh").alias("sh"))
     kept = cut(kept)
-    she, sht = kept.select(F.col("cls").alias("cls_e"), F.col("sh").alias("she")), kept.select(F.col("cls").alias("cls_t"), F.col("sh").alias("sht"))
+    she = kept.select(F.col("key").alias("e"), F.col("cls").alias("cls_e"), F.col("sh").alias("she"))
+    sht = kept.select(F.col("key").alias("t"), F.col("cls").alias("cls_t"), F.col("sh").alias("sht"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -237,16 +248,21 @@ def overlaps(examples: DataFrame, threshold: float = THRESHOLD, train: str = "tr
             out = b[["cls_e", "cls_t"]].assign(sim=np.array(sim, float))
             yield out[out["sim"] >= threshold]
 
-    pairs = cand.join(she.hint("merge"), "cls_e").join(sht.hint("merge"), "cls_t").mapInPandas(verify, "cls_e binary, cls_t binary, sim double")
+    pairs = cand.join(she.hint("merge"), "e").join(sht.hint("merge"), "t").drop("e", "t").mapInPandas(verify, "cls_e binary, cls_t binary, sim double")
     return pairs, members
 
 
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    h = keys.view(np.uint64) * _STEP
+    return (h ^ (h >> np.uint64(29))) * _NEXT
+
+
 def _bitmap_of(rows: DataFrame, col: str) -> np.ndarray:
-    """The bitmap of a binary column's hashes."""
+    """The bitmap of a column of keys."""
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            w, x = _words(np.array([xxhash.xxh64_intdigest(c) for c in b[col]], np.uint64))
+            w, x = _words(_mixed(b[col].to_numpy(np.int64)))
             yield pd.DataFrame({"word": w, "bits": x})
 
     return bitmap(rows.select(col).mapInPandas(mark, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")))
