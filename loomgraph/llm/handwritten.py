@@ -1,27 +1,29 @@
 """Problem 5: generated, minified, vendored files and data blobs among source files.
 
-A file is told by its path, by its own code (markers in its leading comments, minified lines, literals that
-make up the file), or by its cluster. Clusters come from MinHash bands over shingles of identifier-masked
-tokens, in buckets of one repository and band: heads are compared with the whole bucket until every member was a
-head or is linked, so no link within a bucket is lost. Different files of one repository that repeat one masked
-pattern, or follow one masked template under other names, are generated; a file that equals a vendored one of
-another repository is a copy of it; that a hand-written file occurs elsewhere tells nothing. Clusters of
-literals only are blobs.
+A file is told by its path, by its own code (markers in its comments, minified lines, literals that make up the
+file), or by its cluster. Clusters come from MinHash bands over shingles of identifier-masked tokens. Within a
+repository, files of different content that repeat one masked pattern, or follow one masked template under other
+names, are a family: generated. Across repositories, a file whose cluster holds a vendor's file (by mark or path)
+and that keeps its names is a copy of it: vendored; that a hand-written file occurs elsewhere tells nothing.
+Files whose masked tokens are literals only are blobs. Buckets are compared by heads until every member was a head
+or is linked; every member is verified with its likeliest partner first, and with all the others only if that
+fails, so no link within a bucket is lost and few sets travel.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.codetext import HASH, SLASH, TOKEN, extension, without_comments
+from loomgraph.llm.codetext import HASH, SLASH, extension, tokens
+from loomgraph.llm.split_overlap import _mixed, _on, _words, bitmap
 from loomgraph.session import cut, parallelism
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -39,10 +41,13 @@ FAMILY_VARIETY, LONE_VARIETY, LONE_TOKENS = 0.3, 0.16, 80
 WINDOWS, TEMPLATE, SAME_NAMES = 4, 0.6, 0.5
 WORDS, TEMPLATE_WORDS = 4, 8  # 64-bit words of the bitmaps of a shingle set and of a template
 ALL_PAIRS = 64  # members of a bucket up to which all its pairs are compared
+#: Repositories that hold a content by a vendor's mark or path before copies elsewhere count as vendored: of one such
+#: copy and one file without a mark either may be the original.
+HOLDERS = 2
 
 #: Paths (fixed values), Java and Python regex alike, on the lower-case path.
-VENDOR_PATH = r"(?:^|/)(?:node_modules|bower_components|jspm_packages|_vendor|third[_-]party|pods|carthage|site-packages)/|(?:^|/)(?:vendor|external|deps)/[^/]+/"
-GENERATED_PATH = r"(?:^|/)(?:gen|generated|__generated__)/|\.(?:gen|generated|pb|g)\.[a-z]+$|_pb2(?:_grpc)?\.pyi?$|grpc\.java$|(?:^|/)(?:(?:package|npm|yarn|pnpm)-(?:lock|shrinkwrap)[^/.]*|[^/]*\.lock)(?:\.json|\.ya?ml)?$|(?:^|/)(?:go\.sum|yarn\.lock|poetry\.lock|cargo\.lock|gemfile\.lock)$"
+VENDOR_PATH = r"(?:^|/)(?:node_modules|bower_components|jspm_packages|web_modules|_vendor|vendored|third[_-]?party|3rd[_-]?party|pods|carthage|site-packages)/|(?:^|/)(?:vendor|external|deps)/[^/]+/"
+GENERATED_PATH = r"(?:^|/)(?:gen|generated|__generated__|autogen|auto[_-]generated|generated[_-](?:sources?|src|code))/|\.(?:gen|generated|pb|g|designer)\.[a-z]+$|[._-](?:autogen|auto[_-]?generated)\.[a-z]+$|(?:^|/)zz_generated[._]|_pb2(?:_grpc)?\.pyi?$|_pb\.(?:js|ts|d\.ts|rb)$|outerclass\.java$|grpc\.java$|(?:^|/)(?:(?:package|npm|yarn|pnpm)-(?:lock|shrinkwrap)[^/.]*|[^/]*\.lock)(?:\.json|\.ya?ml)?$|(?:^|/)(?:go\.sum|yarn\.lock|poetry\.lock|cargo\.lock|gemfile\.lock)$"
 MINIFIED_PATH = r"[.-]min\.(?:js|mjs|css)$|\.(?:bundle|chunk)\.(?:js|mjs|css)$|\.[0-9a-f]{8,20}\.(?:js|mjs|css)$"
 PATHS = f"{VENDOR_PATH}|{GENERATED_PATH}|{MINIFIED_PATH}"
 #: Leading comments of generated files, anchored at the comment's first word (fixed values).
@@ -52,7 +57,7 @@ GENERATED_MARK = re.compile(
 )
 #: Leading comments of third-party copies (fixed values).
 VENDOR_MARK = re.compile(
-    r"(?i)[\w@/.-]+ v?\d+\.\d+\.\d+\b(?:\s*$|\s*[-|*]| released)|bundled copy of|vendored (?:copy|from)|copied verbatim from|this file (?:comes|is taken|was taken) from (?:the )?\S+|upstream: \S+://|origin: \S+@v?\d|\S+ \(c\) .*(?:our build|renames the package)"
+    r"(?i)[\w@/.-]+ v?\d+\.\d+\.\d+\b(?:\s*$|\s*[-|*]| released)|bundled copy of|vendored (?:copy|from)|copied verbatim from|this file (?:comes|is taken|was taken) from (?:the )?\S+|upstream: \S+://|(?:imported|copied|taken|vendored|pulled|synced|mirrored|bundled|included|forked|borrowed) (?:as[- ]is |verbatim |unchanged |unmodified )?from (?:the )?\S+.*?(?:\b(?:commit|revision|rev|version|release|tag)\b|\bv?\d+\.\d+|\bunchanged\b|\bunmodified\b|\bas[- ]is\b|\bverbatim\b|https?://)|origin: \S+@v?\d|\S+ \(c\) .*(?:our build|renames the package)"
 )
 _LOCK = re.compile(r'"(?:lockfile|lock)_?[vV]ersion"\s*:')
 _MARGIN_COMMENT = re.compile(r"(?m)^(?:#!?|//+!?|/\*+!?|\*|<!--|;|--)[ \t]*(\S.*)$")
@@ -97,21 +102,48 @@ def minified(code: str) -> bool:
     return long >= LONG_SHARE * n and sum(map(code.count, " \t")) <= MAX_BLANK * n
 
 
-_IDS: dict[str, int] = {}
+_STRING, _NUMBER, _NAME = 1, 2, 3
+_WORD_CODE = {w: 4 + i for i, w in enumerate(sorted(_KEEP))}
 
 
-def _token_id(t: str) -> int:
+def _code(t: str) -> int:
+    """The byte of a masked token: strings, numbers and names are one each, kept words and marks their own."""
     c = t[0]
     if c in "\"'":
-        t = '"'
-    elif c.isdigit():
-        t = "0"
-    elif (c.isalpha() or c in "_$") and t not in _KEEP:
-        t = "a"
-    got = _IDS.get(t)
-    if got is None:
-        got = _IDS[t] = zlib.crc32(t.encode())
-    return got
+        return _STRING
+    if c.isdigit():
+        return _NUMBER
+    if c.isalpha() or c in "_$":
+        return _WORD_CODE.get(t, _NAME)
+    return 64 + ord(c) if ord(c) < 128 else 192 + ord(c) % 64
+
+
+class _Table(dict):
+    """Tokens of a worker, numbered; what is known of each lies in lists by number. Cleared when it has grown large."""
+
+    def __init__(self) -> None:
+        self.codes: list[int] = []
+        self.hashes: list[int] = []
+        self.packed: list[int] = []
+
+    def __missing__(self, t: str) -> int:
+        k = self[t] = len(self.codes)
+        self.codes.append(_code(t))
+        self.hashes.append(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")))
+        self.packed.append(len(t) if len(t) >= PACKED and _PACKED.fullmatch(t) else 0)
+        return k
+
+    def read(self, toks: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        """(bytes of the masked tokens, hashes of the tokens, characters in packed strings)."""
+        if len(self) > 500_000:
+            self.clear()
+            self.__init__()
+        at = list(map(self.__getitem__, toks))
+        return np.array([self.codes[k] for k in at], np.uint8), np.array([self.hashes[k] for k in at], np.uint64), sum([self.packed[k] for k in at])
+
+
+_TOKENS = _Table()
+_BYTE = np.random.default_rng(5).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -127,80 +159,84 @@ class Features(NamedTuple):
     blob: bool
     variety: float
     n_tokens: int
-    content: int
+    content: bytes
     calls: bool
-    sh: np.ndarray | None = None
-    template: np.ndarray | None = None
-    names: np.ndarray | None = None
+    n: int = 0
+    nt: int = 0
+    seq: bytes | None = None
+    names: bytes | None = None
     bits: np.ndarray | None = None
     bands: np.ndarray | None = None
 
 
-def _ids32(h: np.ndarray) -> np.ndarray:
-    """32-bit ids of sorted hashes, each once."""
-    x = (h >> np.uint64(32)).astype(np.uint32)
-    return x[np.r_[True, x[1:] != x[:-1]]].view(np.int32) if len(x) else x.view(np.int32)
-
-
 def _bitmap(h: np.ndarray, words: int) -> np.ndarray:
     on = np.zeros(64 * words, bool)
     on[h & np.uint64(64 * words - 1)] = True
     return np.packbits(on).view(np.int64)
 
 
+def _once(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h ^ (h >> np.uint64(31)))
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+
+
+def sets_of(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle set, template set) of the masked tokens of a file: windows of SHINGLE, and of WINDOWS * SHINGLE tokens."""
+    ids = _BYTE[seq]
+    with np.errstate(over="ignore"):
+        h = np.zeros(max(0, len(ids) - SHINGLE + 1), np.uint64)
+        for i in range(SHINGLE):
+            h = h * _STEP + ids[i : i + len(h)]
+        t = np.zeros(max(0, len(h) - SHINGLE * (WINDOWS - 1)), np.uint64)
+        for i in range(WINDOWS):
+            t = t * _STEP + h[i * SHINGLE : i * SHINGLE + len(t)]
+    return _once(h), _once(t)
+
+
+def _bands(h: np.ndarray) -> np.ndarray:
+    """Keys of the MinHash bands of a shingle set."""
+    with np.errstate(over="ignore"):
+        sig = np.concatenate([(h * _A[k : k + ROWS, None] + _B[k : k + ROWS, None]).min(axis=1) for k in range(0, BANDS * ROWS, ROWS)]).reshape(BANDS, ROWS)
+        band = np.zeros(BANDS, np.uint64)
+        for r in range(ROWS):
+            band = band * _STEP + sig[:, r]
+        return (band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def features(path: str, code: str) -> Features:
-    """What tells a file's kind; shingles, template, names, bitmap and band keys only where it can be of a family."""
+    """What tells a file's kind; masked tokens, names, bitmaps and band keys only where it can be of a family or a copy."""
     code = code.replace("\r\n", "\n")
     ext = extension(path)
     program = ext in HASH | SLASH and ext not in ("yml", "yaml", "ini", "cfg", "toml", "conf")
-    heads = leading_comments(code)
     # a generator may sign below the imports or at the very end: every unindented comment line counts
     gen = any(GENERATED_MARK.match(h) for h in _MARGIN_COMMENT.findall(code)) or (ext == "json" and bool(_LOCK.search(code)))
-    ven = any(VENDOR_MARK.match(h) for h in heads)
+    ven = any(VENDOR_MARK.match(h) for h in leading_comments(code))
     small = program and minified(code)
-    toks = TOKEN.findall(without_comments(code, ext))
-    ids = np.array([_token_id(t) for t in toks], np.uint64)
-    n = len(ids)
-    content = zlib.crc32("\x1f".join(toks).encode("utf-8", "replace")) << 20 | (n & 0xFFFFF)
+    seq, hashes, packed = _TOKENS.read(tokens(code, ext))
+    n = len(seq)
+    content = xxhash.xxh128_digest(hashes.tobytes())
     # in a blob literals and the marks between them are nearly all there is, by tokens or by characters
-    literals = sum(t[0] in "\"'" or t[0].isdigit() for t in toks)
-    packed = sum(len(t) for t in toks if len(t) >= PACKED and _PACKED.fullmatch(t))
+    literals = int((seq <= _NUMBER).sum())
+    rest = int(((seq > _NUMBER) & (seq < 64)).sum())
     packed += sum(map(len, _PACKED_LINE.findall(code)))
-    rest = sum(t[0].isalpha() or t[0] in "_$" for t in toks)
     table = n >= BLOB_TOKENS and literals >= BLOB_LITERALS * n and rest <= max(8, 0.05 * n)
     blob = program and (table or packed >= BLOB_CHARS * len(code))
-    calls = toks.count("(") >= CALLS * n
+    calls = int((seq == 64 + ord("(")).sum()) >= CALLS * n
     # settings, prose and markup repeat one pattern by nature: only code makes a family
     if n < SHINGLE or small or blob or not (program or calls):
         return Features(gen, ven, small, blob, 1.0, n, content, calls)
-    with np.errstate(over="ignore"):
-        h = np.zeros(n - SHINGLE + 1, np.uint64)
-        for i in range(SHINGLE):
-            h = h * _STEP + ids[i : i + len(h)]
-        t = np.zeros(max(0, len(h) - SHINGLE * (WINDOWS - 1)), np.uint64)
-        for i in range(WINDOWS):
-            t = t * _STEP + h[i * SHINGLE : i * SHINGLE + len(t)]
-        h ^= h >> np.uint64(31)
-        h = np.unique(h)
-        t ^= t >> np.uint64(31)
-        t = np.unique(t)
-        sig = np.concatenate([(h * _A[k : k + ROWS, None] + _B[k : k + ROWS, None]).min(axis=1) for k in range(0, BANDS * ROWS, ROWS)])
-        band = np.zeros(BANDS, np.uint64)
-        for r in range(ROWS):
-            band = band * _STEP + sig.reshape(BANDS, ROWS)[:, r]
-        band += np.arange(BANDS, dtype=np.uint64)
-    names = {x for x in toks if (x[0].isalpha() or x[0] in "_$") and x not in _KEEP}
-    named = np.unique(np.array([zlib.crc32(x.encode("utf-8", "replace")) for x in names], np.uint32)).view(np.int32)
-    return Features(gen, ven, small, blob, len(h) / n, n, content, calls, _ids32(h), _ids32(t), named, np.concatenate([_bitmap(h, WORDS), _bitmap(t, TEMPLATE_WORDS)]), band.view(np.int64))
+    h, t = sets_of(seq)
+    names = np.unique(hashes[seq == _NAME] >> np.uint64(32)).astype(np.uint32)
+    return Features(gen, ven, small, blob, len(h) / n, n, content, calls, len(h), len(t), seq.tobytes(), names.tobytes(), np.concatenate([_bitmap(h, WORDS), _bitmap(t, TEMPLATE_WORDS)]), _bands(h))
 
 
-_SCHEMA = "id bigint, repo string, filepath string, path_bad boolean, generated boolean, vendored boolean, minified boolean, blob boolean, variety double, n_tokens int, content bigint, calls boolean, sh array<int>, template array<int>, names array<int>, bits array<bigint>, bands array<bigint>"
+_SCHEMA = "id bigint, repo string, filepath string, path_bad boolean, generated boolean, vendored boolean, minified boolean, blob boolean, variety double, n_tokens int, content binary, calls boolean, n int, nt int, seq binary, names binary, bits array<bigint>, bands array<bigint>"
 
 
 def described(sources: DataFrame) -> DataFrame:
     """The features of every file with code; null and blank code gives no row. The code itself goes no further.
 
-    Every code file carries shingles and bands, marked ones too: a family is told by its links, not before.
+    Every code file carries its masked tokens and bands, marked ones too: a family is told by its links, not before.
     """
     slim = sources.select(F.xxhash64("repo_url", "filepath").alias("id"), repo_key(F.col("repo_url")).alias("repo"), "filepath", F.lower("filepath").rlike(PATHS).alias("path_bad"), "code")
 
@@ -305,9 +341,110 @@ def _stars(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]
         yield pairs(held)
 
 
-def _alike(x: str, y: str, least: float) -> Column:
-    both = F.size(F.array_intersect(x, y))
-    return both >= least * (F.size(x) + F.size(y) - both)
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 0.0
+
+
+class _Sets:
+    """Sets of the members of a batch, made once each."""
+
+    def __init__(self) -> None:
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def of(self, member: int, seq: bytes) -> tuple[np.ndarray, np.ndarray]:
+        got = self.known.get(member)
+        if got is None:
+            if len(self.known) > 2_000:
+                self.known.clear()
+            got = self.known[member] = sets_of(np.frombuffer(seq, np.uint8))
+        return got
+
+
+def _family(x: dict, y: dict, sets: _Sets) -> bool:
+    """Whether two files of a repository are linked: alike, and both repeat themselves or follow one template under other names."""
+    (hx, tx), (hy, ty) = sets.of(x["member"], x["seq"]), sets.of(y["member"], y["seq"])
+    if _jaccard(hx, hy) < SIMILAR:
+        return False
+    if x["repeats"] and y["repeats"]:
+        return True
+    names = [np.frombuffer(k["names"], np.uint32) for k in (x, y)]
+    return x["long"] and y["long"] and _jaccard(tx, ty) >= TEMPLATE and _jaccard(*names) < SAME_NAMES
+
+
+def _copy(x: dict, y: dict, sets: _Sets) -> bool:
+    """Whether two files are copies of one, perhaps edited: alike, and most names are the same."""
+    names = [np.frombuffer(k["names"], np.uint32) for k in (x, y)]
+    return _jaccard(*names) >= SAME_NAMES and _jaccard(sets.of(x["member"], x["seq"])[0], sets.of(y["member"], y["seq"])[0]) >= SIMILAR
+
+
+_FIELDS = ("member", "seq", "names", "repeats", "long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, link) -> DataFrame:
+    """The pairs (a, b) that are links."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+    own = sets.join(ends.hint("merge"), "member", "left_semi").groupBy("member").agg(*[F.first(c).alias(c) for c in _FIELDS[1:]])
+    x, y = (own.select(F.col("member").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in _FIELDS[1:]]) for k in "ab")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Sets()
+        for b in batches:
+            cols = [b[c].tolist() for c in ("a", "b", *[f"{k}_{c}" for k in "ab" for c in _FIELDS[1:]])]
+            ok = [link(dict(zip(_FIELDS, (r[0], *r[2:6]), strict=True)), dict(zip(_FIELDS, (r[1], *r[6:10]), strict=True)), known) for r in zip(*cols, strict=True)]
+            yield b[["a", "b"]][np.array(ok, bool)]
+
+    return pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInPandas(run, "a bigint, b bigint")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, link) -> DataFrame:
+    """(member) of the members with a link among the pairs (a, b, k): the likeliest partner of each is tried first, the
+    other pairs only of those without a link by then."""
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("member"), F.col("b").alias("other")), F.struct(F.col("b").alias("member"), F.col("a").alias("other")))).alias("e"), "k").select("e.*", "k")
+    best = both.groupBy("member").agg(F.max_by("other", F.struct("k", "other")).alias("other"))
+    first = cut(best.select(F.least("member", "other").alias("a"), F.greatest("member", "other").alias("b")).distinct())
+    found = cut(_ends(_verified(first, sets, link)))
+    # a pair that was not tried and has an end without a link
+    open_ = cut(both.join(found.hint("merge"), "member", "left_anti").select(F.least("member", "other").alias("a"), F.greatest("member", "other").alias("b")).distinct().join(first.hint("merge"), ["a", "b"], "left_anti"))
+    return cut(found.unionByName(_ends(_verified(open_, sets, link))).distinct())
+
+
+def _shared_only(buckets: DataFrame) -> DataFrame:
+    """buckets(bucket, member, ...) without buckets of a single member, as far as a bitmap of fixed size can tell."""
+    many = buckets.select("bucket", "member").groupBy("bucket").agg(F.min("member").alias("lo"), F.max("member").alias("hi")).where("lo <> hi").select("bucket")
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            w, x = _words(_mixed(b["bucket"].to_numpy(np.int64)))
+            yield pd.DataFrame({"word": w, "bits": x})
+
+    on = bitmap(many.mapInPandas(mark, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    shared = buckets.sparkSession.sparkContext.broadcast(on)
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[_on(shared.value, _mixed(b["bucket"].to_numpy(np.int64)))]
+
+    return buckets.mapInPandas(keep, buckets.schema)
+
+
+def _can_pair(words: list[str], size: str, least: float, head: str = "h_") -> Column:
+    """_can_be in SQL, between a row's columns and those with a prefix."""
+    n, m, differ = F.col(size), F.col(f"{head}{size}"), sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{head}{w}"))) for w in words), F.lit(0))
+    return (F.least(n, m) >= least * F.greatest(n, m)) & (differ * (1 + least) <= (1 - least) * (n + m) + 1e-6)
+
+
+def _members(described_files: DataFrame, *key: str) -> DataFrame:
+    """The files that can be in a cluster, with their member id: one for all files of a content (in a repository)."""
+    f = described_files.where("bands IS NOT NULL").withColumn("member", F.xxhash64(*key, "content"))
+    return f.withColumn("repeats", F.col("calls") & (F.col("variety") <= FAMILY_VARIETY)).withColumn("long", F.col("n_tokens") >= LONE_TOKENS)
+
+
+_TRAITS = ["n", "nt", "repeats", "long", *_WORDS]
 
 
 def families(described_files: DataFrame, most: int = ALL_PAIRS) -> DataFrame:
@@ -315,69 +452,76 @@ def families(described_files: DataFrame, most: int = ALL_PAIRS) -> DataFrame:
 
     Exact within the buckets: a member of a large bucket whose head's pair does not verify is compared with all of it.
     """
-    member = F.xxhash64("repo", "content").alias("member")
-    f = described_files.where("bands IS NOT NULL")
-    f = f.withColumn("repeats", F.col("calls") & (F.col("variety") <= FAMILY_VARIETY)).withColumn("long", F.col("n_tokens") >= LONE_TOKENS)
+    f = _members(described_files, "repo")
+    sets = f.select(*_FIELDS)
     words = [F.col("bits")[k].alias(w) for k, w in enumerate(_WORDS)]
-    traits = ["n", "nt", "repeats", "long", *_WORDS]
-    buckets = f.select(member, "repo", F.size("sh").alias("n"), F.size("template").alias("nt"), "repeats", "long", *words, F.explode("bands").alias("band")).select(F.xxhash64("repo", "band").alias("bucket"), "member", *traits)
+    slim = f.select("member", "repo", "n", "nt", "repeats", "long", *words, F.explode("bands").alias("band")).select(F.xxhash64("repo", "band").alias("bucket"), "member", *_TRAITS)
+    buckets = _shared_only(slim)
     dealt = buckets.repartition(parallelism(f.sparkSession), "bucket").sortWithinPartitions("bucket", "member")
-    sets = f.select(member, "sh", "template", "names", "repeats", "long")
-    fields = ("sh", "template", "names", "repeats", "long")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
-        own = sets.join(ends, "member", "left_semi").dropDuplicates(["member"])
-        x, y = (own.select(F.col("member").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in fields]) for k in "ab")
-        template = F.col("a_long") & F.col("b_long") & _alike("a_template", "b_template", TEMPLATE) & ~_alike("a_names", "b_names", SAME_NAMES)
-        near = pairs.join(x, "a").join(y, "b").where(_alike("a_sh", "b_sh", SIMILAR) & ((F.col("a_repeats") & F.col("b_repeats")) | template))
-        return near.select(F.explode(F.array("a", "b")).alias("member")).distinct()
-
-    pairs = cut(dealt.mapInPandas(lambda batches: _stars(batches, most), "a bigint, b bigint, big boolean").groupBy("a", "b").agg(F.max("big").alias("big")))
-    found = cut(linked(pairs))
-    missed = cut(pairs.where("big").select(F.explode(F.array("a", "b")).alias("member")).distinct().join(found, "member", "left_anti"))
+    pairs = cut(dealt.mapInPandas(lambda batches: _stars(batches, most), "a bigint, b bigint, big boolean").groupBy("a", "b").agg(F.max("big").alias("big"), F.count(F.lit(1)).alias("k")))
+    found = _linked(pairs, sets, _family)
+    missed = cut(_ends(pairs.where("big")).join(found.hint("merge"), "member", "left_anti"))
     if not missed.isEmpty():
-        heads = buckets.join(missed, "member", "left_semi").select("bucket", F.col("member").alias("head"), *[F.col(c).alias(f"h_{c}") for c in traits])
-
-        def can_be(size: str, words: list[str], least: float) -> Column:
-            n, m, differ = F.col(size), F.col(f"h_{size}"), sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"h_{w}"))) for w in words), F.lit(0))
-            return (F.least(n, m) >= least * F.greatest(n, m)) & (differ * (1 + least) <= (1 - least) * (n + m) + 1e-6)
-
-        template = F.col("long") & F.col("h_long") & can_be("nt", _WORDS[WORDS:], TEMPLATE)
-        near = can_be("n", _WORDS[:WORDS], SIMILAR) & (template | (F.col("repeats") & F.col("h_repeats")))
-        more = heads.join(buckets, "bucket").where((F.col("head") != F.col("member")) & near).select(F.least("head", "member").alias("a"), F.greatest("head", "member").alias("b")).distinct()
-        found = found.unionByName(linked(cut(more.join(pairs, ["a", "b"], "left_anti")))).distinct()
-    return f.select("id", member).join(found, "member", "left_semi").select("id").distinct()
+        heads = buckets.join(missed.hint("merge"), "member", "left_semi").select("bucket", F.col("member").alias("head"), *[F.col(c).alias(f"h_{c}") for c in _TRAITS])
+        template = F.col("long") & F.col("h_long") & _can_pair(_WORDS[WORDS:], "nt", TEMPLATE)
+        near = _can_pair(_WORDS[:WORDS], "n", SIMILAR) & (template | (F.col("repeats") & F.col("h_repeats")))
+        more = heads.join(buckets.hint("merge"), "bucket").where((F.col("head") != F.col("member")) & near).groupBy(F.least("head", "member").alias("a"), F.greatest("head", "member").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+        found = found.unionByName(_linked(cut(more.join(pairs.hint("merge"), ["a", "b"], "left_anti")), sets, _family)).distinct()
+    return f.select("id", "member").join(found.hint("merge"), "member", "left_semi").select("id").distinct()
+
+
+def copies(described_files: DataFrame, is_vendor: Column) -> DataFrame:
+    """(id) of files that copy, word for word or edited, a vendor's file that HOLDERS repositories hold: a cross-repository cluster."""
+    f = _members(described_files).where(F.col("n_tokens") >= BLOB_TOKENS).withColumn("origin", is_vendor)
+    words = [F.col("bits")[k].alias(w) for k, w in enumerate(_WORDS[:WORDS])]
+    # one row a content: is any file of it a vendor's, is any not
+    one = f.groupBy("member").agg(F.max("origin").alias("any_origin"), F.min("origin").alias("all_origin"), F.countDistinct(F.when(F.col("origin"), F.col("repo"))).alias("holders"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    one = cut(one.where(~F.col("all_origin") | (F.col("holders") >= HOLDERS)).select("member", "any_origin", "all_origin", (F.col("holders") >= HOLDERS).alias("origin"), "n", *words, "bands"))
+    same = one.where("origin AND NOT all_origin").select("member")
+    cols = ["n", *_WORDS[:WORDS]]
+    of = one.where("origin").select(F.col("member").alias("head"), *[F.col(c).alias(f"h_{c}") for c in cols], F.explode("bands").alias("band"))
+    to = one.where("NOT all_origin AND NOT origin").select("member", *cols, F.explode("bands").alias("band"))
+    near = to.join(of.hint("merge"), "band").where(_can_pair(_WORDS[:WORDS], "n", SIMILAR))
+    pairs = cut(near.groupBy(F.least("head", "member").alias("a"), F.greatest("head", "member").alias("b")).agg(F.count(F.lit(1)).alias("k")))
+    found = same.unionByName(_linked(pairs, f.select(*_FIELDS), _copy)).distinct()
+    return f.where(~F.col("origin")).select("id", "member").join(found.hint("merge"), "member", "left_semi").select("id").distinct()
 
 
 def machine_made(sources: DataFrame) -> DataFrame:
-    """(repo, filepath, kind) of the files that are not hand-written, by code or cluster; kind names the first evidence."""
+    """(repo, filepath, kind, evidence, clustered) of the files that are not hand-written.
+
+    evidence names the first that tells: mark (a comment or a lock file's field), form (minified or literals), lone
+    (one file that repeats a pattern), family or cluster; clustered: whether a family or cluster tells it, too.
+    """
     d = cut(described(sources))
     fam = families(d).withColumn("in_family", F.lit(True))
-    # a copy of a file that bears a vendor's mark or path is a copy, marked or not
     is_vendor = F.col("vendored") | F.lower("filepath").rlike(VENDOR_PATH)
-    origin = d.where(is_vendor & (F.col("n_tokens") >= BLOB_TOKENS)).select("content").distinct().withColumn("copied", F.lit(True))
-    told = d.drop("sh", "template", "names", "bits", "bands").join(fam, "id", "left").join(origin, "content", "left")
+    copied = copies(d, is_vendor).withColumn("copied", F.lit(True))
+    told = d.drop("seq", "names", "bits", "bands").join(fam.hint("merge"), "id", "left").join(copied.hint("merge"), "id", "left")
     lone = (F.col("variety") <= LONE_VARIETY) & (F.col("n_tokens") >= LONE_TOKENS) & F.col("calls")
-    kind = (
-        F.when(F.col("vendored"), "vendored")
-        .when(F.col("generated"), "generated")
-        .when(F.col("minified"), "minified")
-        .when(F.col("blob"), "blob")
-        .when(F.coalesce("in_family", F.lit(False)) | lone, "generated")
-        .when(F.coalesce("copied", F.lit(False)) & (F.col("n_tokens") >= BLOB_TOKENS), "vendored")
+    first = (
+        F.when(F.col("vendored"), "vendored mark")
+        .when(F.col("generated"), "generated mark")
+        .when(F.col("minified"), "minified form")
+        .when(F.col("blob"), "blob form")
+        .when(lone, "generated lone")
+        .when(F.coalesce("in_family", F.lit(False)), "generated family")
+        .when(F.coalesce("copied", F.lit(False)), "vendored cluster")
     )
-    return told.select("repo", "filepath", kind.alias("kind")).where("kind IS NOT NULL")
+    clustered = F.coalesce("in_family", "copied", F.lit(False))
+    out = told.select("repo", "filepath", F.split(first, " ").alias("first"), clustered.alias("clustered")).where("first IS NOT NULL")
+    return out.select("repo", "filepath", F.col("first")[0].alias("kind"), F.col("first")[1].alias("evidence"), "clustered")
 
 
 def marked(predictions: DataFrame, sources: DataFrame) -> DataFrame:
-    """(ord, by_path, kind) of the prediction rows whose file is not hand-written; repeated rows are all marked.
+    """(ord, by_path, kind, evidence, clustered) of the prediction rows whose file is not hand-written; repeated rows are all marked.
 
-    Rows with a null address or path are never marked; a file without a source row is judged by its path.
+    Rows with a null address or path are never marked; a file without a source row is judged by its path. kind and
+    evidence are the code's and cluster's, null where only the path tells.
     """
     rows = predictions.select("ord", repo_key(F.col("repo_url")).alias("repo"), "filepath").where("repo IS NOT NULL AND filepath IS NOT NULL")
     path = F.lower("filepath")
     by_path = F.when(path.rlike(VENDOR_PATH), "vendored").when(path.rlike(GENERATED_PATH), "generated").when(path.rlike(MINIFIED_PATH), "minified")
-    code = machine_made(sources).groupBy("repo", "filepath").agg(F.min("kind").alias("kind"))
+    code = machine_made(sources).groupBy("repo", "filepath").agg(F.min(F.struct("kind", "evidence", "clustered")).alias("k")).select("repo", "filepath", "k.*")
     both = rows.withColumn("by_path", by_path).join(code, ["repo", "filepath"], "left")
-    return both.where("by_path IS NOT NULL OR kind IS NOT NULL").select("ord", "by_path", "kind")
+    return both.where("by_path IS NOT NULL OR kind IS NOT NULL").select("ord", "by_path", "kind", "evidence", F.coalesce("clustered", F.lit(False)).alias("clustered"))

@@ -38,46 +38,51 @@ def body(text: str) -> tuple[str, str]:
     return code, extension(path)
 
 
-_IDS: dict[str, int] = {}
+class _Ids(dict):
+    """32-bit ids of tokens, remembered by the worker."""
 
+    def __missing__(self, t: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        got = self[t] = xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass"))
+        return got
 
-def _token_ids(toks: list[str]) -> np.ndarray:
-    if len(_IDS) > 500_000:
-        _IDS.clear()
-    for t in toks:
-        if t not in _IDS:
-            _IDS[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
-    return np.fromiter((_IDS[t] for t in toks), np.uint64, len(toks))
 
+_IDS = _Ids()
 
-def shingles(text: str, k: int = SHINGLE) -> tuple[bytes, np.ndarray]:
-    """(class id, shingle ids) of a text: path line first, code below. Code without tokens has no shingles."""
+
+def token_ids(text: str) -> np.ndarray:
+    """Ids of the code tokens of a text: path line first, code below."""
     t = tokens(*body(text))
-    if not t:
-        return b"", np.empty(0, np.uint64)
-    k = min(k, len(t))
-    ids = _token_ids(t)
+    return np.fromiter(map(_IDS.__getitem__, t), np.uint32, len(t))
+
+
+def shingles(ids: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Shingle ids of a token sequence, none of them twice; a sequence shorter than a shingle is one."""
+    k = min(k, len(ids))
+    if not k:
+        return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
+        wide = ids.astype(np.uint64) + np.uint64(1)
         h = np.zeros(len(ids) - k + 1, np.uint64)
         for i in range(k):
-            h = (h + ids[i : i + len(h)]) * _STEP
+            h = (h + wide[i : i + len(h)]) * _STEP
             h ^= h >> np.uint64(29)
         # the n-th occurrence of a shingle is an element of its own
-        by = np.argsort(h, kind="stable")
-        first = np.r_[True, h[by][1:] != h[by][:-1]]
-        nth = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-        h[by] = (h[by] + nth.astype(np.uint64) * _NEXT) * _STEP
-        h ^= h >> np.uint64(32)
-    return xxhash.xxh128_digest(ids.tobytes()), h
+        h.sort()
+        at = np.arange(len(h))
+        first = np.r_[True, h[1:] != h[:-1]]
+        h = (h + (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64) * _NEXT) * _STEP
+        return h ^ (h >> np.uint64(32))
 
 
-_ROWS = "ord bigint, split string, repo string, cls binary, n int, sh binary"
+_ROWS = "ord bigint, split string, repo string, cls binary, sh binary"
 
 
 def shingled(examples: DataFrame, text_col: str = "text", train: str = "train") -> DataFrame:
-    """(ord, split, repo, cls, n, sh): rows of a split with code. Null texts and texts without code are left out.
+    """(ord, split, repo, cls, sh): rows of a split with code. Null texts and texts without code are left out.
 
-    A task gives the shingles of a class and side once, however often it meets the class.
+    A task gives the token ids of a class and side once, however often it meets the class.
     """
     slim = examples.select("ord", "split", F.col(text_col).alias("text")).where("text IS NOT NULL AND split IS NOT NULL")
 
@@ -86,29 +91,22 @@ def shingled(examples: DataFrame, text_col: str = "text", train: str = "train")
         for b in batches:
             rows = []
             for o, s, t in b.itertuples(index=False):
-                cls, h = shingles(t)
-                if not cls:
+                ids = token_ids(t)
+                if not len(ids):
                     continue
-                sh = None
+                cls, sh = xxhash.xxh128_digest(ids.tobytes()), None
                 if (cls, s == train) not in given:
                     if len(given) < 1_000_000:
                         given.add((cls, s == train))
-                    sh = _packed(h)
-                rows.append((o, s, t.partition("/")[0].lower(), cls, len(h), sh))
+                    sh = ids.tobytes()
+                rows.append((o, s, t.partition("/")[0].lower(), cls, sh))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _ROWS.split(", ")])
 
     return slim.mapInPandas(run, _ROWS)
 
 
-def _packed(h: np.ndarray) -> bytes:
-    """The upper 48 bits of each id."""
-    return h.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
 def _ids(sh: bytes) -> np.ndarray:
-    out = np.zeros((len(sh) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(sh, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+    return shingles(np.frombuffer(sh, np.uint32))
 
 
 def _slot(h: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -207,7 +205,7 @@ def overlaps(examples: DataFrame, threshold: float = THRESHOLD, train: str = "tr
     one = sets.mapInPandas(prefixes, "cls binary, is_train boolean, n int, grams binary, places binary").where(F.length("grams") > 0)
     one = one.groupBy("cls", "is_train").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("places").alias("places"))
     # half of a class's id is its key among the candidates: two classes of one key are candidates together
-    heads = cut(one.mapInPandas(opened, "key bigint, is_train boolean, n int, gram bigint, pos int"))
+    heads = one.mapInPandas(opened, "key bigint, is_train boolean, n int, gram bigint, pos int")
     index = heads.where("NOT is_train").select("gram", F.col("key").alias("e"), F.col("pos").alias("pe"), F.col("n").alias("ne"))
     probe = heads.where("is_train").select("gram", F.col("key").alias("t"), F.col("pos").alias("pt"), F.col("n").alias("nt"))
     need = F.ceil((F.col("ne") + F.col("nt")) * (threshold / (1 + threshold)) - 1e-9)

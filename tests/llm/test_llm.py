@@ -82,7 +82,7 @@ def test_overlaps_against_all_pairs(spark):
         body = ("\r\n" if i % 7 == 0 else "\n").join(lines) + ("\n# note" if i % 3 == 0 else "")
         rows.append((i, "p", f"repo/f{i}.py\n{body}", None, None, None, rnd.choice(["train", "val", "test"])))
     rows += [(100, "p", None, None, None, None, "val"), (101, "p", "", None, None, None, "train"), (102, "p", "repo/x.py\n# only", None, None, None, "test"), (103, "p", "r/x.py\nq", None, None, None, None)]
-    sets = {o: set(split_overlap.shingles(t)[1].tolist()) for o, _, t, *_, s in rows if t and s}
+    sets = {o: set(split_overlap.shingles(split_overlap.token_ids(t)).tolist()) for o, _, t, *_, s in rows if t and s}
     want = {}
     for a, *_, sa in rows:
         for b, *_, sb in rows:
@@ -301,6 +301,21 @@ def test_families_next_to_a_foreign_head(spark):
         assert handwritten.families(f, most).join(f, "id").select("filepath").distinct().count() == 12
 
 
+def test_copies_of_a_vendored_file(spark):
+    """Word for word or edited, where two repositories hold the file as a vendor's; a template under other names is none."""
+    lib, other = _code_files(1, 31, 20)[0], _code_files(2, 31, 20)[1]
+    held = [("https://h/o/n", "vendor/x/a.py", lib), ("https://h/p/q", "b.py", "# Imported from xlib, commit b1947c1939, unchanged\n" + lib)]
+    src = [*held, ("https://h/r/s", "c.py", lib), ("https://h/t/u", "d.py", lib + "\nprint(lib)\n"), ("https://h/v/w", "e.py", other)]
+    assert _marked(spark, src) == {0, 1, 2, 3}
+    # of one marked copy and one plain file either may be the original
+    assert _marked(spark, [src[0], src[2]]) == {0}
+
+
+@pytest.mark.parametrize(("path", "bad"), [("a/x_autogen.ts", 1), ("a/BarOuterClass.java", 1), ("a/zz_generated.deepcopy.go", 1), ("thirdparty/a.c", 1), ("src/generators/a.py", 0), ("lib/external_orders/a.py", 0), ("a/autogenerate.py", 0), ("a/vendors.py", 0)])
+def test_paths(path, bad):
+    assert bool(handwritten.re.search(handwritten.PATHS, path.lower())) is bool(bad)
+
+
 @pytest.mark.parametrize(
     "header",
     ["".join(f"# licence line {i}\n" for i in range(40)) + "# Bundled copy of abc.\n", "/*\n" + "".join(f"Licence line {i}\n" for i in range(40)) + "upstream: https://h/abc\n*/\n", "// a\n\n" * 20 + "// abc v1.2.3\n"],
