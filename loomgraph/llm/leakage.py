@@ -4,7 +4,8 @@ Q-gram lemma filtering. Texts are reduced to lower-case words joined by single s
 held-out items form the index; a document's q-grams hit it at (item, diagonal = position in the document
 minus position in the item). Diagonals fall into bands of 2 * STEP that overlap by STEP, so a passage whose
 changes move it by less than STEP characters lies whole in one band. E edited words spoil a bounded number
-of q-grams, hence a band with fewer distinct hits than the item's bound cannot hold a case. The bands that
+of q-grams, hence a band with fewer distinct hits than the item's bound cannot hold a case. An item whose words are
+too short for a bound at Q is indexed by shorter q-grams, and if none gives a bound, by its words. The bands that
 remain are verified by a banded word alignment with at most EDITS edits.
 """
 
@@ -19,7 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q, STEP, EDITS, PART = 16, 64, 2, 0.5
+#: Lengths of q-grams, powers of two, longest first: an item takes the first that leaves it LEAST q-grams at least.
+QS, LEAST = (16, 8, 4, 2), 4
+STEP, EDITS, PART = 64, 2, 0.5
 WORD_BAND = 16  # words on either side of the band's diagonal that the alignment may use
 #: Characters of held-out text in one broadcast index; more items are taken in several blocks.
 BLOCK_CHARS = 8_000_000
@@ -28,79 +31,95 @@ _MARKUP = re.compile(r"<[^<>\n]{0,80}>|&(?:nbsp|amp|quot|lt|gt|#\d+);")
 _WORD = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+")
 #: Characters without width or meaning for a word (fixed values).
 _DROP = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
+_DROPPED = re.compile("[" + "".join(map(chr, _DROP)) + "]")
 
 
 def words(text: str | None) -> list[str]:
     """Words of a text, apart from case, punctuation, spacing, markup and the spelling of characters."""
-    t = unicodedata.normalize("NFKC", (text or "").translate(_DROP)).casefold()
-    return _WORD.findall(_MARKUP.sub(" ", t))
+    t = text or ""
+    if not t.isascii():
+        t = unicodedata.normalize("NFKC", t.translate(_DROP) if _DROPPED.search(t) else t)
+    t = t.casefold()
+    return _WORD.findall(_MARKUP.sub(" ", t) if "<" in t or "&" in t else t)
 
 
-def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
-    """Rolling hashes of all q-grams of an array of code points."""
+def grams(codes: np.ndarray, q: int = QS[0]) -> np.ndarray:
+    """Hashes of all q-grams of an array of code points; q is a power of two: hashes of halves are joined."""
     n = len(codes) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    c, h = codes.astype(np.uint64), np.zeros(n, np.uint64)
+    h, width = codes.astype(np.uint64) + np.uint64(1), 1
     with np.errstate(over="ignore"):
-        for i in range(q):
-            h = h * _BASE + c[i : i + n] + np.uint64(1)
-        h ^= h >> np.uint64(29)
-    return h
+        while width < q:
+            h = (h[: len(h) - width] * _BASE) ^ h[width:]
+            h ^= h >> np.uint64(29)
+            width *= 2
+        return h * _BASE
 
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def bound(w: list[str], q: int) -> int:
+    """Least distinct q-grams that a case keeps: those of the shortest half, less what EDITS words can spoil."""
+    need = -(-len(w) // 2)
+    if not need:
+        return 0
+    size = [len(x) + 1 for x in w]
+    ends = np.cumsum([0, *size])
+    least = int(min(ends[need:] - ends[:-need])) - 1
+    return least - q + 1 - sum(sorted(size)[-EDITS:]) - EDITS * q
+
+
 class Index:
-    """Q-grams of a block of items, sorted by hash, with a bit table in front."""
+    """Q-grams of the items of a block that share one q, sorted by hash, with a bit table in front."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.words, self.bound = [], [], []
-        hashes, item, at = [], [], []
-        for k, (i, text) in enumerate(items):
-            w = words(text)
-            self.ids.append(i)
-            self.words.append(w)
-            h = grams(codes(" ".join(w)))
-            hashes.append(h)
-            item.append(np.full(len(h), k, np.int64))
-            at.append(np.arange(len(h)))
-            self.bound.append(self._bound(w))
-        self.least = min(self.bound, default=1)
+    BITS = 22
+
+    def __init__(self, items: list[tuple[int, list[str]]], q: int = QS[0]):
+        self.q = q
+        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
+        self.bound = [max(1, bound(w, q)) for w in self.words]
+        self.least, self._bounds = min(self.bound, default=1), np.array(self.bound, np.int64)
+        hashes = [grams(codes(" ".join(w)), q) for w in self.words]
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         by = np.argsort(h, kind="stable")
-        self.hash, self.item, self.at = h[by], np.concatenate(item or [np.empty(0, np.int64)])[by], np.concatenate(at or [np.empty(0, np.int64)])[by]
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.hash & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-
-    @staticmethod
-    def _bound(w: list[str]) -> int:
-        """Least distinct q-grams that a case keeps: those of the shortest half, less what EDITS words can spoil."""
-        need = -(-len(w) // 2)
-        if not need:
-            return 1
-        size = [len(x) + 1 for x in w]
-        ends = np.cumsum([0, *size])
-        least = int(min(ends[need:] - ends[:-need])) - 1
-        spoilt = sum(sorted(size)[-EDITS:]) + EDITS * Q
-        return max(4, least - Q + 1 - spoilt)
+        self.hash = h[by]
+        # how often a hash stands there from its first place on
+        first = np.r_[True, self.hash[1:] != self.hash[:-1]] if len(h) else np.empty(0, bool)
+        starts = np.flatnonzero(first)
+        self.run = np.zeros(len(h), np.int64)
+        self.run[starts] = np.diff(np.r_[starts, len(h)])
+        self.item = np.concatenate([np.full(len(x), k, np.int64) for k, x in enumerate(hashes)] or [np.empty(0, np.int64)])[by]
+        self.at = np.concatenate([np.arange(len(x)) for x in hashes] or [np.empty(0, np.int64)])[by]
+        self.bits = np.zeros(1 << self.BITS, bool)
+        self.bits[self._slot(self.hash)] = True
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.BITS)).astype(np.int64)
 
     def bands(self, text: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(item number, positions of the hits in the text, and in the item) of the bands that keep the bound, the fullest first."""
-        h = grams(text)
-        pos = np.flatnonzero(self.bits[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
-        if not len(pos):
+        h = grams(text, self.q)
+        pos = np.flatnonzero(self.bits[self._slot(h)])
+        if len(pos) < self.least:
             return []
         g = h[pos]
-        lo, hi = np.searchsorted(self.hash, g, "left"), np.searchsorted(self.hash, g, "right")
-        n = hi - lo
+        lo = np.searchsorted(self.hash, g, "left")
+        n = np.where(self.hash[np.minimum(lo, len(self.hash) - 1)] == g, self.run[np.minimum(lo, len(self.hash) - 1)], 0)
         if not n.sum():
             return []
         src = np.repeat(pos, n)
         idx = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         item, at = self.item[idx], self.at[idx]
+        # an item's hits in all bands together must keep its bound first
+        total = np.bincount(item, minlength=len(self.ids))
+        some = (total >= self._bounds)[item]
+        if not some.any():
+            return []
+        if not some.all():
+            src, item, at = src[some], item[some], at[some]
         band = (src - at) // STEP
         low = int(band.min()) - 1
         span = int(band.max()) - low + 1
@@ -185,27 +204,59 @@ def aligned(doc: list[str], item: list[str], centre: int, need: int, band: int =
     return best
 
 
-def leaked(index: Index, text: str | None) -> list[tuple[int, float]]:
+class Items:
+    """The index of a block of items: by q-grams, as long as each item's words allow, or by words."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        read = [(i, w) for i, t in items if (w := words(t))]
+        groups: dict[int, list[tuple[int, list[str]]]] = {}
+        for i, w in read:
+            groups.setdefault(next((q for q in QS if bound(w, q) >= LEAST), 0), []).append((i, w))
+        self.short = groups.pop(0, [])
+        self.indexes = [Index(g, q) for q, g in groups.items()]
+
+
+def _longest(w: list[str], item: list[str], diagonals: np.ndarray) -> int:
+    """Words of the longest window of item that w holds near one of the diagonals, 0 if it is not the part that counts."""
+    need = -(-len(item) * PART // 1)
+    for centre in centres(diagonals):
+        got = aligned(w, item, centre, len(item) + 1)
+        if got >= need:
+            return got
+    return 0
+
+
+def leaked(items: Items, text: str | None) -> list[tuple[int, float]]:
     """(item id, share of its words) of the items that a text holds."""
     w = words(text)
     if not w:
         return []
-    out = {}
     line = codes(" ".join(w))
-    word_at = np.concatenate([[0], np.cumsum(line == 32)])
-    for i, src, at in index.bands(line):
-        if i in out:
-            continue
-        item = index.words[i]
-        need = -(-len(item) * PART // 1)
-        # the band's diagonals in words, measured where its hits are: words of other lengths before them do not count
-        starts = np.cumsum([0, *[len(x) + 1 for x in item]])
-        for centre in centres(word_at[src] - (np.searchsorted(starts, at, "right") - 1)):
-            got = aligned(w, item, centre, len(item) + 1)
-            if got >= need:
-                out[i] = max(out.get(i, 0.0), got / len(item))
-                break
-    return [(index.ids[i], s) for i, s in out.items()]
+    out: list[tuple[int, float]] = []
+    word_at = None
+    for index in items.indexes:
+        done: dict[int, int] = {}
+        for i, src, at in index.bands(line):
+            if i in done:
+                continue
+            if word_at is None:
+                word_at = np.concatenate([[0], np.cumsum(line == 32)])
+            item = index.words[i]
+            # the band's diagonals in words, measured where its hits are: words of other lengths before them do not count
+            starts = np.cumsum([0, *[len(x) + 1 for x in item]])
+            got = _longest(w, item, word_at[src] - (np.searchsorted(starts, at, "right") - 1))
+            if got:
+                done[i] = got
+        out += [(index.ids[i], got / len(index.words[i])) for i, got in done.items()]
+    if items.short:
+        places: dict[str, list[int]] = {}
+        for k, x in enumerate(w):
+            places.setdefault(x, []).append(k)
+        for i, item in items.short:
+            got = _longest(w, item, np.array([p - k for k, x in enumerate(item) for p in places.get(x, ())], np.int64))
+            if got:
+                out.append((i, got / len(item)))
+    return out
 
 
 def find(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,12 +274,12 @@ def find(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     out = None
     for b in range(blocks):
         part = [(r.item_id, r.t) for r in slim_items.where(block_of == b).orderBy("item_id").toLocalIterator()]
-        shared = spark.sparkContext.broadcast(Index(part))
+        shared = spark.sparkContext.broadcast(Items(part))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = shared.value
+            items = shared.value
             for pdf in batches:
-                rows = [(d, i, s) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, s in leaked(index, t)]
+                rows = [(d, i, s) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, s in leaked(items, t)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share"])
 
         found = docs.mapInPandas(run, "doc_id bigint, item_id bigint, share double")

@@ -435,11 +435,24 @@ def test_leaks(spark):
 def test_leak_of_a_later_part_behind_words_of_other_lengths(before):
     rnd = random.Random(1)
     item = ["".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(60)] + [f"{rnd.choice('xyz')}{i}" for i in range(150)]
-    index = leakage.Index([(7, " ".join(item))])
+    index = leakage.Items([(7, " ".join(item))])
     assert [i for i, _ in leakage.leaked(index, before + " ".join(item[80:]) + " end of it")] == [7]
     assert [i for i, _ in leakage.leaked(index, before + " ".join(item[150:]))] == []
 
 
+@pytest.mark.parametrize("n", [50, 12, 6, 4])
+def test_items_of_short_words(n):
+    """A copy of half the words with one changed is found however short they are."""
+    rnd = random.Random(n)
+    item = [chr(0x4E00 + rnd.randrange(3000)) for _ in range(n)]
+    half = item[: n // 2 + 3]
+    half[len(half) // 2] = chr(0x3042)
+    filler = [chr(0x6E00 + rnd.randrange(3000)) for _ in range(200)]
+    index = leakage.Items([(7, "".join(item)), (8, "".join(filler[:5]))])
+    assert (7 in {i for i, _ in leakage.leaked(index, "".join(filler[:90] + half + filler[90:]))}) is (n >= 4)
+    assert 7 not in {i for i, _ in leakage.leaked(index, "".join(filler))}
+
+
 # ---- 10 ------------------------------------------------------------------------------------------
 def test_language_names(spark):
     pairs = [("en", "en"), (" EN", "en"), ("en-QZ", "en"), ("German", "de"), ("und", None), ("", None), (None, None), ("unknown", None), ("pt_BR", "pt"), ("x1", None)]
