@@ -119,27 +119,26 @@ def _code(t: str) -> int:
 
 
 class _Table(dict):
-    """Tokens of a worker, numbered; what is known of each lies in lists by number. Cleared when it has grown large."""
+    """Tokens of a worker, numbered; what is known of each lies in arrays by number. Cleared when it has grown large."""
 
-    def __init__(self) -> None:
-        self.codes: list[int] = []
-        self.hashes: list[int] = []
-        self.packed: list[int] = []
+    def __init__(self, room: int = 1 << 16) -> None:
+        self.codes, self.hashes, self.packed = np.zeros(room, np.uint8), np.zeros(room, np.uint64), np.zeros(room, np.int32)
 
     def __missing__(self, t: str) -> int:
-        k = self[t] = len(self.codes)
-        self.codes.append(_code(t))
-        self.hashes.append(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")))
-        self.packed.append(len(t) if len(t) >= PACKED and _PACKED.fullmatch(t) else 0)
+        k = self[t] = len(self)
+        if k >= len(self.codes):
+            self.codes, self.hashes, self.packed = (np.concatenate([x, np.zeros_like(x)]) for x in (self.codes, self.hashes, self.packed))
+        self.codes[k] = _code(t)
+        self.hashes[k] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
+        self.packed[k] = len(t) if len(t) >= PACKED and _PACKED.fullmatch(t) else 0
         return k
 
     def read(self, toks: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         """(bytes of the masked tokens, hashes of the tokens, characters in packed strings)."""
         if len(self) > 500_000:
             self.clear()
-            self.__init__()
-        at = list(map(self.__getitem__, toks))
-        return np.array([self.codes[k] for k in at], np.uint8), np.array([self.hashes[k] for k in at], np.uint64), sum([self.packed[k] for k in at])
+        at = np.fromiter(map(self.__getitem__, toks), np.int64, len(toks))
+        return self.codes[at], self.hashes[at], int(self.packed[at].sum())
 
 
 _TOKENS = _Table()
@@ -196,7 +195,9 @@ def sets_of(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bands(h: np.ndarray) -> np.ndarray:
     """Keys of the MinHash bands of a shingle set."""
     with np.errstate(over="ignore"):
-        sig = np.concatenate([(h * _A[k : k + ROWS, None] + _B[k : k + ROWS, None]).min(axis=1) for k in range(0, BANDS * ROWS, ROWS)]).reshape(BANDS, ROWS)
+        # blocks keep the products small however long the file is
+        least = [(h[k : k + 4096] * _A[:, None] + _B[:, None]).min(axis=1) for k in range(0, len(h), 4096)]
+        sig = (least[0] if len(least) == 1 else np.min(least, axis=0)).reshape(BANDS, ROWS)
         band = np.zeros(BANDS, np.uint64)
         for r in range(ROWS):
             band = band * _STEP + sig[:, r]
@@ -209,7 +210,7 @@ def features(path: str, code: str) -> Features:
     ext = extension(path)
     program = ext in HASH | SLASH and ext not in ("yml", "yaml", "ini", "cfg", "toml", "conf")
     # a generator may sign below the imports or at the very end: every unindented comment line counts
-    gen = any(GENERATED_MARK.match(h) for h in _MARGIN_COMMENT.findall(code)) or (ext == "json" and bool(_LOCK.search(code)))
+    gen = any(map(GENERATED_MARK.match, _MARGIN_COMMENT.findall(code))) or (ext == "json" and bool(_LOCK.search(code)))
     ven = any(VENDOR_MARK.match(h) for h in leading_comments(code))
     small = program and minified(code)
     seq, hashes, packed = _TOKENS.read(tokens(code, ext))
@@ -218,7 +219,7 @@ def features(path: str, code: str) -> Features:
     # in a blob literals and the marks between them are nearly all there is, by tokens or by characters
     literals = int((seq <= _NUMBER).sum())
     rest = int(((seq > _NUMBER) & (seq < 64)).sum())
-    packed += sum(map(len, _PACKED_LINE.findall(code)))
+    packed += sum(map(len, _PACKED_LINE.findall(code))) if program else 0
     table = n >= BLOB_TOKENS and literals >= BLOB_LITERALS * n and rest <= max(8, 0.05 * n)
     blob = program and (table or packed >= BLOB_CHARS * len(code))
     calls = int((seq == 64 + ord("(")).sum()) >= CALLS * n
