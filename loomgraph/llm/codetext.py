@@ -13,7 +13,8 @@ _STRIP = {
     "#": re.compile(rf"({_STRING})|(?<![^\s;(,])#[^\n]*"),
     "/": re.compile(rf"({_STRING}|`(?:[^`\\]|\\.)*`)|//[^\n]*|/\*.*?(?:\*/|\Z)", re.S),
 }
-TOKEN = re.compile(rf"{_STRING}|[^\W\d][\w$]*|\d[\w.]*|[^\s\w]")
+_WORD = r"[A-Za-z_][\w$]*|\d[\w.]*|[^\W\d][\w$]*"
+TOKEN = re.compile(rf"{_WORD}|{_STRING}|[^\s\w]")
 
 
 def extension(path: str | None) -> str:
@@ -28,11 +29,10 @@ def without_comments(code: str, ext: str) -> str:
     return _STRIP[style].sub(lambda m: m.group(1) or " ", code)
 
 
-_BODY = TOKEN.pattern
 _ALL = {
     "": TOKEN,
-    "#": re.compile(rf"{_STRING}|(?<![^\s;(,])#[^\n]*|{_BODY}"),
-    "/": re.compile(rf"{_STRING}|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?(?:\*/|\Z)|{_BODY}", re.S),
+    "#": re.compile(rf"{_WORD}|{_STRING}|(?<![^\s;(,])#[^\n]*|[^\s\w]"),
+    "/": re.compile(rf"{_WORD}|{_STRING}|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?(?:\*/|\Z)|[^\s\w]", re.S),
 }
 
 

@@ -44,6 +44,7 @@ ALL_PAIRS = 64  # members of a bucket up to which all its pairs are compared
 #: Repositories that hold a content by a vendor's mark or path before copies elsewhere count as vendored: of one such
 #: copy and one file without a mark either may be the original.
 HOLDERS = 2
+FEW_HEADS = 10_000  # vendored contents whose bands may be broadcast (6 MB); more are joined by shuffle
 
 #: Paths (fixed values), Java and Python regex alike, on the lower-case path.
 VENDOR_PATH = r"(?:^|/)(?:node_modules|bower_components|jspm_packages|web_modules|_vendor|vendored|third[_-]?party|3rd[_-]?party|pods|carthage|site-packages)/|(?:^|/)(?:vendor|external|deps)/[^/]+/"
@@ -453,7 +454,8 @@ def families(described_files: DataFrame, most: int = ALL_PAIRS) -> DataFrame:
 
     Exact within the buckets: a member of a large bucket whose head's pair does not verify is compared with all of it.
     """
-    f = _members(described_files, "repo")
+    # a file that neither repeats itself nor is long has no links
+    f = _members(described_files, "repo").where("repeats OR long")
     sets = f.select(*_FIELDS)
     words = [F.col("bits")[k].alias(w) for k, w in enumerate(_WORDS)]
     slim = f.select("member", "repo", "n", "nt", "repeats", "long", *words, F.explode("bands").alias("band")).select(F.xxhash64("repo", "band").alias("bucket"), "member", *_TRAITS)
@@ -482,7 +484,10 @@ def copies(described_files: DataFrame, is_vendor: Column) -> DataFrame:
     cols = ["n", *_WORDS[:WORDS]]
     of = one.where("origin").select(F.col("member").alias("head"), *[F.col(c).alias(f"h_{c}") for c in cols], F.explode("bands").alias("band"))
     to = one.where("NOT all_origin AND NOT origin").select("member", *cols, F.explode("bands").alias("band"))
-    near = to.join(of.hint("merge"), "band").where(_can_pair(_WORDS[:WORDS], "n", SIMILAR))
+    few = one.where("origin").limit(FEW_HEADS + 1).count()
+    if not few:
+        return f.select("id").limit(0)
+    near = to.join(F.broadcast(of) if few <= FEW_HEADS else of.hint("merge"), "band").where(_can_pair(_WORDS[:WORDS], "n", SIMILAR))
     pairs = cut(near.groupBy(F.least("head", "member").alias("a"), F.greatest("head", "member").alias("b")).agg(F.count(F.lit(1)).alias("k")))
     found = same.unionByName(_linked(pairs, f.select(*_FIELDS), _copy)).distinct()
     return f.where(~F.col("origin")).select("id", "member").join(found.hint("merge"), "member", "left_semi").select("id").distinct()
