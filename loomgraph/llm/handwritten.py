@@ -40,6 +40,7 @@ FAMILY_VARIETY, LONE_VARIETY, LONE_TOKENS = 0.3, 0.16, 80
 #: (a hand-edited copy keeps its names); for files of LONE_TOKENS tokens and more.
 WINDOWS, TEMPLATE, SAME_NAMES = 4, 0.6, 0.5
 WORDS, TEMPLATE_WORDS = 4, 8  # 64-bit words of the bitmaps of a shingle set and of a template
+BLOCK, BLOCK_PAIRS = 64, 400_000  # heads of a large bucket, and pairs with them, that are compared in one go
 ALL_PAIRS = 64  # members of a bucket up to which all its pairs are compared
 #: Repositories that hold a content by a vendor's mark or path before copies elsewhere count as vendored: of one such
 #: copy and one file without a mark either may be the original.
@@ -287,8 +288,13 @@ def _may_link(t: Traits, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
 
 
 def compared(bucket: np.ndarray, traits: Traits, most: int = ALL_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, big): index pairs of whole buckets, sorted by bucket, that may be links: all of them in a bucket of at most
-    `most` members; else those of heads, the next head being the first member that no head reached."""
+    """(a, b, big): index pairs within the buckets, equal buckets side by side, that may be links: all of them in a bucket
+    of at most `most` members; else those of heads, the next head being the first member that no head reached.
+
+    Members are taken by size: what is too large for one is too large for all before it.
+    """
+    by = np.lexsort((traits.n, bucket))
+    bucket, traits = bucket[by], Traits(*(x[by] for x in traits))
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     ends = np.r_[starts[1:], len(bucket)]
     end = np.repeat(ends, ends - starts)
@@ -300,22 +306,36 @@ def compared(bucket: np.ndarray, traits: Traits, most: int = ALL_PAIRS) -> tuple
 
     for step in range(1, most):
         left = left[left + step < end[left]]
+        left = left[traits.n[left] >= SIMILAR * traits.n[left + step]]
         if not len(left):
             break
         ok = _may_link(traits, left, left + step)
         keep(left[ok], left[ok] + step, False)
     for lo, hi in zip(starts[ends - starts > most], ends[ends - starts > most], strict=True):
-        open_, every = np.ones(hi - lo, bool), np.arange(lo, hi)
-        while open_.any():
-            head = int(open_.argmax())
-            ok = _may_link(traits, lo + head, every)
-            ok[head] = True
-            open_[ok] = False
-            ok[head] = False
-            keep(np.full(int(ok.sum()), lo + head), every[ok], True)
+        n = traits.n[lo:hi]
+        first = lo + np.searchsorted(n, np.ceil(SIMILAR * n - 1e-9), "left")
+        last = lo + np.searchsorted(n, np.floor(n / SIMILAR + 1e-9), "right")
+        open_, head = np.ones(hi - lo, bool), 0
+        size = max(1, min(BLOCK, BLOCK_PAIRS // int((last - first).max())))
+        while head < len(open_):
+            # the next open members and all that their sizes allow, in one go; whom an earlier one reaches is no head
+            block = head + np.flatnonzero(open_[head : head + size])
+            count = (last - first)[block]
+            x = np.repeat(lo + block, count)
+            y = np.repeat(first[block], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            ok = _may_link(traits, x, y) & (x != y)
+            x, y = x[ok], y[ok]
+            at = np.searchsorted(x, lo + np.r_[block, hi])
+            for k, h in enumerate(block):
+                if open_[h]:
+                    near = y[at[k] : at[k + 1]]
+                    open_[near - lo] = False
+                    if len(near):
+                        keep(np.full(len(near), lo + h), near, True)
+            head += size
     if not xs:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(bigs)
+    return by[np.concatenate(xs)], by[np.concatenate(ys)], np.concatenate(bigs)
 
 
 def _stars(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
