@@ -39,12 +39,13 @@ FAMILY_VARIETY, LONE_VARIETY, LONE_TOKENS = 0.3, 0.16, 80
 #: One template: so many windows of SHINGLE tokens in a row, their similarity at least, and the names in common at most
 #: (a hand-edited copy keeps its names); for files of LONE_TOKENS tokens and more.
 WINDOWS, TEMPLATE, SAME_NAMES = 4, 0.6, 0.5
-WORDS, TEMPLATE_WORDS = 4, 8  # 64-bit words of the bitmaps of a shingle set and of a template
+WORDS, TEMPLATE_WORDS = 8, 8  # 64-bit words of the bitmaps of a shingle set and of a template
 BLOCK, BLOCK_PAIRS = 64, 400_000  # heads of a large bucket, and pairs with them, that are compared in one go
 ALL_PAIRS = 64  # members of a bucket up to which all its pairs are compared
 #: Repositories that hold a content by a vendor's mark or path before copies elsewhere count as vendored: of one such
 #: copy and one file without a mark either may be the original.
 HOLDERS = 2
+SMALL_IDS = 50_000
 FEW_HEADS = 10_000  # vendored contents whose bands may be broadcast (6 MB); more are joined by shuffle
 
 #: Paths (fixed values), Java and Python regex alike, on the lower-case path.
@@ -419,6 +420,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, link) -> DataFrame:
     return pairs.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").mapInPandas(run, "a bigint, b bigint")
 
 
+def _sized(ids: DataFrame) -> DataFrame:
+    """A written table of ids for a join: broadcast while it is small (1 MB), else merged."""
+    return F.broadcast(ids) if ids.limit(SMALL_IDS + 1).count() <= SMALL_IDS else ids.hint("merge")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("member")).distinct()
 
@@ -431,7 +437,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, link) -> DataFrame:
     first = cut(best.select(F.least("member", "other").alias("a"), F.greatest("member", "other").alias("b")).distinct())
     found = cut(_ends(_verified(first, sets, link)))
     # a pair that was not tried and has an end without a link
-    open_ = cut(both.join(found.hint("merge"), "member", "left_anti").select(F.least("member", "other").alias("a"), F.greatest("member", "other").alias("b")).distinct().join(first.hint("merge"), ["a", "b"], "left_anti"))
+    open_ = cut(both.join(_sized(found), "member", "left_anti").select(F.least("member", "other").alias("a"), F.greatest("member", "other").alias("b")).distinct().join(_sized(first), ["a", "b"], "left_anti"))
     return cut(found.unionByName(_ends(_verified(open_, sets, link))).distinct())
 
 
@@ -483,14 +489,14 @@ def families(described_files: DataFrame, most: int = ALL_PAIRS) -> DataFrame:
     dealt = buckets.repartition(parallelism(f.sparkSession), "bucket").sortWithinPartitions("bucket", "member")
     pairs = cut(dealt.mapInPandas(lambda batches: _stars(batches, most), "a bigint, b bigint, big boolean").groupBy("a", "b").agg(F.max("big").alias("big"), F.count(F.lit(1)).alias("k")))
     found = _linked(pairs, sets, _family)
-    missed = cut(_ends(pairs.where("big")).join(found.hint("merge"), "member", "left_anti"))
+    missed = cut(_ends(pairs.where("big")).join(_sized(found), "member", "left_anti"))
     if not missed.isEmpty():
-        heads = buckets.join(missed.hint("merge"), "member", "left_semi").select("bucket", F.col("member").alias("head"), *[F.col(c).alias(f"h_{c}") for c in _TRAITS])
+        heads = buckets.join(_sized(missed), "member", "left_semi").select("bucket", F.col("member").alias("head"), *[F.col(c).alias(f"h_{c}") for c in _TRAITS])
         template = F.col("long") & F.col("h_long") & _can_pair(_WORDS[WORDS:], "nt", TEMPLATE)
         near = _can_pair(_WORDS[:WORDS], "n", SIMILAR) & (template | (F.col("repeats") & F.col("h_repeats")))
         more = heads.join(buckets.hint("merge"), "bucket").where((F.col("head") != F.col("member")) & near).groupBy(F.least("head", "member").alias("a"), F.greatest("head", "member").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-        found = found.unionByName(_linked(cut(more.join(pairs.hint("merge"), ["a", "b"], "left_anti")), sets, _family)).distinct()
-    return f.select("id", "member").join(found.hint("merge"), "member", "left_semi").select("id").distinct()
+        found = cut(found.unionByName(_linked(cut(more.join(pairs.hint("merge"), ["a", "b"], "left_anti")), sets, _family)).distinct())
+    return cut(f.select("id", "member").join(_sized(found), "member", "left_semi").select("id").distinct())
 
 
 def copies(described_files: DataFrame, is_vendor: Column) -> DataFrame:
@@ -509,8 +515,8 @@ def copies(described_files: DataFrame, is_vendor: Column) -> DataFrame:
         return f.select("id").limit(0)
     near = to.join(F.broadcast(of) if few <= FEW_HEADS else of.hint("merge"), "band").where(_can_pair(_WORDS[:WORDS], "n", SIMILAR))
     pairs = cut(near.groupBy(F.least("head", "member").alias("a"), F.greatest("head", "member").alias("b")).agg(F.count(F.lit(1)).alias("k")))
-    found = same.unionByName(_linked(pairs, f.select(*_FIELDS), _copy)).distinct()
-    return f.where(~F.col("origin")).select("id", "member").join(found.hint("merge"), "member", "left_semi").select("id").distinct()
+    found = cut(same.unionByName(_linked(pairs, f.select(*_FIELDS), _copy)).distinct())
+    return cut(f.where(~F.col("origin")).select("id", "member").join(_sized(found), "member", "left_semi").select("id").distinct())
 
 
 def machine_made(sources: DataFrame) -> DataFrame:
@@ -520,10 +526,10 @@ def machine_made(sources: DataFrame) -> DataFrame:
     (one file that repeats a pattern), family or cluster; clustered: whether a family or cluster tells it, too.
     """
     d = cut(described(sources))
-    fam = families(d).withColumn("in_family", F.lit(True))
+    fam = _sized(families(d)).withColumn("in_family", F.lit(True))
     is_vendor = F.col("vendored") | F.lower("filepath").rlike(VENDOR_PATH)
-    copied = copies(d, is_vendor).withColumn("copied", F.lit(True))
-    told = d.drop("seq", "names", "bits", "bands").join(fam.hint("merge"), "id", "left").join(copied.hint("merge"), "id", "left")
+    copied = _sized(copies(d, is_vendor)).withColumn("copied", F.lit(True))
+    told = d.drop("seq", "names", "bits", "bands").join(fam, "id", "left").join(copied, "id", "left")
     lone = (F.col("variety") <= LONE_VARIETY) & (F.col("n_tokens") >= LONE_TOKENS) & F.col("calls")
     first = (
         F.when(F.col("vendored"), "vendored mark")
