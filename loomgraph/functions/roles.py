@@ -25,6 +25,7 @@ PATH_POINTS = [
     (r"(^|/)(main|index|app|server|__main__|cmd)\.(py|js|ts|go|java|rb)$", "entry_point", 4),
     (r"(^|/)(utils?|helpers?|common|shared)(/|\.py$|\.js$|\.ts$)", "utility", 4),
 ]
+#: Patterns counted in or sought in the code.
 FUNCTIONS = r"\bdef \w+\(|\bfunction \w*\(|\b\w+\s*=\s*\([^)]*\)\s*=>"
 CLASSES = r"\bclass \w+"
 MAIN_GUARD = r"""if __name__ == ["']__main__["']"""

@@ -21,10 +21,10 @@ GRAMMAR_OF = {
     ".cpp": ("cpp", "C++"), ".cc": ("cpp", "C++"), ".cxx": ("cpp", "C++"), ".hpp": ("cpp", "C++"), ".hh": ("cpp", "C++"),
 }
 #: Names that count as builtin calls.
-BUILTINS = (
-    "open print len getattr setattr hasattr isinstance type range enumerate zip map filter sorted list dict set tuple str int float bool repr super next iter "
-    "vars dir id hex bin oct abs round min max sum any all format input exit quit assert"
-).split()
+BUILTINS = [
+    "open", "print", "len", "getattr", "setattr", "hasattr", "isinstance", "type", "range", "enumerate", "zip", "map", "filter", "sorted", "list", "dict", "set", "tuple", "str", "int", "float", "bool",
+    "repr", "super", "next", "iter", "vars", "dir", "id", "hex", "bin", "oct", "abs", "round", "min", "max", "sum", "any", "all", "format", "input", "exit", "quit", "assert",
+]
 #: Fixed vocabularies of the feature vector.
 NODE_TYPES = ["File", "Class", "Function", "Variable", "Module", "OTHER"]
 FEATURE_LANGUAGES = ["Python", "Shell", "JavaScript", "TypeScript", "C", "C++", "Java", "Go", "Rust", "R", "HTML", "CSS", "JSON", "OTHER"]
@@ -57,6 +57,12 @@ def repo_name(url: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1), r"\.git$", "")
 
 
+def repo_id(path: Column) -> Column:
+    """Id of a graph file: the hexadecimals of unified_graph_<hex>.json, else its stem."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.json$", "")
+    return F.regexp_replace(stem, "^unified_graph_([0-9a-f]+)$", "$1")
+
+
 def repo_slug(url: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(repo_name(url), r"[^A-Za-z0-9_.-]+", "_"), "^_+|_+$", "")
     return F.when(s == "", "repo").otherwise(s)
@@ -154,6 +160,7 @@ def compose_text(path: Column, content: Column, keep: int | None = None) -> Colu
 
 
 def layer(path: Column, label: Column) -> Column:
+    """Layer of a file: its label if that is one, else by its path (the patterns are fixed values)."""
     p, lab = F.lower(path), F.lower(F.coalesce(label, F.lit("")))
     return (
         F.when(lab.isin(*LAYERS), lab)
@@ -176,6 +183,7 @@ def module_of(path: Column) -> Column:
 
 
 def role_of(path: Column) -> Column:
+    """Role of a file by its path (the parts it looks for are fixed values)."""
     p = F.lower(path)
     return (
         F.when(p.contains("/components/") | p.contains("/pages/") | p.endswith(".jsx") | p.endswith(".tsx") | p.contains("/hooks/"), "FRONTEND")

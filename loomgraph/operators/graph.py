@@ -213,6 +213,12 @@ def candidate_pairs(files: DataFrame, existing: DataFrame, mode: str = "new", pa
     return pairs if mode == "all" else pairs.join(simple(existing), ["src", "dst"], "left_anti")
 
 
+def capped(pairs: DataFrame, most: int, seed: str = "cap") -> DataFrame:
+    """At most `most` pairs in the order of a hash: a sample without replacement that is the same in every run."""
+    h = F.md5(F.concat(F.lit(seed + "|"), F.col("src").cast("string"), F.lit(">"), F.col("dst").cast("string")))
+    return pairs.orderBy(h, "src", "dst").limit(most)
+
+
 def topological_sequence(edges: DataFrame) -> DataFrame:
     """(id, seq_layer): Kahn layers; nodes on or behind a cycle get the layer -1."""
     left = cut(simple(edges))
@@ -245,8 +251,11 @@ def sequence_numbers(edges: DataFrame) -> DataFrame:
 
 
 def mean_neighbours(edges: DataFrame, features: DataFrame, width: int) -> DataFrame:
-    """One aggregation layer: (id, x, neigh) with the mean of the incoming neighbours' vectors (bag of edges), zeros if none."""
-    sent = edges.join(features.select(F.col("id").alias("src"), "x"), "src").select(F.col("dst").alias("id"), F.posexplode("x").alias("k", "v"))
-    mean = sent.groupBy("id", "k").agg(F.avg("v").alias("m")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("mm"))
-    zero = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.try_element_at(F.col("mm"), k), F.lit(0.0)))
-    return features.join(mean, "id", "left").select("id", "x", zero.alias("neigh"))
+    """One aggregation layer: (id, x, neigh) with the mean of the incoming neighbours' vectors (bag of edges), zeros if none.
+
+    Whole vectors are summed, so a row an edge and one a target goes through the shuffle, whatever the width.
+    """
+    sent = edges.join(features.select(F.col("id").alias("src"), F.col("x")), "src").select(F.col("dst").alias("id"), "x")
+    mean = sent.groupBy("id").agg(*[F.avg(F.col("x")[k]).alias(f"m{k}") for k in range(width)])
+    mean = mean.select("id", F.array(*[F.coalesce(F.col(f"m{k}"), F.lit(0.0)) for k in range(width)]).alias("mm"))
+    return features.join(mean, "id", "left").select("id", "x", F.coalesce("mm", F.array_repeat(F.lit(0.0), width)).alias("neigh"))

@@ -84,6 +84,14 @@ def threshold_sweep(rows: DataFrame, score: str, positive: str, steps: int = 17)
     return each.select("threshold", F.round(f1, 6).alias("f1")).orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+def support(rows: DataFrame, split: str, label: str, labels: DataFrame) -> DataFrame:
+    """(split, label, n) for every split and every label of labels(label), those without rows included."""
+    have = rows.groupBy(F.col(split).alias("split"), F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    # splits times labels, both small lists
+    every = rows.where(F.col(split).isNotNull()).select(F.col(split).alias("split")).distinct().join(F.broadcast(labels.select(F.array_agg("label").alias("all"))))
+    return every.select("split", F.explode("all").alias("label")).join(have, ["split", "label"], "left").na.fill(0, ["n"])
+
+
 def class_weights(rows: DataFrame, label: str, power: float = 0.5) -> DataFrame:
     """(1 / frequency) ** power, normalised to mean 1."""
     c = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from loomgraph.functions import roles
 from loomgraph.functions import scalars as S
 from loomgraph.operators import extract, graph, resolve, rollups, skew, splits
-from loomgraph.plans import core_queries, skew_queries
+from loomgraph.plans import core_queries, graph_queries, serving_queries, skew_queries
 from loomgraph.session import ensure_checkpoint_dir
 from loomgraph.sources import files, views
 from loomgraph.streaming import ingest
@@ -301,7 +301,7 @@ def norm(rows):
     return sorted((repr([f(v) for _, v in sorted(r.items())]) for r in rows))
 
 
-@pytest.mark.parametrize("name", sorted({**core_queries.SQL, **skew_queries.SQL}))
+@pytest.mark.parametrize("name", sorted({**core_queries.SQL, **skew_queries.SQL, **graph_queries.SQL, **serving_queries.SQL}))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings sources file_index predictions examples label_meta label_targets eval_items".split():
