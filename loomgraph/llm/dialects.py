@@ -4,19 +4,21 @@ from __future__ import annotations
 
 _EXPR = """
 Expr := Assign (',' Assign)* ;
-Assign := Tern | Arrow ;
+Assign := Tern | Arrow | Left AOp Assign | 'yield' '*'? Assign ;
+AOp := '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '&=' | 'bar=' | '^=' | '<<=' | '>>=' | '>>>=' | '&&=' | '||=' | '??=' ;
+Left := id | 'yield' | OBJ | Array | '(' Expr ')' | Primary Tail* LTail ;
+LTail := '.' Name | '.' priv | '[' Expr ']' ;
 Tern := Bin ('?' Assign ':' Assign)? ;
-Bin := Unary (Op Unary)* ;
-Op := '+' | '-' | '*' | '/' | '%' | '**' | '=' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '&&' | '||' | '??' | '&' | 'bar' | '^' | '<<' | '>' '>' | '>' '>' '>'
-  | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '&=' | 'bar=' | '^=' | '<<=' | '>>=' | '>>>=' | '&&=' | '||=' | '??=' | 'instanceof' | 'in' ;
+Bin := Unary ((Op | '&&' | '||') Unary)* | Unary ((Op | '??') Unary)* ;
+Op := '+' | '-' | '*' | '/' | '%' | '**' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | '&' | 'bar' | '^' | '<<' | '>' '>' | '>' '>' '>' | 'instanceof' | 'in' ;
 Unary := Pre* Postfix ;
-Pre := '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | 'yield' '*'? | 'new' ;
+Pre := '!' | '~' | '+' | '-' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | 'new' ;
 Postfix := Primary Tail* ('++' | '--')? ;
 Name := id | kw ;
 Tail := '.' Name | '.' priv | '?.' Name | '?.' Args | '?.' '[' Expr ']' | '[' Expr ']' | Args | tpl ;
 Args := '(' (Arg (',' Arg)* ','?)? ')' ;
 Arg := Assign | '...' Assign ;
-Primary := id | priv | num | str | tpl | rx | 'this' | 'super' | 'null' | 'true' | 'false' | '(' Expr ')' | Array | OBJ | Func | Class | 'import' | 'yield' ;
+Primary := id | priv | num | str | tpl | rx | 'this' | 'super' | 'null' | 'true' | 'false' | '(' Expr ')' | Array | OBJ | Func | Class | 'import' | 'yield' | 'new' '.' id ;
 Array := '[' ','* (Arg (','+ Arg)*)? ','* ']' ;
 Arrow := 'async'? (id | '(' Params ')' Ret?) '=>' (BLOCK | Assign) ;
 Params := (Param (',' Param)* ','?)? ;
@@ -37,8 +39,9 @@ Stmt := BLOCK | ';' | NL | Var Semi | 'if' '(' Expr ')' NL? Stmt (NL? 'else' NL?
   | FuncDecl | Class | Import Semi | Export | Start Semi ;
 FuncDecl := Func ;
 Start := Expr ;
-Var := ('var' | 'let' | 'const') Decl (',' Decl)* ;
-Decl := Target ('=' Assign)? ;
+Var := ('var' | 'let') Decl (',' Decl)* | 'const' CDecl (',' CDecl)* ;
+Decl := Target '=' Assign | id ;
+CDecl := Target '=' Assign ;
 For := 'for' 'await'? '(' ((Var | Expr)? ';' Expr? ';' Expr? | ('var' | 'let' | 'const')? Target ('of' | 'in') Expr | Postfix ('of' | 'in') Expr) ')' ;
 Import := 'import' (str | (id (',' ('*' 'as' id | NAMES))? | '*' 'as' id | NAMES) 'from' str) (('with' | 'assert') OBJ)? ;
 Export := 'export' (Var Semi | FuncDecl | Class | NAMES ('from' str)? Semi | '*' ('as' Name)? 'from' str Semi | 'default' (Func | Class | Assign Semi)) ;
@@ -70,7 +73,13 @@ Impl := 'implements' Type (',' Type)* ;
 Target := (id | PAT | ArrPat | 'this') '?'? '!'? ':' Type ;
 Param := ('public' | 'private' | 'protected' | 'readonly' | 'override')+ Target ('=' Assign)? | id '?' ;
 Tail := '!' | TArgs Args | TArgs tpl ;
-Bin := Unary (Op Unary)* (('as' | 'satisfies') Type)+ (Op Unary)* ;
+Bin := Unary (AnyOp Unary)* Cast+ (AnyOp Unary Cast*)* ;
+AnyOp := Op | '&&' | '||' | '??' ;
+Cast := 'as' 'const' | ('as' | 'satisfies') Type ;
+Pre := '<' Type '>' | '<' 'const' '>' ;
+LTail := '!' ;
+Decl := id '!'? ':' Type ;
+CDecl := id ':' Type ;
 Arrow := 'async'? TParams '(' Params ')' Ret? '=>' (BLOCK | Assign) ;
 Type := ('bar' | '&')? Uni (('bar' | '&') Uni)* ('extends' Type '?' Type ':' Type)? | FnType ;
 FnType := ('abstract'? 'new')? TParams? '(' Params ')' '=>' ('asserts'? id 'is' Type | Type) ;
@@ -116,18 +125,21 @@ Member := ';' | TypeDecl | Mod* TParams? Type id '(' Params ')' ('[' ']')* Throw
 Enumb := (Const (',' Const)* ','?)? (';' Member*)? ;
 Const := Anno* id ('(' ArgL? ')')? CBODY? ;
 Stmts := Stmt* ;
-Stmt := BLOCK | ';' | Mod* Type Vars ';' | E ';' | 'if' '(' E ')' Stmt ('else' Stmt)? | 'while' '(' E ')' Stmt | 'do' Stmt 'while' '(' E ')' ';' | 'for' '(' ForHead ')' Stmt
+Stmt := BLOCK | ';' | Mod* Type Vars ';' | SE ';' | 'if' '(' E ')' Stmt ('else' Stmt)? | 'while' '(' E ')' Stmt | 'do' Stmt 'while' '(' E ')' ';' | 'for' '(' ForHead ')' Stmt
   | 'try' ('(' Res (';' Res)* ';'? ')')? BLOCK ('catch' '(' Mod* Type ('bar' Type)* id ')' BLOCK)* ('finally' BLOCK)? | Switch | 'return' E? ';' | 'throw' E ';' | ('break' | 'continue') id? ';'
   | 'synchronized' '(' E ')' BLOCK | 'assert' E (':' E)? ';' | 'yield' E ';' | id ':' Stmt | 'case' Pat (',' Pat)* ('when' E)? (':' | '->' Arm) | 'default' (':' | '->' Arm) | TypeDecl ;
 Arm := BLOCK | E ';' | 'throw' E ';' ;
+SE := Left AOp E | ('++' | '--') Post | Prim Tail* ('++' | '--') | Prim Tail* Args | New | Prim Tail* '.' New | Switch ;
+Left := id | '(' E ')' | Prim Tail* ('.' id | '[' E ']') ;
+AOp := '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | 'bar=' | '^=' | '<<=' | '>>=' | '>>>=' | '>' '>=' | '>' '>' '>=' ;
 Pat := E | Type id | Type '(' (Pat (',' Pat)*)? ')' | 'default' ;
 Switch := 'switch' '(' E ')' BLOCK ;
 Res := Mod* Type id '=' E | E ;
 ForHead := (Mod* Type Vars | E (',' E)*)? ';' E? ';' (E (',' E)*)? | Mod* Type id ':' E ;
-E := Bin ('?' E ':' E)? | Lam ;
+E := Bin ('?' E ':' E)? | Lam | Left AOp E ;
 Lam := (id | '(' (Param (',' Param)* | id (',' id)*)? ')') '->' (E | BLOCK) ;
 Bin := Unary (Op Unary | 'instanceof' 'final'? Type id?)* (Op Lam)? ;
-Op := '+' | '-' | '*' | '/' | '%' | '=' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '&&' | '||' | '&' | 'bar' | '^' | '<<' | '>' '>' | '>' '>' '>' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | 'bar=' | '^=' | '<<=' | '>>=' | '>>>=' ;
+Op := '+' | '-' | '*' | '/' | '%' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '&&' | '||' | '&' | 'bar' | '^' | '<<' | '>' '>' | '>' '>' '>' ;
 Unary := ('!' | '~' | '+' | '-' | '++' | '--' | Cast)* Post | Cast Lam ;
 Cast := '(' Type ('&' Type)* ')' ;
 Post := Prim Tail* ('++' | '--')? ;
@@ -180,11 +192,12 @@ LEl := (LV ':')? LV ;
 LV := E | LIT ;
 """
 CPP = """
-Unit := Decl* ;
+Unit := Outer* ;
 Stmts := Decl* ;
-Members := Decl* ;
-Decl := ';' | pp | BLOCK | 'using' 'namespace' QName ';' | 'using' 'typename'? QName ('=' Type)? ';' | 'inline'? 'namespace' QName? Attr? BLOCK | 'namespace' id '=' QName ';' | 'extern' str (BLOCK | Decl) | 'template' '<' TPs? '>' Req? Decl | 'template' Decl
-  | 'typedef' Type Dcl ';' | Access ':' | 'friend' Decl | ClassD ';' | 'static_assert' Args ';' | Func | Spec* Type Inits ';' | Spec* Type ';' | Stmt | 'asm' Args ';' ;
+Members := Outer* ;
+Decl := Outer | BLOCK | Stmt ;
+Outer := ';' | pp | 'using' 'namespace' QName ';' | 'using' 'typename'? QName ('=' Type)? ';' | 'inline'? 'namespace' QName? Attr? BLOCK | 'namespace' id '=' QName ';' | 'extern' str (BLOCK | Decl) | 'template' '<' TPs? '>' Req? Decl | 'template' Decl
+  | 'typedef' Type Dcl ';' | Access ':' | 'friend' Decl | ClassD ';' | 'static_assert' Args ';' | Func | Spec* Type Inits ';' | Spec* Type ';' | 'asm' Args ';' ;
 Req := 'requires' E ;
 Attr := '[' '[' Es? ']' ']' ;
 Access := 'public' | 'private' | 'protected' ;
@@ -240,30 +253,42 @@ Arg := (As | INIT | Type) '...'? ;
 """
 PYTHON = """
 Line := Simple (';' Simple)* ';'? | Head ;
-Simple := 'pass' | 'break' | 'continue' | 'return' Stars? | 'raise' (E ('from' E)?)? | 'global' Ids | 'nonlocal' Ids | 'del' Stars | 'assert' E (',' E)? | 'import' Dot ('as' id)? (',' Dot ('as' id)?)*
+Simple := 'pass' | 'break' | 'continue' | 'return' Stars? | 'raise' (E ('from' E)?)? | 'global' Ids | 'nonlocal' Ids | 'del' Targets | 'assert' E (',' E)? | 'import' Dot ('as' id)? (',' Dot ('as' id)?)*
   | 'from' ('.' | '...')* Dot? 'import' ('*' | Imps | '(' Imps ','? ')') | 'type' id TP? '=' E | Assign ;
 Ids := id (',' id)* ;
 Dot := id ('.' id)* ;
 Imps := id ('as' id)? (',' id ('as' id)?)* ;
 TP := '[' Stars ']' ;
-Assign := Stars | Stars ('=' (Stars | Yield))+ | E ':' E ('=' (Stars | Yield))? | E Aug (Stars | Yield) | Yield ;
+Assign := Stars | (Targets '=')+ (Stars | Yield) | One ':' E ('=' (Stars | Yield))? | One Aug (Stars | Yield) | Yield ;
+Targets := Target (',' Target)* ','? ;
+Target := '*'? (One | '(' Targets? ')' | '[' Targets? ']') ;
+One := id | At Tail* ('.' id | '[' Sub (',' Sub)* ','? ']') | '(' One ')' ;
 Yield := 'yield' Stars? | 'yield' 'from' E ;
 Aug := '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '**=' | '@=' | '&=' | 'bar=' | '^=' | '<<=' | '>>=' ;
 Head := Kw (':' | ':' Simple (';' Simple)* ';'?) | '@' Nam ;
-Kw := 'if' Nam | 'elif' Nam | 'else' | 'while' Nam | 'async'? 'for' Stars 'in' Stars | 'try' | 'except' '*'? (E ('as' id)? | E (',' E)+)? | 'finally' | 'async'? 'with' Items | 'async'? 'def' id TP? '(' Params ')' ('->' E)?
+Kw := 'if' Nam | 'elif' Nam | 'else' | 'while' Nam | 'async'? 'for' Targets 'in' Stars | 'try' | 'except' '*'? (E ('as' id)? | E (',' E)+)? | 'finally' | 'async'? 'with' Items | 'async'? 'def' id TP? '(' Params ')' ('->' E)?
   | 'class' id TP? ('(' ArgL? ')')? | 'match' Stars | 'case' Pats ('if' Nam)? ;
 Items := Item (',' Item)* | '(' Item (',' Item)* ','? ')' ;
-Item := E ('as' E)? ;
+Item := E ('as' Target)? ;
 Pats := Stars | Pat ('as' id)? (',' Pat)* ;
 Pat := E ('bar' E)* ('as' id)? | '*' id ;
-Params := (Par (',' Par)* ','?)? ;
-Par := ('*' | '**')? id (':' E)? ('=' E)? | '*' | '/' | '*' id ':' '*' E ;
+Params := (PList ','?)? ;
+PList := Plain (',' Rest)? | Rest ;
+Plain := P (',' P)* (',' '/' (',' P)*)? (',' D)* | P (',' P)* (',' D)+ ',' '/' (',' D)* | D (',' D)* (',' '/' (',' D)*)? ;
+P := id (':' E)? ;
+D := P '=' E ;
+Rest := '*' id (':' '*'? E)? (',' K)* (',' '**' P)? | '*' (',' K)+ (',' '**' P)? | '**' P ;
+K := P ('=' E)? ;
 Stars := Star (',' Star)* ','? ;
 Star := '*' E | Nam ;
 Nam := id ':=' E | E ;
 E := Or ('if' Or 'else' E)? | 'lambda' LParams ':' E ;
-LParams := (LPar (',' LPar)* ','?)? ;
-LPar := ('*' | '**')? id ('=' E)? | '*' | '/' ;
+LParams := (LList ','?)? ;
+LList := LPlain (',' LRest)? | LRest ;
+LPlain := id (',' id)* (',' '/' (',' id)*)? (',' LD)* | id (',' id)* (',' LD)+ ',' '/' (',' LD)* | LD (',' LD)* (',' '/' (',' LD)*)? ;
+LD := id '=' E ;
+LRest := '*' id (',' LK)* (',' '**' id)? | '*' (',' LK)+ (',' '**' id)? | '**' id ;
+LK := id ('=' E)? ;
 Or := Not (Bop Not)* ;
 Bop := 'and' | 'or' ;
 Not := 'not'* Cmp ;
@@ -275,13 +300,13 @@ Un := ('+' | '-' | '~')* 'await'? At Tail* ;
 At := id | num | str+ | 'None' | 'True' | 'False' | '...' | '(' (Yield | Stars | Nam Comp)? ')' | '[' (Stars | Nam Comp)? ']' | '{' (Dict | Stars | Nam Comp | E ':' E Comp)? '}' ;
 Dict := DEl (',' DEl)* ','? ;
 DEl := E ':' E | '**' E ;
-Comp := ('async'? 'for' Stars1 'in' Or ('if' Cond)*)+ ;
-Stars1 := Tgt (',' Tgt)* ','? ;
-Tgt := '*'? Un ;
+Comp := ('async'? 'for' Targets 'in' Or ('if' Cond)*)+ ;
 Cond := Or | id ':=' E | 'lambda' LParams ':' E ;
 Tail := '.' id | '(' ArgL? ')' | '[' Sub (',' Sub)* ','? ']' ;
-ArgL := Arg (',' Arg)* ','? ;
-Arg := Nam Comp? | id '=' E | '*' E | '**' E ;
+ArgL := (A1 (',' A1)* (',' A2)* (',' A3)* | A2 (',' A2)* (',' A3)* | A3 (',' A3)*) ','? | Nam Comp ;
+A1 := Nam | '*' E ;
+A2 := id '=' E | '*' E ;
+A3 := id '=' E | '**' E ;
 Sub := Nam | '*' E | E? ':' E? (':' E?)? ;
 """
 JSON = """
@@ -291,19 +316,20 @@ Obj := (str ':' V (',' str ':' V)*)? ;
 Arr := (V (',' V)*)? ;
 """
 SHELL = """
-List := Sep* (Item (Sep+ Item)*)? Sep* ;
-Sep := ';' | NL | '&' ;
+List := NL* (Item (Sep Item)* Sep?)? ;
+Sep := (';' | '&') NL* | NL+ ;
 Item := '!'? Pipe (('&&' | '||') NL* '!'? Pipe)* ;
 Pipe := Cmd ('bar' NL* Cmd)* ;
 Cmd := c | Comp r* | w '(' ')' NL* Comp r* ;
-Comp := '{' L '}' | '(' L ')' | 'if' L 'then' L ('elif' L 'then' L)* ('else' L)? 'fi' | ('while' | 'until') L 'do' L 'done' | 'for' w (NL* 'in' w* Sep+ | Sep)? NL* 'do' L 'done' | 'case' w NL* 'in' NL* (Arm (';;' NL* Arm)* (';;' NL*)?)? 'esac' ;
+Comp := '{' L '}' | '(' L ')' | 'if' L 'then' L ('elif' L 'then' L)* ('else' L)? 'fi' | ('while' | 'until') L 'do' L 'done' | 'for' w (NL* 'in' w* Sep | Sep)? NL* 'do' L 'done' | 'case' w NL* 'in' NL* (Arm (';;' NL* Arm)* (';;' NL*)?)? 'esac' ;
 Arm := '('? w ('bar' w)* ')' (L | NL*) ;
-L := Sep* Item (Sep+ Item)* Sep* ;
+L := NL* Item (Sep Item)* Sep? ;
 """
 YAML = """
 Line := Value | Entry ;
 Entry := '-' | '-' Line | Key | Key Value ;
-Key := Scalar ':' | '?' Scalar ;
+Key := Scalar ':' ;
+Entry := '?' | '?' Line | ':' | ':' Line ;
 Value := Prop* (Scalar | Flow | alias | block)? ;
 Prop := tag | anchor ;
 Scalar := plain | str ;

@@ -10,6 +10,7 @@ dialect of its extension rejects it. Unresolved names and types play no part.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,6 +21,7 @@ from loomgraph.llm import dialects
 from loomgraph.llm.codetext import extension
 from loomgraph.llm.gll import Grammar
 
+DEPTH = 1_000_000  # nested calls
 MEMORY = 400_000  # token sequences a worker remembers a grammar
 
 _COMMENT = r"//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
@@ -65,6 +67,7 @@ class Braces:
             rf"{before}[^\S\n]*(?:(?P<id>(?:[^\W\d]|\$)[\w$]*+)(?![\"'])|(?P<nl>\n)|(?P<ws>{_COMMENT}|\\\n|\Z)|{extra}|(?P<num>{_NUM}[nNfFdDlLuUi]*)(?![\w$])|(?P<op>{_ops(ops)})|(?P<id2>(?:[^\W\d]|\$)[\w$]*))",
             re.S,
         )
+        self.conditional: Callable[[str], list[str]] | None = None
         self.known: dict[tuple, bool] = {}
         self.region: dict[tuple, str] = {}
         self.every = "{" + "|".join(kinds) + "}"
@@ -79,6 +82,7 @@ class Braces:
         lex, at, size, line = self.lex, 0, len(code), False
         step = lex.scanner(code).match
         last = ""
+        plain = self.lines != "js" or "`" not in code
         while at < size:
             m = step()
             if m is None:
@@ -108,6 +112,12 @@ class Braces:
                     step = lex.scanner(code, at).match
             else:
                 t = kind
+                if not plain and kind == "tpl":
+                    got = self.template(code, m.start("tpl"))
+                    if got is None:
+                        return None
+                    at = got
+                    step = lex.scanner(code, at).match
             if line and out:
                 line = False
                 if lines == "js":
@@ -122,6 +132,44 @@ class Braces:
             out.append(";")
         return out
 
+    _INSIDE = re.compile(rf"[^{{}}`\"'/]+|{_DQ}|{_SQ}|{_COMMENT}|/")
+
+    def template(self, code: str, at: int) -> int | None:
+        """The place after a template literal that begins at `at`; None if it or an expression in it is wrong."""
+        at += 1
+        while at < len(code):
+            c = code[at]
+            if c == "`":
+                return at + 1
+            if c == "\\":
+                at += 2
+            elif code.startswith("${", at):
+                start = at = at + 2
+                depth = 1
+                while depth:
+                    c = code[at : at + 1]
+                    if c == "{" or c == "}":
+                        depth += 1 if c == "{" else -1
+                        at += 1
+                    elif c == "`":
+                        got = self.template(code, at)
+                        if got is None:
+                            return None
+                        at = got
+                    else:
+                        m = self._INSIDE.match(code, at)
+                        if m is None:
+                            return None
+                        at = m.end()
+                if not self.judge(code[start : at - 1], "Expr"):
+                    return None
+            else:
+                k = at + 1
+                while k < len(code) and code[k] not in "`\\$":
+                    k += 1
+                at = k
+        return None
+
     def ok(self, start: str, seq: tuple) -> bool:
         key = (start, seq)
         got = self.known.get(key)
@@ -189,6 +237,12 @@ class Braces:
         return got
 
     def valid(self, code: str) -> bool:
+        if self.judge(code, self.top):
+            return True
+        # what only one branch of the preprocessor's conditions makes whole is whole
+        return self.conditional is not None and any(t != code and self.judge(t, self.top) for t in self.conditional(code))
+
+    def judge(self, code: str, top: str) -> bool:
         toks = self.tokens(code)
         if toks is None:
             return False
@@ -220,7 +274,11 @@ class Braces:
             elif t == "NL" and opened and opened[-1] != "}":
                 continue
             cur.append(t)
-        return not opened and self.whole(self.top, cur)
+        if opened or (self.lines == "go" and (cur[:1] != ["package"] or "package" in cur[1:])):
+            return False
+        if top == "Expr":
+            cur = [t for t in cur if t != "NL"]
+        return self.whole(top, cur)
 
 
 _GO_ENDS = frozenset("id num str chr ) ] } break continue fallthrough return ++ --".split())
@@ -231,7 +289,7 @@ _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-
 
 def _js(ts: bool) -> Braces:
     ops = "=> ... ?. ?? ??= && || &&= ||= === !== == != <= >= << <<= += -= *= /= %= **= ** &= |= ^= ++ -- + - * / % = < > ! ~ & | ^ ? : ; , . ( ) [ ] { } @"
-    extra = rf"(?P<str>{_DQ}|{_SQ})|(?P<tpl>`(?:[^`\\]|\\.)*`)|(?P<priv>\#[^\W\d][\w$]*)"
+    extra = rf"(?P<str>{_DQ}|{_SQ})|(?P<tpl>`)|(?P<priv>\#[^\W\d][\w$]*)"
     kinds = {"BLOCK": ("Stmts",), "OBJ": ("Obj",), "CBODY": ("Members",), "PAT": ("Pat",), "NAMES": ("Names",)}
     if ts:
         kinds |= {"TYPE": ("Types",), "ENUM": ("Enum",)}
@@ -257,7 +315,43 @@ def _cpp() -> Braces:
     before = r"(?:(?:(?<=\n)|(?<![\s\S]))[^\S\n]*(?P<pp>\#(?:[^\n\\]|\\.|\\\n)*))|"
     extra = rf'(?P<str>(?:u8|[uUL])?(?:R"(?P<d>[^()\s\\]{{0,16}})\((?:.*?)\)(?P=d)"|{_DQ}))|(?P<chr>(?:u8|[uUL])?\'(?:[^\'\\\n]|\\.[\da-fA-F]*)+\')'
     kinds = {"BLOCK": ("Stmts",), "CBODY": ("Members",), "ENUM": ("Enum",), "INIT": ("Initl",)}
-    return Braces(dialects.CPP, CPP_WORDS, CPP_SOFT, CPP_PRIM, ops, extra, kinds, ("Stmts", "Members", "Unit"), "Unit", before=before, readings={"pp": ()})
+    made = Braces(dialects.CPP, CPP_WORDS, CPP_SOFT, CPP_PRIM, ops, extra, kinds, ("Stmts", "Members", "Unit"), "Unit", before=before, readings={"pp": ()})
+    made.conditional = branches
+    return made
+
+
+_DIRECTIVE = re.compile(r"\s*#\s*(if|ifdef|ifndef|elif|else|endif)\b\s*(\S*)")
+
+
+def branches(code: str) -> list[str]:
+    """A C++ text with the first, and with the last branch of its preprocessor conditions only; dead ones are out."""
+    if "#" not in code or not re.search(r"(?m)^\s*#\s*if", code):
+        return []
+    out = []
+    for last in (False, True):
+        kept, stack = [], []  # of each open condition: is its branch kept, may a later one be
+        for line in code.split("\n"):
+            m = _DIRECTIVE.match(line)
+            if not m:
+                if all(on for on, _ in stack):
+                    kept.append(line)
+                continue
+            word = m[1]
+            if word.startswith("if"):
+                dead = word == "if" and m[2] in ("0", "false")
+                stack.append((not dead and not last, last or dead))
+            elif not stack:
+                return []
+            elif word == "endif":
+                stack.pop()
+            else:
+                on, later = stack[-1]
+                stack[-1] = (later and (word == "else" or not last), later and not (word != "else" and not last))
+        if stack:
+            return []
+        out.append("\n".join(kept))
+    # conditions without an else: both readings of the last-branch text leave them out
+    return out
 
 
 class Python:
@@ -284,6 +378,7 @@ class Python:
         self.token = re.compile(rf"[\x01\x02\x03]|[a-zA-Z]+|{_ops('... -> := **= //= <<= >>= == != <= >= += -= *= /= %= @= &= |= ^= ** // << >> + - * / % @ = < > ~ & | ^ : ; , . ( ) [ ] { }')}|\S")
         self.known: dict[str, tuple[bool, str, str, bool, bool]] = {}
         self.net: dict[str, int] = {}
+        self.held: dict[str, bool] = {}
 
     def line(self, body: str) -> tuple[bool, str, str, bool, bool]:
         """(accepted, first token, leading word, opens a block, may follow a decorator) of a masked logical line."""
@@ -302,11 +397,118 @@ class Python:
         return got
 
     def _mask(self, m: re.Match) -> str:
-        return "" if m.group(1) is not None else " " if m.group(2) is not None else self._STRING
+        if m.group(1) is not None:
+            return ""
+        if m.group(2) is not None:
+            return " "
+        t = m.group()
+        return "$" if t[0] in "bBrR" and not t.isascii() and "b" in t[:2].lower() else self._STRING  # bytes are ASCII
+
+    _F = re.compile(r"(?<!\w)(?:[fF][rR]?|[rR][fF])(?=[\"'])")
+
+    def _masked(self, code: str) -> str:
+        """The text with comments gone and strings masked; formatted strings are read with the expressions they hold."""
+        if not self._F.search(code):
+            return self.quoted.sub(self._mask, code)
+        out, at = [], 0
+        while m := self.quoted.search(code, at):
+            out.append(code[at : m.start()])
+            p = self._F.match(code, m.start())
+            if p is None:
+                out.append(self._mask(m))
+                at = m.end()
+                continue
+            got = self._formatted(code, p.end(), "r" in p.group().lower())
+            if got is None:
+                return "$"
+            out.append(self._STRING)
+            at = got
+        return "".join([*out, code[at:]])
+
+    def _formatted(self, s: str, at: int, raw: bool) -> int | None:
+        """The place after a formatted string whose quotes begin at `at`; None if it is wrong."""
+        end = s[at] * 3 if s.startswith(s[at] * 3, at) else s[at]
+        at += len(end)
+        while at < len(s):
+            if s.startswith(end, at):
+                return at + len(end)
+            c = s[at]
+            if c == "\\" and not (raw and s[at + 1 : at + 2] in "{}"):
+                at += 2 + (s.find("}", at) - at - 1 if s.startswith("\\N{", at) and not raw and "}" in s[at:] else 0)
+            elif s.startswith(("{{", "}}"), at):
+                at += 2
+            elif c == "}" or (c == "\n" and len(end) == 1):
+                return None
+            elif c == "{":
+                got = self._hole(s, at + 1, end)
+                if got is None:
+                    return None
+                at = got
+            else:
+                at += 1
+        return None
+
+    def _hole(self, s: str, at: int, end: str) -> int | None:
+        """The place after a replacement field whose expression begins at `at`."""
+        start, depth = at, 0
+        while at < len(s):
+            c = s[at]
+            if c in "\"'":
+                p = self._F.match(s, at - 1) or self._F.match(s, at - 2) if at > 1 else None
+                if p is not None and p.end() == at:
+                    got = self._formatted(s, at, "r" in p.group().lower())
+                else:
+                    m = self.quoted.match(s, at)
+                    got = m.end() if m else None
+                if got is None:
+                    return None
+                at = got
+                continue
+            if c == "\n" and len(end) == 1 and not depth:
+                return None
+            if c in "([{":
+                depth += 1
+            elif depth and c in ")]}":
+                depth -= 1
+            elif not depth and (c == "}" or c == ":" or (c == "!" and s[at + 1 : at + 2] != "=")):
+                break
+            at += 1
+        body = s[start:at].strip()
+        if body.endswith("=") and body[-2:-1] not in ("=", "!", "<", ">"):
+            body = body[:-1]
+        if not self._expression(body):
+            return None
+        if s[at : at + 1] == "!":
+            m = re.compile(r"!\s*[rsa]\s*(?=[:}])").match(s, at)
+            if m is None:
+                return None
+            at = m.end()
+        if s[at : at + 1] == ":":
+            at += 1
+            while at < len(s) and s[at] != "}":
+                if s.startswith(end, at):
+                    return None
+                if s[at] == "{":
+                    got = self._hole(s, at + 1, end)
+                    if got is None:
+                        return None
+                    at = got
+                else:
+                    at += 1
+        return at + 1 if s[at : at + 1] == "}" else None
+
+    def _expression(self, body: str) -> bool:
+        got = self.held.get(body)
+        if got is None:
+            if len(self.held) >= MEMORY:
+                self.held.clear()
+            items = list(self.lines(f"({body})")) if body.strip() else [None]
+            got = self.held[body] = len(items) == 1 and items[0] is not None and self.line(items[0][1])[0]
+        return got
 
     def lines(self, code: str) -> Iterator[tuple[int, str] | None]:
         """(indent, masked body) of the logical lines; None where brackets or characters are wrong."""
-        text = self.numbers.sub(self._NUMBER, self.names.sub(self._NAME, self.quoted.sub(self._mask, code)))
+        text = self.numbers.sub(self._NUMBER, self.names.sub(self._NAME, self._masked(code)))
         if self.wrong.search(text):
             yield None
             return
@@ -696,6 +898,7 @@ class Yaml:
         stack: list[list] = []  # [indent, kind]; kind: map or seq
         k, hold = 0, -2  # hold: indent of the key or item whose plain scalar may go on, -2 if none may
         opened = False  # the last key or item has no value yet
+        asked: set[int] = set()  # columns of the '?' that wait for their ':'
         while k < len(lines):
             line = lines[k]
             k += 1
@@ -752,6 +955,11 @@ class Yaml:
                 continue  # the scalar goes on
             if not self.ok(shape):
                 return False
+            if shape[0] == ":":
+                if indent not in asked:
+                    return False
+                asked.discard(indent)
+            asked |= {c for t, c in toks if t == "?"}
             if not entry:
                 if stack and not (opened and indent > stack[-1][0]):
                     return False
@@ -763,9 +971,11 @@ class Yaml:
                         k += 1
                 continue
             # the columns at which this line opens collections: one a dash, one a key
-            cols = [(c, "seq") for t, c in toks if t == "-"]
-            rest = [(t, c) for t, c in toks if t != "-"]
-            if ":" in shape or "?" in shape:
+            lead = [(toks[0][1], "map")] if shape[0] in ("?", ":") else []
+            inner = toks[len(lead) :]
+            cols = lead + [(c, "seq") for t, c in inner if t == "-"]
+            rest = [(t, c) for t, c in inner if t != "-"]
+            if any(t in (":", "?") for t, _ in inner):
                 cols.append((rest[0][1], "map"))
             first = True
             for c, kind in cols:
@@ -852,10 +1062,10 @@ def valid(path: str | None, code: str | None) -> bool | None:
         text = text[1:]
     if text.startswith("#!"):
         text = "\n" + text.partition("\n")[2]
-    try:
-        return any(d.valid(text) for d in _LOADED[ext])
-    except RecursionError:
-        return None
+    # calls between Python functions take no room on the machine's stack: nesting is bounded by memory
+    if sys.getrecursionlimit() < DEPTH:
+        sys.setrecursionlimit(DEPTH)
+    return any(d.valid(text) for d in _LOADED[ext])
 
 
 def checked(sources: DataFrame) -> DataFrame:

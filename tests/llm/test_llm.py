@@ -190,6 +190,37 @@ INVALID = {
 }
 
 
+MORE_VALID = {
+    "a.js": ["x = `a${`b${c}`}`;", "function F() { return new.target }", "a = b ?? c;", "a = (b ?? c) || d;", "x => y = 3;", "let a, b = 1;", "for (const k of m) {}", "a.b = c[d] = 2; ({a} = b); [a, b] = [b, a];", "function* g() { const x = yield a; yield* b; yield }", "for (let i = 0, n = 3; i < n; i++) {}", "x = `a\n${ f({a: `x`}) } \\` $ {`;"],
+    "a.ts": ["let x = <any>y;", "const a = b as const satisfies Z;", "const a = {x: 1} as const;", "declare const a: number;", "let a: string;", "x! += 1;", "(x as any) = 3;", "const t = `a${x as string}`;"],
+    "a.py": ['x = f"{d["a"]}"\n', 'x = f"{a!r:>{w}} {{}} {b=}"\n', "a.b[c], *d = e\n", "(a) = 1\n", "[a, b] = c\n", "del a.b, c[1]\n", "for a.b in c: pass\n", "with a as (b, c): pass\n", "def f(a, /, b, c=1, *, d, e=2, **k): pass\n", "f(a, *b, c=1, *d, **e)\n", "f(x for x in y)\n", "l = lambda a, b=1, *c, **d: 0\n", 'f"""{\n a\n}"""\n', "f'{x:%Y-%m}' f'{a[\"b\"]}'\n", 'rf"\\d{{2}} {x}"\n', "f'\\N{DASH} {x}'\n"],
+    "a.yml": ["? x\n: y\n", "? - a\n  - b\n: - c\na: b\n"],
+    "a.cpp": ["#if X\nvoid f(int a) {\n#else\nvoid f() {\n#endif\n  g();\n}\n", "#ifdef X\nint f(\n#elif Y\nint g(\n#else\nint h(\n#endif\n) { return 1; }\n", "int f() { for (;;) {} }\n"],
+    "A.java": ["class A { void f() { x = 1; y++; --z; g(); new B(); this.a.b(); a[1] += 2; int q = 1 + 2; } }"],
+    "a.sh": ["a; b\nc &\nif a; then b; fi\nfor x in a b; do c; done\ncase $x in a) b;; esac\n", "$(" * 400 + "a" + ")" * 400 + "\n"],
+}
+MORE_INVALID = {
+    "a.js": ["x = `a${b +}`;", "const a;", "x = a ?? 2 || 3;", "let {a};", "f() = 1;", "1 = 2;"],
+    "a.ts": ["let x = a ?? b || c;"],
+    "a.py": ["f() = 1\n", "1 = 2\n", "del f()\n", "def f(a, a=1, b): pass\n", "f(a=1, 2)\n", 'b"\u00e9"\n', 'f"{x +}"\n', "f() += 1\n", "f(**a, *b)\n", 'f"{}"\n', 'f"{a"\n', "for f() in x: pass\n", "lambda a=1, b: 0\n", "def f(*): pass\n", 'f"a}"\n'],
+    "a.go": ["func f() {}\n"], "A.java": ["class A { void f() { 1 + 2; } }"], "a.cpp": ["for (;;) {}\n", "class A { return 1; };\n"], "a.sh": ["a ; ; b\n", "$(" * 400 + "a" + ")" * 399 + "\n"], "a.yml": ["a: b\n: c\n"],
+}
+
+
+@pytest.mark.parametrize("name", sorted({*MORE_VALID, *MORE_INVALID}))
+def test_parts_targets_and_orders(name):
+    assert [x for x in MORE_VALID.get(name, ()) if syntax.valid(name, x) is not True] == []
+    assert [x for x in MORE_INVALID.get(name, ()) if syntax.valid(name, x) is not False] == []
+
+
+def test_rates_by_hand(spark):
+    src = [("r", "a.py", "x = 1\n"), ("r", "b.py", "x = (\n"), ("r", "c.py", "f() = 1\n"), ("r", "d.js", "a;"), ("r", "e.ini", "["), ("r", "f.py", None), ("s", "a.py", "x\n")]
+    idx = [("r", "b.py", False, "SyntaxError: x", 1, 1), ("r", "b.py", True, None, 2, 2), ("r", "c.py", False, "parse failed", 1, 3), ("r", "a.py", False, "SyntaxError: y", 1, 4), ("s", "a.py", False, "no text", 1, 5)]
+    index = spark.createDataFrame(idx, "repo_url string, filepath string, analysed boolean, reason string, day int, ord long").withColumn("seen_at", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, day)"))
+    got = {(r.repo_url, r.claimed): (r.n_files, r.n_invalid, r.rate, r.n_reported, r.n_reported_right) for r in syntax.rates(spark.createDataFrame(src, "repo_url string, filepath string, code string"), index).collect()}
+    assert got == {("r", "Python"): (3, 2, 0.666667, 2, 1), ("r", "JavaScript"): (1, 0, 0.0, 0, 0), ("s", "Python"): (1, 0, 0.0, 0, 0)}
+
+
 @pytest.mark.parametrize(("path", "code"), [(p, c) for p, cs in VALID.items() for c in cs])
 def test_valid_code(path, code):
     assert syntax.valid(path, code) is True
