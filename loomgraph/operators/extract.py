@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.functions import scalars as S
+from loomgraph.operators import braces
 
 SCHEMA = "kind string, repo_url string, source_file string, name string, a string, b string, pos int, items array<string>, language string, seq int"
 
@@ -107,56 +110,66 @@ def python_records(code: str) -> list[tuple]:
     return out
 
 
-_SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
-_HEADS = {
-    "js": re.compile(r"\bfunction\s*\*?\s*(?P<n>[\w$]+)\s*\([^()]*\)[^{};]*\{|\b(?:const|let|var)\s+(?P<v>[\w$]+)\s*=\s*(?:async\s*)?(?:\([^()]*\)|[\w$]+)\s*(?::[^={};]+)?=>\s*\{"),
-    "go": re.compile(r"\bfunc\s+(?:\([^()]*\)\s*)?(?P<n>\w+)\s*\([^()]*\)[^{};\n]*\{"),
-    "c": re.compile(r"(?:[\w<>\[\],&*:?]+\s+)+[*&]?(?P<n>[A-Za-z_]\w*)\s*\([^(){};]*\)\s*(?:const\s*)?(?:throws\s+[\w., ]+)?\{"),
-}
-_STYLE = {"js": "js", "jsx": "js", "ts": "js", "tsx": "js", "mjs": "js", "go": "go", "java": "c", "c": "c", "cc": "c", "cpp": "c", "cxx": "c", "h": "c", "hpp": "c"}
-_CALL = re.compile(r"(?<![\w$.])((?:[A-Za-z_$][\w$]*\s*(?:\.|->|::)\s*)*[A-Za-z_$][\w$]*)\s*\(")
-_CLASS = re.compile(r"\b(?:class|interface|struct)\s+(\w+)(?:\s*<[^<>{}]*>)?(?:\s*(?:extends|:)\s*(?:public\s+)?([\w.]+))?[^{};()]*\{|\btype\s+(\w+)\s+struct\s*\{")
-_NOT_CALLS = frozenset("if for while switch catch return function func new sizeof await typeof delete throw else do case go defer select range super synchronized".split())
-
-
-def brace_records(code: str, ext: str) -> list[tuple]:
-    """Functions with their calls, and classes, of a brace language: a lexical reading, of lower fidelity than a parse."""
-    style = _STYLE.get(ext)
-    if not style:
-        return []
-    text = _SKIP.sub(lambda m: " " * len(m.group()) if m.group()[0] == "/" else '""'.ljust(len(m.group())), code)
-    ends: dict[int, int] = {}
-    stack: list[int] = []
-    for m in re.finditer(r"[{}]", text):
-        if m.group() == "{":
-            stack.append(m.start())
-        elif stack:
-            ends[stack.pop()] = m.start()
-    out: list[tuple] = []
-    for m in _CLASS.finditer(text):
-        out.append(("class_bases", m.group(1) or m.group(3), None, None, None, [m.group(2)] if m.group(2) else []))
-    for m in _HEADS[style].finditer(text):
-        name = m.groupdict().get("n") or m.groupdict().get("v")
-        if not name or name in _NOT_CALLS:
-            continue
-        inner = text[m.end() : ends.get(m.end() - 1, len(text))]
-        calls = [c for c in (re.sub(r"\s+", "", x.group(1)) for x in _CALL.finditer(inner)) if c.split(".")[0] not in _NOT_CALLS]
-        out.append(("call_flow", name, None, None, None, calls))
-    return out
-
+def extract(sources: DataFrame, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """All records of all files, one row each, with the kind in front; unreadable files give one error row.
 
-def extract(sources: DataFrame) -> DataFrame:
-    """All records of all files, one row each, with the kind in front; unreadable files give one error row."""
+    With `kinds` only those leave the workers.
+    """
+    wanted = frozenset(kinds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for repo, path, code in b.itertuples(index=False):
                 ext = path.rpartition(".")[2].lower()
-                got, lang = (python_records(code), "Python") if ext == "py" else (brace_records(code, ext), ext)
-                rows += [(k, repo, path, n, a, c, p, items, lang, i) for i, (k, n, a, c, p, items) in enumerate(got)]
+                got, lang = (python_records(code), "Python") if ext == "py" else (braces.records(code, ext), ext)
+                rows += [(k, repo, path, n, a, c, p, items, lang, i) for i, (k, n, a, c, p, items) in enumerate(got) if not wanted or k in wanted]
             f = pd.DataFrame(rows, columns=["kind", "repo_url", "source_file", "name", "a", "b", "pos", "items", "language", "seq"])
             f["pos"] = f["pos"].astype("Int32")
             yield f
 
     return sources.select("repo_url", "filepath", "code").where("code IS NOT NULL AND filepath IS NOT NULL").mapInPandas(run, SCHEMA)
+
+
+def file_index(sources: DataFrame) -> DataFrame:
+    """(repo_url, filepath, filename, language, analysed, reason): whether a file could be read, and why not.
+
+    Python files are analysed if they parse, files of the brace languages if they have text; others never are.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for repo, path, code in b.itertuples(index=False):
+                ext, ok, why = path.rpartition(".")[2].lower(), False, None
+                if code is not None and ext == "py":
+                    try:
+                        ast.parse(code)
+                        ok = True
+                    except _FAILURES as e:
+                        why = f"{type(e).__name__}: {e}"
+                elif code is not None and ext in braces.STYLE:
+                    ok = True
+                rows.append((repo, path, ok, why))
+            yield pd.DataFrame(rows, columns=["repo_url", "filepath", "analysed", "reason"])
+
+    told = sources.select("repo_url", "filepath", "code").where("filepath IS NOT NULL").mapInPandas(run, "repo_url string, filepath string, analysed boolean, reason string")
+    return told.select("repo_url", "filepath", F.element_at(F.split("filepath", "/"), -1).alias("filename"), S.detect_language(F.col("filepath")).alias("language"), "analysed", "reason")
+
+
+def tables(records: DataFrame) -> dict[str, DataFrame]:
+    """The record tables by name, of extracted records: one column a field."""
+    keys = ["source_file", "language", "repo_url"]
+    of = lambda kind: records.where(F.col("kind") == kind)
+    is_param = lambda x: x.startswith("param:")
+    v = of("variables")
+    params = F.transform(F.filter("items", is_param), lambda x: F.substring(x, 7, 1 << 30))
+    parts = ("bases", "attributes", "methods")
+    c = records.where(F.col("kind").isin(*[f"class_{k}" for k in parts])).groupBy(F.col("name").alias("class"), *keys)
+    return {
+        "function_call_flow": of("call_flow").select(F.col("name").alias("function"), F.col("items").alias("calls"), *keys),
+        "data_flow": of("data_flow").select(F.col("name").alias("function"), F.col("a").alias("variable"), F.col("b").alias("passed_to"), F.col("pos").alias("arg_position"), *keys),
+        "variables_per_function": v.select(F.col("name").alias("function"), params.alias("params"), F.filter("items", lambda x: ~is_param(x)).alias("assigns"), *keys),
+        "class_diagram": c.agg(*[F.max(F.when(F.col("kind") == f"class_{k}", F.col("items"))).alias(k) for k in parts]).select("class", *parts, *keys),
+        "import_flow": of("imports").select(F.col("name").alias("function"), F.col("items").alias("imports_used"), *keys),
+    }

@@ -92,13 +92,12 @@ def shortest_path_measures(edges: DataFrame, exact: int = EXACT_NODES, sources:
     links = s.count()
     if links > MAX_LINKS:
         raise ValueError(f"{links} links are more than {MAX_LINKS}")
-    nodes = cut(node_ids(edges).orderBy("id"))
-    ids = np.array([r.id for r in nodes.toLocalIterator()], dtype=object)
-    n = len(ids)
-    index = {v: i for i, v in enumerate(ids.tolist())}
-    head, tail = np.empty(links, np.int64), np.empty(links, np.int64)
-    for k, r in enumerate(s.toLocalIterator()):
-        head[k], tail[k] = index[r.src], index[r.dst]
+    dense = cut(dense_index(node_ids(edges)).withColumnRenamed("idx", "i"))
+    n = dense.count()
+    # numbered in the workers; at most MAX_LINKS pairs of numbers reach the driver, as arrays
+    a, b = dense.select(F.col("id").alias("src"), F.col("i").alias("a")), dense.select(F.col("id").alias("dst"), F.col("i").alias("b"))
+    numbers = s.join(a, "src").join(b, "dst").select("a", "b").toArrow()
+    head, tail = (numbers.column(c).to_numpy().astype(np.int64) for c in ("a", "b"))
     by = np.argsort(head, kind="stable")
     starts = np.searchsorted(head[by], np.arange(n + 1))
     spark = edges.sparkSession
@@ -172,7 +171,6 @@ def shortest_path_measures(edges: DataFrame, exact: int = EXACT_NODES, sources:
     part = tasks.mapInPandas(brandes, "i bigint, b double").groupBy("i").agg(F.sum("b").alias("b"))
     every = spark.range(searches).withColumnRenamed("id", "k").repartition(min(searches or 1, 4 * spark.sparkContext.defaultParallelism))
     far = every.mapInPandas(distances, "i bigint, d bigint, r bigint").groupBy("i").agg(F.sum("d").alias("d"), F.sum("r").alias("r"))
-    dense = dense_index(nodes).withColumnRenamed("idx", "i")  # in key order, as the driver's numbering
     norm = scale / ((n - 1) * (n - 2)) if n > 2 else 0.0
     close = F.when(F.col("d") > 0, F.col("r") / F.col("d") * F.col("r") / max(1, n - 1)).otherwise(0.0)
     return dense.join(part, "i", "left").join(far, "i", "left").select("id", F.coalesce(F.col("b") * norm, F.lit(0.0)).alias("betweenness"), F.coalesce(close, F.lit(0.0)).alias("closeness"))
@@ -187,9 +185,12 @@ def dense_index(nodes: DataFrame, key: str = "id") -> DataFrame:
     return ranged.join(F.broadcast(off), "_p").select(key, (F.col("_m") - F.col("_lo") + F.col("_off")).alias("idx"))
 
 
-def negatives(edges: DataFrame, count: int, seed: str = "neg", tries: int = 20) -> DataFrame:
-    """At most `count` distinct pairs (src, dst), src <> dst, that are no edge, in the order of a hash."""
-    idx = cut(dense_index(node_ids(edges)))
+def negatives(edges: DataFrame, count: int, seed: str = "neg", tries: int = 20, nodes: DataFrame | None = None) -> DataFrame:
+    """At most `count` distinct pairs (src, dst), src <> dst, that are no edge, in the order of a hash.
+
+    They are drawn from nodes(id), by default the nodes on edges.
+    """
+    idx = cut(dense_index(node_ids(edges) if nodes is None else nodes.select("id")))
     n = idx.count()
     if n < 2:
         return edges.select("src", "dst").limit(0)
@@ -220,22 +221,21 @@ def capped(pairs: DataFrame, most: int, seed: str = "cap") -> DataFrame:
 
 
 def topological_sequence(edges: DataFrame) -> DataFrame:
-    """(id, seq_layer): Kahn layers; nodes on or behind a cycle get the layer -1."""
-    left = cut(simple(edges))
-    nodes = cut(node_ids(edges))
-    done, layer = None, 0
-    open_ = nodes
-    while True:
-        ready = cut(open_.join(left.select(F.col("dst").alias("id")), "id", "left_anti"))
-        if ready.isEmpty():
-            break
-        now = ready.withColumn("seq_layer", F.lit(layer))
-        done = now if done is None else done.unionByName(now)
-        open_ = cut(open_.join(ready, "id", "left_anti"))
-        left = cut(left.join(ready.withColumnRenamed("id", "src"), "src", "left_anti"))
+    """(id, seq_layer): Kahn layers; nodes on or behind a cycle get the layer -1.
+
+    One table of nodes with their open in-degrees is written a layer; a round reads the links of the layer's nodes.
+    """
+    links = cut(simple(edges))
+    into = links.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("open"))
+    state = cut(node_ids(edges).join(into, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open"), F.lit(-1).alias("seq_layer")))
+    layer = 0
+    while not state.where("open = 0 AND seq_layer < 0").isEmpty():
+        ready = state.where("open = 0 AND seq_layer < 0").select(F.col("id").alias("src"))
+        less = links.join(ready, "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("less"))
+        now = F.when((F.col("open") == 0) & (F.col("seq_layer") < 0), F.lit(layer)).otherwise(F.col("seq_layer"))
+        state = cut(state.join(less, "id", "left").select("id", (F.col("open") - F.coalesce("less", F.lit(0))).alias("open"), now.alias("seq_layer")))
         layer += 1
-    rest = open_.withColumn("seq_layer", F.lit(-1))
-    return rest if done is None else done.unionByName(rest)
+    return state.select("id", "seq_layer")
 
 
 def sequence_numbers(edges: DataFrame) -> DataFrame:

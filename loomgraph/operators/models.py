@@ -80,7 +80,7 @@ def probability(model: LogisticRegressionModel | Constant, x: Column) -> Column:
 def fit_edges(z: DataFrame, typed: DataFrame, rounds: int = 50) -> dict[str, LogisticRegressionModel | Constant]:
     """Models of an edge's existence and of each of its TYPES from typed(src, dst, types) and as many negative pairs."""
     pos = cut(typed.where("src <> dst"))
-    neg = graph.negatives(pos, pos.count())
+    neg = graph.negatives(pos, pos.count(), nodes=z)
     rows = pos.select("src", "dst", "types", F.lit(True).alias("exists")).unionByName(neg.select("src", "dst", F.lit(None).cast("array<string>").alias("types"), F.lit(False).alias("exists")))
     data = cut(pair_features(rows, z))
     out = {"exists": fit_binary(data, "exists", rounds)}

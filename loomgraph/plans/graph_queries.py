@@ -22,45 +22,55 @@ def query(sql: str | None = None):
     return keep
 
 
-def _records(spark, d):
-    # five record kinds of one parse: kept once for the view that reads it twice
-    return cut(extract.extract(table(spark, d, "sources")))
+def _records(spark, d, *kinds):
+    return extract.extract(table(spark, d, "sources"), kinds)
 
 
 @query()
 def call_view(spark, d):
-    return viewsets.call_view(_records(spark, d))
+    # read twice: calls, and the functions they may mean
+    return viewsets.call_view(cut(_records(spark, d, "call_flow")))
 
 
 @query()
 def dependency_view(spark, d):
-    return viewsets.dependency_view(_records(spark, d))
+    return viewsets.dependency_view(cut(_records(spark, d, "call_flow")))
 
 
 @query()
 def data_flow_view(spark, d):
-    return viewsets.data_flow_view(_records(spark, d))
+    return viewsets.data_flow_view(_records(spark, d, "data_flow"))
 
 
 @query()
 def class_view(spark, d):
-    return viewsets.class_view(_records(spark, d))
+    return viewsets.class_view(_records(spark, d, "class_bases", "class_attributes", "class_methods"))
 
 
 @query()
 def import_view(spark, d):
-    return viewsets.import_view(_records(spark, d))
+    return viewsets.import_view(_records(spark, d, "imports"))
+
+
+@query()
+def extracted_file_index(spark, d):
+    """What the extraction says of the files: analysed or not, by language."""
+    f = extract.file_index(table(spark, d, "sources"))
+    return f.groupBy("language", "analysed").agg(F.count(F.lit(1)).alias("n"), F.count("reason").alias("n_reasons"))
 
 
 @query()
 def source_graph_counts(spark, d):
-    """The unified graph of the real sources: extracted functions, calls and classes, resolved."""
-    r = _records(spark, d).withColumn("ord", F.xxhash64("repo_url", "source_file", "seq"))
-    fns = r.where("kind = 'call_flow'").select("repo_url", "source_file", F.col("name").alias("function"), "ord")
-    calls = r.where("kind = 'call_flow'").select("repo_url", "source_file", F.col("name").alias("function"), F.explode("items").alias("raw_call"), "ord")
-    part = r.where("kind LIKE 'class%'").groupBy("repo_url", "source_file", F.col("name").alias("class")).agg(F.max("ord").alias("ord"), *[F.coalesce(F.max(F.when(F.col("kind") == k, F.col("items"))), F.array().cast("array<string>")).alias(a) for k, a in (("class_bases", "bases"), ("class_methods", "methods"))])
-    files = table(spark, d, "sources").select("repo_url", F.col("filepath").alias("source_file"))
-    nodes, edges = resolve.unified_graph(files, fns, calls, part)
+    """The unified graph of the real sources: extracted functions, calls, classes and data flow, resolved."""
+    r = cut(_records(spark, d)).withColumn("ord", F.xxhash64("repo_url", "source_file", "seq"))
+    t = {k: v for k, v in extract.tables(r).items()}
+    calls = r.where("kind = 'call_flow'").select("repo_url", "source_file", F.col("name").alias("function"), "items", "ord")
+    classes = t["class_diagram"].withColumn("ord", F.xxhash64("repo_url", "source_file", "class"))
+    flows = r.where("kind = 'data_flow'").select("repo_url", "source_file", F.col("name").alias("function"), F.col("a").alias("variable"), F.col("b").alias("passed_to"), F.col("pos").alias("arg_position"), "ord")
+    variables = t["variables_per_function"].withColumn("ord", F.lit(0))
+    files = extract.file_index(table(spark, d, "sources")).select("repo_url", F.col("filepath").alias("source_file"), "language", "analysed")
+    fns = calls.select("repo_url", "source_file", "function", "ord")
+    nodes, edges = resolve.unified_graph(files, fns, calls.select("repo_url", "source_file", "function", F.explode("items").alias("raw_call"), "ord"), classes, flows, variables=variables)
     return nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("node").alias("what"), "type", "n").unionByName(edges.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("what"), "type", "n"))
 
 

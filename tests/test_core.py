@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomgraph.functions import roles
 from loomgraph.functions import scalars as S
-from loomgraph.operators import extract, graph, resolve, rollups, skew, splits
-from loomgraph.plans import core_queries, graph_queries, serving_queries, skew_queries
+from loomgraph.operators import braces, extract, graph, resolve, rollups, skew, splits
+from loomgraph.plans import core_queries, graph_queries, model_queries, serving_queries, skew_queries
 from loomgraph.session import ensure_checkpoint_dir
 from loomgraph.sources import files, views
 from loomgraph.streaming import ingest
@@ -83,9 +83,49 @@ def test_python_extraction_of_nested_and_nameless_things():
     assert r[("class_bases", "A")] == ["B"] and r[("call_flow", "A.f")] == ["a", "b"]
 
 
-def test_brace_extraction():
-    got = extract.brace_records("function f(a) {\n  g(a); // h(x)\n  if (a) { k.l(a); }\n}\nconst q = (x) => {\n  return m(x);\n};", "js")
-    assert [(n, i) for k, n, *_, i in got if k == "call_flow"] == [("f", ["g", "k.l"]), ("q", ["m"])]
+def of(code, ext):
+    return {(k, n): items for k, n, a, b, p, items in braces.records(code, ext) if k != "data_flow"}, [x[1:5] for x in braces.records(code, ext) if x[0] == "data_flow"]
+
+
+def test_javascript_records():
+    r, flows = of("function f(a, b = 1, ...c) {\n  g(a); // h(x)\n  if (a) { k.l(a, 'x', b); }\n  const q = 1, s = 2; let t;\n  t = new M(b)\n}\nconst q = (x) => {\n  return m(x);\n};\nconst p = y => z(y);\nfunction none() {}", "js")
+    assert r[("call_flow", "f")] == ["g", "l", "M"] and r[("call_flow", "q")] == ["m"] and r[("call_flow", "p")] == ["z"] and r[("call_flow", "none")] == []
+    assert r[("variables", "f")][:3] == ["param:a", "param:b", "param:c"] and set(r[("variables", "f")][3:]) == {"q", "s", "t"}
+    assert flows == [("f", "a", "g", 0), ("f", "a", "l", 0), ("f", "b", "l", 2), ("f", "b", "M", 0), ("q", "x", "m", 0), ("p", "y", "z", 0)]
+    r, _ = of("class A extends n.B {\n  w = 1;\n  constructor(x) { super(x); this.y = x; }\n  async go(a, {b}) { await this.run(a); }\n}\nexport default class { z() { q(); } }", "ts")
+    assert r[("class_bases", "A")] == ["n.B"] and r[("class_attributes", "A")] == ["w", "y"] and r[("class_methods", "A")] == ["constructor(x)", "go(a, b)"] and r[("call_flow", "A.go")] == ["run"]
+
+
+def test_go_records():
+    code = "package p\n\ntype S struct {\n\tA, B int\n\tc *T `json:\"c\"`\n}\n\nfunc (s *S) Do(x, y int, f func(int) error) (int, error) {\n\ts.c = New(x)\n\tif v, ok := m[x]; ok {\n\t\tgo func() { fmt.Println(v, y) }()\n\t}\n\treturn f(x)\n}\n\nfunc main() {}\n"
+    r, flows = of(code, "go")
+    assert r[("class_attributes", "S")] == ["A", "B", "c"] and r[("class_methods", "S")] == ["Do(x, y, f)"] and r[("class_bases", "S")] == []
+    assert r[("call_flow", "Do")] == ["New", "Println", "f"] and r[("call_flow", "main")] == [] and r[("variables", "Do")] == ["param:x", "param:y", "param:f"]
+    assert ("Do", "y", "Println", 1) in flows
+
+
+def test_java_records():
+    code = "public class A<T> extends B<T> implements C, D {\n  private int n = 1, k;\n  A(String s) { this.m = s; }\n  @Override public void run(final List<T> xs, int i) throws E {\n    int y = f(i); for (T t : xs) { t.go(y, i); }\n    z = new Foo(y);\n  }\n  abstract int size(int q);\n  class In { void g() { h(); } }\n}\ninterface I { void w(int a); }"
+    r, flows = of(code, "java")
+    assert r[("class_bases", "A")] == ["B", "C", "D"] and r[("class_attributes", "A")] == ["k", "m", "n"] and r[("class_methods", "A")] == ["A(s)", "run(xs, i)", "size(q)"]
+    assert r[("call_flow", "A.run")] == ["f", "go", "Foo"] and r[("call_flow", "A.In.g")] == ["h"] and r[("class_methods", "I")] == ["w(a)"]
+    assert r[("variables", "A.run")] == ["param:xs", "param:i", "y", "z"] and ("A.run", "y", "go", 0) in flows and ("A.run", "i", "go", 1) in flows
+
+
+def test_c_records():
+    code = "#include <x.h>\nstruct P { int a; char *b[3]; };\nstatic int f(const char *s, int n) {\n  int k = g(n);\n  p->a = k; s[0] = 1;\n  while (k) { k -= h(s, k); }\n  return k;\n}\n"
+    r, flows = of(code, "c")
+    assert r[("class_attributes", "P")] == ["a", "b"] and r[("call_flow", "f")] == ["g", "h"] and r[("variables", "f")] == ["param:s", "param:n", "k", "p", "s", "k"]
+    assert flows == [("f", "n", "g", 0), ("f", "s", "h", 0), ("f", "k", "h", 1)]
+    r, _ = of("namespace n { class A : public B, private m::C {\n public:\n  A(int x) : x_(x) { init(x); }\n  int get() const { return x_; }\n private:\n  int x_ = 0;\n};\n}\nvoid A::run(int q) { step(q); }", "cpp")
+    assert r[("class_bases", "A")] == ["B", "C"] and "x_" in r[("class_attributes", "A")] and r[("class_methods", "A")] == ["A(x)", "get()"] and r[("call_flow", "run")] == ["step"]
+
+
+@pytest.mark.parametrize("ext", ["js", "go", "java", "c", "cpp"])
+def test_brace_records_survive_anything(ext):
+    rnd = random.Random(1)
+    for _ in range(200):
+        braces.records("".join(rnd.choice(["{", "}", "(", ")", "[", "]", "class ", "func ", "a", "=", "=>", ";", "\n", "\"", "function ", ",", "struct ", ".", "this"]) for _ in range(rnd.randrange(60))), ext)
 
 
 def test_extract_survives_anything(spark):
@@ -301,7 +341,7 @@ def norm(rows):
     return sorted((repr([f(v) for _, v in sorted(r.items())]) for r in rows))
 
 
-@pytest.mark.parametrize("name", sorted({**core_queries.SQL, **skew_queries.SQL, **graph_queries.SQL, **serving_queries.SQL}))
+@pytest.mark.parametrize("name", sorted({**core_queries.SQL, **skew_queries.SQL, **graph_queries.SQL, **serving_queries.SQL, **model_queries.SQL}))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings sources file_index predictions examples label_meta label_targets eval_items".split():
