@@ -99,7 +99,7 @@ def scored_graph(spark, d):
 
 def _labelled(spark, d):
     """Static features of the source files with the label of their first prediction and a stratified split."""
-    s = _file_nodes(spark, d).join(table(spark, d, "sources").select(F.col("ord").alias("id"), "repo_url"), "id")
+    s = table(spark, d, "sources").select(F.col("ord").alias("id"), "repo_url", "filepath")
     first = rollups.keep_first(table(spark, d, "predictions").where("repo_url IS NOT NULL AND filepath IS NOT NULL")).select("repo_url", "filepath", F.lower(F.trim("predicted_label")).alias("label"))
     rows = s.join(first, ["repo_url", "filepath"]).where("label IS NOT NULL").select("id", "label")
     return cut(splits.stratified(rows, "label", "id").select("id", "label", "split")), cut(features.static(_file_nodes(spark, d)))
@@ -126,10 +126,10 @@ def encoder_comparison(spark, d):
     return models.compare_encoders(x, cut(nxt), labelled.where(F.col("label").isin(*labels)), labels, rounds=5)
 
 
-@query(V + ", s AS (SELECT DISTINCT src, dst FROM v_edges), x AS (SELECT c_custkey AS id, [c_acctbal::DOUBLE, (c_custkey % 7)::DOUBLE] AS x FROM customer) SELECT dst AS id, [round(avg(x.x[1]), 6), round(avg(x.x[2]), 6)] AS neigh FROM s JOIN x ON x.id = src GROUP BY 1")
+@query(V + ", s AS (SELECT DISTINCT src, dst FROM v_edges), x AS (SELECT c_custkey AS id, [c_acctbal::DOUBLE, (c_custkey % 7)::DOUBLE] AS x FROM customer) SELECT dst AS id, [round(avg(x.x[1]), 8), round(avg(x.x[2]), 8)] AS neigh FROM s JOIN x ON x.id = src GROUP BY 1")
 def mean_vectors(spark, d):
     """The aggregation layer with vectors of two entries."""
     e = graph.simple(_edges(spark, d))
     x = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal").cast("double"), (F.col("c_custkey") % 7).cast("double")).alias("x"))
     out = graph.mean_neighbours(e, x, 2).join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
-    return out.select("id", F.transform("neigh", lambda v: F.round(v, 6)).alias("neigh"))
+    return out.select("id", F.transform("neigh", lambda v: F.round(v, 8)).alias("neigh"))

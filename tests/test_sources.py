@@ -7,8 +7,9 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import extract, models, resolve, serving
+from loomgraph.operators import extract, graph, models, resolve, serving, viewsets
 from loomgraph.sources import files, repos
+from loomgraph.streaming import ingest
 
 
 def test_jobs_of_a_command_line(tmp_path):
@@ -171,3 +172,29 @@ def test_file_rows_of_the_extraction(spark):
     got = {r.filepath: r for r in extract.file_index(spark.createDataFrame(rows, "repo_url string, filepath string, code string")).collect()}
     assert got["a.py"].analysed is False and got["a.py"].reason.startswith("SyntaxError:") and got["b.py"].analysed and got["b.py"].reason is None
     assert got["c.js"].analysed and not got["d.txt"].analysed and not got["e.py"].analysed and got["b.py"].language == "Python"
+
+
+def test_predictions_by_repository_and_any_scorer(spark, tmp_path):
+    df = spark.createDataFrame([("a.py", "https://h/o/r1", "x", 0.5), ("b.py", "https://h/o/r2.git", "y", 0.6)], "filepath string, repo_url string, predicted_label string, confidence double")
+    files.write_predictions(df, str(tmp_path / "p"))
+    assert {r.repo for r in spark.read.json(str(tmp_path / "p")).select("repo").distinct().collect()} == {"r1", "r2"}
+    files.write_records(spark.createDataFrame([("call_flow", "r"), ("imports", "r")], "kind string, repo_url string"), str(tmp_path / "k"))
+    assert spark.read.parquet(str(tmp_path / "k")).where("kind = 'imports'").count() == 1
+    got = viewsets.score_files(df, lambda b: b[["filepath"]].assign(n=b["filepath"].str.len()), "filepath string, n long").collect()
+    assert {(r.filepath, r.n) for r in got} == {("a.py", 4), ("b.py", 4)}
+
+
+def test_event_windows_on_a_stream(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS ts, 'a' AS event_type, 1.0D AS value UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'a', 2.0D UNION ALL SELECT timestamp'2024-01-01 01:10:00', 'a', 4.0D")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = ingest.event_windows(ingest.events_stream(spark, str(tmp_path / "in")))
+    q = s.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted((r.n, r.total) for r in spark.table("windows").collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_layers_of_a_chain_with_a_cycle_behind(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(6)] + [(5, 20), (20, 21), (21, 20)], "src int, dst int").withColumn("type", F.lit("x"))
+    got = {r.id: r.seq_layer for r in graph.topological_sequence(e).collect()}
+    assert [got[i] for i in range(7)] == list(range(7)) and got[20] == got[21] == -1
+    assert graph.topological_sequence(e.limit(0)).count() == 0
