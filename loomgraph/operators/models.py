@@ -8,8 +8,8 @@ neighbours'), a pair is described by both ends and their product.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph, splits
@@ -68,13 +68,16 @@ def fit_binary(rows: DataFrame, label: str, rounds: int = 50, most: float = 20.0
     return LogisticRegression(maxIter=rounds, regParam=1e-3, weightCol="weight").fit(data)
 
 
-def probability(model: LogisticRegressionModel | Constant, x: Column) -> Column:
-    """P(label) of a model as a column expression over x: no pass over the data."""
-    if isinstance(model, Constant):
-        return F.lit(model.p)
-    w = F.array(*[F.lit(float(v)) for v in model.coefficients.toArray()])
-    score = F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(model.intercept)), lambda acc, v: acc + v)
-    return 1 / (1 + F.exp(-score))
+def score(rows: DataFrame, fitted: dict[str, LogisticRegressionModel | Constant]) -> DataFrame:
+    """rows(x, ..) without x, with one probability column a model: dense dot products, JVM-side."""
+    out = rows.withColumn("_f", array_to_vector("x"))
+    for i, (name, m) in enumerate(fitted.items()):
+        if isinstance(m, Constant):
+            out = out.withColumn(name, F.lit(m.p))
+            continue
+        told = m.copy().setFeaturesCol("_f").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setPredictionCol(f"_l{i}")
+        out = told.transform(out).withColumn(name, vector_to_array(f"_p{i}")[1]).drop(f"_p{i}", f"_r{i}", f"_l{i}")
+    return out.drop("_f", "x")
 
 
 def fit_edges(z: DataFrame, typed: DataFrame, rounds: int = 50) -> dict[str, LogisticRegressionModel | Constant]:
@@ -98,8 +101,8 @@ def score_graph(nodes: DataFrame, edges: DataFrame, z: DataFrame, models: dict,
     pairs = graph.candidate_pairs(groups, edges, mode, groups)
     if most:
         pairs = graph.capped(pairs, most)
-    x = F.col("x")
-    p = pair_features(pairs, z).select("src", "dst", probability(models["exists"], x).alias("p"), *[F.round(probability(models[t], x), 4).alias(t) for t in TYPES]).where(F.col("p") >= exists)
+    p = score(pair_features(pairs, z).select("src", "dst", "x"), models)
+    p = p.select("src", "dst", F.col("exists").alias("p"), *[F.round(t, 4).alias(t) for t in TYPES]).where(F.col("p") >= exists)
     names = nodes.select("id", F.coalesce("filepath", "id").alias("path"))
     j = p.join(names.select(F.col("id").alias("src"), F.col("path").alias("source_filepath")), "src").join(names.select(F.col("id").alias("dst"), F.col("path").alias("target_filepath")), "dst")
     chosen = F.filter(F.array(*[F.when(F.col(t) >= typed, F.lit(t)) for t in TYPES]), lambda t: t.isNotNull())
@@ -114,11 +117,11 @@ def fit_roles(rows: DataFrame, label: str, labels: list[str], rounds: int = 50)
 
 
 def predict_roles(rows: DataFrame, models: dict) -> DataFrame:
-    """rows with predicted_label, confidence and is_confident: the label of the highest probability, ties by label order."""
-    x = F.col("x")
-    entries = F.array(*[F.struct(F.round(probability(m, x), 4).alias("c"), F.lit(-i).alias("tie"), F.lit(lab).alias("label")) for i, (lab, m) in enumerate(models.items())])
+    """rows without x, with predicted_label, confidence and is_confident: the label of the highest probability, ties by label order."""
+    entries = F.array(*[F.struct(F.round(f"_m{i}", 4).alias("c"), F.lit(-i).alias("tie"), F.lit(lab).alias("label")) for i, lab in enumerate(models)])
     top = F.sort_array(entries, asc=False)[0]
-    return rows.withColumn("_t", top).withColumns({"predicted_label": F.col("_t.label"), "confidence": F.col("_t.c"), "is_confident": F.col("_t.c") >= 0.5}).drop("_t")
+    told = score(rows, {f"_m{i}": m for i, m in enumerate(models.values())})
+    return told.withColumn("_t", top).drop(*[f"_m{i}" for i in range(len(models))]).withColumns({"predicted_label": F.col("_t.label"), "confidence": F.col("_t.c"), "is_confident": F.col("_t.c") >= 0.5}).drop("_t")
 
 
 def compare_encoders(x: DataFrame, edges: DataFrame, labelled: DataFrame, labels: list[str], kinds: tuple[str, ...] = ("none", "mean", "degree"), rounds: int = 20) -> DataFrame:

@@ -97,7 +97,7 @@ def per_key(df: DataFrame, key_fields: Sequence[str] = ("repo_url", "predicted_l
         F.sum("n").alias("n_rows"),
         (F.sum("files") - F.sum("again")).alias("n_files"),
         F.sum("mn").alias("n_usable"),
-        F.round(F.sum("ms") / F.sum("mn"), 6).alias("mean_confidence"),
+        F.when(F.sum("mn") > 0, F.round(F.sum("ms") / F.sum("mn"), 6)).alias("mean_confidence"),
     )
 
 

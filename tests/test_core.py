@@ -279,6 +279,11 @@ def test_a_repeated_entity_is_split(spark):
     assert {(r.key_value, r.n_rows, r.n_files) for r in got} == {("hot", 20_000, 1), ("x", 20_000, 1)}
 
 
+def test_per_key_without_a_usable_measure(spark):
+    df = spark.createDataFrame([("a", "x", "f", None), ("a", "x", "g", 2.0)], "repo_url string, predicted_label string, filepath string, confidence double")
+    assert {(r.key_value, r.n_rows, r.n_usable, r.mean_confidence) for r in skew.per_key(df).collect()} == {("a", 2, 0, None), ("x", 2, 0, None)}
+
+
 def test_per_key_of_nothing(spark):
     df = spark.createDataFrame([], "repo_url string, predicted_label string, filepath string, confidence double")
     assert skew.per_key(df).count() == skew.heavy_keys(df).count() == 0
