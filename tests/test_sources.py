@@ -2,6 +2,7 @@
 
 import json
 import os
+import shutil
 import subprocess
 
 import pytest
@@ -48,6 +49,7 @@ def test_checkout_clones_caches_and_cleans_up(tmp_path, monkeypatch):
     assert repos.locate("https://h/o/r.git", [str(tmp_path), cache]) == os.path.join(cache, "r") and repos.locate("https://h/o/q", [cache]) is None
 
 
+@pytest.mark.skipif(shutil.which("git") is None, reason="needs git")
 def test_clone_of_a_local_repository(tmp_path):
     src = tmp_path / "src"
     src.mkdir()
