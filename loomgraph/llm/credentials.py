@@ -6,7 +6,7 @@ independently of each other are placeholders and fall out; copies of one file co
 by its form alone, by its randomness if nothing beside it says otherwise, or by its structure together with what
 stands beside it: a credential's name, a user beside it in a record or a call, a flag, a comment. Names are known
 ones and those that the corpus keeps beside confirmed values. All files are then scanned again for the confirmed
-values by an Aho-Corasick automaton, so that a secret is found where nothing beside it tells. Redaction changes
+values by the hashes of their heads, so that a secret is found where nothing beside it tells. Redaction changes
 the secret's own characters only.
 """
 
@@ -16,7 +16,6 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
@@ -31,7 +30,7 @@ SHARED, MIN_OWNERS, RANDOM_TIMES = 0.005, 6, 4
 #: A name is a credential's if so many owners have it beside confirmed values, and so large a share of its structured values is confirmed.
 NAME_OWNERS, NAME_SHARE = 2, 0.6
 SHORT = 10  # a shorter value recurs only between quotes, blanks or marks of assignment
-#: Confirmed values in one automaton. Beyond that texts are matched by the values' first ANCHOR characters in one pass.
+#: Texts are matched by the values' first ANCHOR characters. The bitmap of their hashes has 2^ANCHOR_BITS bits for a block of values.
 BLOCK_VALUES, ANCHOR, ANCHOR_BITS = 500_000, 6, 24
 MASK = "REDACTED"
 
@@ -350,84 +349,73 @@ def _stands(text: str, a: int, b: int) -> bool:
 _PLACE = "ord bigint, line_no bigint, begin int, finish int"
 
 
-def rescan(examples: DataFrame, values: DataFrame, block: int = BLOCK_VALUES) -> DataFrame:
-    """(ord, line_no, begin, finish) of every place of a confirmed value. One pass over the texts, however many values."""
-    texts = examples.select("ord", "text").where("text IS NOT NULL")
-    if values.count() <= block:
-        shared = examples.sparkSession.sparkContext.broadcast([r.value for r in values.toLocalIterator()])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            machine = _machine(shared.value)
-            for b in batches:
-                rows = []
-                for o, t in zip(b["ord"], b["text"], strict=True) if machine else ():
-                    first = t.find("\n")
-                    for end, n in machine.iter(t):
-                        a = end + 1 - n
-                        if a > first >= 0 and _stands(t, a, end + 1):
-                            rows.append((o, t.count("\n", 0, a) + 1, a, end + 1))
-                yield pd.DataFrame(rows, columns=["ord", "line_no", "begin", "finish"])
-
-        return texts.mapInPandas(run, _PLACE)
-    return _anchored(texts, values)
-
-
-_MACHINES: dict[int, tuple[list[str], ahocorasick.Automaton | None]] = {}
-
-
-def _machine(values: list[str]) -> ahocorasick.Automaton | None:
-    """The automaton of a list of values, built once a worker process."""
-    known = _MACHINES.get(id(values))
-    if known is None or known[0] is not values:
-        machine = ahocorasick.Automaton()
-        for v in values:
-            machine.add_word(v, len(v))
-        if values:
-            machine.make_automaton()
-        _MACHINES.clear()
-        known = _MACHINES[id(values)] = values, machine if values else None
-    return known[1]
-
-
-def _anchors(text: str) -> np.ndarray:
-    """Hashes of the first ANCHOR characters at every position of a text."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(0, len(c) - ANCHOR + 1)
-    h = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(ANCHOR):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + n] + np.uint64(1)
+@lru_cache(1)
+def _word() -> np.ndarray:
+    """For every code point whether it goes on a word (str.isalnum)."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+def _heads(text: str, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, places, hashes of so many characters from there) for each of the sizes, at the places below the first line where no word goes on.
+
+    A size below ANCHOR is a whole value's: only places where no word goes on behind it.
+    """
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    first, word = text.find("\n"), _word()
+    at = np.flatnonzero(~word[c[first:-1]]) + first + 1 if first >= 0 else np.zeros(0, np.int64)
+    h = np.zeros(len(at), np.uint64)
+    for i in range(ANCHOR):
+        inside = at + i < len(c)
+        at, h = at[inside], h[inside]
+        with np.errstate(over="ignore"):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + c[at + i] + np.uint64(1)
+        if i + 1 in sizes:
+            ends = slice(None) if i + 1 == ANCHOR else ~word[c[np.minimum(at + i + 1, len(c) - 1)]] | (at + i + 1 == len(c))
+            yield i + 1, at[ends], _mixed(h[ends])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def _anchored(texts: DataFrame, values: DataFrame) -> DataFrame:
-    """rescan for more values than an automaton should hold: places whose anchor may be a value's are joined with the values."""
-    spark = texts.sparkSession
-    mask = np.int64((1 << ANCHOR_BITS) - 1)
+def _key(value: str) -> tuple[int, int]:
+    """(size, hash) of a value's head: of its first ANCHOR characters, or of all of a shorter one."""
+    return next((k, int(h[0])) for k, _, h in _heads("\n" + value[:ANCHOR], (min(len(value), ANCHOR),)))
+
+
+def rescan(examples: DataFrame, values: DataFrame, block: int = BLOCK_VALUES) -> DataFrame:
+    """(ord, line_no, begin, finish) of every place of a confirmed value, in one pass over the texts, however many values.
+
+    Places whose head may be a value's by a bitmap are joined with the values. The bitmap doubles with the blocks of
+    values; it only saves rows of the join.
+    """
+    texts = examples.select("ord", "text").where("text IS NOT NULL")
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"value": b["value"], "h": [int(_anchors(v[:ANCHOR])[0]) for v in b["value"]]})
+            yield pd.DataFrame([(v, *_key(v)) for v in b["value"]], columns=["value", "size", "h"])
 
-    keyed = cut(values.select("value").where(F.length("value") >= ANCHOR).mapInPandas(keys, "value string, h bigint"))
-    bits = np.zeros(1 << ANCHOR_BITS, bool)
-    for r in keyed.select(F.col("h").bitwiseAND(F.lit(int(mask))).alias("slot")).distinct().toLocalIterator():
-        bits[r.slot] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))  # 2 MB whatever the number of values
-    longest = int(keyed.agg(F.max(F.length("value"))).first()[0] or 0)
+    keyed = cut(values.select("value").where("value <> ''").mapInPandas(keys, "value string, size int, h bigint"))
+    n, longest = keyed.agg(F.count(F.lit(1)), F.max(F.length("value"))).first()
+    mask = np.int64((1 << ANCHOR_BITS + max(0, -(-n // block) - 1).bit_length()) - 1)
+    sizes = tuple(r.size for r in keyed.select(F.col("size")).distinct().collect())  # ANCHOR at most
+    bits = np.zeros(int(mask) + 1, bool)
+    bits[keyed.select(F.col("h").bitwiseAND(F.lit(int(mask))).alias("slot")).distinct().toArrow().column("slot").to_numpy()] = True
+    shared = examples.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        on = np.unpackbits(shared.value).astype(bool)
+        on = shared.value
         for b in batches:
             rows = []
-            for o, t in zip(b["ord"], b["text"], strict=True):
-                first, h = t.find("\n"), _anchors(t)
-                if first >= 0:
-                    rows += [(o, t.count("\n", 0, a) + 1, a, int(h[a]), t[a - 1 : a + longest + 1]) for a in np.flatnonzero(on[h & mask]).tolist() if a > first and not t[a - 1].isalnum()]
-            yield pd.DataFrame(rows, columns=["ord", "line_no", "begin", "h", "piece"])
-
-    hits = texts.mapInPandas(places, "ord bigint, line_no bigint, begin int, h bigint, piece string")
-    same = hits.join(keyed, "h").where(F.expr("substring(piece, 2, length(value)) = value"))
+            for o, t in zip(b["ord"], b["text"], strict=True) if sizes else ():
+                for k, at, h in _heads(t, sizes):
+                    slot = h & mask
+                    may = np.flatnonzero(on[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1)
+                    rows += [(o, t.count("\n", 0, a) + 1, a, k, x, t[a - 1 : a + longest + 1]) for a, x in zip(at[may].tolist(), h[may].tolist(), strict=True)]
+            yield pd.DataFrame(rows, columns=["ord", "line_no", "begin", "size", "h", "piece"])
+
+    hits = texts.mapInPandas(places, "ord bigint, line_no bigint, begin int, size int, h bigint, piece string")
+    same = hits.join(keyed, ["size", "h"]).where(F.expr("substring(piece, 2, length(value)) = value"))
 
     def stands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -159,6 +159,25 @@ def test_rescan_is_the_same_in_one_pass_beyond_the_automaton(spark):
 
 
 # ---- 4 -------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("block", (1, 10))
+def test_short_values_recur_however_many_values_there_are(spark, block):
+    """Values shorter than a head are found in one block of values and in many; overlapping and astral ones too."""
+    values = [("pq7!",), ("Z",), ("x9é",), ("pq7!pq7!pq7!",), ("\U0001f511k2",)]
+    rows = [(i, "p", t, None, None, None, "train") for i, t in enumerate(["pq7!/a\nu 'pq7!' (Z) Zz pq7!\nx9é x9éé", "b/y\n'pq7!pq7!pq7!'Z", "c\n\U0001f511k2 '\U0001f511k2'", "d/\n", "Z"])]
+    got = sorted(map(tuple, credentials.rescan(spark.createDataFrame(rows, EX), spark.createDataFrame(values, "value string"), block=block).collect()))
+    want = []
+    for o, _, t, *_ in rows:
+        want += [(o, t.count("\n", 0, a) + 1, a, a + len(v)) for (v,) in values for a in range(len(t)) if t.startswith(v, a) and a > t.find("\n") >= 0 and credentials._stands(t, a, a + len(v))]
+    assert got == sorted(want) and len(got) == 8
+
+
+def test_a_short_password_of_an_address_is_found_again(spark):
+    rows = [(0, "p", "o/a\nurl = 'db://u:k4b@host/x'\n", None, None, None, "train"), (1, "p", "q/b\nopen('k4b')\n", None, None, None, "train")]
+    df = spark.createDataFrame(rows, EX)
+    assert {r.ord for r in credentials.rescan(df, credentials.confirmed(credentials.found_literals(df), 2), block=1).collect()} == {0, 1}
+    assert {(r.ord, r.line_no) for r in credentials.found(df).collect()} == {(0, 2), (1, 2)}
+
+
 def test_gll_takes_ambiguous_and_left_recursive_grammars():
     g = gll.Grammar("S := S S | 'a' | ;")
     assert g.accepts("S", ["a"] * 12) and g.accepts("S", []) and not g.accepts("S", ["a", "b"])
