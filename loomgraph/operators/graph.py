@@ -200,18 +200,40 @@ def negatives(edges: DataFrame, count: int, seed: str = "neg", tries: int = 20,
     return pairs.join(simple(edges), ["src", "dst"], "left_anti").orderBy("k").limit(count).select("src", "dst")
 
 
+#: The sources of a group are dealt to so many parts, each paired with the whole group: a large group is more than one task.
+PARTS = 8
+
+
+def _members(groups: DataFrame) -> DataFrame:
+    """(id, grp, more) of groups(id, grp), once each; more: all groups of an id that has several."""
+    every = groups.where("id IS NOT NULL AND grp IS NOT NULL").groupBy("id").agg(F.collect_set("grp").alias("every"))
+    return every.select("id", F.explode("every").alias("grp"), F.when(F.size("every") > 1, F.col("every")).alias("more"))
+
+
+def _known(members: DataFrame, existing: DataFrame) -> DataFrame:
+    """(src, grp, known): the targets within a group that a source has an edge to."""
+    kind = members.schema["id"].dataType
+    e = existing.where("src <> dst").select("src", "dst").join(members.select(F.col("id").alias("src"), "grp"), "src")
+    inside = e.join(members.select(F.col("id").alias("dst"), "grp"), ["dst", "grp"])
+    return inside.groupBy(F.col("src").cast(kind).alias("src"), "grp").agg(F.collect_set(F.col("dst").cast(kind)).alias("known"))
+
+
 def candidate_pairs(files: DataFrame, existing: DataFrame, mode: str = "new", partners: DataFrame | None = None) -> DataFrame:
     """Ordered pairs (src, dst) of files to score: 'existing' edges, or pairs of one group (partners: id, grp) without or with them.
 
     All ordered pairs of all files grow with the square; pairs are therefore made within a group (repository,
-    module) that the caller bounds.
+    module) that the caller bounds. No pair goes through a shuffle: a source carries its known targets, and a pair
+    with several groups in common is made in the least of them.
     """
     if mode == "existing":
         return simple(existing).where("src <> dst")
-    g = partners if partners is not None else files
-    left, right = g.select(F.col("id").alias("src"), "grp"), g.select(F.col("id").alias("dst"), "grp")
-    pairs = left.join(right, "grp").where("src <> dst").select("src", "dst").distinct()
-    return pairs if mode == "all" else pairs.join(simple(existing), ["src", "dst"], "left_anti")
+    m = _members(partners if partners is not None else files)
+    left = m.select(F.col("id").alias("src"), "grp", F.col("more").alias("_l"), F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("_part"))
+    right = m.select(F.col("id").alias("dst"), "grp", F.col("more").alias("_r"), F.explode(F.array(*[F.lit(k) for k in range(PARTS)])).alias("_part"))
+    if mode == "new":
+        left = left.join(_known(m, existing), ["src", "grp"], "left")
+    pairs = left.join(right, ["grp", "_part"]).where("src <> dst AND (_l IS NULL OR _r IS NULL OR array_min(array_intersect(_l, _r)) = grp)")
+    return (pairs.where(F.col("known").isNull() | ~F.array_contains("known", F.col("dst"))) if mode == "new" else pairs).select("src", "dst")
 
 
 def capped(pairs: DataFrame, most: int, seed: str = "cap") -> DataFrame:

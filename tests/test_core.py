@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import duckdb
 import pytest
@@ -219,6 +220,19 @@ def test_negatives_are_no_edges(spark):
     assert len(n) == 15 and not n & {(r.src, r.dst) for r in e.collect()} and all(a != b for a, b in n)
 
 
+@pytest.mark.parametrize("mode", ("new", "all"))
+def test_candidates_of_overlapping_groups_are_made_once_and_not_shuffled(spark, mode):
+    rnd = random.Random(5)
+    groups = [(i, rnd.randrange(6)) for i in range(40) for _ in range(rnd.randrange(1, 5))] + [(7, None), (None, 1)]
+    edges = [(rnd.randrange(45), rnd.randrange(45), "x", 0.5) for _ in range(300)] + [(None, 3, "x", 0.5)]
+    g, e = spark.createDataFrame(groups, "id long, grp int"), spark.createDataFrame(edges, "src int, dst int, type string, p double")
+    pairs = graph.candidate_pairs(g, e, mode)
+    known = {(a, b) for a, b, *_ in edges} if mode == "new" else set()
+    want = {(a, b) for a, x in groups for b, y in groups if None not in (a, b, x) and x == y and a != b} - known
+    assert sorted((r.src, r.dst) for r in pairs.collect()) == sorted(want)
+    assert not re.search(r"hashpartitioning\(src#\w+, dst#", pairs._jdf.queryExecution().executedPlan().toString())
+
+
 def test_layer_flow_tie_goes_to_the_first_name(spark):
     e = spark.createDataFrame([("1", "2", "x", 0.2), ("2", "1", "x", 0.4)], EDGES)
     layers = spark.createDataFrame([("1", "api"), ("2", "backend")], "id string, layer string")
