@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import digests
 from loomgraph.functions import scalars as S
 from loomgraph.session import cut
 
@@ -242,6 +244,57 @@ def capped(pairs: DataFrame, most: int, seed: str = "cap") -> DataFrame:
     return pairs.orderBy(h, "src", "dst").limit(most)
 
 
+#: Digests that are computed at once.
+AT_ONCE = 24_576
+
+
+def _low_pairs(members: DataFrame, low: int, seed: str) -> DataFrame:
+    """(src, dst): the pairs of a group whose hash begins with at most `low` as a number of 32 bits."""
+    kind = members.schema["id"].dataType.simpleString()
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+    rows = members.select("id", "grp", F.col("id").cast("string").alias("text"), part.alias("mine"), F.explode(F.array(*[F.lit(k) for k in range(PARTS)])).alias("part"))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        texts, own, sized = [t.encode() for t in b["text"]], (b["mine"] == b["part"]).to_numpy(), {}
+        for i, t in enumerate(texts):
+            sized.setdefault(len(t), []).append(i)
+        alike = [(np.array(at), np.frombuffer(b"".join(texts[i] for i in at), np.uint8).reshape(len(at), k)) for k, at in sized.items()]
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, left in ((at[own[at]], m[own[at]]) for at, m in alike):
+            for y, right in alike:
+                for j in range(0, len(y), AT_ONCE):
+                    some = right[j : j + AT_ONCE]
+                    step = max(1, AT_ONCE // len(some))
+                    for i in range(0, len(x), step):
+                        hit = np.flatnonzero(digests.pair_heads(seed.encode() + b"|", left[i : i + step], b">", some) <= low)
+                        src.append(x[i + hit // len(some)])
+                        dst.append(y[j + hit % len(some)])
+        u, v = np.concatenate(src), np.concatenate(dst)
+        ids = b["id"]
+        return pd.DataFrame({"src": ids.iloc[u[u != v]].to_numpy(), "dst": ids.iloc[v[u != v]].to_numpy()})
+
+    return rows.groupBy("grp", "part").applyInPandas(run, f"src {kind}, dst {kind}")
+
+
+def capped_candidates(files: DataFrame, existing: DataFrame, most: int, mode: str = "new", seed: str = "cap") -> DataFrame:
+    """capped(candidate_pairs(files, existing, mode), most, seed) for pairs of a group, without a row a pair.
+
+    Hashes are spread evenly, so about as many as are asked for lie below a bound that the number of pairs gives;
+    every pair is hashed where it is made and only those below go on. If they are too few the bound is doubled.
+    """
+    if mode == "existing":
+        return capped(candidate_pairs(files, existing, mode), most, seed)
+    m = cut(_members(files))
+    total = m.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1))).first()[0] or 0.0
+    low, every = int(min(1.0, (most + 6 * math.sqrt(most) + 16) / max(1.0, total)) * 2**32), 2**32 - 1
+    while True:
+        pairs = _low_pairs(m, min(low, every), seed).distinct()
+        pairs = cut(pairs.join(existing.select("src", "dst"), ["src", "dst"], "left_anti") if mode == "new" else pairs)
+        if low >= every or pairs.count() >= most:
+            return capped(pairs, most, seed)
+        low = 2 * low + 1
+
+
 def topological_sequence(edges: DataFrame) -> DataFrame:
     """(id, seq_layer): Kahn layers; nodes on or behind a cycle get the layer -1.
 

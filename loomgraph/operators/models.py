@@ -98,9 +98,7 @@ def score_graph(nodes: DataFrame, edges: DataFrame, z: DataFrame, models: dict,
     nodes: id, filepath; edges(src, dst): file pairs known; groups(id, grp): candidates are made within a group.
     Columns: source_id, target_id, source_filepath, target_filepath, edge_exists_prob, predicted_types, type_probs.
     """
-    pairs = graph.candidate_pairs(groups, edges, mode, groups)
-    if most:
-        pairs = graph.capped(pairs, most)
+    pairs = graph.capped_candidates(groups, edges, most, mode) if most else graph.candidate_pairs(groups, edges, mode, groups)
     p = score(pair_features(pairs, z).select("src", "dst", "x"), models)
     p = p.select("src", "dst", F.col("exists").alias("p"), *[F.round(t, 4).alias(t) for t in TYPES]).where(F.col("p") >= exists)
     names = nodes.select("id", F.coalesce("filepath", "id").alias("path"))

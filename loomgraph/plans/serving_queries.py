@@ -311,7 +311,7 @@ def new_candidates(spark, d):
 @query(_GROUPS + " SELECT src, dst FROM a ORDER BY md5('cap|' || src::VARCHAR || '>' || dst::VARCHAR), src, dst LIMIT 500")
 def capped_candidates(spark, d):
     """All pairs of a group, at most 500 of them by hash: the sampling feature."""
-    return graph.capped(graph.candidate_pairs(_groups(spark, d), _edges(spark, d), "all"), 500)
+    return graph.capped_candidates(_groups(spark, d), _edges(spark, d), 500, "all")
 
 
 @query(_SIMPLE + " SELECT src, dst FROM s WHERE src <> dst")

@@ -1,15 +1,17 @@
 """Core operators on hand-worked inputs."""
 
+import hashlib
 import math
 import random
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loomgraph.functions import roles
+from loomgraph.functions import digests, roles
 from loomgraph.functions import scalars as S
 from loomgraph.operators import braces, extract, graph, resolve, rollups, skew, splits
 from loomgraph.plans import core_queries, graph_queries, model_queries, serving_queries, skew_queries
@@ -233,6 +235,26 @@ def test_candidates_of_overlapping_groups_are_made_once_and_not_shuffled(spark,
     assert not re.search(r"hashpartitioning\(src#\w+, dst#", pairs._jdf.queryExecution().executedPlan().toString())
 
 
+@pytest.mark.parametrize("long", (0, 30, 45))
+def test_digests_of_pairs(long):
+    left, right = ([f"{i:03d}é".encode() + b"x" * long for i in range(n)] for n in (3, 4))
+    both = [np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (left, right)]
+    want = [int(hashlib.md5(b"seed|" + a + b">" + b).hexdigest()[:8], 16) for a in left for b in right]
+    assert digests.pair_heads(b"seed|", both[0], b">", both[1]).tolist() == want
+
+
+@pytest.mark.parametrize(("mode", "most"), (("new", 25), ("new", 100_000), ("all", 25), ("all", 1)))
+def test_capped_candidates_are_the_capped_pairs_and_make_no_row_a_pair(spark, monkeypatch, mode, most):
+    rnd = random.Random(6)
+    names = [f"n{i * i}/é" for i in range(60)]
+    groups = [(n, rnd.randrange(4)) for n in names for _ in range(2)] + [("n1/é", None)]
+    edges = [(rnd.choice(names), rnd.choice(names), "x", 0.5) for _ in range(2_000)]
+    g, e = spark.createDataFrame(groups, "id string, grp int"), spark.createDataFrame(edges, EDGES)
+    want = [tuple(r) for r in graph.capped(graph.candidate_pairs(g, e, mode), most).collect()]
+    monkeypatch.setattr(graph, "candidate_pairs", None)
+    assert [tuple(r) for r in graph.capped_candidates(g, e, most, mode).collect()] == want and len(want) > 0
+
+
 def test_layer_flow_tie_goes_to_the_first_name(spark):
     e = spark.createDataFrame([("1", "2", "x", 0.2), ("2", "1", "x", 0.4)], EDGES)
     layers = spark.createDataFrame([("1", "api"), ("2", "backend")], "id string, layer string")
