@@ -188,6 +188,39 @@ def test_closeness_is_exact_when_betweenness_is_sampled(spark):
     assert set(got) == ids and all(math.isclose(got[v], want[v], abs_tol=1e-12) for v in ids)
 
 
+@pytest.mark.parametrize("width", (30, 400))
+def test_distances_are_whole_beyond_any_number_of_links(spark, monkeypatch, width):
+    """A bound on the links is no more, and a few links at a time give what all at once do; hubs and chains are in it."""
+    monkeypatch.setattr(graph, "MAX_LINKS", 10, raising=False)
+    rnd = random.Random(width)
+    links = {(rnd.randrange(width), rnd.randrange(width)) for _ in range(500)} | {(0, i) for i in range(60)} | {(i, 1) for i in range(60)} | {(1000 + i, 1001 + i) for i in range(30)}
+    nodes, to = {x for e in links for x in e}, {}
+    for a, b in links:
+        if a != b:
+            to.setdefault(a, set()).add(b)
+    between, far, n = dict.fromkeys(nodes, 0.0), {v: [] for v in nodes}, len(nodes)
+    for s in nodes:
+        dist, sigma, order = {s: 0}, {s: 1}, [s]
+        for u in order:
+            for w in to.get(u, ()):
+                if w not in dist:
+                    dist[w], sigma[w] = dist[u] + 1, 0
+                    order.append(w)
+                if dist[w] == dist[u] + 1:
+                    sigma[w] += sigma[u]
+        delta = dict.fromkeys(order, 0.0)
+        for u in reversed(order):
+            delta[u] = sum(sigma[u] / sigma[w] * (1 + delta[w]) for w in to.get(u, ()) if dist[w] == dist[u] + 1)
+            if u != s:
+                between[u] += delta[u] / ((n - 1) * (n - 2))
+                far[u].append(dist[u])
+    e = spark.createDataFrame([(a, b, "x", 1.0) for a, b in links], "src long, dst long, type string, p double")
+    got = {r.id: r for r in graph.shortest_path_measures(e, at_once=7).collect()}
+    assert set(got) == nodes
+    for v, d in far.items():
+        assert math.isclose(got[v].betweenness, between[v], abs_tol=1e-12) and math.isclose(got[v].closeness, len(d) / sum(d) * len(d) / (n - 1) if d else 0.0, abs_tol=1e-12)
+
+
 def test_empty_graph(spark):
     e = spark.createDataFrame([], EDGES)
     assert graph.pagerank(e).count() == graph.clustering(e).count() == graph.degrees(e).count() == graph.negatives(e, 5).count() == 0
