@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomgraph.functions import digests, roles
 from loomgraph.functions import scalars as S
-from loomgraph.operators import braces, extract, graph, resolve, rollups, skew, splits
+from loomgraph.operators import braces, extract, features, graph, resolve, rollups, skew, splits
 from loomgraph.plans import core_queries, graph_queries, model_queries, serving_queries, skew_queries
 from loomgraph.session import ensure_checkpoint_dir
 from loomgraph.sources import files, views
@@ -221,6 +221,17 @@ def test_distances_are_whole_beyond_any_number_of_links(spark, monkeypatch, widt
         assert math.isclose(got[v].betweenness, between[v], abs_tol=1e-12) and math.isclose(got[v].closeness, len(d) / sum(d) * len(d) / (n - 1) if d else 0.0, abs_tol=1e-12)
 
 
+def test_features_of_a_graph_with_more_links_than_the_old_bound(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_LINKS", 2, raising=False)
+    ids = "abcdz"
+    nodes = spark.createDataFrame([(i, "File", i, f"d/{i}.py", "Python", True) for i in ids], "id string, type string, label string, filepath string, language string, analysed boolean")
+    edges = spark.createDataFrame([(a, b, "CALLS") for a, b in ("ab", "bc", "cd", "ad", "zy")], "source string, target string, type string")
+    got = {r.id: dict(zip(features.NAMES, r.x, strict=True)) for r in features.assemble(nodes, edges).collect()}
+    assert set(got) == set(ids) and {len(x) for x in got.values()} == {76}
+    assert [got[i]["betweenness"] for i in ids] == pytest.approx([0, 1 / 6, 1 / 6, 0, 0])
+    assert [got[i]["closeness"] for i in ids] == pytest.approx([0, 1 / 3, 2 / 3 * 2 / 3, 3 / 4, 0])
+
+
 def test_empty_graph(spark):
     e = spark.createDataFrame([], EDGES)
     assert graph.pagerank(e).count() == graph.clustering(e).count() == graph.degrees(e).count() == graph.negatives(e, 5).count() == 0
