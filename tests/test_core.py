@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomgraph.functions import digests, roles
 from loomgraph.functions import scalars as S
-from loomgraph.operators import braces, extract, features, graph, resolve, rollups, skew, splits
+from loomgraph.operators import braces, extract, features, graph, models, resolve, rollups, skew, splits
 from loomgraph.plans import core_queries, graph_queries, model_queries, serving_queries, skew_queries
 from loomgraph.session import ensure_checkpoint_dir
 from loomgraph.sources import files, views
@@ -299,6 +299,19 @@ def test_capped_candidates_are_the_capped_pairs_and_make_no_row_a_pair(spark, mo
     assert [tuple(r) for r in graph.capped_candidates(g, e, most, mode).collect()] == want and len(want) > 0
 
 
+def test_scoring_a_graph_makes_no_row_a_pair(spark, monkeypatch):
+    """The capped candidates of a scored graph are those of all pairs, found without a table of all pairs."""
+    ids = [f"n{i}" for i in range(30)]
+    nodes, groups = spark.createDataFrame([(i, None) for i in ids], "id string, filepath string"), spark.createDataFrame([(i, k % 3) for k, i in enumerate(ids)], "id string, grp int")
+    e = spark.createDataFrame([(ids[i], ids[(i * 7 + 3) % 30], ["CALLS"]) for i in range(30)], "src string, dst string, types array<string>")
+    z = spark.createDataFrame([(i, [1.0, 2.0]) for i in ids], "id string, x array<double>")
+    want = {tuple(r) for r in graph.capped(graph.candidate_pairs(groups, e, "new"), 40).collect()}
+    monkeypatch.setattr(graph, "candidate_pairs", None)
+    fitted = {"exists": models.Constant(0.9), "CALLS": models.Constant(0.8), "FLOWS_TO": models.Constant(0.1)}
+    got = models.score_graph(nodes, e, z, fitted, groups, most=40).collect()
+    assert {(r.source_id, r.target_id) for r in got} == want and len(got) == 40 and {tuple(r.predicted_types) for r in got} == {("CALLS",)}
+
+
 def test_layer_flow_tie_goes_to_the_first_name(spark):
     e = spark.createDataFrame([("1", "2", "x", 0.2), ("2", "1", "x", 0.4)], EDGES)
     layers = spark.createDataFrame([("1", "api"), ("2", "backend")], "id string, layer string")
