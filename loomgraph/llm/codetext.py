@@ -29,10 +29,11 @@ def without_comments(code: str, ext: str) -> str:
     return _STRIP[style].sub(lambda m: m.group(1) or " ", code)
 
 
+# blanks are skipped within a match: sought from each of them, every alternative would be tried there; a comment or the end leaves the group empty
 _ALL = {
-    "": TOKEN,
-    "#": re.compile(rf"{_WORD}|{_STRING}|(?<![^\s;(,])#[^\n]*|[^\s\w]"),
-    "/": re.compile(rf"{_WORD}|{_STRING}|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?(?:\*/|\Z)|[^\s\w]", re.S),
+    "": re.compile(rf"\s*+(?:({TOKEN.pattern})|\Z)"),
+    "#": re.compile(rf"\s*+(?:({_WORD}|{_STRING}|[^\s\w#]|(?<=[^\s;(,])#|#(?![^\n]))|#[^\n]+|\Z)"),
+    "/": re.compile(rf"\s*+(?:({_WORD}|{_STRING}|`(?:[^`\\]|\\.)*`|[^\s\w/]|/(?![/*]))|//[^\n]*|/\*.*?(?:\*/|\Z)|\Z)", re.S),
 }
 
 
@@ -40,11 +41,6 @@ def tokens(code: str, ext: str) -> list[str]:
     """Tokens of a code in order, without comments, in one pass: a comment is matched where it begins, outside strings."""
     style = "#" if ext in HASH else "/" if ext in SLASH else ""
     found = _ALL[style].findall(code)
-    if style == "#" and "#" in code:
-        return [t for t in found if t[0] != "#" or len(t) == 1]
-    if style == "/":
-        if "`" in code:  # a template is read as the tokens it holds
-            found = [x for t in found for x in (TOKEN.findall(t) if t[0] == "`" and len(t) > 1 else (t,))]
-        if "//" in code or "/*" in code:
-            return [t for t in found if t[0] != "/" or len(t) == 1]
-    return found
+    if style == "/" and "`" in code:  # a template is read as the tokens it holds
+        found = [x for t in found for x in (TOKEN.findall(t) if t[:1] == "`" and len(t) > 1 else (t,))]
+    return list(filter(None, found))

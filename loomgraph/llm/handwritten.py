@@ -126,21 +126,30 @@ class _Table(dict):
 
     def __init__(self, room: int = 1 << 16) -> None:
         self.codes, self.hashes, self.packed = np.zeros(room, np.uint8), np.zeros(room, np.uint64), np.zeros(room, np.int32)
+        self.fresh: list[str] = []
 
     def __missing__(self, t: str) -> int:
         k = self[t] = len(self)
-        if k >= len(self.codes):
-            self.codes, self.hashes, self.packed = (np.concatenate([x, np.zeros_like(x)]) for x in (self.codes, self.hashes, self.packed))
-        self.codes[k] = _code(t)
-        self.hashes[k] = xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass"))
-        self.packed[k] = len(t) if len(t) >= PACKED and _PACKED.fullmatch(t) else 0
+        self.fresh.append(t)
         return k
 
+    def _learn(self) -> None:
+        """Fill the arrays for the tokens that were numbered since, all in one go."""
+        new, self.fresh = self.fresh, []
+        while len(self) > len(self.codes):
+            self.codes, self.hashes, self.packed = (np.concatenate([x, np.zeros_like(x)]) for x in (self.codes, self.hashes, self.packed))
+        at = slice(len(self) - len(new), len(self))
+        self.codes[at] = [_code(t) for t in new]
+        self.hashes[at] = np.fromiter((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in new), np.uint64, len(new))
+        self.packed[at] = [len(t) if len(t) >= PACKED and _PACKED.fullmatch(t) else 0 for t in new]
+
     def read(self, toks: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         """(bytes of the masked tokens, hashes of the tokens, characters in packed strings)."""
         if len(self) > 500_000:
             self.clear()
         at = np.fromiter(map(self.__getitem__, toks), np.int64, len(toks))
+        if self.fresh:
+            self._learn()
         return self.codes[at], self.hashes[at], int(self.packed[at].sum())
 
 
@@ -179,7 +188,10 @@ def _bitmap(h: np.ndarray, words: int) -> np.ndarray:
 
 def _once(h: np.ndarray) -> np.ndarray:
     h = np.sort(h ^ (h >> np.uint64(31)))
-    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+    first = np.empty(len(h), bool)
+    first[:1] = True
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    return h[first]
 
 
 def sets_of(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,12 +232,12 @@ def features(path: str, code: str) -> Features:
     n = len(seq)
     content = xxhash.xxh128_digest(hashes.tobytes())
     # in a blob literals and the marks between them are nearly all there is, by tokens or by characters
-    literals = int((seq <= _NUMBER).sum())
-    rest = int(((seq > _NUMBER) & (seq < 64)).sum())
+    of = np.bincount(seq, minlength=256)
+    literals, rest = int(of[: _NUMBER + 1].sum()), int(of[_NUMBER + 1 : 64].sum())
     packed += sum(map(len, _PACKED_LINE.findall(code))) if program else 0
     table = n >= BLOB_TOKENS and literals >= BLOB_LITERALS * n and rest <= max(8, 0.05 * n)
     blob = program and (table or packed >= BLOB_CHARS * len(code))
-    calls = int((seq == 64 + ord("(")).sum()) >= CALLS * n
+    calls = int(of[64 + ord("(")]) >= CALLS * n
     # settings, prose and markup repeat one pattern by nature: only code makes a family
     if n < SHINGLE or small or blob or not (program or calls):
         return Features(gen, ven, small, blob, 1.0, n, content, calls)

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loomgraph.llm import bpe, credentials, gll, group_split, handwritten, language, leakage, p1_queries, p7_queries, sampling, split_overlap, syntax
+from loomgraph.llm import bpe, codetext, credentials, gll, group_split, handwritten, language, leakage, p1_queries, p7_queries, sampling, split_overlap, syntax
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -303,6 +303,22 @@ def _marked(spark, src):
     return {r.ord for r in handwritten.marked(spark.createDataFrame(rows, PRED), sources).collect()}
 
 
+def test_tokens_skip_blanks_and_comments_within_a_match():
+    """One attempt for a run of blanks and none of Python's for a comment; a lone # and what follows a name is no comment."""
+    assert codetext._ALL["#"].findall("a  # b\n   c") == ["a", "", "c", ""] and codetext._ALL["/"].findall("a /* b */ // c") == ["a", "", "", ""]
+    assert codetext.tokens("a#b\n#\n# c\n'#' (#d", "py") == ["a", "#", "b", "#", "'#'", "("]
+    assert codetext.tokens("a / b // c\n`x ${d}` /* e", "js") == ["a", "/", "b", "`", "x", "$", "{", "d", "}", "`"]
+    assert codetext.tokens("a # b // c \n" + " \n" * 300_000, "json") == ["a", "#", "b", "/", "/", "c"]
+
+
+def test_new_tokens_are_learned_in_one_go(monkeypatch):
+    table, goes = handwritten._Table(2), []
+    monkeypatch.setattr(handwritten._Table, "_learn", lambda self, learn=handwritten._Table._learn: (goes.append(len(self.fresh)), learn(self)))
+    codes, hashes, packed = table.read(["if", "x", "'a'", "x", "7", "'" + "k" * 50 + "'"])
+    assert goes == [5] and packed == 52 and hashes[1] == hashes[3] and list(codes) == [handwritten._code(t) for t in ("if", "x", "'", "x", "7", "'")]
+    assert list(table.read(["x", "("])[1])[0] == hashes[1] and goes == [5, 1]
+
+
 def test_family_of_a_template_that_does_not_repeat_itself(spark):
     x, y = _code_files(2, 5)
     alone = _code_files(1, 6)[0]
