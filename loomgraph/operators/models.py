@@ -12,8 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, splits
-from loomgraph.session import cut
+from loomgraph.operators import graph, pairs, splits
+from loomgraph.session import cut, parallelism
 
 TYPES = ("CALLS", "FLOWS_TO")
 #: How many pairs are scored at most, and of how many the best are kept (the size of a result file).
@@ -44,13 +44,6 @@ def encode(x: DataFrame, edges: DataFrame, aggregate: str = "mean") -> DataFrame
     return x.join(total, "id", "left").select("id", F.concat("x", F.coalesce("n", F.array_repeat(F.lit(0.0), width))).alias("x"))
 
 
-def pair_features(pairs: DataFrame, z: DataFrame) -> DataFrame:
-    """pairs(src, dst, ..) with x: both ends' vectors and their element-wise product."""
-    a, b = z.select(F.col("id").alias("src"), F.col("x").alias("xa")), z.select(F.col("id").alias("dst"), F.col("x").alias("xb"))
-    j = pairs.join(a, "src").join(b, "dst")
-    return j.withColumn("x", F.concat("xa", "xb", F.zip_with("xa", "xb", lambda p, q: p * q))).drop("xa", "xb")
-
-
 class Constant:
     """Stands for a model where the training rows have one class only."""
 
@@ -80,26 +73,39 @@ def score(rows: DataFrame, fitted: dict[str, LogisticRegressionModel | Constant]
     return out.drop("_f", "x")
 
 
-def fit_edges(z: DataFrame, typed: DataFrame, rounds: int = 50) -> dict[str, LogisticRegressionModel | Constant]:
-    """Models of an edge's existence and of each of its TYPES from typed(src, dst, types) and as many negative pairs."""
-    pos = cut(typed.where("src <> dst"))
-    neg = graph.negatives(pos, pos.count(), nodes=z)
-    rows = pos.select("src", "dst", "types", F.lit(True).alias("exists")).unionByName(neg.select("src", "dst", F.lit(None).cast("array<string>").alias("types"), F.lit(False).alias("exists")))
-    data = cut(pair_features(rows, z))
-    out = {"exists": fit_binary(data, "exists", rounds)}
-    for t in TYPES:
-        out[t] = fit_binary(data.where("exists").withColumn("is", F.array_contains("types", t)), "is", rounds)
-    return out
+def encoded(x: DataFrame, edges: DataFrame) -> pairs.Vectors:
+    """encode(x, edges, "mean") as shared arrays: no vector an edge."""
+    return pairs.Vectors.of(x).with_means(edges, parallelism(x.sparkSession))
 
 
-def score_graph(nodes: DataFrame, edges: DataFrame, z: DataFrame, models: dict, groups: DataFrame, mode: str = "new", exists: float = 0.5, typed: float = 0.5, top: int | None = TOP, most: int | None = MAX_PAIRS) -> DataFrame:
+def fit_edges(z: DataFrame | pairs.Vectors, typed: DataFrame, rounds: int = 50) -> dict[str, pairs.Linear | Constant]:
+    """Models of an edge's existence and of each of its TYPES from typed(src, dst, types) and as many negative pairs."""
+    v = z if isinstance(z, pairs.Vectors) else pairs.Vectors.of(z)
+    flags = sum((F.when(F.array_contains("types", t), 2 << i).otherwise(0) for i, t in enumerate(TYPES)), F.lit(1))
+    pos = cut(typed.where("src <> dst").select(v.index.of("src").alias("a"), v.index.of("dst").alias("b"), F.coalesce(flags, F.lit(1)).alias("flags")))
+    neg = graph.negative_numbers(pos, pos.count(), v.index.n).select("a", "b", F.lit(0).alias("flags"))
+    written = pairs.blocks(pos.where("a >= 0 AND b >= 0").unionByName(neg), 4 * typed.sparkSession.sparkContext.defaultParallelism)
+    found = pairs.fit(written, v, {"exists": (1, 0)} | {t: (2 << i, 1) for i, t in enumerate(TYPES)}, rounds, 20.0, 1e-3)
+    return {t: m if isinstance(m, pairs.Linear) else Constant(m) for t, m in found.items()}
+
+
+def _scored(rows: DataFrame, z: DataFrame | pairs.Vectors, models: dict) -> DataFrame:
+    """rows(src, dst) whose ends have vectors, with a probability a model."""
+    v = z if isinstance(z, pairs.Vectors) else pairs.Vectors.of(z)
+    at = cut(rows.select("src", "dst", v.index.of("src").alias("a"), v.index.of("dst").alias("b")).where("a >= 0 AND b >= 0"))
+    linear = {t: m for t, m in models.items() if isinstance(m, pairs.Linear)}
+    if linear:
+        at = at.withColumn("_p", pairs.probability(linear, v, "a", "b"))
+    return at.select("src", "dst", *[F.col(f"_p.{t}").alias(t) if t in linear else F.lit(m.p).alias(t) for t, m in models.items()])
+
+
+def score_graph(nodes: DataFrame, edges: DataFrame, z: DataFrame | pairs.Vectors, models: dict, groups: DataFrame, mode: str = "new", exists: float = 0.5, typed: float = 0.5, top: int | None = TOP, most: int | None = MAX_PAIRS) -> DataFrame:
     """Predicted edges between files: candidates, probabilities, types above the threshold, the `top` surest.
 
     nodes: id, filepath; edges(src, dst): file pairs known; groups(id, grp): candidates are made within a group.
     Columns: source_id, target_id, source_filepath, target_filepath, edge_exists_prob, predicted_types, type_probs.
     """
-    pairs = graph.capped_candidates(groups, edges, most, mode) if most else graph.candidate_pairs(groups, edges, mode, groups)
-    p = score(pair_features(pairs, z).select("src", "dst", "x"), models)
+    p = _scored(graph.capped_candidates(groups, edges, most, mode) if most else graph.candidate_pairs(groups, edges, mode, groups), z, models)
     p = p.select("src", "dst", F.col("exists").alias("p"), *[F.round(t, 4).alias(t) for t in TYPES]).where(F.col("p") >= exists)
     names = nodes.select("id", F.coalesce("filepath", "id").alias("path"))
     j = p.join(names.select(F.col("id").alias("src"), F.col("path").alias("source_filepath")), "src").join(names.select(F.col("id").alias("dst"), F.col("path").alias("target_filepath")), "dst")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomgraph.functions import digests, roles
 from loomgraph.functions import scalars as S
-from loomgraph.operators import braces, extract, features, graph, models, resolve, rollups, skew, splits
+from loomgraph.operators import braces, extract, features, graph, models, pairs, resolve, rollups, skew, splits
 from loomgraph.plans import core_queries, graph_queries, model_queries, serving_queries, skew_queries
 from loomgraph.session import ensure_checkpoint_dir
 from loomgraph.sources import files, views
@@ -312,6 +312,48 @@ def test_scoring_a_graph_makes_no_row_a_pair(spark, monkeypatch):
     assert {(r.source_id, r.target_id) for r in got} == want and len(got) == 40 and {tuple(r.predicted_types) for r in got} == {("CALLS",)}
 
 
+def test_pair_models_are_those_of_rows_with_all_numbers(spark, monkeypatch):
+    """The same negative pairs, coefficients and means as with 3 * width numbers a pair in rows, which are made no more."""
+    rnd = random.Random(8)
+    ids = [f"n{i:03d}" for i in range(120)]
+    # the last entry is the same for all ends of known pairs only
+    x = spark.createDataFrame([(i, [rnd.random(), 3.5, float(rnd.randrange(3)), -rnd.random(), 0.5 if k < 90 else 0.75]) for k, i in enumerate(ids)], "id string, x array<double>")
+    links = [(rnd.choice(ids[:90]), rnd.choice(ids[:90])) for _ in range(700)] + [(ids[0], i) for i in ids[:90]] * 2
+    e = spark.createDataFrame([*links, ("no", ids[1]), (ids[1], "no")], "src string, dst string")
+    typed = e.where("src <> dst AND src <> 'no' AND dst <> 'no'").distinct().withColumn("types", F.when(F.col("src") < F.col("dst"), F.array(F.lit("CALLS"))).otherwise(F.array(F.lit("USES"))))
+    z = models.encode(x, e)
+    monkeypatch.setattr(graph, "mean_neighbours", None)
+    v = models.encoded(x, e)
+    got = models.fit_edges(v, typed, rounds=8)
+    want = {r.id: r.x for r in z.collect()}
+    rows = np.hstack(v.open())
+    assert rows.shape == (120, 10) and all(np.allclose(rows[k], want[i], rtol=1e-13) for k, i in enumerate(ids))
+    pos = typed.collect()
+    neg = graph.negatives(typed, len(pos), nodes=x).collect()
+    numbers = {(r.a, r.b) for r in graph.negative_numbers(typed.select(v.index.of("src").alias("a"), v.index.of("dst").alias("b")), len(pos), 120).collect()}
+    assert numbers == {(ids.index(r.src), ids.index(r.dst)) for r in neg} and len(numbers) == len(pos)
+
+    def made(a, b):
+        p, q = np.array(want[a]), np.array(want[b])
+        return [*p.tolist(), *q.tolist(), *(p * q).tolist()]
+
+    both = [(made(r.src, r.dst), True, "CALLS" in r.types) for r in pos] + [(made(r.src, r.dst), False, None) for r in neg]
+    data = spark.createDataFrame(both, "x array<double>, exists boolean, calls boolean")
+    for name, told in (("exists", models.fit_binary(data, "exists", 8)), ("CALLS", models.fit_binary(data.where("exists"), "calls", 8))):
+        assert np.allclose(got[name].coef, told.coefficients.toArray(), rtol=1e-6, atol=1e-9) and math.isclose(got[name].intercept, told.intercept, rel_tol=1e-6)
+    assert got["FLOWS_TO"].p == 0.0 and not got["exists"].coef[1] and got["exists"].coef[4] and not got["CALLS"].coef[4]
+
+
+def test_a_number_that_is_the_same_in_all_rows_of_a_model_has_no_deviation():
+    """Its mean is off by rounding; scaled up, that spoiled the models of the types."""
+    x = np.column_stack([np.full(70, 0.1), np.arange(70.0)])
+    x[60:, 0] = 0.7
+    flags = np.array([1, 3] * 30 + [0] * 10, np.uint8)
+    by = pairs._moments(pairs._moments(None, x[:33], flags[:33]), x[33:], flags[33:])
+    assert pairs.Problem(by, 2, 1, 20.0, 1e-3).std[0] == 0 < pairs.Problem(by, 1, 0, 20.0, 1e-3).std[0]
+    assert math.isclose(pairs.Problem(by, 2, 1, 20.0, 1e-3).std[1], np.std(np.arange(60.0), ddof=1))
+
+
 def test_layer_flow_tie_goes_to_the_first_name(spark):
     e = spark.createDataFrame([("1", "2", "x", 0.2), ("2", "1", "x", 0.4)], EDGES)
     layers = spark.createDataFrame([("1", "api"), ("2", "backend")], "id string, layer string")
