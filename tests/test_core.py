@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from loomgraph.functions import digests, roles
 from loomgraph.functions import scalars as S
-from loomgraph.operators import braces, extract, features, graph, models, pairs, resolve, rollups, skew, splits
+from loomgraph.operators import arrays, braces, extract, features, graph, models, pairs, resolve, rollups, skew, splits
 from loomgraph.plans import core_queries, graph_queries, model_queries, serving_queries, skew_queries
 from loomgraph.session import ensure_checkpoint_dir
 from loomgraph.sources import files, views
@@ -344,6 +344,17 @@ def test_pair_models_are_those_of_rows_with_all_numbers(spark, monkeypatch):
     assert got["FLOWS_TO"].p == 0.0 and not got["exists"].coef[1] and got["exists"].coef[4] and not got["CALLS"].coef[4]
 
 
+@pytest.mark.parametrize("plain", (True, False))
+def test_arrays_in_a_shared_folder_or_broadcast(spark, monkeypatch, plain):
+    if not plain:
+        monkeypatch.setattr(arrays, "_folder", lambda _: None)
+    x = spark.createDataFrame([(k, [float(k), 1.0]) for k in (3, 1, 7)], "id int, x array<double>")
+    v = pairs.Vectors.of(x).with_means(spark.createDataFrame([(1, 7), (3, 7), (3, 7), (9, 1)], "src long, dst long"), 2)
+    assert np.hstack(v.open()).tolist() == [[1, 1, 0, 0], [3, 1, 0, 0], [7, 1, pytest.approx(7 / 3), 1]]
+    assert [r[0] for r in spark.createDataFrame([(7,), (2,), (None,)], "i long").select(v.index.of("i")).collect()] == [2, -1, -1]
+    v.parts[0].close()
+
+
 def test_a_number_that_is_the_same_in_all_rows_of_a_model_has_no_deviation():
     """Its mean is off by rounding; scaled up, that spoiled the models of the types."""
     x = np.column_stack([np.full(70, 0.1), np.arange(70.0)])
