@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import digests
 from loomgraph.functions import scalars as S
-from loomgraph.session import cut
+from loomgraph.session import cut, parallelism
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -329,7 +329,8 @@ def _low_pairs(members: DataFrame, low: int, seed: str) -> DataFrame:
         ids = b["id"]
         return pd.DataFrame({"src": ids.iloc[u[u != v]].to_numpy(), "dst": ids.iloc[v[u != v]].to_numpy()})
 
-    return rows.groupBy("grp", "part").applyInPandas(run, f"src {kind}, dst {kind}")
+    # as many tasks as that: rows are few beside what is made of them
+    return rows.repartition(parallelism(rows.sparkSession), "grp", "part").groupBy("grp", "part").applyInPandas(run, f"src {kind}, dst {kind}")
 
 
 def capped_candidates(files: DataFrame, existing: DataFrame, most: int, mode: str = "new", seed: str = "cap") -> DataFrame:

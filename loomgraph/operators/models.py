@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import graph, pairs, splits
+from loomgraph.operators import arrays, graph, pairs, splits
 from loomgraph.session import cut, parallelism
 
 TYPES = ("CALLS", "FLOWS_TO")
@@ -73,16 +73,30 @@ def score(rows: DataFrame, fitted: dict[str, LogisticRegressionModel | Constant]
     return out.drop("_f", "x")
 
 
-def encoded(x: DataFrame, edges: DataFrame) -> pairs.Vectors:
-    """encode(x, edges, "mean") as shared arrays: no vector an edge."""
-    return pairs.Vectors.of(x).with_means(edges, parallelism(x.sparkSession))
+def encoded(x: DataFrame | pairs.Vectors, edges: DataFrame | arrays.Packed, whole: arrays.Whole | None = None) -> pairs.Vectors:
+    """encode(x, edges, "mean") as shared arrays: no vector an edge. Packed edges need the whole numbers of x's index."""
+    own = x if isinstance(x, pairs.Vectors) else pairs.Vectors.of(x)
+    z = own.with_means(edges, parallelism(own.index.by.sparkSession), whole)
+    own.parts[0].close()  # z has its rows
+    return z
+
+
+def type_flags(has) -> Column:
+    """An edge as a number: 1, and a bit for each of TYPES for which has(type) holds."""
+    return sum((F.when(has(t), 2 << i).otherwise(0) for i, t in enumerate(TYPES)), F.lit(1))
 
 
 def fit_edges(z: DataFrame | pairs.Vectors, typed: DataFrame, rounds: int = 50) -> dict[str, pairs.Linear | Constant]:
-    """Models of an edge's existence and of each of its TYPES from typed(src, dst, types) and as many negative pairs."""
+    """Models of an edge's existence and of each of its TYPES from typed(src, dst, types) and as many negative pairs.
+
+    typed may hold the numbers of its ends and its type_flags instead: (a, b, flags), without loops.
+    """
     v = z if isinstance(z, pairs.Vectors) else pairs.Vectors.of(z)
-    flags = sum((F.when(F.array_contains("types", t), 2 << i).otherwise(0) for i, t in enumerate(TYPES)), F.lit(1))
-    pos = cut(typed.where("src <> dst").select(v.index.of("src").alias("a"), v.index.of("dst").alias("b"), F.coalesce(flags, F.lit(1)).alias("flags")))
+    if "flags" in typed.columns:
+        pos = typed.select("a", "b", "flags")
+    else:
+        flags = type_flags(lambda t: F.array_contains("types", t))
+        pos = cut(typed.where("src <> dst").select(v.index.of("src").alias("a"), v.index.of("dst").alias("b"), F.coalesce(flags, F.lit(1)).alias("flags")))
     neg = graph.negative_numbers(pos, pos.count(), v.index.n).select("a", "b", F.lit(0).alias("flags"))
     written = pairs.blocks(pos.where("a >= 0 AND b >= 0").unionByName(neg), 4 * typed.sparkSession.sparkContext.defaultParallelism)
     found = pairs.fit(written, v, {"exists": (1, 0)} | {t: (2 << i, 1) for i, t in enumerate(TYPES)}, rounds, 20.0, 1e-3)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Generator, Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from loomgraph.operators import arrays
 from loomgraph.session import cut
 
-#: Pairs whose numbers are looked at in one go.
-AT_ONCE = 2_048
+#: Pairs whose numbers are looked at in one go, and those whose products are, in the fit.
+AT_ONCE, PRODUCTS = 2_048, 512
 
 
 class Linear(NamedTuple):
@@ -47,10 +48,14 @@ class Vectors:
         rows = x.select(index.of("id").alias("at"), arrays.as_bytes("x", width).alias("row")).where("at >= 0")
         return cls(index, arrays.placed(rows, index.n, width))
 
-    def with_means(self, edges: DataFrame, parts: int) -> Vectors:
-        """Own vectors beside the mean of the sources' along edges(src, dst), as models.encode makes them."""
-        numbers = edges.select(self.index.of("src").alias("a"), self.index.of("dst").alias("b")).where("a >= 0 AND b >= 0")
-        return Vectors(self.index, *self.parts, arrays.neighbour_means(numbers, self.parts[0], parts))
+    def with_means(self, edges: DataFrame | arrays.Packed, parts: int, whole: arrays.Whole | None = None) -> Vectors:
+        """Own vectors beside the mean of the sources' along edges(src, dst), as models.encode makes them; whole: the numbers of packed edges."""
+        if isinstance(edges, arrays.Packed):
+            sent = edges.dealt(whole, parts)
+        else:
+            numbers = edges.select(self.index.of("src").alias("a"), self.index.of("dst").alias("b"))
+            sent = arrays.dealt(numbers, lambda: lambda batch: (batch.column(0).to_numpy(), batch.column(1).to_numpy()), self.index.n, parts)
+        return Vectors(self.index, arrays.with_means(sent, self.parts[0], parts))
 
     def open(self) -> list[np.ndarray]:
         return [p.open() for p in self.parts]
@@ -79,16 +84,14 @@ def blocks(pairs: DataFrame, parts: int) -> DataFrame:
 
 
 def _folded(written: DataFrame, vectors: Vectors, fold) -> list:
-    """fold(state or None, numbers, flags) over the pairs of each task; the states."""
+    """fold(state or None, matrices of the vectors, a, b, flags) over the blocks of each task; the states."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, rows = None, vectors.open()
         for batch in batches:
             for block in batch.to_pylist():
                 a, b, flags = np.frombuffer(block["a"], np.int32), np.frombuffer(block["b"], np.int32), np.frombuffer(block["flags"], np.uint8)
-                for lo in range(0, len(a), AT_ONCE):
-                    s = slice(lo, lo + AT_ONCE)
-                    state = fold(state, _numbers(rows, a[s], b[s]), flags[s])
+                state = fold(state, rows, a, b, flags)
         if state is not None:
             yield pa.RecordBatch.from_pydict({"state": pa.array([pickle.dumps(state)], pa.binary())})
 
@@ -105,6 +108,46 @@ def _moments(state, x: np.ndarray, flags: np.ndarray):
     return by
 
 
+def _all_moments(state, rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, flags: np.ndarray):
+    for lo in range(0, len(a), AT_ONCE):
+        s = slice(lo, lo + AT_ONCE)
+        state = _moments(state, _numbers(rows, a[s], b[s]), flags[s])
+    return state
+
+
+def _taken(rows: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    return np.take(rows[0], at, axis=0) if len(rows) == 1 else np.concatenate([r[at] for r in rows], axis=1)
+
+
+def _losses(state, rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, flags: np.ndarray, coef: np.ndarray, shift: np.ndarray, weight: np.ndarray, label: np.ndarray):
+    """Sums over the pairs of each model's loss, residuals, and residuals times the numbers.
+
+    Pairs lie side by side by a, so the first end's numbers are looked at once a run; of a pair only the second end's
+    numbers and the product are made.
+    """
+    w = len(coef) // 3
+    c1, c2, c3 = (np.ascontiguousarray(coef[k * w : (k + 1) * w]) for k in range(3))
+    loss, total, moved = (np.zeros(coef.shape[1]), np.zeros(coef.shape[1]), np.zeros(coef.shape)) if state is None else state
+    for lo in range(0, len(a), PRODUCTS):
+        s = slice(lo, lo + PRODUCTS)
+        first = np.flatnonzero(np.r_[True, a[s][1:] != a[s][:-1]])
+        run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(a[s])]))
+        za, zb = _taken(rows, a[s][first]), _taken(rows, b[s])
+        product = np.take(za, run, axis=0)
+        product *= zb
+        margin = (za @ c1 + shift)[run]
+        margin += zb @ c2
+        margin += product @ c3
+        u, y = weight[flags[s]], label[flags[s]]
+        loss += (u * (np.logaddexp(0.0, margin) - y * margin)).sum(axis=0)
+        r = u * (1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))) - y)
+        total += r.sum(axis=0)
+        moved[:w] += za.T @ np.add.reduceat(r, first, axis=0)
+        moved[w : 2 * w] += zb.T @ r
+        moved[2 * w :] += product.T @ r
+    return loss, total, moved
+
+
 def _seen(p, q):
     return q if p is None else (_joined(p[0], q[0]), np.minimum(p[1], q[1]), np.maximum(p[2], q[2]))
 
@@ -224,7 +267,7 @@ def fit(written: DataFrame, vectors: Vectors, bits: dict[str, tuple[int, int]],
 
     All models are looked at in one pass over the pairs an evaluation.
     """
-    states = _folded(written, vectors, _moments)
+    states = _folded(written, vectors, _all_moments)
     by: dict = {}
     for s in states:
         for k, m in s.items():
@@ -239,13 +282,7 @@ def fit(written: DataFrame, vectors: Vectors, bits: dict[str, tuple[int, int]],
         coef, shift = np.array([c for c, _ in raw]).T, np.array([b for _, b in raw])
         weight, label = np.array([problems[t].weight for t in names]).T, np.array([problems[t].label for t in names]).T
 
-        def fold(state, x, flags, coef=coef, shift=shift, weight=weight, label=label):
-            margin, w, y = x @ coef + shift, weight[flags], label[flags]
-            loss = (w * (np.logaddexp(0.0, margin) - y * margin)).sum(axis=0)
-            r = w * (1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))) - y)
-            out = loss, r.sum(axis=0), x.T @ r
-            return out if state is None else tuple(p + q for p, q in zip(state, out, strict=True))
-
+        fold = partial(_losses, coef=coef, shift=shift, weight=weight, label=label)
         loss, r, rx = (sum(v) for v in zip(*_folded(written, vectors, fold), strict=True))
         for i, t in enumerate(names):
             try:

@@ -355,6 +355,42 @@ def test_arrays_in_a_shared_folder_or_broadcast(spark, monkeypatch, plain):
     v.parts[0].close()
 
 
+def test_packed_edges_need_no_row_an_edge(spark):
+    """Ends, means and pairs of packed edges are those of rows; null ends, loops, repeated edges and hubs are among them."""
+    rnd = random.Random(5)
+    ids = [*range(-3, 60), 10**12]
+    links = [(rnd.choice(ids), rnd.choice(ids), rnd.choice((1, 3, 5))) for _ in range(900)] + [(7, 9, 1)] * 600 + [(None, 4, 1), (5, None, 3), (8, 8, 3)]
+    e = arrays.Packed(spark.createDataFrame(links, "src long, dst long, flags int"))
+    assert sorted(r.id for r in e.ends().collect()) == sorted({x for a, b, _ in links for x in (a, b)} - {None})
+    x = spark.createDataFrame([(str(i), [float(i), rnd.random(), 1.0]) for i in ids if i != 11], "id string, x array<double>")
+    own = pairs.Vectors.of(x)
+    whole = arrays.Whole(own.index)
+    by_rows = own.with_means(spark.createDataFrame(links, "src long, dst long, flags int"), 3)
+    packed = own.with_means(e, 3, whole)
+    want = {r.id: r.x for r in models.encode(x, spark.createDataFrame([v[:2] for v in links], "src string, dst string")).collect()}
+    names = sorted(want)
+    assert np.allclose(packed.open()[0], [want[i] for i in names], rtol=1e-12) and (packed.open()[0] == by_rows.open()[0]).all()
+    on = [i for i in names if int(i) % 2 == 0]
+    chosen = arrays.placed(spark.createDataFrame([(names.index(i), b"\x01") for i in on], "at long, row binary"), len(names), 1, "u1")
+    got = sorted((r.src, r.dst, r.a, r.b, r.flags) for r in e.within(whole, chosen).collect())
+    assert got == sorted((a, b, names.index(str(a)), names.index(str(b)), f) for a, b, f in links if a != b and str(a) in on and str(b) in on)
+    assert "1000000000000" in on and {f for *_, f in got} == {1, 3, 5}
+
+
+def test_losses_of_pairs_by_runs_are_those_of_all_numbers():
+    rng = np.random.default_rng(3)
+    parts, a, b = [rng.normal(size=(40, 3)), rng.normal(size=(40, 2))], np.sort(rng.integers(0, 40, 1_300)), rng.integers(0, 40, 1_300)
+    flags, weight, label = rng.integers(0, 4, 1_300).astype(np.uint8), rng.random((256, 2)), rng.integers(0, 2, (256, 2)).astype(float)
+    coef, shift = rng.normal(size=(15, 2)), rng.normal(size=2)
+    x = np.hstack(parts)
+    x = np.hstack([x[a], x[b], x[a] * x[b]])
+    m, y, w = x @ coef + shift, label[flags], weight[flags]
+    r = w * (1 / (1 + np.exp(-m)) - y)
+    for rows in (parts, [np.hstack(parts)]):
+        loss, total, moved = pairs._losses(pairs._losses(None, rows, a[:700], b[:700], flags[:700], coef, shift, weight, label), rows, a[700:], b[700:], flags[700:], coef, shift, weight, label)
+        assert np.allclose(loss, (w * (np.log1p(np.exp(m)) - y * m)).sum(axis=0)) and np.allclose(total, r.sum(axis=0)) and np.allclose(moved, x.T @ r)
+
+
 def test_a_number_that_is_the_same_in_all_rows_of_a_model_has_no_deviation():
     """Its mean is off by rounding; scaled up, that spoiled the models of the types."""
     x = np.column_stack([np.full(70, 0.1), np.arange(70.0)])
