@@ -42,5 +42,6 @@ def tokens(code: str, ext: str) -> list[str]:
     style = "#" if ext in HASH else "/" if ext in SLASH else ""
     found = _ALL[style].findall(code)
     if style == "/" and "`" in code:  # a template is read as the tokens it holds
-        found = [x for t in found for x in (TOKEN.findall(t) if t[:1] == "`" and len(t) > 1 else (t,))]
+        for k in reversed([i for i, t in enumerate(found) if len(t) > 1 and t[0] == "`"]):
+            found[k : k + 1] = TOKEN.findall(found[k])
     return list(filter(None, found))

@@ -13,7 +13,7 @@ fails, so no link within a bucket is lost and few sets travel.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -58,6 +58,8 @@ GENERATED_MARK = re.compile(
     r"(?i)(?:code )?(?:auto-?|automatically )?generated (?:by|from|file)\b|auto-?generated\b|<auto-generated|@generated\b|this (?:file|code) (?:was|is) (?:created |auto-?|automatically )*(?:generated|created automatically)|machine (?:written|generated)\b"
     r"|produced from \S+\.\w+ by|source of truth: \S+\.\w+|output of \S+ v?\d|do not (?:change|edit|modify) by hand\b|rebuilt by \S+"
 )
+#: Every one of these marks holds one of these in lower case.
+_GENERATED_WORDS = ("generated", "created automatically", "machine written", "produced from ", "source of truth: ", "output of ", "by hand", "rebuilt by ")
 #: Leading comments of third-party copies (fixed values).
 VENDOR_MARK = re.compile(
     r"(?i)[\w@/.-]+ v?\d+\.\d+\.\d+\b(?:\s*$|\s*[-|*]| released)|bundled copy of|vendored (?:copy|from)|copied verbatim from|this file (?:comes|is taken|was taken) from (?:the )?\S+|upstream: \S+://|(?:imported|copied|taken|vendored|pulled|synced|mirrored|bundled|included|forked|borrowed) (?:as[- ]is |verbatim |unchanged |unmodified )?from (?:the )?\S+.*?(?:\b(?:commit|revision|rev|version|release|tag)\b|\bv?\d+\.\d+|\bunchanged\b|\bunmodified\b|\bas[- ]is\b|\bverbatim\b|https?://)|origin: \S+@v?\d|\S+ \(c\) .*(?:our build|renames the package)"
@@ -101,8 +103,17 @@ def minified(code: str) -> bool:
     n = len(code)
     if n < LONG_LINE:
         return False
-    long = sum(len(x) for x in code.split("\n") if len(x) > LONG_LINE)
-    return long >= LONG_SHARE * n and sum(map(code.count, " \t")) <= MAX_BLANK * n
+    # blanks tell most files at once: the lines are looked at only where they are few
+    return sum(map(code.count, " \t")) <= MAX_BLANK * n and sum(len(x) for x in code.split("\n") if len(x) > LONG_LINE) >= LONG_SHARE * n
+
+
+def signed(code: str) -> bool:
+    """Whether an unindented comment line is a generator's mark; lines are sought only in texts that hold a word of one."""
+    if code.isascii():
+        low = code.lower()
+        if not any(word in low for word in _GENERATED_WORDS):
+            return False
+    return any(map(GENERATED_MARK.match, _MARGIN_COMMENT.findall(code)))
 
 
 _STRING, _NUMBER, _NAME = 1, 2, 3
@@ -157,7 +168,7 @@ _TOKENS = _Table()
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 
 
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _FOLD, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(31), np.uint64(32)
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64)
@@ -180,52 +191,123 @@ class Features(NamedTuple):
     bands: np.ndarray | None = None
 
 
-def _bitmap(h: np.ndarray, words: int) -> np.ndarray:
-    on = np.zeros(64 * words, bool)
-    on[h & np.uint64(64 * words - 1)] = True
-    return np.packbits(on).view(np.int64)
+def _once(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> _FOLD)
+    return _distinct(h)
 
 
-def _once(h: np.ndarray) -> np.ndarray:
-    h = np.sort(h ^ (h >> np.uint64(31)))
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """np.unique of an array that is sorted in place; that costs several times as much for the few numbers of a file."""
+    h.sort()
     first = np.empty(len(h), bool)
     first[:1] = True
     np.not_equal(h[1:], h[:-1], out=first[1:])
     return h[first]
 
 
+def _hashed(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of SHINGLE, and of WINDOWS * SHINGLE masked tokens, by their first token."""
+    ids = _BYTE[seq]
+    h = ids[: max(0, len(ids) - SHINGLE + 1)].copy()
+    for i in range(1, SHINGLE):
+        h *= _STEP
+        h += ids[i : i + len(h)]
+    t = h[: max(0, len(h) - SHINGLE * (WINDOWS - 1))].copy()
+    for i in range(1, WINDOWS):
+        t *= _STEP
+        t += h[i * SHINGLE : i * SHINGLE + len(t)]
+    return h, t
+
+
 def sets_of(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(shingle set, template set) of the masked tokens of a file: windows of SHINGLE, and of WINDOWS * SHINGLE tokens."""
-    ids = _BYTE[seq]
-    with np.errstate(over="ignore"):
-        h = np.zeros(max(0, len(ids) - SHINGLE + 1), np.uint64)
-        for i in range(SHINGLE):
-            h = h * _STEP + ids[i : i + len(h)]
-        t = np.zeros(max(0, len(h) - SHINGLE * (WINDOWS - 1)), np.uint64)
-        for i in range(WINDOWS):
-            t = t * _STEP + h[i * SHINGLE : i * SHINGLE + len(t)]
+    h, t = _hashed(seq)
     return _once(h), _once(t)
 
 
-def _bands(h: np.ndarray) -> np.ndarray:
-    """Keys of the MinHash bands of a shingle set."""
-    with np.errstate(over="ignore"):
-        # blocks keep the products small however long the file is
-        least = [(h[k : k + 4096] * _A[:, None] + _B[:, None]).min(axis=1) for k in range(0, len(h), 4096)]
-        sig = (least[0] if len(least) == 1 else np.min(least, axis=0)).reshape(BANDS, ROWS)
-        band = np.zeros(BANDS, np.uint64)
-        for r in range(ROWS):
-            band = band * _STEP + sig[:, r]
-        return (band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+_SALT = np.arange(BANDS, dtype=np.uint64)
+#: Tokens of files whose sets are made in one go.
+GROUP_TOKENS = 8_192
+
+
+def _runs(all_: np.ndarray, start: np.ndarray, count: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct hashes, how many, bitmap) of files side by side whose windows begin at so many places from start on."""
+    upto = np.cumsum(count)
+    of = np.repeat(np.arange(len(count)), count)
+    h = all_[np.arange(len(of)) + (start - (upto - count))[of]]
+    h ^= h >> _FOLD
+    for lo, hi in zip((upto - count).tolist(), upto.tolist(), strict=True):
+        h[lo:hi].sort()
+    first = np.empty(len(h), bool)
+    first[:1] = True
+    np.not_equal(h[1:], h[:-1], out=first[1:])
+    first[(upto - count)[count > 0]] = True
+    on = np.zeros((len(count), 64 * words), bool)
+    on[of, (h & np.uint64(64 * words - 1)).astype(np.int64)] = True
+    return h[first], np.bincount(of[first], minlength=len(count)), np.packbits(on, axis=1).view(np.int64)
+
+
+def _traits_of(seqs: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(size of the shingle set, of the template set, bitmaps of both, keys of the MinHash bands) of files of SHINGLE tokens or more.
+
+    As sets_of tells them, but for many files at a time: most have too few tokens for arrays of their own to pay.
+    """
+    size = np.array([len(s) for s in seqs])
+    start = np.cumsum(size) - size
+    h, t = _hashed(np.concatenate(seqs))
+    h, n, bits = _runs(h, start, size - SHINGLE + 1, WORDS)
+    _, nt, more = _runs(t, start, np.maximum(0, size - SHINGLE * WINDOWS + 1), TEMPLATE_WORDS)
+    begin, least, x = np.cumsum(n) - n, np.empty((len(_A), len(n)), np.uint64), np.empty_like(h)
+    for k in range(len(_A)):
+        np.multiply(h, _A[k], out=x)
+        np.add(x, _B[k], out=x)
+        np.minimum.reduceat(x, begin, out=least[k])
+    sig = least.T.reshape(len(n), BANDS, ROWS)
+    band = sig[:, :, 0].copy()
+    for r in range(1, ROWS):
+        band *= _STEP
+        band += sig[:, :, r]
+    band += _SALT
+    return zip(n.tolist(), nt.tolist(), np.concatenate([bits, more], axis=1), band.view(np.int64), strict=True)
 
 
 def features(path: str, code: str) -> Features:
     """What tells a file's kind; masked tokens, names, bitmaps and band keys only where it can be of a family or a copy."""
+    return features_of([(path, code)])[0]
+
+
+def features_of(files: Iterable[tuple[str, str]]) -> list[Features]:
+    """features() of many files."""
+    out: list[Features] = []
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+    tokens_held = 0
+
+    def fill() -> None:
+        for (k, seq, names), (n, nt, bits, bands) in zip(held, _traits_of([seq for _, seq, _ in held]), strict=True):
+            out[k] = out[k]._replace(variety=n / len(seq), n=n, nt=nt, seq=seq.tobytes(), names=names.tobytes(), bits=bits, bands=bands)
+        held.clear()
+
+    for path, code in files:
+        told, seq, names = _told(path, code)
+        if seq is not None:
+            held.append((len(out), seq, names))
+            tokens_held += len(seq)
+        out.append(told)
+        if tokens_held >= GROUP_TOKENS:
+            fill()
+            tokens_held = 0
+    if held:
+        fill()
+    return out
+
+
+def _told(path: str, code: str) -> tuple[Features, np.ndarray | None, np.ndarray | None]:
+    """(what tells a file's kind without its sets, masked tokens, names): the last two where it can be of a family or a copy."""
     code = code.replace("\r\n", "\n")
     ext = extension(path)
     program = ext in HASH | SLASH and ext not in ("yml", "yaml", "ini", "cfg", "toml", "conf")
     # a generator may sign below the imports or at the very end: every unindented comment line counts
-    gen = any(map(GENERATED_MARK.match, _MARGIN_COMMENT.findall(code))) or (ext == "json" and bool(_LOCK.search(code)))
+    gen = signed(code) or (ext == "json" and bool(_LOCK.search(code)))
     ven = any(VENDOR_MARK.match(h) for h in leading_comments(code))
     small = program and minified(code)
     seq, hashes, packed = _TOKENS.read(tokens(code, ext))
@@ -240,10 +322,8 @@ def features(path: str, code: str) -> Features:
     calls = int(of[64 + ord("(")]) >= CALLS * n
     # settings, prose and markup repeat one pattern by nature: only code makes a family
     if n < SHINGLE or small or blob or not (program or calls):
-        return Features(gen, ven, small, blob, 1.0, n, content, calls)
-    h, t = sets_of(seq)
-    names = np.unique(hashes[seq == _NAME] >> np.uint64(32)).astype(np.uint32)
-    return Features(gen, ven, small, blob, len(h) / n, n, content, calls, len(h), len(t), seq.tobytes(), names.tobytes(), np.concatenate([_bitmap(h, WORDS), _bitmap(t, TEMPLATE_WORDS)]), _bands(h))
+        return Features(gen, ven, small, blob, 1.0, n, content, calls), None, None
+    return Features(gen, ven, small, blob, 1.0, n, content, calls), seq, _distinct((hashes[seq == _NAME] >> _HALF).astype(np.uint32))
 
 
 _SCHEMA = "id bigint, repo string, filepath string, path_bad boolean, generated boolean, vendored boolean, minified boolean, blob boolean, variety double, n_tokens int, content binary, calls boolean, n int, nt int, seq binary, names binary, bits array<bigint>, bands array<bigint>"
@@ -258,7 +338,8 @@ def described(sources: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, r, p, bad, *features(p, c)) for i, r, p, bad, c in b.itertuples(index=False)]
+            told = features_of(zip(b["filepath"], b["code"], strict=True))
+            rows = [(*x, *f) for x, f in zip(b[["id", "repo", "filepath", "path_bad"]].itertuples(index=False), told, strict=True)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
     return slim.where("code IS NOT NULL AND trim(code) <> '' AND filepath IS NOT NULL AND repo IS NOT NULL").mapInPandas(run, _SCHEMA)
@@ -352,13 +433,16 @@ def compared(bucket: np.ndarray, traits: Traits, most: int = ALL_PAIRS) -> tuple
 
 
 def _stars(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
-    """Pairs to verify of the buckets of one sorted partition; a bucket is kept until it is whole."""
+    """Pairs to verify of the buckets of one partition, sorted by bucket and member; a bucket is kept until it is whole."""
 
     def pairs(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        b = pd.concat(parts, ignore_index=True).drop_duplicates(["bucket", "member"])
-        m = b["member"].to_numpy()
-        traits = Traits(b["n"].to_numpy(np.int64), b["nt"].to_numpy(np.int64), b["repeats"].to_numpy(bool), b["long"].to_numpy(bool), b[_WORDS].to_numpy(np.int64).view(np.uint64))
-        x, y, big = compared(b["bucket"].to_numpy(), traits, most)
+        b = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        bucket, m = b["bucket"].to_numpy(), b["member"].to_numpy()
+        # rows of one content in a bucket lie side by side
+        once = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (m[1:] != m[:-1])])
+        bucket, m = bucket[once], m[once]
+        traits = Traits(b["n"].to_numpy(np.int64)[once], b["nt"].to_numpy(np.int64)[once], b["repeats"].to_numpy(bool)[once], b["long"].to_numpy(bool)[once], b[_WORDS].to_numpy(np.int64)[once].view(np.uint64))
+        x, y, big = compared(bucket, traits, most)
         return pd.DataFrame({"a": np.minimum(m[x], m[y]), "b": np.maximum(m[x], m[y]), "big": big})
 
     held: list[pd.DataFrame] = []

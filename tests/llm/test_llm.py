@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 import tiktoken
@@ -560,3 +561,39 @@ def test_found_columns_and_no_row_twice(spark, name, columns):
     df = entry.queries()[name](spark, SMALL)
     rows = df.collect()
     assert df.columns == columns and len(rows) == len(set(rows))
+
+
+def test_features_of_many_files_are_those_of_each_alone():
+    """Sets are made for files side by side: no window reaches into the next file, and short, empty and long files keep their own."""
+    rnd = random.Random(8)
+    line = lambda: f"{rnd.choice('abcdefg')}{rnd.randrange(40)} = {rnd.choice('fgh')}({rnd.randrange(9)}, 'x') + [{rnd.choice('pqr')}.y]\n"
+    files = [("a.py", "".join(line() for _ in range(n))) for n in (1, 2, 40, 3, 900, 7, 1, 12)]
+    files += [("b.py", "# only a comment\n"), ("c.md", "some words"), ("d.py", "x = f(1"), ("e.py", "f()"), *files[:3]]
+    many = handwritten.features_of(files)
+    assert sum(f.seq is not None for f in many) > 8 and max(f.n_tokens for f in many) > handwritten.GROUP_TOKENS
+    for (path, code), f in zip(files, many, strict=True):
+        alone = handwritten.features(path, code)
+        assert all(np.array_equal(x, y) for x, y in zip(f, alone, strict=True))
+        if f.seq is None:
+            continue
+        h, t = handwritten.sets_of(np.frombuffer(f.seq, np.uint8))
+        assert (f.n, f.nt, f.variety) == (len(h), len(t), len(h) / f.n_tokens)
+        for got, of, words in ((f.bits[: handwritten.WORDS], h, handwritten.WORDS), (f.bits[handwritten.WORDS :], t, handwritten.TEMPLATE_WORDS)):
+            on = np.unpackbits(got.view(np.uint8))
+            assert set(np.flatnonzero(on).tolist()) == {int(x) % (64 * words) for x in of.tolist()}
+        keys = []
+        for k in range(handwritten.BANDS):
+            key = 0
+            for r in range(handwritten.ROWS):
+                a, b = int(handwritten._A[k * handwritten.ROWS + r]), int(handwritten._B[k * handwritten.ROWS + r])
+                key = (key * int(handwritten._STEP) + min((x * a + b) % 2**64 for x in h.tolist())) % 2**64
+            keys.append((key + k) % 2**64)
+        assert f.bands.view(np.uint64).tolist() == keys
+
+
+@pytest.mark.parametrize("mark", ("Code generated by x", "AUTO-GENERATED", "<auto-generated/>", "@Generated", "This file was created automatically", "machine written", "produced from a.idl by y", "Source of truth: a.yml", "Output of gen v2", "Do not EDIT by hand", "rebuilt by make", "automatically \u017fource generated by", "\u017fource of truth: a.yml"))
+def test_generators_marks_are_found_whatever_their_words(mark):
+    code = f"import x\n# {mark}\n"
+    told = bool(handwritten.GENERATED_MARK.match(mark))
+    assert handwritten.signed(code) == told and told != mark.startswith("automatically \u017f")
+    assert not handwritten.signed(code.replace("# ", "x = "))
