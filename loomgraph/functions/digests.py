@@ -12,11 +12,15 @@ _ORDER = [i if i < 16 else (5 * i + 1) % 16 if i < 32 else (3 * i + 5) % 16 if i
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
-def _block(state: list[np.ndarray], words: list[int | np.ndarray]) -> list[np.ndarray]:
-    """The state after a block of 16 words; a word that is the same everywhere is a number."""
+#: Steps after which the first word of the state is known: three less than all.
+_FIRST = 61
+
+
+def _block(state: list[np.ndarray], words: list[int | np.ndarray], steps: int = 64) -> list[np.ndarray]:
+    """The state after a block of 16 words; a word that is the same everywhere is a number. After _FIRST steps, its first word alone."""
     a, b, c, d = (x.copy() for x in state)
     f, t = np.empty_like(a), np.empty_like(a)
-    for i, (s, k, m) in enumerate(zip(_SHIFTS, _SINES, (words[g] for g in _ORDER), strict=True)):
+    for i, (s, k, m) in enumerate(zip(_SHIFTS[:steps], _SINES, (words[g] for g in _ORDER), strict=False)):
         if i < 16:
             np.bitwise_and(np.bitwise_xor(c, d, out=f), b, out=f)
             np.bitwise_xor(f, d, out=f)
@@ -37,6 +41,8 @@ def _block(state: list[np.ndarray], words: list[int | np.ndarray]) -> list[np.nd
         np.right_shift(f, np.uint32(32 - s), out=f)
         np.add(np.bitwise_or(f, t, out=f), b, out=f)
         a, b, c, d, f = d, f, b, c, a
+    if steps == _FIRST:
+        return [state[0] + b]
     return [x + y for x, y in zip(state, (a, b, c, d), strict=True)]
 
 
@@ -54,5 +60,5 @@ def pair_heads(prefix: bytes, left: np.ndarray, between: bytes, right: np.ndarra
     words += [0] * (16 * blocks - 2 - len(words)) + [size * 8 & 0xFFFFFFFF, size * 8 >> 32]
     state = [np.full(n, x, np.uint32) for x in _START]
     for i in range(blocks):
-        state = _block(state, words[16 * i : 16 * i + 16])
+        state = _block(state, words[16 * i : 16 * i + 16], 64 if i + 1 < blocks else _FIRST)
     return state[0].byteswap()

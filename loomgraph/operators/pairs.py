@@ -143,8 +143,9 @@ def _losses(state, rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, flags:
         r = u * (1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))) - y)
         total += r.sum(axis=0)
         moved[:w] += za.T @ np.add.reduceat(r, first, axis=0)
-        moved[w : 2 * w] += zb.T @ r
-        moved[2 * w :] += product.T @ r
+        r = np.ascontiguousarray(r.T)  # few rows times many columns is the faster way round
+        moved[w : 2 * w] += (r @ zb).T
+        moved[2 * w :] += (r @ product).T
     return loss, total, moved
 
 

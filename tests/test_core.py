@@ -355,6 +355,18 @@ def test_arrays_in_a_shared_folder_or_broadcast(spark, monkeypatch, plain):
     v.parts[0].close()
 
 
+def test_first_words_of_digests_need_no_last_steps(monkeypatch):
+    """Texts of one block and of two: the last block ends when the first word is known, a block before it does not."""
+    done = []
+    block = digests._block
+    monkeypatch.setattr(digests, "_block", lambda state, words, steps=64: done.append(steps) or block(state, words, steps))
+    for prefix in (b"cap|", b"p" * 70):
+        left, right = np.array([list(b"12"), list(b"98")], np.uint8), np.array([list(b"345"), list(b"700"), list(b"001")], np.uint8)
+        want = [int.from_bytes(hashlib.md5(prefix + a.tobytes() + b">" + b.tobytes()).digest()[:4], "big") for a in left for b in right]
+        assert digests.pair_heads(prefix, left, b">", right).tolist() == want
+    assert done == [61, 64, 61]
+
+
 def test_packed_edges_need_no_row_an_edge(spark):
     """Ends, means and pairs of packed edges are those of rows; null ends, loops, repeated edges and hubs are among them."""
     rnd = random.Random(5)
