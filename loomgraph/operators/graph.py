@@ -301,7 +301,7 @@ def capped(pairs: DataFrame, most: int, seed: str = "cap") -> DataFrame:
 
 
 #: Digests that are computed at once.
-AT_ONCE = 24_576
+AT_ONCE = 32_768
 
 
 def _low_pairs(members: DataFrame, low: int, seed: str) -> DataFrame:

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from loomgraph.operators import arrays
 from loomgraph.session import cut
 
-#: Pairs whose numbers are looked at in one go, and those whose products are, in the fit.
-AT_ONCE, PRODUCTS = 2_048, 512
+#: Pairs whose numbers are looked at in one go, those of which they are in the fit, and those that are written as a block.
+AT_ONCE, PRODUCTS, BLOCK = 2_048, 1_024, 1 << 17
 
 
 class Linear(NamedTuple):
@@ -41,12 +41,13 @@ class Vectors:
         self.width = sum(p.shape[1] for p in parts)
 
     @classmethod
-    def of(cls, x: DataFrame) -> Vectors:
-        """Of rows (id, x)."""
-        first = x.select(F.size("x").alias("n")).first()
-        index, width = arrays.Index(x), first.n if first else 0
-        rows = x.select(index.of("id").alias("at"), arrays.as_bytes("x", width).alias("row")).where("at >= 0")
-        return cls(index, arrays.placed(rows, index.n, width))
+    def of(cls, x: DataFrame, zeros: bool = True) -> Vectors:
+        """Of rows (id, x), or (id, row) with the bytes of their doubles; zeros: with the entries that are zero in all rows."""
+        first = x.first()
+        index, width = arrays.Index(x), 0 if first is None else len(first.row) // 8 if "row" in x.columns else len(first.x)
+        given = F.col("row") if "row" in x.columns else arrays.as_bytes("x", width)
+        rows = x.select(index.of("id").alias("at"), given.alias("row")).where("at >= 0")
+        return cls(index, arrays.placed(rows, index.n, width, kept=None if zeros else arrays.used(rows.select("row"), width)))
 
     def with_means(self, edges: DataFrame | arrays.Packed, parts: int, whole: arrays.Whole | None = None) -> Vectors:
         """Own vectors beside the mean of the sources' along edges(src, dst), as models.encode makes them; whole: the numbers of packed edges."""
@@ -76,11 +77,23 @@ def _numbers(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
 def blocks(pairs: DataFrame, parts: int) -> DataFrame:
     """pairs(a, b, flags) written as blocks of bytes, near ones together."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            ends = ((c, t, np.concatenate([b.column(i).to_numpy().astype(t) for b in held])) for i, (c, t) in enumerate((("a", "i4"), ("b", "i4"), ("flags", "u1"))))
+            return pa.RecordBatch.from_pydict({c: pa.array([v.tobytes()], pa.binary()) for c, _, v in ends})
+
         for b in batches:
-            yield pd.DataFrame({"a": [b["a"].to_numpy(np.int32).tobytes()], "b": [b["b"].to_numpy(np.int32).tobytes()], "flags": [b["flags"].to_numpy(np.uint8).tobytes()]})
+            held.append(b)
+            size += b.num_rows
+            if size >= BLOCK:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
-    return cut(pairs.select("a", "b", "flags").repartitionByRange(parts, "a").sortWithinPartitions("a", "b").mapInPandas(pack, "a binary, b binary, flags binary"))
+    return cut(pairs.select("a", "b", "flags").repartitionByRange(parts, "a").sortWithinPartitions("a", "b").mapInArrow(pack, "a binary, b binary, flags binary"))
 
 
 def _folded(written: DataFrame, vectors: Vectors, fold) -> list:
@@ -122,30 +135,55 @@ def _taken(rows: list[np.ndarray], at: np.ndarray) -> np.ndarray:
 def _losses(state, rows: list[np.ndarray], a: np.ndarray, b: np.ndarray, flags: np.ndarray, coef: np.ndarray, shift: np.ndarray, weight: np.ndarray, label: np.ndarray):
     """Sums over the pairs of each model's loss, residuals, and residuals times the numbers.
 
-    Pairs lie side by side by a, so the first end's numbers are looked at once a run; of a pair only the second end's
-    numbers and the product are made.
+    Pairs lie side by side by a. Those of one first end share its coefficients: the second end's, and the product's times
+    the first end's numbers. So of a pair only the second end's numbers are looked at, and no product is made; the runs of
+    one length are multiplied in one go.
     """
-    w = len(coef) // 3
-    c1, c2, c3 = (np.ascontiguousarray(coef[k * w : (k + 1) * w]) for k in range(3))
-    loss, total, moved = (np.zeros(coef.shape[1]), np.zeros(coef.shape[1]), np.zeros(coef.shape)) if state is None else state
-    for lo in range(0, len(a), PRODUCTS):
-        s = slice(lo, lo + PRODUCTS)
-        first = np.flatnonzero(np.r_[True, a[s][1:] != a[s][:-1]])
-        run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(a[s])]))
-        za, zb = _taken(rows, a[s][first]), _taken(rows, b[s])
-        product = np.take(za, run, axis=0)
-        product *= zb
-        margin = (za @ c1 + shift)[run]
-        margin += zb @ c2
-        margin += product @ c3
-        u, y = weight[flags[s]], label[flags[s]]
-        loss += (u * (np.logaddexp(0.0, margin) - y * margin)).sum(axis=0)
-        r = u * (1.0 / (1.0 + np.exp(-np.clip(margin, -700, 700))) - y)
-        total += r.sum(axis=0)
-        moved[:w] += za.T @ np.add.reduceat(r, first, axis=0)
-        r = np.ascontiguousarray(r.T)  # few rows times many columns is the faster way round
-        moved[w : 2 * w] += (r @ zb).T
-        moved[2 * w :] += (r @ product).T
+    w, k = len(coef) // 3, coef.shape[1]
+    c1, c2, c3 = coef[:w], np.ascontiguousarray(coef[w : 2 * w].T), np.ascontiguousarray(coef[2 * w :].T)
+    known = np.ascontiguousarray(np.concatenate([weight, label], axis=1).T)
+    loss, total, moved = (np.zeros(k), np.zeros(k), np.zeros(coef.shape)) if state is None else state
+    new = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    far = np.arange(len(a)) - np.repeat(first, np.diff(np.r_[first, len(a)]))
+    first = np.flatnonzero(new | (far % PRODUCTS == 0))  # longer runs are some runs
+    long = np.diff(np.r_[first, len(a)])
+    order = np.argsort(long, kind="stable")
+    first, long = first[order], long[order]
+    ends = np.flatnonzero(np.r_[long[1:] != long[:-1], True]) + 1 if len(long) else ()
+    lo = 0
+    for hi in ends:
+        n = int(long[lo])
+        for i in range(lo, hi, max(1, PRODUCTS // n)):
+            start = first[i : min(hi, i + max(1, PRODUCTS // n))]
+            at = (start[:, None] + np.arange(n)).reshape(-1)
+            za, zb = _taken(rows, a[start]), _taken(rows, b[at]).reshape(len(start), n, w)
+            own = za[:, None, :] * c3
+            own += c2
+            margin = zb @ own.transpose(0, 2, 1)
+            margin += (za @ c1 + shift)[:, None, :]
+            margin = np.ascontiguousarray(margin.reshape(-1, k).T)  # a model's side by side
+            told = np.take(known, flags[at], axis=1)
+            u, y = told[:k], told[k:]
+            e = np.exp(-np.abs(margin))
+            each = np.log1p(e)
+            each += np.maximum(margin, 0.0)
+            each -= y * margin
+            loss += np.einsum("ij,ij->i", u, each)
+            r = np.where(margin >= 0, 1.0, e)
+            e += 1.0
+            r /= e
+            r -= y
+            r *= u
+            of_a = r.reshape(k, len(start), n).sum(axis=2).T
+            total += of_a.sum(axis=0)
+            moved[:w] += za.T @ of_a
+            r = np.ascontiguousarray(r.T).reshape(len(start), n, k)
+            of_b = r.transpose(0, 2, 1) @ zb
+            moved[w : 2 * w] += of_b.sum(axis=0).T
+            of_b *= za[:, None, :]
+            moved[2 * w :] += of_b.sum(axis=0).T
+        lo = hi
     return loss, total, moved
 
 

@@ -27,8 +27,10 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
+def edges(spark: SparkSession, d: str, join: str | None = None) -> DataFrame:
+    """join: how the orders are joined, if not as the planner thinks; shuffle_hash sorts no table."""
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    o = o.hint(join) if join else o
     n = F.broadcast(table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n")))  # one row
     kind = F.when(F.col("l_returnflag") == "R", "CALLS").when(F.col("l_returnflag") == "A", "FLOWS_TO").otherwise("DEFINES")
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(n)

@@ -413,6 +413,60 @@ def test_a_number_that_is_the_same_in_all_rows_of_a_model_has_no_deviation():
     assert math.isclose(pairs.Problem(by, 2, 1, 20.0, 1e-3).std[1], np.std(np.arange(60.0), ddof=1))
 
 
+def test_static_features_as_bytes_are_those_in_arrays_and_zeros_are_left_out(spark):
+    rows = [("a", "File", "x.py", "src/d1/x.PY", "Python", True), ("b", "Odd", None, None, "Klingon", None), ("c", None, "é f", "/y", None, False), ("d", "OTHER", "", "a/b/.c", "OTHER", True)]
+    nodes = spark.createDataFrame(rows, "id string, type string, label string, filepath string, language string, analysed boolean")
+    want = {r.id: r.x for r in features.static(nodes).collect()}
+    got = {r.id: np.frombuffer(r.row).tolist() for r in features.static_bytes(nodes).collect()}
+    assert got == want and len(want["a"]) == features.STATIC
+    v = pairs.Vectors.of(features.static_bytes(nodes), zeros=False)
+    every = np.array([want[k] for k in sorted(want)])
+    assert v.width < features.STATIC and (v.open()[0] == every[:, (every != 0).any(axis=0)]).all()
+
+
+@pytest.mark.parametrize("far", (0, 10**14))
+def test_whole_numbers_are_found_by_table_or_search(spark, far):
+    """Near one another they have places in a table; one far off, and they are searched for."""
+    ids = [5, 9, -3, 40, 2**62 - far]
+    x = spark.createDataFrame([(str(i), [1.0]) for i in (ids if far else ids[:-1])], "id string, x array<double>")
+    own = pairs.Vectors.of(x)
+    whole, names = arrays.Whole(own.index), sorted(r.id for r in x.collect())
+    asked = np.array([9, -4, -3, 41, 40, 0, arrays.NONE, 2**63 - 1])
+    assert whole.open()(asked).tolist() == [names.index(str(i)) if str(i) in names else -1 for i in asked.tolist()]
+    v = np.array([*range(-4, 9), 3, 3, far])
+    assert arrays._distinct(v).tolist() == sorted({*v.tolist()})
+
+
+def test_a_long_run_of_pairs_is_some_runs(monkeypatch):
+    """No product of a pair is made, and of a first end with many pairs so many at a time."""
+    monkeypatch.setattr(pairs, "PRODUCTS", 8)
+    rng = np.random.default_rng(4)
+    x, a, b = rng.normal(size=(30, 4)), np.sort(np.r_[np.full(21, 7), rng.integers(0, 30, 60)]), rng.integers(0, 30, 81)
+    flags, weight, label = rng.integers(0, 4, 81).astype(np.uint8), rng.random((256, 2)), rng.integers(0, 2, (256, 2)).astype(float)
+    coef, shift, seen, taken = rng.normal(size=(12, 2)), rng.normal(size=2), [], pairs._taken
+    monkeypatch.setattr(pairs, "_taken", lambda rows, at: seen.append(len(at)) or taken(rows, at))
+    loss, total, moved = pairs._losses(None, [x], a, b, flags, coef, shift, weight, label)
+    z = np.hstack([x[a], x[b], x[a] * x[b]])
+    m, y, w = z @ coef + shift, label[flags], weight[flags]
+    r = w * (1 / (1 + np.exp(-m)) - y)
+    assert np.allclose(loss, (w * (np.log1p(np.exp(m)) - y * m)).sum(axis=0)) and np.allclose(total, r.sum(axis=0)) and np.allclose(moved, z.T @ r) and max(seen) <= 8
+
+
+def test_steps_of_digests_whose_words_are_the_same_in_a_row_are_made_once_for_it(monkeypatch):
+    shapes = []
+    add = np.left_shift
+
+    class Watched:
+        def __getattr__(self, name):
+            return (lambda *a: shapes.append(a[0].shape) or add(*a)) if name == "left_shift" else getattr(np, name)
+
+    monkeypatch.setattr(digests, "np", Watched())
+    left, right = np.array([list(b"123456"), list(b"987654")], np.uint8), np.array([list(b"345"), list(b"700"), list(b"001")], np.uint8)
+    want = [int.from_bytes(hashlib.md5(b"cap|" + a.tobytes() + b">" + b.tobytes()).digest()[:4], "big") for a in left for b in right]
+    assert digests.pair_heads(b"cap|", left, b">", right).tolist() == want
+    assert shapes[:3] == [(1, 1), (2, 1), (2, 3)] and set(shapes[3:]) == {(2, 3)}
+
+
 def test_layer_flow_tie_goes_to_the_first_name(spark):
     e = spark.createDataFrame([("1", "2", "x", 0.2), ("2", "1", "x", 0.4)], EDGES)
     layers = spark.createDataFrame([("1", "api"), ("2", "backend")], "id string, layer string")
