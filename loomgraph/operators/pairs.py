@@ -47,7 +47,7 @@ class Vectors:
         index, width = arrays.Index(x), 0 if first is None else len(first.row) // 8 if "row" in x.columns else len(first.x)
         given = F.col("row") if "row" in x.columns else arrays.as_bytes("x", width)
         rows = x.select(index.of("id").alias("at"), given.alias("row")).where("at >= 0")
-        return cls(index, arrays.placed(rows, index.n, width, kept=None if zeros else arrays.used(rows.select("row"), width)))
+        return cls(index, arrays.placed(rows, index.n, width, kept=None if zeros else arrays.used(x.select(given.alias("row")), width)))
 
     def with_means(self, edges: DataFrame | arrays.Packed, parts: int, whole: arrays.Whole | None = None) -> Vectors:
         """Own vectors beside the mean of the sources' along edges(src, dst), as models.encode makes them; whole: the numbers of packed edges."""

@@ -27,14 +27,22 @@ def calls(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, d: str, join: str | None = None) -> DataFrame:
-    """join: how the orders are joined, if not as the planner thinks; shuffle_hash sorts no table."""
+def _kind():
+    return F.when(F.col("l_returnflag") == "R", "CALLS").when(F.col("l_returnflag") == "A", "FLOWS_TO").otherwise("DEFINES")
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    o = o.hint(join) if join else o
     n = F.broadcast(table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n")))  # one row
-    kind = F.when(F.col("l_returnflag") == "R", "CALLS").when(F.col("l_returnflag") == "A", "FLOWS_TO").otherwise("DEFINES")
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(n)
-    return joined.select(F.col("o_custkey").alias("src"), (F.col("l_partkey") % F.col("n")).alias("dst"), kind.alias("type"), F.col("l_discount").alias("p"))
+    return joined.select(F.col("o_custkey").alias("src"), (F.col("l_partkey") % F.col("n")).alias("dst"), _kind().alias("type"), F.col("l_discount").alias("p"))
+
+
+def edge_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(key, dst, type) and (key, src): joined by key they are edges()."""
+    n = F.broadcast(table(spark, d, "customer").agg(F.count(F.lit(1)).alias("n")))  # one row
+    to = table(spark, d, "lineitem").join(n).select(F.col("l_orderkey").alias("key"), (F.col("l_partkey") % F.col("n")).alias("dst"), _kind().alias("type"))
+    return to, table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("src"))
 
 
 #: The same views in SQL, for the oracle.

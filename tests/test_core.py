@@ -467,6 +467,27 @@ def test_steps_of_digests_whose_words_are_the_same_in_a_row_are_made_once_for_it
     assert shapes[:3] == [(1, 1), (2, 1), (2, 3)] and set(shapes[3:]) == {(2, 3)}
 
 
+@pytest.mark.parametrize("repeated", (True, False))
+def test_edges_are_joined_with_their_sources_as_blocks(spark, monkeypatch, repeated):
+    """As an inner join, with null keys and ends, keys on one side only, and keys that have several sources."""
+    monkeypatch.setattr(arrays, "BLOCK", 7)
+    rnd = random.Random(9)
+    edges = [(rnd.choice((None, *range(-5, 40))), rnd.choice((None, *range(9))), rnd.randrange(6)) for _ in range(300)]
+    sources = [(k, rnd.choice((None, 2**40, 5, -7))) for k in (None, *range(-2, 50))] * (1 + repeated) + [(7, 1)] * (3 * repeated)
+    e, s = spark.createDataFrame(edges, "key int, dst long, flags int"), spark.createDataFrame(sources, "key long, src long")
+    end = lambda v: arrays.NONE if v is None else v
+    want = sorted((end(src), end(dst), f) for key, dst, f in edges for k, src in sources if key is not None and key == k)
+    got = [tuple(np.frombuffer(r[c], t).tolist() for c, t in (("src", "i8"), ("dst", "i8"), ("flags", "u1"))) for r in arrays.Packed.joined(e, s).written.collect()]
+    assert sorted(v for block in got for v in zip(*block, strict=True)) == want and max(len(x[0]) for x in got) <= 7
+    assert arrays.Packed.joined(e.where("key = 999"), s).written.count() == 0 == arrays.Packed.joined(e, s.where("key = 999")).ends().count()
+
+
+def test_edges_by_their_parts_are_the_edges(spark):
+    to, of = views.edge_parts(spark, SMALL)
+    rows = lambda x: sorted(tuple(r) for r in x.select("src", "dst", "type").collect())
+    assert rows(to.join(of, "key")) == rows(views.edges(spark, SMALL)) != []
+
+
 def test_layer_flow_tie_goes_to_the_first_name(spark):
     e = spark.createDataFrame([("1", "2", "x", 0.2), ("2", "1", "x", 0.4)], EDGES)
     layers = spark.createDataFrame([("1", "api"), ("2", "backend")], "id string, layer string")
