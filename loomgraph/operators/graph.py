@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import digests
@@ -238,24 +238,18 @@ def negatives(edges: DataFrame, count: int, seed: str = "neg", tries: int = 20,
     return pairs.join(simple(edges), ["src", "dst"], "left_anti").orderBy("k").limit(count).select("src", "dst")
 
 
+def negative_draws(spark: SparkSession, count: int, n: int, seed: str = "neg", tries: int = 20) -> DataFrame:
+    """(k, a, b): the draws of negative_numbers, loops left out, others with repetitions."""
+    draws = spark.range(min(count * tries, count * 2 + 64)).select(F.col("id").alias("k"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("a"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("b"))
+    return draws.where("a <> b")
+
+
 def negative_numbers(edges: DataFrame, count: int, n: int, seed: str = "neg", tries: int = 20) -> DataFrame:
     """negatives() of edges(a, b) between nodes that are numbers 0..n-1 in id order: (a, b, k), k the number of the draw."""
-    spark = edges.sparkSession
     if n < 2:
         return edges.select("a", "b", F.lit(0).cast("bigint").alias("k")).limit(0)
-    draws = spark.range(min(count * tries, count * 2 + 64)).select(F.col("id").alias("k"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("a"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias("b"))
-    left = cut(draws.where("a <> b").groupBy("a", "b").agg(F.min("k").alias("k")).join(edges.select("a", "b"), ["a", "b"], "left_anti"))
-    # the first so many draws without a sort of all: those of the stretches below the last, and the rest of that one
-    stretch = F.col("k") / F.lit(max(1, count // 1_000))
-    got, last = 0, None
-    for r in left.groupBy(F.floor(stretch).alias("s")).count().orderBy("s").collect():
-        if got + r["count"] >= count:
-            last = r.s
-            break
-        got += r["count"]
-    if last is None:
-        return left
-    return left.where(F.floor(stretch) < last).unionByName(left.where(F.floor(stretch) == last).orderBy("k").limit(count - got))
+    left = negative_draws(edges.sparkSession, count, n, seed, tries).groupBy("a", "b").agg(F.min("k").alias("k")).join(edges.select("a", "b"), ["a", "b"], "left_anti")
+    return left.orderBy("k").limit(count)
 
 
 #: The sources of a group are dealt to so many parts, each paired with the whole group: a large group is more than one task.

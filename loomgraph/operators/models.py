@@ -97,8 +97,7 @@ def fit_edges(z: DataFrame | pairs.Vectors, typed: DataFrame, rounds: int = 50)
     else:
         flags = type_flags(lambda t: F.array_contains("types", t))
         pos = cut(typed.where("src <> dst").select(v.index.of("src").alias("a"), v.index.of("dst").alias("b"), F.coalesce(flags, F.lit(1)).alias("flags")))
-    neg = graph.negative_numbers(pos, pos.count(), v.index.n).select("a", "b", F.lit(0).alias("flags"))
-    written = pairs.blocks(pos.where("a >= 0 AND b >= 0").unionByName(neg), 4 * typed.sparkSession.sparkContext.defaultParallelism)
+    written = pairs.training(pos, pos.count(), v.index.n, 4 * typed.sparkSession.sparkContext.defaultParallelism)
     found = pairs.fit(written, v, {"exists": (1, 0)} | {t: (2 << i, 1) for i, t in enumerate(TYPES)}, rounds, 20.0, 1e-3)
     return {t: m if isinstance(m, pairs.Linear) else Constant(m) for t, m in found.items()}
 

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.operators import arrays
+from loomgraph.operators import arrays, graph
 from loomgraph.session import cut
 
 #: Pairs whose numbers are looked at in one go, those of which they are in the fit, and those that are written as a block.
-AT_ONCE, PRODUCTS, BLOCK = 2_048, 1_024, 1 << 17
+AT_ONCE, PRODUCTS, BLOCK = 2_048, 1_024, 1 << 15
 
 
 class Linear(NamedTuple):
@@ -74,26 +74,90 @@ def _numbers(rows: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
-def blocks(pairs: DataFrame, parts: int) -> DataFrame:
-    """pairs(a, b, flags) written as blocks of bytes, near ones together."""
+def training(known: DataFrame, count: int, n: int, parts: int) -> DataFrame:
+    """known(a, b, flags) and the pairs of graph.negative_numbers(known, count, n) with flags 0, written as blocks of bytes, near ones together.
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    No pair has a row in a shuffle: pairs are dealt by their first end as bytes, and told apart, in order, in arrays.
+    """
+    spark, schema = known.sparkSession, "a binary, b binary, flags binary, k binary"
+    kinds = (("a", "i4"), ("b", "i4"), ("flags", "u1"), ("k", "i8"))
+    pos = known.where("a >= 0 AND b >= 0").select("a", "b", F.col("flags").cast("int"), F.lit(-1).cast("bigint").alias("k"))
+    draws = graph.negative_draws(spark, count if n > 1 else 0, max(1, n)).select("a", "b", F.lit(0).alias("flags"), "k")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            ends = ((c, t, np.concatenate([b.column(i).to_numpy().astype(t) for b in held])) for i, (c, t) in enumerate((("a", "i4"), ("b", "i4"), ("flags", "u1"))))
-            return pa.RecordBatch.from_pydict({c: pa.array([v.tobytes()], pa.binary()) for c, _, v in ends})
+            values = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4)]
+            part = values[0] * parts // n
+            order, ends = np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))
+            data = [(c, v.astype(t)[order]) for (c, t), v in zip(kinds, values, strict=True)]
+            blocks = {c: pa.array([v[lo:hi].tobytes() for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True)], pa.binary()) for c, v in data}
+            return pa.RecordBatch.from_pydict({"part": pa.array(np.arange(parts, dtype=np.int32))} | blocks)
 
         for b in batches:
             held.append(b)
             size += b.num_rows
-            if size >= BLOCK:
+            if size >= arrays.DEALT:
                 yield out()
                 held, size = [], 0
         if size:
             yield out()
 
-    return cut(pairs.select("a", "b", "flags").repartitionByRange(parts, "a").sortWithinPartitions("a", "b").mapInArrow(pack, "a binary, b binary, flags binary"))
+    def read(batches: Iterator[pa.RecordBatch], first: int) -> Iterator[list[np.ndarray]]:
+        for batch in batches:
+            for row in zip(*batch.columns[first:], strict=True):
+                yield [np.frombuffer(v.as_buffer(), t) for v, (_, t) in zip(row, kinds, strict=True)]
+
+    def written(a: np.ndarray, b: np.ndarray, flags: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(a), BLOCK):
+            s = slice(lo, lo + BLOCK)
+            yield pa.RecordBatch.from_pydict({c: pa.array([v[s].tobytes()], pa.binary()) for (c, _), v in zip(kinds, (a, b, flags, k), strict=True)})
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(read(batches, 1))
+        if got:
+            a, b, flags, k = (np.concatenate(v) for v in zip(*got, strict=True))
+            key = a.astype(np.int64) * n + b
+            order = np.lexsort((k, key))  # a known pair comes before its draws, and the first draw before the others
+            key = key[order]
+            order = order[(k[order] < 0) | np.r_[True, key[1:] != key[:-1]]]
+            yield from written(a[order], b[order], flags[order], k[order])
+
+    left = cut(pos.mapInArrow(deal, f"part int, {schema}").unionByName(draws.mapInArrow(deal, f"part int, {schema}")).repartition(parts, "part").mapInArrow(apart, schema))
+    step = max(1, count // 1_000)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for *_, k in read(batches, 0):
+            own = np.bincount(k[k >= 0] // step, minlength=len(total))
+            own[: len(total)] += total
+            total = own
+        yield pa.RecordBatch.from_pydict({"n": pa.array([total.tobytes()], pa.binary())})
+
+    states = [np.frombuffer(r.n, np.int64) for r in left.mapInArrow(counted, "n binary").collect()]
+    total = np.zeros(max((len(v) for v in states), default=0), np.int64)
+    for v in states:
+        total[: len(v)] += v
+    upto = np.cumsum(total)
+    last = 2**63 - 1  # the last draw wanted
+    if len(upto) and upto[-1] > count:
+        stretch = int(np.searchsorted(upto, count))
+
+        def those(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for *_, k in read(batches, 0):
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k[(k >= 0) & (k // step == stretch)].tobytes()], pa.binary())})
+
+        within = np.sort(np.concatenate([np.frombuffer(r.k, np.int64) for r in left.mapInArrow(those, "k binary").collect()]))
+        last = int(within[count - int(upto[stretch] - total[stretch]) - 1]) if count else -1
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b, flags, k in read(batches, 0):
+            on = k <= last
+            yield pa.RecordBatch.from_pydict({c: pa.array([v[on].tobytes()], pa.binary()) for c, v in (("a", a), ("b", b), ("flags", flags))})
+
+    # blocks are alike in size: dealt in turn, the tasks of an evaluation are, too
+    return cut(left.mapInArrow(wanted, "a binary, b binary, flags binary").repartition(parts).sortWithinPartitions("a", "b"))
 
 
 def _folded(written: DataFrame, vectors: Vectors, fold) -> list:

@@ -488,6 +488,21 @@ def test_edges_by_their_parts_are_the_edges(spark):
     assert rows(to.join(of, "key")) == rows(views.edges(spark, SMALL)) != []
 
 
+@pytest.mark.parametrize(("n", "known"), ((40, 300), (2_000, 5_000), (5, 18), (1, 0)))
+def test_training_pairs_are_dealt_as_blocks(spark, monkeypatch, n, known):
+    """The known pairs, repeated ones too, and the first draws that are none, as negative_numbers has them; few rows are shuffled."""
+    monkeypatch.setattr(pairs, "BLOCK", 64)
+    rnd = random.Random(n)
+    rows = [(rnd.randrange(n), rnd.randrange(n), rnd.randrange(1, 6)) for _ in range(known)] + [(-1, 0, 1), (0, -1, 3)]
+    pos = spark.createDataFrame(rows, "a long, b long, flags int")
+    neg = [(r.a, r.b, 0) for r in graph.negative_numbers(pos, len(rows), n).collect()]
+    monkeypatch.setattr(graph, "negative_numbers", None)
+    written = pairs.training(pos, len(rows), n, 3)
+    got = [[np.frombuffer(r[c], t).tolist() for c, t in (("a", "i4"), ("b", "i4"), ("flags", "u1"))] for r in written.collect()]
+    assert sorted(v for block in got for v in zip(*block, strict=True)) == sorted([r for r in rows if min(r[:2]) >= 0] + neg)
+    assert all(block[0] == sorted(block[0]) and len(block[0]) <= 64 for block in got) and (len(neg) == len(rows) or n < 100)
+
+
 def test_layer_flow_tie_goes_to_the_first_name(spark):
     e = spark.createDataFrame([("1", "2", "x", 0.2), ("2", "1", "x", 0.4)], EDGES)
     layers = spark.createDataFrame([("1", "api"), ("2", "backend")], "id string, layer string")
