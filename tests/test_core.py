@@ -221,6 +221,17 @@ def test_distances_are_whole_beyond_any_number_of_links(spark, monkeypatch, widt
         assert math.isclose(got[v].betweenness, between[v], abs_tol=1e-12) and math.isclose(got[v].closeness, len(d) / sum(d) * len(d) / (n - 1) if d else 0.0, abs_tol=1e-12)
 
 
+def test_betweenness_is_exact_beyond_any_number_of_nodes(spark):
+    """Chains a > b > c, all before h > t: more nodes than the old bound, beyond which 500 sources were sampled."""
+    chains = 1_700
+    links = [x for i in range(chains) for x in ((3 * i, 3 * i + 1), (3 * i + 1, 3 * i + 2), (3 * i + 2, 9_000))] + [(9_000, 9_001)]
+    got = {r.id: r.betweenness for r in graph.shortest_path_measures(spark.createDataFrame(links, "src long, dst long")).collect()}
+    n = 3 * chains + 2
+    assert len(got) == n and n > 5_000
+    through = {v: (0, 3, 4)[v % 3] for v in range(3 * chains)} | {9_000: 3 * chains, 9_001: 0}
+    assert all(math.isclose(got[v] * (n - 1) * (n - 2), through[v], rel_tol=1e-9, abs_tol=1e-9) for v in got)
+
+
 def test_features_of_a_graph_with_more_links_than_the_old_bound(spark, monkeypatch):
     monkeypatch.setattr(graph, "MAX_LINKS", 2, raising=False)
     ids = "abcdz"
