@@ -16,8 +16,8 @@ from loomgraph.operators import arrays, graph, pairs, splits
 from loomgraph.session import cut, parallelism
 
 TYPES = ("CALLS", "FLOWS_TO")
-#: How many pairs are scored at most, and of how many the best are kept (the size of a result file).
-MAX_PAIRS, TOP = 500_000, 1_000
+#: Of how many scored pairs the best are kept (the size of a result file).
+TOP = 1_000
 
 
 def _width(x: DataFrame) -> int:
@@ -102,23 +102,42 @@ def fit_edges(z: DataFrame | pairs.Vectors, typed: DataFrame, rounds: int = 50)
     return {t: m if isinstance(m, pairs.Linear) else Constant(m) for t, m in found.items()}
 
 
+def _told(at: DataFrame, v: pairs.Vectors, models: dict) -> DataFrame:
+    """at(a, b, ..) with a probability a model."""
+    linear = {t: m for t, m in models.items() if isinstance(m, pairs.Linear)}
+    own = at.columns
+    if linear:
+        at = at.withColumn("_p", pairs.probability(linear, v, "a", "b"))
+    return at.select(*own, *[F.col(f"_p.{t}").alias(t) if t in linear else F.lit(m.p).alias(t) for t, m in models.items()])
+
+
 def _scored(rows: DataFrame, z: DataFrame | pairs.Vectors, models: dict) -> DataFrame:
     """rows(src, dst) whose ends have vectors, with a probability a model."""
     v = z if isinstance(z, pairs.Vectors) else pairs.Vectors.of(z)
     at = cut(rows.select("src", "dst", v.index.of("src").alias("a"), v.index.of("dst").alias("b")).where("a >= 0 AND b >= 0"))
-    linear = {t: m for t, m in models.items() if isinstance(m, pairs.Linear)}
-    if linear:
-        at = at.withColumn("_p", pairs.probability(linear, v, "a", "b"))
-    return at.select("src", "dst", *[F.col(f"_p.{t}").alias(t) if t in linear else F.lit(m.p).alias(t) for t, m in models.items()])
+    return _told(at, v, models).drop("a", "b")
+
 
+def _surest(groups: DataFrame, edges: DataFrame | None, z: DataFrame | pairs.Vectors, models: dict, exists: float, top: int) -> DataFrame:
+    """_scored() of the `top` surest pairs within groups(id, grp) that are none of edges(src, dst)."""
+    v, of = z if isinstance(z, pairs.Vectors) else pairs.Vectors.of(z), models["exists"]
+    at = cut(pairs.surest(groups, edges, v, of if isinstance(of, pairs.Linear) else of.p, exists, top).withColumnRenamed("p", "exists"))
+    return _told(at, v, {t: m for t, m in models.items() if t != "exists"}).drop("a", "b")
 
-def score_graph(nodes: DataFrame, edges: DataFrame, z: DataFrame | pairs.Vectors, models: dict, groups: DataFrame, mode: str = "new", exists: float = 0.5, typed: float = 0.5, top: int | None = TOP, most: int | None = MAX_PAIRS) -> DataFrame:
+
+def score_graph(nodes: DataFrame, edges: DataFrame, z: DataFrame | pairs.Vectors, models: dict, groups: DataFrame, mode: str = "new", exists: float = 0.5, typed: float = 0.5, top: int | None = TOP, most: int | None = None) -> DataFrame:
     """Predicted edges between files: candidates, probabilities, types above the threshold, the `top` surest.
 
-    nodes: id, filepath; edges(src, dst): file pairs known; groups(id, grp): candidates are made within a group.
+    nodes: id, filepath; edges(src, dst): file pairs known; groups(id, grp): candidates are made within a group. All of
+    them are scored, unless the caller names how many at `most` (the first by a hash).
     Columns: source_id, target_id, source_filepath, target_filepath, edge_exists_prob, predicted_types, type_probs.
     """
-    p = _scored(graph.capped_candidates(groups, edges, most, mode) if most else graph.candidate_pairs(groups, edges, mode, groups), z, models)
+    if most:
+        p = _scored(graph.capped_candidates(groups, edges, most, mode), z, models)
+    elif top and mode != "existing":
+        p = _surest(groups.join(nodes.select("id"), "id", "left_semi"), edges if mode == "new" else None, z, models, exists, top)
+    else:
+        p = _scored(graph.candidate_pairs(groups, edges, mode, groups), z, models)
     p = p.select("src", "dst", F.col("exists").alias("p"), *[F.round(t, 4).alias(t) for t in TYPES]).where(F.col("p") >= exists)
     names = nodes.select("id", F.coalesce("filepath", "id").alias("path"))
     j = p.join(names.select(F.col("id").alias("src"), F.col("path").alias("source_filepath")), "src").join(names.select(F.col("id").alias("dst"), F.col("path").alias("target_filepath")), "dst")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Generator, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import partial
 from typing import NamedTuple
 
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.operators import arrays, graph
-from loomgraph.session import cut
+from loomgraph.session import cut, parallelism
 
-#: Pairs whose numbers are looked at in one go, those of which they are in the fit, and those that are written as a block.
-AT_ONCE, PRODUCTS, BLOCK = 2_048, 1_024, 1 << 15
+#: Pairs whose numbers are looked at in one go, those of which they are in the fit, those that are written as a block, and those of a group whose margins are.
+AT_ONCE, PRODUCTS, BLOCK, MARGINS = 2_048, 1_024, 1 << 15, 1 << 18
 
 
 class Linear(NamedTuple):
@@ -411,3 +412,67 @@ def probability(models: dict[str, Linear], vectors: Vectors, a: str, b: str) ->
             yield pd.DataFrame(out, columns=names)
 
     return F.pandas_udf(run, ", ".join(f"{t} double" for t in names))(a, b)
+
+
+def _rounded(p: np.ndarray) -> np.ndarray:
+    """Ten thousand times p, rounded as Spark rounds p to four digits: half up, by the digits that are written."""
+    t = p * 1e4 + 0.5
+    out = np.floor(t).astype(np.int64)
+    near = np.flatnonzero(np.abs(t - np.rint(t)) < 1e-6)
+    some, which = np.unique(p[near], return_inverse=True)
+    out[near] = np.array([int(Decimal(repr(v)).scaleb(4).quantize(Decimal(1), ROUND_HALF_UP)) for v in some.tolist()], np.int64)[which]
+    return out
+
+
+def surest(groups: DataFrame, existing: DataFrame | None, vectors: Vectors, exists: Linear | float, least: float, top: int) -> DataFrame:
+    """(src, dst, a, b, p): of all ordered pairs of one of groups(id, grp), but those of existing(src, dst), the `top` of the highest probabilities.
+
+    Probabilities count by four digits, from `least` on; ties go by src and dst. Every pair is scored where its group is: a
+    source's margins are one product with the whole group, and of a task only the surest go on, so no pair has a row.
+    """
+    m = cut(graph._members(groups).select("*", vectors.index.of("id").alias("at")).where("at >= 0"))
+    kind = m.schema["id"].dataType.simpleString()
+    known = m.withColumn("known", F.array().cast(f"array<{kind}>")) if existing is None else m.join(graph._known(m, existing).withColumnRenamed("src", "id"), ["id", "grp"], "left")
+    mine, part = F.pmod(F.xxhash64("id"), F.lit(graph.PARTS)).cast("int"), F.explode(F.array(*[F.lit(k) for k in range(graph.PARTS)]))
+    rows = known.select("id", "grp", "at", "known", mine.alias("mine"), part.alias("part")).withColumn("known", F.when(F.col("mine") == F.col("part"), F.col("known")))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("id")
+        ids, at, known, own = b["id"].to_numpy(), b["at"].to_numpy(), b["known"].to_numpy(), np.flatnonzero((b["mine"] == b["part"]).to_numpy())
+        place = {v: i for i, v in enumerate(ids.tolist())}
+        if isinstance(exists, Linear):
+            x = _taken(vectors.open(), at)
+            w = x.shape[1]
+            c1, c2, c3 = exists.coef[:w], exists.coef[w : 2 * w], exists.coef[2 * w :]
+        src, dst, key, p = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        bound = -np.finfo(float).max if least <= 0 or not isinstance(exists, Linear) else min(math.log(least / (1 - least)) - 1e-6, 25.0) if least < 1 else 25.0
+        step = max(1, MARGINS // len(b))
+        for lo in range(0, len(own), step):
+            s = own[lo : lo + step]
+            if isinstance(exists, Linear):
+                za = x[s]
+                margin = (za * c3 + c2) @ x.T
+                margin += (za @ c1 + exists.intercept)[:, None]
+            else:
+                margin = np.zeros((len(s), len(b)))
+            margin[np.arange(len(s)), s] = -np.inf
+            for i, k in enumerate(known[s]):
+                if k is not None and len(k):
+                    margin[i, [place[v] for v in k if v in place]] = -np.inf
+            hit = np.flatnonzero(margin.reshape(-1) >= bound)
+            got = 1.0 / (1.0 + np.exp(-np.clip(margin.reshape(-1)[hit], -700, 700))) if isinstance(exists, Linear) else np.full(len(hit), exists)
+            hit, got = hit[got >= least], got[got >= least]
+            src, dst, key, p = np.r_[src, s[hit // len(b)]], np.r_[dst, hit % len(b)], np.r_[key, _rounded(got)], np.r_[p, got]
+            order = np.lexsort((dst, src, -key))[:top]
+            src, dst, key, p = src[order], dst[order], key[order], p[order]
+            if len(key) == top:  # sources come in order: one to come must be surer than the last
+                if key[-1] >= 10_000 or not isinstance(exists, Linear):
+                    break
+                worst = (key[-1] + 0.5) / 1e4
+                bound = max(bound, math.log(worst / (1 - worst)) - 1e-6)
+        return pd.DataFrame({"src": ids[src], "dst": ids[dst], "a": at[src], "b": at[dst], "p": p})
+
+    few = rows.repartition(parallelism(rows.sparkSession), "grp", "part").groupBy("grp", "part").applyInPandas(run, f"src {kind}, dst {kind}, a bigint, b bigint, p double")
+    if not m.where("more IS NOT NULL").isEmpty():
+        few = few.dropDuplicates(["src", "dst"])  # each group in common has the pair
+    return few.orderBy(F.desc(F.round("p", 4)), "src", "dst").limit(top)

@@ -323,6 +323,47 @@ def test_scoring_a_graph_makes_no_row_a_pair(spark, monkeypatch):
     assert {(r.source_id, r.target_id) for r in got} == want and len(got) == 40 and {tuple(r.predicted_types) for r in got} == {("CALLS",)}
 
 
+@pytest.mark.parametrize(("mode", "margins"), (("new", 1 << 18), ("new", 5_000), ("all", 5_000)))
+def test_a_scored_graph_is_of_all_pairs(spark, monkeypatch, mode, margins):
+    """More pairs than the old cap (500,000): the surest of all of them, with ties, known pairs and ids of several groups."""
+    monkeypatch.setattr(graph, "candidate_pairs", None)  # it would make a row a pair
+    monkeypatch.setattr(pairs, "MARGINS", margins, raising=False)
+    rnd = random.Random(12)
+    ids = [f"n{i * i}é" for i in range(740)]
+    x = {i: [rnd.random(), rnd.choice((0.0, 1.0))] for i in ids}
+    groups = [(i, 0) for i in ids[:720]] + [(i, 1) for i in ids[700:]] + [(i, 2) for i in ids[:30]] + [("no vector", 0), (None, 0), (ids[0], None)]
+    nodes = spark.createDataFrame([(i, f"d/{i}" if k % 2 else None) for k, i in enumerate(ids[:735])], "id string, filepath string")
+    z = spark.createDataFrame(list(x.items()), "id string, x array<double>")
+    by = sorted(ids, key=lambda i: -sum(x[i]))
+    known = {(a, b) for a in by[:40] for b in by[20:60] if a != b} | {(ids[1], "else")}
+    e = spark.createDataFrame(list(known), "src string, dst string")
+    coef = {"exists": ([2.0, 0.5, 1.0, 0.25, 2.0, -0.5], -3.0), "CALLS": ([1.0, -1.0, 0.0, 0.0, 0.5, 0.0], 0.1)}
+    fitted = {t: pairs.Linear(np.array(c), b) for t, (c, b) in coef.items()} | {"FLOWS_TO": models.Constant(0.25)}
+    tell = lambda t, a, b: 1 / (1 + math.exp(-(sum(c * v for c, v in zip(coef[t][0], [*x[a], *x[b], x[a][0] * x[b][0], x[a][1] * x[b][1]], strict=True)) + coef[t][1])))
+    inside = [(a, b) for part in (ids[:720], ids[700:735]) for a in part for b in part if a != b]
+    scored = {(a, b): tell("exists", a, b) for a, b in inside if mode == "all" or (a, b) not in known}
+    assert len(scored) > 500_000
+    want = sorted((-round(v, 4), a, b) for (a, b), v in scored.items() if v >= 0.5)[:1_000]
+    got = models.score_graph(nodes, e, z, fitted, spark.createDataFrame(groups, "id string, grp int"), mode).collect()
+    assert [(-r.edge_exists_prob, r.source_id, r.target_id) for r in got] == want and len(want) == 1_000
+    assert all(r.type_probs == {"CALLS": pytest.approx(tell("CALLS", r.source_id, r.target_id), abs=6e-5), "FLOWS_TO": 0.25} and r.target_filepath.endswith(r.target_id) for r in got)
+
+
+@pytest.mark.parametrize(("p", "least", "n"), ((0.12345, 0.1, 7), (0.4, 0.5, 0), (1.0, 1.0, 100)))
+def test_surest_pairs_of_one_probability_are_the_first(spark, p, least, n):
+    ids = [f"n{i}" for i in range(9)]
+    z = pairs.Vectors.of(spark.createDataFrame([(i, [1.0]) for i in ids], "id string, x array<double>"))
+    got = pairs.surest(spark.createDataFrame([(i, 0) for i in ids], "id string, grp int"), None, z, p, least, n or 5).collect()
+    assert [(r.src, r.dst) for r in got] == [(a, b) for a in ids for b in ids if a != b][:n]
+
+
+def test_probabilities_are_rounded_as_spark_rounds_them(spark):
+    rnd = random.Random(3)
+    values = [rnd.random() for _ in range(500)] + [(2 * rnd.randrange(10_000) + 1) / 20_000 for _ in range(500)] + [0.0, 1.0, 0.99995, 0.99994999]
+    got = pairs._rounded(np.array(values)).tolist()
+    assert got == [round(r.r * 10_000) for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 4).alias("r")).collect()]
+
+
 def test_pair_models_are_those_of_rows_with_all_numbers(spark, monkeypatch):
     """The same negative pairs, coefficients and means as with 3 * width numbers a pair in rows, which are made no more."""
     rnd = random.Random(8)
